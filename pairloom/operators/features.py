@@ -11,16 +11,18 @@ from pairloom.operators.keys import row_index
 from pairloom.operators.skew import salted_join
 from pairloom.schemas import require_columns
 
-HEAD_WORDS = 65_536  # words looked up by broadcast
-HEAD_LENGTH = 64  # longest of them, so that the broadcast stays under 20 MB
+BROADCAST_BYTES = 64 << 20  # a vocabulary up to this size is looked up by broadcast
+HEAD_WORDS = 65_536  # of a larger one, so many of its most frequent words are
+HEAD_LENGTH = 64  # and none longer than this, so that they stay under 20 MB
 
 
 def word_counts(df: DataFrame, *texts: str) -> DataFrame:
     """Occurrences of every lower-cased word in the given columns."""
-    found = F.concat(*[words(F.col(t)) for t in texts])
-    return df.select(F.explode(found).alias("word")).groupBy("word").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    # The outer form keeps Spark from testing the array's size in a filter of its
+    # own, which would split every text twice.
+    found = df.select(F.explode_outer(F.concat(*[words(F.col(t)) for t in texts])).alias("word"))
+    counted = found.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return counted.filter(F.col("word").isNotNull())
 
 
 def build_vocabulary(
@@ -48,15 +50,19 @@ def encode_pairs(
     max_len: int = MAX_TOKENS,
     key: str = "IDS",
     head: int = HEAD_WORDS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``[CLS] a [SEP] b [SEP]`` as ids, with mask and token types, padded to ``max_len``.
 
     Texts too long together are cut longest first; the cut needs only the two
-    word counts, so words that cannot stay are never exploded. The ``head`` most
-    frequent words are looked up by broadcast (their number and length are
-    bounded), so common words are not shuffled at all; only words outside it go
-    through a join on the word. A row's tokens are put back together in the
-    map task when they did not have to move.
+    word counts, so words that cannot stay are never exploded. The cut rows are
+    partitioned by ``key`` before the explode, so putting a row's tokens back
+    together needs no other shuffle.
+
+    ``vocabulary`` should be a stored table: its size is measured, and up to
+    ``broadcast_bytes`` it is broadcast whole. Of a larger one the ``head`` most
+    frequent words are (their number and length are bounded), so common words
+    never move; the others go through a salted join on the word.
     """
     require_columns(df, key, "sentence", "paraphrase", "quality")
     budget = max_len - 3
@@ -74,21 +80,21 @@ def encode_pairs(
         F.slice("b", F.lit(1), F.col("kb")),
         F.array(F.lit("[SEP]")),
     )
-    tokens = cut.select(
-        key, "label", "la", "lb", "ka", "kb", F.posexplode(sequence).alias("pos", "word")
+    placed = cut.select(key, "label", "la", "lb", "ka", "kb", sequence.alias("_s")).repartition(key)
+    tokens = placed.select(
+        key, "label", "la", "lb", "ka", "kb", F.posexplode_outer("_s").alias("pos", "word")
     )
 
-    common = (F.col("id") < head) & (F.length("word") <= HEAD_LENGTH)
     lookup = vocabulary.select("word", F.col("id").cast("int").alias("id"))
-    found = tokens.join(F.broadcast(lookup.filter(common)), "word", "left")
-    rare = lookup.filter(~common)
-    if rare.isEmpty():
-        ided = found
+    if _table_bytes(lookup) <= broadcast_bytes:
+        ided = tokens.join(F.broadcast(lookup), "word", "left")
     else:
-        open_tokens = found.filter(F.col("id").isNull()).drop("id")
-        open_tokens = open_tokens.withColumn("_token", F.xxhash64(key, "pos"))
-        looked_up = salted_join(open_tokens, rare, "word", "_token", "left").drop("_token")
-        ided = found.filter(F.col("id").isNotNull()).unionByName(looked_up)
+        common = (F.col("id") < head) & (F.length("word") <= HEAD_LENGTH)
+        found = tokens.join(F.broadcast(lookup.filter(common)), "word", "left")
+        rare = found.filter(F.col("id").isNull()).drop("id")
+        rare = rare.withColumn("_token", F.xxhash64(key, "pos"))
+        looked_up = salted_join(rare, lookup.filter(~common), "word", "_token", "left")
+        ided = found.filter(F.col("id").isNotNull()).unionByName(looked_up.drop("_token"))
 
     packed = ided.groupBy(key, "label", "la", "lb", "ka", "kb").agg(
         F.array_sort(
@@ -113,3 +119,9 @@ def encode_pairs(
             "token_type_ids"
         ),
     )
+
+
+def _table_bytes(lookup: DataFrame) -> int:
+    """Bytes of the words and ids, about what a broadcast of them holds."""
+    size = lookup.agg(F.sum(F.octet_length("word") + F.lit(40)).alias("n")).first()
+    return size["n"] or 0

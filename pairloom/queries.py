@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom import schemas, views
+from pairloom import views
 from pairloom.constants import METRICS, TARGET_LANGUAGES
 from pairloom.functions import labels, text
 from pairloom.operators import (
@@ -23,6 +23,7 @@ from pairloom.operators import (
     scoring,
 )
 from pairloom.operators.dedup import remove_duplicates
+from pairloom.plans.augment import augment as store_augmented
 from pairloom.plans.experiment import evaluate, experiment
 from pairloom.plans.prepare import prepare, renumber_augmented
 from pairloom.shared import fresh_path, write_table
@@ -219,15 +220,10 @@ def augment_fanout(spark, sf_dir):
 
 @query
 def augment_restart(spark, sf_dir):
-    made = augment.augment_by_column(views.english(spark, sf_dir), views.rule_translation)
+    english = write_table(views.english(spark, sf_dir), "english")
     path = fresh_path(spark, "augmented")
-    langs = ["en", *TARGET_LANGUAGES]
-
-    def one(lang: str) -> DataFrame:
-        return made.filter(F.col("lang") == lang)
-
-    writers.write_languages(spark, path, langs[:4], one)
-    return writers.write_languages(spark, path, langs, one)
+    store_augmented(english, path, TARGET_LANGUAGES[:3], column=views.rule_translation)
+    return store_augmented(english, path, column=views.rule_translation)
 
 
 @query
@@ -456,7 +452,7 @@ def _labelled(spark, sf_dir) -> DataFrame:
 def fit_classifier(spark, sf_dir):
     rows = write_table(_labelled(spark, sf_dir), "labelled")
     split = sampling.split_two(rows, group_by="index")
-    model = scoring.fit_classifier(split.filter(F.col("split") == "train"))
+    model = scoring.fit_classifier(split.filter(F.col("split") == "train"), features=1 << 12)
     predicted = scoring.classify(model, split.filter(F.col("split") == "dev"))
     return predicted.select("IDS", "quality", "pred")
 

@@ -43,3 +43,14 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal a scan with fewer input splits than cores out to all cores, by ``key``.
+
+    One small file would otherwise keep one core busy. A table large enough to
+    fill the cluster has more splits than cores and is returned as it is, without
+    a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pairloom.constants import TARGET_LANGUAGES
 from pairloom.functions.labels import binary_label
-from pairloom.shared import fresh_path
+from pairloom.shared import fresh_path, spread
 
 CUTS = [("bert", 200), ("xlnet", 500), ("roberta", 1000), ("albert", 2000)]
 
@@ -29,8 +29,10 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.split("text", "\n", -1)
     even = F.filter("lines", lambda x, i: i % 2 == 0)
     odd = F.filter("lines", lambda x, i: i % 2 == 1)
-    cut = table(spark, sf_dir, "documents").select("doc_id", "lang", lines.alias("lines"))
-    rows = cut.select("doc_id", "lang", F.posexplode(F.arrays_zip(even.alias("a"), odd.alias("b"))))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
+    docs = docs.filter(F.col("text").isNotNull())
+    cut = docs.select("doc_id", "lang", lines.alias("lines"))
+    rows = cut.select("doc_id", "lang", F.posexplode_outer(F.arrays_zip(even.alias("a"), odd.alias("b"))))
     texts = rows.select(
         (F.col("doc_id") * 1_000_000 + F.col("pos")).alias("IDS"),
         F.col("col.a").alias("sentence"),

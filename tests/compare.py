@@ -64,7 +64,7 @@ def main(sf_dir: str, wanted: list[str]) -> int:
         try:
             problem = compare(spark, con, name, fn, ORACLES.get(name), sf_dir)
         except Exception:
-            problem = traceback.format_exc()[-1500:]
+            problem = traceback.format_exc()[:1500]
         bad += problem is not None
         print(f"{time.time() - start:6.2f}s {name}: {problem or 'ok'}", flush=True)
     print("missing SQL:", sorted(set(QUERIES) - set(ORACLES)), "unused SQL:", sorted(set(ORACLES) - set(QUERIES)))
