@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.shared import write_table
@@ -32,19 +32,15 @@ def salted_join(
     ``inner``, ``left``, ``left_semi`` or ``left_anti``.
     """
     on = [on] if isinstance(on, str) else on
-    seen = Observation()
-    counts = (
-        big.groupBy(F.xxhash64(*on).alias("_h"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .observe(seen, F.max("_n").alias("largest"), F.sum("_n").alias("total"))
-    )
-    counts = write_table(counts.filter(F.col("_n") > min_piece), "hot-keys")
-    piece = max(min_piece, -(-(seen.get["total"] or 0) // pieces))
-    if (seen.get["largest"] or 0) <= piece:
+    counts = big.groupBy(F.xxhash64(*on).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+    frequent = write_table(counts.filter(F.col("_n") > min_piece), "hot-keys")
+    largest = frequent.agg(F.max("_n")).first()[0] or 0
+    piece = max(min_piece, -(-big.count() // pieces)) if largest else min_piece
+    if largest <= piece:
         return big.join(small, on, how)
 
     hot = F.broadcast(
-        counts.filter(F.col("_n") > piece).select(
+        frequent.filter(F.col("_n") > piece).select(
             "_h", F.ceil(F.col("_n") / piece).cast("int").alias("_salts")
         )
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,15 +102,14 @@ def read_csv_pairs(
     """CSV with a header: columns by name, all others (a saved row index) dropped.
 
     Columns of the schema that the file lacks are left out. ``renumber`` sets
-    ``IDS`` to the row number in file order.
+    ``IDS`` to the row number in file order. All files of a folder must have the
+    same columns in the same order; a file that differs fails the job, unless
+    the header has a blank name, which Spark cannot check.
     """
-    scan = (
-        spark.read.option("header", True)
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .option("enforceSchema", False)
-        .csv(path)
-    )
+    reader = spark.read.options(header=True, escape='"', multiLine=multi_line)
+    scan = reader.csv(path)
+    if not any(re.fullmatch(r"_c\d+", name) for name in scan.columns):
+        scan = reader.option("enforceSchema", False).csv(path)
     fields = [f for f in schema.fields if f.name in scan.columns and not (renumber and f.name == "IDS")]
     named = scan.select(*[F.col(f"`{f.name}`") for f in fields])
     if renumber:
