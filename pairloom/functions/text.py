@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import html
-import unicodedata
+from unicodedata import normalize
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,14 +34,14 @@ def null_words(text: Column) -> Column:
     return F.when(~text.isin(NA_WORDS), text)
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+@F.arrow_udf(T.StringType())
+def _nfkc(texts: pa.Array) -> pa.Array:
+    return pa.array([t and normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
 
 
-@F.pandas_udf(T.StringType())
-def _unescape(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape, na_action="ignore")
+@F.arrow_udf(T.StringType())
+def _unescape(texts: pa.Array) -> pa.Array:
+    return pa.array([t and html.unescape(t) for t in texts.to_pylist()], pa.string())
 
 
 def nfkc(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairloom.constants import (
@@ -63,7 +63,7 @@ def grid_sizes(pairs: DataFrame, grid: DataFrame, sets: DataFrame) -> DataFrame:
         .groupBy("lang_set")
         .agg(F.sum("n").alias("n_rows"), F.sum("pos").alias("n_positive"))
     )
-    return F.broadcast(grid).join(per_set, "lang_set", "left").select(
+    return grid.join(F.broadcast(per_set), "lang_set", "left").select(
         "dataset",
         "model",
         "lang_set",
@@ -81,7 +81,8 @@ def leaderboard(
     """Per dataset and model: the baseline, the ``all`` run and the best language.
 
     The best language has the highest accuracy, the first code on ties. Each
-    metric gets a ``<name>_up`` flag: is it above the baseline's?
+    metric gets a ``<name>_up`` flag: is it above the baseline's? The results are
+    read once; a window holds the runs of one model, one per language set.
     """
     single = ~F.col("langs").isin(baseline, everything)
     kind = (
@@ -89,19 +90,24 @@ def leaderboard(
         .when(F.col("langs") == everything, "all")
         .otherwise("best")
     )
+    runs = Window.partitionBy("dataset", "model")
     order = Window.partitionBy("dataset", "model", single).orderBy(F.desc("accuracy"), "langs")
-    ranked = results.withColumn("_rank", F.row_number().over(order))
-    shown = ranked.filter(~single | (F.col("_rank") == 1)).withColumn("kind", kind).drop("_rank")
-    base = results.filter(F.col("langs") == baseline).select(
-        "dataset", "model", *[F.col(f"`{m}`").alias(f"_base_{m}") for m in metrics]
-    )
-    up = [
-        F.coalesce(F.col(f"`{m}`") > F.col(f"`_base_{m}`"), F.lit(False)).alias(f"{m}_up")
-        for m in metrics
-    ]
-    return shown.join(base, ["dataset", "model"], "left").select(
-        "dataset", "model", "kind", "langs", *[F.col(f"`{m}`") for m in metrics], *up
+
+    def is_up(metric: str) -> Column:
+        value = F.col(f"`{metric}`")
+        base = F.max(F.when(F.col("langs") == baseline, value)).over(runs)
+        return F.coalesce(value > base, F.lit(False)).alias(f"{metric}_up")
+
+    ranked = results.select(
+        "dataset",
+        "model",
+        kind.alias("kind"),
+        "langs",
+        *[F.col(f"`{m}`") for m in metrics],
+        *[is_up(m) for m in metrics],
+        F.row_number().over(order).alias("_rank"),
     )
+    return ranked.filter((F.col("kind") != "best") | (F.col("_rank") == 1)).drop("_rank")
 
 
 def family_table(spark: SparkSession) -> DataFrame:

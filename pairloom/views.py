@@ -88,22 +88,34 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def rule_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four rule models over every document: is it at least so long?"""
+def _rule_models(docs: DataFrame) -> DataFrame:
+    """Four rule models over documents: is the text at least so long?"""
     models = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(c).alias("cut")) for m, c in CUTS])
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
     return docs.withColumn("m", F.explode(models)).select(
         "m.model",
         F.lit("docs").alias("dataset"),
         F.col("lang").alias("langs"),
-        F.col("doc_id").alias("IDS"),
         F.when(F.col("n_chars") >= F.col("m.cut"), 1).otherwise(0).alias("pred"),
+        *[c for c in ("IDS", "gold") if c in docs.columns],
     )
 
 
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("IDS"), "lang", "n_chars")
+
+
+def rule_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of the rule models for every document."""
+    return _rule_models(_sizes(spark, sf_dir))
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``rule_predictions`` of the labelled documents beside their gold labels."""
-    return rule_predictions(spark, sf_dir).join(gold(spark, sf_dir), "IDS")
+    """Predictions for the labelled documents beside their gold labels.
+
+    The join comes before the models, so a document is shuffled once, not once
+    per model.
+    """
+    return _rule_models(_sizes(spark, sf_dir).join(gold(spark, sf_dir), "IDS"))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:

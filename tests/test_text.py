@@ -27,6 +27,12 @@ def test_nfkc_and_unescape_are_pythons(spark):
     assert column(spark, values, text.unescape_html) == [v if v is None else html.unescape(v) for v in values]
 
 
+def test_nfkc_of_all_assigned_characters(spark):
+    chars = [chr(i) for i in range(0x30000) if unicodedata.category(chr(i)) not in ("Cs", "Cn", "Co")]
+    values = ["a" + "".join(chars[i : i + 64]) for i in range(0, len(chars), 64)]
+    assert column(spark, values, text.nfkc) == [unicodedata.normalize("NFKC", v) for v in values]
+
+
 def test_quora_text(spark):
     # Plain quotes go first, then full-width ones become plain.
     values = ['"a" ＂b＂', None, "x"]
