@@ -16,25 +16,23 @@ def remove_duplicates(df: DataFrame, order: str = "IDS", by: str | None = None)
     """Drop every non-English row whose pair occurs earlier, in ``order``.
 
     ``order`` is a unique row key. Null texts are equal to each other and a null
-    language is not English. English rows all stay. A foreign row stays exactly
-    when it is the first of its pair, so one hash aggregate finds the rows to
-    keep: a pair that fills a third of the table shrinks to one row per map task
-    before the shuffle. The join that follows is on the unique row key.
+    language is not English. English rows all stay, so they are not shuffled. A
+    foreign row stays exactly when it is the first of its pair: one aggregate by
+    the pair finds the first row, with its other columns, and is the only
+    shuffle. A pair that fills a third of the table shrinks to one row per map
+    task before it.
 
     With ``by`` the rule is the literal one for keys that several rows share:
     one repeated foreign row removes all rows with its ``by`` value.
     """
     require_columns(df, "sentence", "paraphrase", "lang", order)
-    key = F.col(order)
-    firsts = (
-        df.groupBy("sentence", "paraphrase")
-        .agg(F.min(key).alias("_any"), F.min(F.when(_foreign(), key)).alias("_foreign"))
-        .filter(F.col("_any") == F.col("_foreign"))
-        .select(F.col("_any").alias(order))
-    )
-    foreign = df.filter(_foreign())
+    pairs = df.groupBy("sentence", "paraphrase")
+    first = F.min(order).alias(order)
     if by is None:
-        kept = foreign.join(firsts, order, "left_semi")
-        return df.filter(~_foreign()).unionByName(kept)
-    gone = foreign.select(order, by).join(firsts, order, "left_anti").select(by).distinct()
-    return df.join(gone, by, "left_anti")
+        rest = [c for c in df.columns if c not in ("sentence", "paraphrase", order)]
+        carried = F.min_by(F.struct(*rest), F.col(order)).alias("_rest")
+        firsts = pairs.agg(first, carried).select(order, "sentence", "paraphrase", "_rest.*")
+        return df.filter(~_foreign()).unionByName(firsts.filter(_foreign()))
+    foreign = df.filter(_foreign()).select(order, by)
+    repeated = foreign.join(pairs.agg(first).select(order), order, "left_anti")
+    return df.join(repeated.select(by).distinct(), by, "left_anti")
