@@ -64,4 +64,4 @@ def quora_text(text: Column) -> Column:
 def words(text: Column) -> Column:
     """Lower-cased words; no words for a null text."""
     parts = F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_GAP, -1)
-    return F.filter(parts, lambda w: w != "")
+    return F.array_remove(parts, "")

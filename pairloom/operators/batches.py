@@ -20,7 +20,7 @@ def batch_texts(
     indexed = row_index(df, *order, name="_i").select("_i", text)
     return (
         indexed.groupBy(F.floor(F.col("_i") / n).alias("batch_id"))
-        .agg(F.array_sort(F.collect_list(F.struct("_i", F.col(text).alias("t")))).alias("_items"))
+        .agg(F.sort_array(F.collect_list(F.struct("_i", F.col(text).alias("t")))).alias("_items"))
         .select("batch_id", F.col("_items.t").alias("texts"))
     )
 

@@ -96,24 +96,26 @@ def encode_pairs(
         looked_up = salted_join(rare, lookup.filter(~common), "word", "_token", "left")
         ided = found.filter(F.col("id").isNotNull()).unionByName(looked_up.drop("_token"))
 
-    packed = ided.groupBy(key, "label", "la", "lb", "ka", "kb").agg(
-        F.array_sort(
-            F.collect_list(F.struct("pos", F.coalesce("id", F.lit(UNK_ID)).alias("id")))
-        ).alias("_t")
+    # Position and id share one long, so a row's tokens sort as plain numbers.
+    packed = F.shiftleft(F.col("pos").cast("bigint"), 32) + F.coalesce("id", F.lit(UNK_ID))
+    rows = ided.groupBy(key).agg(
+        F.sort_array(F.collect_list(packed)).alias("_t"),
+        *[F.first(c).alias(c) for c in ("label", "la", "lb", "ka", "kb")],
     )
+    ids = F.transform("_t", lambda t: t.bitwiseAND(0xFFFFFFFF).cast("int"))
     n = F.size("_t")
 
     def fill(value: int, times: Column) -> Column:
         return F.array_repeat(F.lit(value), times)
 
     padding = F.lit(max_len) - n
-    return packed.select(
+    return rows.select(
         key,
         "label",
         "la",
         "lb",
         n.alias("n_tokens"),
-        F.concat(F.col("_t.id"), fill(PAD_ID, padding)).alias("input_ids"),
+        F.concat(ids, fill(PAD_ID, padding)).alias("input_ids"),
         F.concat(fill(1, n), fill(0, padding)).alias("attention_mask"),
         F.concat(fill(0, F.col("ka") + 2), fill(1, F.col("kb") + 1), fill(0, padding)).alias(
             "token_type_ids"
