@@ -9,7 +9,6 @@ DATASETS = ["mrpc", "tpc", "quora"]
 MODELS = ["bert", "xlnet", "roberta", "albert"]
 SCORING_BATCH = {"bert": 32, "xlnet": 16, "roberta": 32, "albert": 32}
 SPLIT_SEED = 123
-MODEL_SEED = 42
 TEST_FRACTION = 0.2
 SAMPLE_SIZE = 100
 TRANSLATION_BATCH = 50

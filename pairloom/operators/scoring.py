@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.constants import SCORING_BATCH
 from pairloom.functions.labels import argmax, squeeze
 from pairloom.functions.text import words
 from pairloom.operators.metrics import evaluate_runs
@@ -23,7 +24,7 @@ BatchModel = Callable[[pd.DataFrame], list[list[float]]]
 def score_pairs(
     df: DataFrame,
     load: Callable[[], BatchModel],
-    batch: int = 32,
+    batch: int = SCORING_BATCH["bert"],
     keep: tuple[str, ...] = ("IDS", "quality"),
     inputs: tuple[str, ...] = ("sentence", "paraphrase"),
 ) -> DataFrame:
@@ -57,7 +58,10 @@ def with_predictions(scored: DataFrame, regression: bool = False) -> DataFrame:
 
 
 def evaluate_split(
-    pairs: DataFrame, split: str, load: Callable[[], BatchModel], batch: int = 32
+    pairs: DataFrame,
+    split: str,
+    load: Callable[[], BatchModel],
+    batch: int = SCORING_BATCH["bert"],
 ) -> DataFrame:
     """The metrics of a batch model on one split of a prepared corpus."""
     rows = pairs.filter(F.col("split") == split)

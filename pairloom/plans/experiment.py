@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pairloom.operators.grid import leaderboard, language_sets
 from pairloom.operators.metrics import align, evaluate_runs, metric_report, result_records
 from pairloom.operators.normalize import filter_languages
+from pairloom.shared import write_table
 from pairloom.sources.writers import append_records
 
 Fit = Callable[[DataFrame], Callable[[DataFrame], DataFrame]]
@@ -25,7 +26,9 @@ def evaluate(
     run = align(preds, gold.select("IDS", "quality")).withColumns(
         {name: F.lit(config[name]) for name in ("dataset", "model", "langs")}
     )
-    results = evaluate_runs(run, "dataset", "model", "langs", gold="quality")
+    results = write_table(
+        evaluate_runs(run, "dataset", "model", "langs", gold="quality"), "results"
+    )
     if records_path:
         append_records(result_records(results), records_path)
     return metric_report(results, "dataset", "model", "langs")
@@ -43,7 +46,8 @@ def experiment(
 
     ``models`` maps a name to ``fit(train) -> predict``, where ``predict(test)``
     adds ``pred``. Each run trains on its language set and predicts the test
-    split; the baseline trains on English alone. All runs meet in one aggregate.
+    split; the baseline trains on English alone. All runs meet in one aggregate,
+    whose few rows are stored, so that no model runs again for the leaderboard.
     """
     stored = spark.read.parquet(corpus)
     train = stored.filter(F.col("split") == "train")
@@ -60,7 +64,9 @@ def experiment(
                 "pred",
             )
             runs = predicted if runs is None else runs.unionByName(predicted)
-    results = evaluate_runs(runs, "dataset", "model", "langs", gold="quality")
+    results = write_table(
+        evaluate_runs(runs, "dataset", "model", "langs", gold="quality"), "results"
+    )
     if records_path:
         append_records(result_records(results), records_path)
     return results, leaderboard(results)

@@ -25,7 +25,6 @@ RAW_MRPC_AUGMENTED = struct(
     lang="string",
     index="bigint",
 )
-MEMORY = struct(src="string", tgt="string", src_text="string", tgt_text="string")
 
 
 def require_columns(df: DataFrame, *names: str) -> DataFrame:

@@ -3,7 +3,6 @@ from __future__ import annotations
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from pairloom.constants import METRICS
 from pairloom.operators import grid, metrics
