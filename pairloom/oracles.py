@@ -169,8 +169,9 @@ ORACLES: dict[str, str] = {
     "norm_quora": f"WITH {PAIRS} SELECT {PAIR} FROM pairs",
     "norm_quora_text": f"""WITH {PAIRS} SELECT ids AS IDS, {_QUORA.format('sentence')} AS sentence,
         {_QUORA.format("coalesce(paraphrase, 'nan')")} AS paraphrase, quality FROM pairs""",
-    "unescape_html": """SELECT page_id, replace(replace(replace(replace(html, '&quot;', '"'),
-        '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS html FROM pages""",
+    # The pages hold these four entities only, some cut off before the semicolon.
+    "unescape_html": """SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+        '&quot;?', '"', 'g'), '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&amp;?', '&', 'g') AS html FROM pages""",
     "filter_langs": f"WITH {PAIRS} SELECT {CORPUS} FROM pairs WHERE lang IN ('en', 'es')",
     "examples_view": f"""WITH {PAIRS} SELECT ids AS guid, sentence AS text_a, paraphrase AS text_b,
         quality AS label FROM pairs""",

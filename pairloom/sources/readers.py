@@ -49,19 +49,23 @@ def read_tsv_cells(
 
     Without ``quote`` rows may differ in length. With it a field may hold tabs
     and line ends, and ``columns`` gives the widest row; missing cells at the
-    end of a row are left out.
+    end of a row, or empty ones there, are left out.
     """
     if quote is None:
         lines = file_row_index(spark.read.text(path))
         text = F.when(F.col("IDS") == 0, F.ltrim(F.col("value"), F.lit(BOM))).otherwise(F.col("value"))
-        return lines.select("IDS", F.split(text, "\t", -1).alias("cells"))
+        empty = F.array().cast("array<string>")
+        cells = F.when(text == "", empty).otherwise(F.split(text, "\t", -1))
+        return lines.select("IDS", cells.alias("cells"))
     if not columns:
         raise ValueError("a quoted scan needs the number of columns")
     names = [f"c{i}" for i in range(columns)]
     scan = _quoted(spark, path, T.StructType([T.StructField(n, T.StringType()) for n in names]), quote)
     first = F.when(F.col("IDS") == 0, F.ltrim(F.col("c0"), F.lit(BOM))).otherwise(F.col("c0"))
-    cells = F.array_compact(F.array(first, *names[1:]))
-    return file_row_index(scan).select("IDS", cells.alias("cells"))
+    filled = F.array(*[F.coalesce(c, F.lit("")) for c in [first, *map(F.col, names[1:])]])
+    ends = [F.when(F.col(n).isNotNull(), i + 1).otherwise(0) for i, n in enumerate(names)]
+    width = F.greatest(*ends, F.lit(0))
+    return file_row_index(scan).select("IDS", F.slice(filled, F.lit(1), width).alias("cells"))
 
 
 def read_tsv_quoted(
@@ -117,7 +121,7 @@ def read_csv_pairs(
     wanted = T.StructType(fields)
     cleaned = _without_na(named, wanted) if na_words else named
     typed = [
-        F.col(f"`{f.name}`").cast("double").cast(f.dataType).alias(f.name)
+        F.col(f"`{f.name}`").cast("decimal(38, 6)").cast(f.dataType).alias(f.name)
         if f.name == "index"  # saved as 3.0 where some rows have none
         else F.col(f"`{f.name}`").cast(f.dataType).alias(f.name)
         for f in fields

@@ -57,11 +57,16 @@ def test_line_numbers_over_many_files_and_blocks(spark, tmp_path):
 
 
 def test_cells(spark, tmp_path):
-    path = put(tmp_path / "d", a="﻿a\tb\n\"c\td\"\te\n")
+    path = put(tmp_path / "d", a="\ufeffa\tb\n\"c\td\"\te\n")
     cells = [r.cells for r in readers.read_tsv_cells(spark, path).orderBy("IDS").collect()]
     assert cells == [["a", "b"], ['"c', 'd"', "e"]]
     quoted = readers.read_tsv_cells(spark, path, quote='"', columns=3).orderBy("IDS")
     assert [r.cells for r in quoted.collect()] == [["a", "b"], ["c\td", "e"]]
+    gaps = put(tmp_path / "gaps", a="a\t\tb\n\n\t\"\"\n")
+    cells = [r.cells for r in readers.read_tsv_cells(spark, gaps).orderBy("IDS").collect()]
+    assert cells == [["a", "", "b"], [], ["", '""']]
+    quoted = readers.read_tsv_cells(spark, gaps, quote='"', columns=4).orderBy("IDS")
+    assert [r.cells for r in quoted.collect()] == [["a", "", "b"], []]
 
 
 def test_quoted_rows(spark, tmp_path):
@@ -78,12 +83,12 @@ def test_quoted_rows(spark, tmp_path):
 
 
 def test_csv_by_name(spark, tmp_path):
-    body = ',lang,sentence,paraphrase,quality,IDS,index,extra\n0,en,"a, ""b""","x\ny",1,7,3.0,z\n1,es,NA,p,0,7,,z\n'
+    body = ',lang,sentence,paraphrase,quality,IDS,index,extra\n0,en,"a, ""b""","x\ny",1,7,9007199254740993.0,z\n1,es,NA,p,0,7,,z\n'
     path = put(tmp_path / "d", a=body)
     rows = readers.read_csv_pairs(spark, path)
     assert rows.schema.names == schemas.AUGMENTED.names
     assert sorted(map(tuple, rows.collect()), key=repr) == [
-        (7, 'a, "b"', "x\ny", 1, "en", 3),
+        (7, 'a, "b"', "x\ny", 1, "en", 9007199254740993),
         (7, None, "p", 0, "es", None),
     ]
     again = readers.read_csv_pairs(spark, path, renumber=True).orderBy("IDS").collect()
