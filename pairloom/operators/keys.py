@@ -22,7 +22,9 @@ def row_index(df: DataFrame, *order: str | Column, name: str = "IDS") -> DataFra
 
     The order is one range-partitioned sort, written once. Parquet knows the
     position of a row in its file, so the numbers follow from a running sum of
-    the rows per file: no window over the rows and no second sort.
+    the rows per file: no window over the rows and no second sort. The sums have
+    one row per written file, as many as the sort has partitions whatever the
+    data, and counting them reads no column.
     """
     spark = df.sparkSession
     path = fresh_path(spark, "sorted")
@@ -37,11 +39,8 @@ def row_index(df: DataFrame, *order: str | Column, name: str = "IDS") -> DataFra
     piece = F.regexp_extract("_file", r"-c(\d+)", 1).cast("bigint")
     files = stored.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy(part, piece).rowsBetween(Window.unboundedPreceding, -1)
-    starts = write_table(
-        files.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")),
-        "file-starts",
-    )
-    return stored.join(starts, "_file").select(
+    starts = files.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    return stored.join(F.broadcast(starts), "_file").select(
         (F.col("_first") + F.col("_row")).alias(name), *body.columns
     )
 
