@@ -127,17 +127,20 @@ def search(tests: Tests, hashes: np.ndarray, first: np.ndarray) -> dict:
     m = len(wanted)
     lo, hi = np.zeros(m, dtype=np.int64), np.full(m, len(full), dtype=np.int64)
     active = np.arange(m)
-    lengths = np.zeros(m, dtype=np.int64)
+    least = np.where(tests.size > 0, tests.size, tests.window)
+    matches = [np.zeros((0, 4), dtype=np.int64)]
     place_text = np.repeat(np.arange(n_texts), count + 1)
     doc_pairs = []
     depth = 0
     while len(active):
         a, b = narrow(full, order, lo[active], hi[active], wanted[active + depth], depth)
         some = a < b
+        if depth:  # some places match no further
+            fewer = active[((a != lo[active]) | (b != hi[active])) & (least[active] <= depth)]
+            matches.append(np.stack([lo[fewer], hi[fewer], np.full(len(fewer), depth), tests.item[fewer]], 1))
         active, a, b = active[some], a[some], b[some]
         lo[active], hi[active] = a, b
         depth += 1
-        lengths[active] = depth
         whole = tests.size[active] == depth  # windows that end here occur
         if whole.any():
             starts, which = np.unique(a[whole], return_inverse=True)
@@ -157,23 +160,23 @@ def search(tests: Tests, hashes: np.ndarray, first: np.ndarray) -> dict:
             n_items = np.searchsorted(by_window[:, 0], held[:, 0], "right") - begin
             rows = np.repeat(begin - np.cumsum(n_items) + n_items, n_items) + np.arange(n_items.sum())
             doc_pairs.append(np.stack([np.repeat(held[:, 1], n_items), by_window[rows, 1]], 1))
+        whole = active[(tests.left[active] == depth) & (least[active] <= depth)]
+        matches.append(np.stack([lo[whole], hi[whole], np.full(len(whole), depth), tests.item[whole]], 1))
         active = active[tests.left[active] > depth]
     if doc_pairs:
         out["pairs"] = np.unique(np.concatenate(doc_pairs), axis=0)
 
-    # Longest match of each text: all places of all test suffixes, the longest first.
-    whole = np.flatnonzero(lengths >= np.where(tests.size > 0, tests.size, tests.window))
-    whole = whole[np.argsort(-lengths[whole], kind="stable")]
-    _, once = np.unique(np.stack([lo[whole], hi[whole]], 1), axis=0, return_index=True)
-    whole = whole[once]
-    sizes = hi[whole] - lo[whole]
-    slots = np.repeat(lo[whole] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-    suffix, at = np.repeat(whole, sizes), order[slots]
-    best = np.lexsort([tests.item[suffix], at, -lengths[suffix], place_text[at]])
+    # Longest match of each text: every interval in which places stop to match, at its greatest depth.
+    found = np.concatenate(matches)
+    found = found[np.lexsort([found[:, 3], -found[:, 2], found[:, 1], found[:, 0]])]
+    found = found[np.unique(found[:, :2], axis=0, return_index=True)[1]]
+    sizes = found[:, 1] - found[:, 0]
+    at = order[np.repeat(found[:, 0] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+    length, item = np.repeat(found[:, 2], sizes), np.repeat(found[:, 3], sizes)
+    best = np.lexsort([item, at, -length, place_text[at]])
     texts, keep = np.unique(place_text[at[best]], return_index=True)
     best = best[keep]
-    out["longest"][texts] = lengths[suffix[best]]
-    out["longest_item"][texts] = tests.item[suffix[best]]
+    out["longest"][texts], out["longest_item"][texts] = length[best], item[best]
     out["longest_at"][texts] = at[best] - first[texts] - texts
     return out
 
