@@ -1,3 +1,28 @@
 """Expected results of the queries as SQL, where SQL can express them."""
 
-ORACLES: dict[str, str] = {}
+# Escaping adds one character for each control string; a run of turns with one role has
+# marks of 8, 8 and 7 characters, and other turns have a join mark of 8.
+OP1 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+o AS (
+  SELECT *, row_number() OVER w AS k, coalesce(role = lag(role) OVER w, false) AS same,
+    length(text) + len(regexp_extract_all(text, '[<\[]\\*(\||/?s>|/?INST\]|/?SYS>)')) AS text_chars,
+    length(role) + len(regexp_extract_all(role, '[<\[]\\*(\||/?s>|/?INST\]|/?SYS>)')) AS role_chars
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+c AS (
+  SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+    coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '') AS loss,
+    sum(text_chars + CASE WHEN same THEN 8 ELSE 8 + 8 + 7 + role_chars END) AS formatted_chars
+  FROM o GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+  formatted_chars::BIGINT AS formatted_chars
+FROM c
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_chat_format": OP1,
+}
