@@ -23,6 +23,60 @@ SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss)
 FROM c
 """
 
+# Entries by md5 as in `dated_entries`; intervals from the changes of state; one row per
+# page and interval that holds.
+OP2 = r"""
+WITH p AS (
+  SELECT page_id, url,
+    nullif(regexp_replace(regexp_extract(lower(trim(url)),
+      '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.+$', ''), '') AS host,
+    regexp_replace(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS path,
+    ('0x' || substr(md5(page_id::VARCHAR), 1, 5))::BIGINT % 17520 AS hour
+  FROM pages),
+hosts AS (
+  SELECT DISTINCT host, unnest([array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.')
+    for i in range(1, len(string_split(host, '.')) + 1)]) AS key
+  FROM p WHERE host IS NOT NULL),
+keys AS (
+  SELECT DISTINCT 'spam' AS list, 'host' AS kind, key FROM hosts
+  UNION ALL SELECT DISTINCT 'malware', 'url', host || path FROM p WHERE host || path IS NOT NULL),
+k AS (
+  SELECT *, ('0x' || substr(md5(key), 1, 4))::BIGINT % 8760 AS first,
+    ('0x' || substr(md5(key), 5, 3))::BIGINT AS gap, ('0x' || substr(md5(key), 8, 3))::BIGINT AS gap2,
+    ('0x' || substr(md5(key), 12, 1))::BIGINT AS turns
+  FROM keys WHERE ('0x' || substr(md5(key), 11, 1))::BIGINT < 6),
+valid AS (
+  SELECT list, kind, key, first AS a, CASE WHEN turns >= 6 THEN first + 1 + gap END AS b FROM k
+  UNION ALL SELECT list, kind, key, first + 1 + gap + 1 + gap2, NULL FROM k WHERE turns >= 11),
+found AS (
+  SELECT DISTINCT page_id, list FROM p JOIN hosts USING (host) JOIN valid v ON v.kind = 'host' AND v.key = hosts.key
+  WHERE a <= hour AND (b IS NULL OR hour < b)
+  UNION SELECT page_id, list FROM p JOIN valid v ON v.kind = 'url' AND v.key = host || path
+  WHERE a <= hour AND (b IS NULL OR hour < b)),
+lists AS (SELECT page_id, string_agg(list, ',' ORDER BY list) AS lists FROM found GROUP BY page_id)
+SELECT page_id, host AS url_host, coalesce(lists, '') AS url_lists, lists IS NOT NULL AS url_listed
+FROM p LEFT JOIN lists USING (page_id)
+"""
+
+# Totals counted at once from the last state of every document.
+OP10 = r"""
+WITH last AS (
+  SELECT doc_id, source, lang,
+    CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, instr(text, chr(10)) + 1) ELSE coalesce(text, '') END AS text
+  FROM documents WHERE length(text) >= 200 OR text IS NULL),
+w AS (
+  SELECT *, [x for x in string_split(translate(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13),
+    '      '), ' ') if x <> ''] AS words FROM last),
+n AS (
+  SELECT source, lang, 'words-1' AS version, len(words) AS tokens FROM w
+  UNION ALL SELECT source, lang, 'words-2',
+    len(words) + len([x for x in words if regexp_matches(x, '[!-/:-@\[-`{-~]$')]) FROM w
+  UNION ALL SELECT source, lang, 'bytes-1', strlen(text) FROM w)
+SELECT source, lang, version, count(*) AS documents, sum(tokens)::BIGINT AS tokens FROM n GROUP BY source, lang, version
+"""
+
 ORACLES: dict[str, str] = {
     "op1_chat_format": OP1,
+    "op2_url_filter": OP2,
+    "op10_token_counts": OP10,
 }

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm.chat import format_chats, read_loss, read_turns
 from pairloom.llm.decontaminate import find_leaks
+from pairloom.llm.token_counts import Ledger
+from pairloom.llm.url_filter import filter_urls, host_of, parents, url_key
+from pairloom.shared import fresh_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +43,81 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _hex(digest: Column, first: int, n: int) -> Column:
+    return F.conv(F.substring(digest, first, n), 16, 10).cast("bigint")
+
+
+def dated_entries(pages: DataFrame) -> DataFrame:
+    """List entries made from the pages' own hosts and URLs; the tables hold no lists.
+
+    Digits of a key's md5 say whether it is listed, when, and when it is taken off and
+    put back. Hosts and the hosts above them are on ``spam``, URLs on ``malware``.
+    """
+    keys = (
+        pages.select(F.explode(parents(host_of(F.col("url")))).alias("key"))
+        .distinct()
+        .select(F.lit("spam").alias("list"), F.lit("host").alias("kind"), "key")
+        .unionByName(
+            pages.select(F.lit("malware").alias("list"), F.lit("url").alias("kind"), url_key(F.col("url")).alias("key"))
+            .filter("key IS NOT NULL")
+            .distinct()
+        )
+    )
+    digest = F.md5("key")
+    at = lambda hours: F.timestamp_seconds(F.lit(1704067200) + 3600 * hours)
+    first = _hex(digest, 1, 4) % 8760
+    off, back = first + 1 + _hex(digest, 5, 3), first + 1 + _hex(digest, 5, 3) + 1 + _hex(digest, 8, 3)
+    entry = lambda action, hours: F.struct(F.lit(action).alias("action"), at(hours).alias("effective_at"))
+    return (
+        keys.filter(_hex(digest, 11, 1) < 6)
+        .select(
+            "list",
+            "kind",
+            "key",
+            F.explode(
+                F.when(_hex(digest, 12, 1) < 6, F.array(entry("add", first)))
+                .when(_hex(digest, 12, 1) < 11, F.array(entry("add", first), entry("remove", off)))
+                .otherwise(F.array(entry("add", first), entry("remove", off), entry("add", back)))
+            ).alias("e"),
+        )
+        .select("list", "kind", "key", "e.*")
+    )
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by the list entries in force when it was fetched."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    hours = _hex(F.md5(F.col("page_id").cast("string")), 1, 5) % 17520
+    captures = pages.withColumn("fetched_at", F.timestamp_seconds(F.lit(1704067200) + 3600 * hours))
+    return filter_urls(captures, dated_entries(pages)).select(
+        "page_id", "url_host", F.array_join("url_lists", ",").alias("url_lists"), "url_listed"
+    )
+
+
+VERSIONS = ["words-1", "words-2", "bytes-1"]
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches over all documents, the first and second sent again.
+
+    The first inserts every document, the second revises those of several lines to all
+    lines but the first, the third deletes those of fewer than 200 characters.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    change = lambda rows, op, seq: rows.withColumns({"op": F.lit(op), "seq": F.lit(seq)})
+    batches = {
+        "load": change(docs, "upsert", 1),
+        "revise": change(docs, "upsert", 2)
+        .filter(F.instr("text", "\n") > 0)
+        .withColumn("text", F.expr("substring(text, instr(text, '\n') + 1)")),
+        "delete": change(docs, "delete", 3).filter(F.char_length("text") < 200),
+    }
+    ledger = Ledger(spark, fresh_path(spark, "ledger"))
+    for name in ("load", "load", "revise", "delete", "revise"):
+        ledger.commit(name, batches[name], VERSIONS)
+    return ledger.totals()
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
     leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -59,5 +137,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_url_filter": op2_url_filter,
     "op9_decontaminate": op9_decontaminate,
+    "op10_token_counts": op10_token_counts,
 }

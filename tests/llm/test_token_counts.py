@@ -1,0 +1,100 @@
+from __future__ import annotations
+
+import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from pairloom.llm.token_counts import Ledger, count_tokens
+
+SCHEMA = "doc_id bigint, op string, seq int, source string, lang string, text string, tokens string, version string"
+VERSIONS = ["words-1", "words-2", "bytes-1"]
+PUNCTUATION = set(r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~""")
+
+
+def count(text, version):
+    import re
+
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    if version == "words-1":
+        return len(w)
+    if version == "words-2":
+        return len(w) + sum(x[-1] in PUNCTUATION for x in w)
+    return len(text.encode())
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA).repartition(3)
+
+
+def totals(ledger):
+    return {(r.source, r.lang, r.version): (r.documents, r.tokens) for r in ledger.totals().collect()}
+
+
+def replay(batches):
+    state = {}
+    for rows in batches:
+        last = {}
+        for r in rows:
+            if r[0] is not None and r[1] in ("upsert", "delete"):
+                if r[0] not in last or (r[2], r[1] == "delete") > (last[r[0]][2], last[r[0]][1] == "delete"):
+                    last[r[0]] = r
+        for doc, r in last.items():
+            state.pop(doc, None)
+            if r[1] == "upsert":
+                state[doc] = r
+    out = Counter()
+    docs = Counter()
+    for r in state.values():
+        for v in VERSIONS:
+            out[(r[3], r[4], v)] += count(r[5], v)
+            docs[(r[3], r[4], v)] += 1
+    return {k: (docs[k], out[k]) for k in docs}
+
+
+def test_batches_against_replay(spark, tmp_path):
+    rng = random.Random(7)
+    texts = [None, "", "a b. c", "é ß x\n!", "word " * 4000, "\t\x0b \r\n", "one-two (three)", "[x] `y`"]
+    row = lambda seq: (
+        rng.choice([None, *range(25)]), rng.choice(["upsert", "upsert", "delete", "odd", None]), seq,
+        rng.choice(["s1", "s2", None]), rng.choice(["en", None]), rng.choice(texts),
+    )
+    batches = [[row(s) for s in range(n)] for n in (60, 1, 40, 0, 30)]
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    assert totals(ledger) == {}
+    for i, rows in enumerate(batches):
+        assert ledger.commit(f"b{i}", frame(spark, rows), VERSIONS)
+        assert not ledger.commit(f"b{i}", frame(spark, rows), VERSIONS)
+        assert totals(ledger) == replay(batches[: i + 1])
+    assert totals(Ledger(spark, str(tmp_path / "ledger"))) == replay(batches)
+
+
+def test_interrupted_batch_does_not_count(spark, tmp_path, monkeypatch):
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    rows = frame(spark, [(1, "upsert", 1, "s", "en", "a b")])
+    monkeypatch.setattr(Ledger, "_seal", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        ledger.commit("b", rows, VERSIONS)
+    monkeypatch.undo()
+    assert totals(ledger) == {}
+    assert ledger.commit("b", rows, VERSIONS)
+    assert totals(ledger)[("s", "en", "words-1")] == (1, 2)
+    assert not ledger._seal("b", "late")
+
+
+def test_ties(spark, tmp_path):
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    rows = [(1, "upsert", 1, "s", "en", "a b"), (1, "upsert", 1, "s", "en", "a b"), (2, "upsert", 5, "s", "en", "x"), (2, "delete", 5, "s", "en", None)]
+    ledger.commit("b", frame(spark, rows), ["words-1"])
+    assert totals(ledger) == {("s", "en", "words-1"): (1, 2)}
+    with pytest.raises(ValueError):
+        ledger.commit("b/c", frame(spark, rows), ["words-1"])
+
+
+def test_counts(spark):
+    df = spark.createDataFrame([(t,) for t in (" a\tb.\x0c", "", None, "x" * 9, " a b!")], "text string")
+    got = df.select("text", *(count_tokens(F.col("text"), v).alias(v) for v in VERSIONS)).collect()
+    for r in got:
+        assert [r[v] for v in VERSIONS] == [count(r.text, v) for v in VERSIONS]
