@@ -9,6 +9,8 @@ split, so nothing is shuffled, and a lost task rebuilds its own shards.
 
 from __future__ import annotations
 
+import types
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -235,11 +237,11 @@ def find_leaks(
     spark = docs.sparkSession
     out = docs
     for i, block in enumerate(blocks):
-        sent = spark.sparkContext.broadcast(block)
+        sent = spark.sparkContext.broadcast(vars(block))  # plain fields: workers need not have this module
         before = names if i else []
 
         def make(piece: pa.RecordBatch) -> dict:
-            tests = sent.value
+            tests = types.SimpleNamespace(**sent.value)
             data, at = text_bytes(piece.column(doc_text))
             begins, ends = word_places(data, at, ALPHANUMERIC)
             first = np.searchsorted(begins, at)

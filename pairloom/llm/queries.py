@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.chat import format_chats, read_loss, read_turns
 from pairloom.llm.decontaminate import find_leaks
+from pairloom.llm.language_model import score
 from pairloom.llm.token_counts import Ledger
 from pairloom.llm.url_filter import filter_urls, host_of, parents, url_key
 from pairloom.shared import fresh_path
@@ -118,6 +119,25 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.totals()
 
 
+def remainder(n: int) -> Column:
+    """crc32 of the document id as text, modulo n; 0 marks rows held out."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a model of those not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score(docs, remainder(10) != 0, keep=["doc_id"]).select(
+        "doc_id",
+        (remainder(10) == 0).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
     leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -138,6 +158,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_url_filter": op2_url_filter,
+    "op6_lm_score": op6_lm_score,
     "op9_decontaminate": op9_decontaminate,
     "op10_token_counts": op10_token_counts,
 }
