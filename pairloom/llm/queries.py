@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pairloom.llm.chat import format_chats, read_loss, read_turns
 from pairloom.llm.decontaminate import find_leaks
 from pairloom.llm.language_model import score
+from pairloom.llm.quality import fit_quality, grade
 from pairloom.llm.token_counts import Ledger
 from pairloom.llm.url_filter import filter_urls, host_of, parents, url_key
 from pairloom.shared import fresh_path
@@ -124,6 +125,13 @@ def remainder(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and selection of every document; a fifth of the labels is held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), remainder(5) != 0)
+    return grade(docs, model, keep=["doc_id"]).withColumn("held_out", remainder(5) == 0)
+
+
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored by a model of those not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -158,6 +166,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_url_filter": op2_url_filter,
+    "op4_quality": op4_quality,
     "op6_lm_score": op6_lm_score,
     "op9_decontaminate": op9_decontaminate,
     "op10_token_counts": op10_token_counts,
