@@ -10,6 +10,7 @@ from pairloom.llm.decontaminate import find_leaks
 from pairloom.llm.language_model import score
 from pairloom.llm.quality import fit_quality, grade
 from pairloom.llm.token_counts import Ledger
+from pairloom.llm.toxicity import fit_toxicity, score_toxicity
 from pairloom.llm.url_filter import filter_urls, host_of, parents, url_key
 from pairloom.shared import fresh_path
 
@@ -146,6 +147,19 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; a fifth of the labels is held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), remainder(5) != 0)
+    return score_toxicity(docs, model, keep=["doc_id"]).select(
+        "doc_id",
+        (remainder(5) == 0).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        F.col("toxic").cast("int").alias("predicted"),
+        F.size("toxic_hits").alias("n_hits"),
+    )
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
     leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -168,6 +182,7 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op4_quality": op4_quality,
     "op6_lm_score": op6_lm_score,
+    "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
     "op10_token_counts": op10_token_counts,
 }
