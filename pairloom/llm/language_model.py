@@ -163,25 +163,31 @@ def _build_slice(group: pa.Table) -> pa.Table:
 class Part:
     """Some slices of the model, as flat arrays."""
 
-    def __init__(self, rows: Iterable, n_slices: int):
+    def __init__(self, rows: Iterable, sizes: list, n_slices: int):
+        """``sizes`` gives every row's order, slice, filter_bytes and key_bytes, so that
+        each array is made once and filled slice by slice."""
         self.n_slices = n_slices
         self.at = {o: np.zeros(n_slices, dtype=np.int64) for o in (_UNIGRAM, _BIGRAM)}
         self.size = {o: np.zeros(n_slices, dtype=np.int64) for o in (_UNIGRAM, _BIGRAM)}
-        filters = {_UNIGRAM: [], _BIGRAM: []}
-        keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        total = {_UNIGRAM: 0, _BIGRAM: 0}
+        total, keys_at, n_keys = {_UNIGRAM: 0, _BIGRAM: 0}, {}, 0
+        for r in sizes:
+            self.at[r["order"]][r["slice"]], self.size[r["order"]][r["slice"]] = total[r["order"]], r["filter_bytes"] // 8
+            total[r["order"]] += r["filter_bytes"] // 8
+            if r["key_bytes"]:
+                keys_at[r["slice"]] = n_keys
+                n_keys += r["key_bytes"] // 8
+        self.filter = {o: np.zeros(n, dtype=np.uint64) for o, n in total.items()}
+        keys, counts = np.zeros(n_keys, dtype=np.uint64), np.zeros(n_keys, dtype=np.int64)
         for r in rows:
-            words = np.frombuffer(r["filter"], np.uint64)
-            self.at[r["order"]][r["slice"]], self.size[r["order"]][r["slice"]] = total[r["order"]], len(words)
-            total[r["order"]] += len(words)
-            filters[r["order"]].append(words)
-            keys.append(np.frombuffer(r["keys"], np.uint64))
-            counts.append(np.frombuffer(r["counts"], np.int64))
-        self.filter = {o: np.concatenate([*f, np.zeros(0, np.uint64)]) for o, f in filters.items()}
-        keys, counts = np.concatenate(keys), np.concatenate(counts)
+            at, size = self.at[r["order"]][r["slice"]], self.size[r["order"]][r["slice"]]
+            self.filter[r["order"]][at : at + size] = np.frombuffer(r["filter"], np.uint64)
+            if r["keys"]:
+                own = np.frombuffer(r["keys"], np.uint64)
+                keys[keys_at[r["slice"]] :][: len(own)] = own
+                counts[keys_at[r["slice"]] :][: len(own)] = np.frombuffer(r["counts"], np.int64)
         order = np.argsort(keys)
         self.keys, self.counts = np.append(keys[order], np.uint64(2**64 - 1)), np.append(counts[order], 0)
-        self.shift = np.uint64(64 - max(1, len(keys).bit_length()))
+        self.shift = np.uint64(64 - max(1, n_keys.bit_length()))
         starts = np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift
         self.first = np.searchsorted(self.keys, starts).astype(np.int32)
 
@@ -249,13 +255,18 @@ def score(
     counted = count_ngrams(docs.filter(F.coalesce(train, F.lit(False))), text, n_slices)
     model = write_table(counted.groupBy("order", "slice").applyInArrow(_build_slice, _SLICE), "language-model")
     sizes = model.select(
-        "order", "slice", "tokens", "distinct_keys", (F.octet_length("filter") + F.octet_length("keys") * 2).alias("bytes")
+        "order",
+        "slice",
+        "tokens",
+        "distinct_keys",
+        F.octet_length("filter").alias("filter_bytes"),
+        F.octet_length("keys").alias("key_bytes"),
     ).collect()
     n_train = sum(r.tokens for r in sizes if r.order == _UNIGRAM)
     n_distinct = sum(r.distinct_keys for r in sizes if r.order == _UNIGRAM)
     by_slice = np.zeros(n_slices)
     for r in sizes:
-        by_slice[r.slice] += r.bytes
+        by_slice[r.slice] += r.filter_bytes + 2 * r.key_bytes
     parts, held = [[]], 0
     for s, size in enumerate(by_slice):
         if held + size > pass_bytes and parts[-1]:
@@ -270,9 +281,15 @@ def score(
     found = "_known bigint, _base double, _unigrams binary, _bigrams binary"
     columns = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names]
     total = n_train + ADD * (n_distinct + 1)
-    end_slice = model.filter((F.col("order") == _UNIGRAM) & (F.col("slice") == int(_END) % n_slices))
+
+    def part_of(low: int, high: int, orders: tuple = (_UNIGRAM, _BIGRAM)) -> Part:
+        rows = model.filter(F.col("slice").between(low, high) & F.col("order").isin(*orders))
+        own = [r for r in sizes if low <= r["slice"] <= high and r["order"] in orders]
+        return Part(rows.toLocalIterator(), own, n_slices)
+
     # Texts begin as often as they end.
-    n_texts = float(Part(end_slice.toLocalIterator(), n_slices).exact(np.array([_END]))[0])
+    end = int(_END) % n_slices
+    n_texts = float(part_of(end, end, (_UNIGRAM,)).exact(np.array([_END]))[0])
 
     def make(piece: pa.RecordBatch, sent, low: int, high: int, first_pass: bool, last_pass: bool) -> dict:
         part = Part.received(sent.value)
@@ -312,9 +329,8 @@ def score(
     out = docs
     for i, slices in enumerate(parts):
         low, high, last = int(slices[0]), int(slices[-1]), i + 1 == len(parts)
-        sent = spark.sparkContext.broadcast(
-            vars(Part(model.filter(F.col("slice").between(low, high)).toLocalIterator(), n_slices))
-        )
+        sent = spark.sparkContext.broadcast(vars(part_of(low, high)))
+        sent.__dict__.pop("_value", None)  # the driver keeps the file alone
         looked_up = functools.partial(make, sent=sent, low=low, high=high, first_pass=i == 0, last_pass=last)
         kept = columns if last else list(dict.fromkeys([*columns, text]))
         renamed = out.withColumnsRenamed({c: f"_old{c}" for c in carried}) if i else out

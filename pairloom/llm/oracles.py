@@ -75,8 +75,30 @@ n AS (
 SELECT source, lang, version, count(*) AS documents, sum(tokens)::BIGINT AS tokens FROM n GROUP BY source, lang, version
 """
 
+# All pairs with a common shingle, then their components by label propagation.
+OP3 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)] END) AS shingle FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b USING (shingle)
+  WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+near AS (
+  SELECT a, b FROM links JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * common >= 85 * (x.n + y.n - common)),
+reach(a, b) AS (SELECT a, b FROM near UNION SELECT reach.a, near.b FROM reach JOIN near ON near.a = reach.b),
+first AS (SELECT a AS doc_id, min(b) AS b FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN first USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_chat_format": OP1,
     "op2_url_filter": OP2,
+    "op3_jaccard_join": OP3,
     "op10_token_counts": OP10,
 }

@@ -9,6 +9,7 @@ from pairloom.llm.chat import format_chats, read_loss, read_turns
 from pairloom.llm.decontaminate import find_leaks
 from pairloom.llm.language_model import score
 from pairloom.llm.quality import fit_quality, grade
+from pairloom.llm.similarity import similar_documents
 from pairloom.llm.token_counts import Ledger
 from pairloom.llm.toxicity import fit_toxicity, score_toxicity
 from pairloom.llm.url_filter import filter_urls, host_of, parents, url_key
@@ -126,6 +127,12 @@ def remainder(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose sets of 4-word shingles have a similarity of 0.85 or more."""
+    classes = similar_documents(table(spark, sf_dir, "documents"), words=4, threshold=(85, 100))
+    return classes.select("doc_id", "n_shingles", "component_id")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected grade and selection of every document; a fifth of the labels is held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -180,6 +187,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_url_filter": op2_url_filter,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_quality": op4_quality,
     "op6_lm_score": op6_lm_score,
     "op8_toxicity": op8_toxicity,

@@ -124,7 +124,7 @@ def shingles_of(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarr
     count = np.diff(first)
     text = np.repeat(np.arange(len(count)), count)
     total = hashes.copy()
-    for j in range(1, k):
+    for j in range(1, min(k, n)):
         total[: n - j] = total[: n - j] * np.uint64(_BASE) + mix(hashes[j:] + np.uint64(j))
     whole = np.arange(n) + k <= first[1:][text]
     out, where = mix(total[whole]), text[whole]

@@ -21,10 +21,12 @@ from pairloom.shared import write_table
 
 WINDOW = 6  # words before and after a hit that are its context
 LEAST_RATIO = 12  # of an entry's share of toxic rows to its share of the others
+LEAST_SHARE = 0.015  # of the toxic rows that must have a lexicon entry
 LEAST_DOCS = 6  # toxic rows of the sample that must have a lexicon entry
 STEM = (4, 5, 6, 7)  # lengths of learned stems
 TERMS = 5000  # lexicon entries at most, the best first; a documented bound of the fit
-FUZZY_FROM = 5  # shorter words must match exactly
+FUZZY_TERM, FUZZY_STEM = 5, 6  # shorter entries must match exactly
+_MANY = 1 << 30
 KNOWN_WORDS = 2_000_000  # remembered by a worker
 TEXT_BYTES = 2 << 20
 
@@ -39,52 +41,60 @@ _QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»", "‹": "›", "»":
 
 
 class Trie:
-    """Lexicon as arrays of children; ``whole`` and ``stem`` mark where entries end."""
+    """Lexicon as arrays of children; ``whole`` and ``stem`` mark where entries end: 1 for
+    one that must match exactly, 2 for one that may be misspelled."""
 
-    def __init__(self, terms: list[str], stems: list[str]):
+    def __init__(self, terms: list[str], stems: list[str], fuzzy_term: int = FUZZY_TERM, fuzzy_stem: int = FUZZY_STEM):
         self.children: list[dict[str, int]] = [{}]
-        self.whole, self.stem = [False], [False]
-        for words, marks in ((terms, self.whole), (stems, self.stem)):
+        self.whole, self.stem = [0], [0]
+        for words, marks, fuzzy in ((terms, self.whole, fuzzy_term), (stems, self.stem, fuzzy_stem)):
             for word in words:
                 at = 0
                 for c in word:
                     if c not in self.children[at]:
                         self.children[at][c] = len(self.children)
                         self.children.append({})
-                        self.whole.append(False)
-                        self.stem.append(False)
+                        self.whole.append(0)
+                        self.stem.append(0)
                     at = self.children[at][c]
-                marks[at] = True
+                marks[at] = 2 if len(word) >= fuzzy else 1
 
     def distance(self, word: str, allowed: int) -> int | None:
         """Smallest edit distance, up to ``allowed``, of the word to a term, or of a
         beginning of the word to a stem; null if there is none.
 
-        A state of the automaton is the row of distances between the word's beginnings
-        and the branch walked so far. Insertions, deletions, substitutions and swaps of
-        neighbours cost 1.
+        Insertions, deletions, substitutions and swaps of neighbours cost 1.
         """
+        return next((k for k in range(allowed + 1) if self._within(word, k)), None)
+
+    def _within(self, word: str, allowed: int) -> bool:
+        """Walk automaton and trie together. A state is a node of the trie, the letters
+        read, and the edits left; without edits left only the word's own branch is open."""
         n = len(word)
-        best = allowed + 1
-        todo = [(0, list(range(n + 1)), None, "")]
+        todo, seen = [(0, 0, allowed)], set()
         while todo:
-            node, row, before, last = todo.pop()
-            if self.whole[node] and row[n] < best:
-                best = row[n]
-            if self.stem[node]:
-                best = min(best, min(row))
-            if best == 0:
-                return 0
-            for c, child in self.children[node].items():
-                new = [row[0] + 1]
-                for j in range(1, n + 1):
-                    d = min(new[-1] + 1, row[j] + 1, row[j - 1] + (word[j - 1] != c))
-                    if before is not None and j > 1 and c == word[j - 2] and last == word[j - 1]:
-                        d = min(d, before[j - 2] + 1)
-                    new.append(d)
-                if min(new) < best:
-                    todo.append((child, new, row, c))
-        return best if best <= allowed else None
+            state = todo.pop()
+            node, i, left = state
+            least = 1 if left == allowed else 2  # 2: an edit is used
+            if self.stem[node] >= least or (self.whole[node] >= least and i == n):
+                return True
+            if left:
+                if state in seen:
+                    continue
+                seen.add(state)
+            children = self.children[node]
+            if i < n and word[i] in children:
+                todo.append((children[word[i]], i + 1, left))
+            if left:
+                if i < n:
+                    todo.append((node, i + 1, left - 1))
+                for child in children.values():
+                    todo.append((child, i, left - 1))
+                    if i < n:
+                        todo.append((child, i + 1, left - 1))
+                if i + 1 < n and word[i + 1] in children and word[i] in self.children[children[word[i + 1]]]:
+                    todo.append((self.children[children[word[i + 1]]][word[i]], i + 2, left - 1))
+        return False
 
     def fields(self) -> tuple:
         return self.children, self.whole, self.stem
@@ -98,8 +108,7 @@ class Trie:
 
 def kind_of(trie: Trie, word: str) -> int:
     """0 no hit, 1 an entry itself, 2 a misspelled one."""
-    word = word.lower()
-    found = trie.distance(word, 1 if len(word) >= FUZZY_FROM else 0)
+    found = trie.distance(word.lower(), 1)
     return 0 if found is None else found + 1
 
 
@@ -247,10 +256,12 @@ def _probability(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
 def fit_lexicon(sample: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[list[str], list[str]]:
     """Terms and stems that toxic rows have and others almost never.
 
-    Words of each row are counted once, with their first letters (lengths STEM) as stems. An
-    entry must be in ``least_docs`` toxic rows and in LEAST_RATIO times as large a share of
-    toxic as of other rows. Longer stems below a kept one, and terms with a kept stem, add nothing
-    and are left out.
+    Words of each row are counted once, with their first letters (lengths STEM) as stems.
+    Rows that share the smallest hash of three neighbouring words, as copies mostly do,
+    count as one.
+    An entry must be in ``least_docs`` toxic rows so counted, and in LEAST_SHARE of them,
+    and in LEAST_RATIO times as large a share of toxic as of other rows. Longer stems below
+    a kept one, and terms with a kept stem, add nothing and are left out.
     """
     word = F.regexp_extract_all(F.lower("text"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
 
@@ -258,19 +269,28 @@ def fit_lexicon(sample: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[list[s
         long_ = F.filter("words", lambda w: F.char_length(w) > n)
         return F.transform(long_, lambda w: F.concat(F.lit("^"), F.substring(w, 1, n)))
 
+    three = F.zip_with(
+        F.zip_with("all", F.slice("all", 2, _MANY), lambda a, b: F.concat_ws(" ", a, b)),
+        F.slice("all", 3, _MANY),
+        lambda ab, c: F.xxhash64(F.concat_ws(" ", ab, c)),
+    )
+    rows = sample.select((F.col("label") > 0).alias("toxic"), word.alias("all")).select(
+        "toxic", F.array_distinct("all").alias("words"), F.array_min(three).alias("family")
+    )
     stems = [beginnings(n) for n in STEM]
-    rows = sample.select("label", F.array_distinct(word).alias("words"))
-    entries = rows.select("label", F.explode(F.array_distinct(F.concat("words", *stems))).alias("entry"))
-    counted = entries.groupBy("entry").agg(
-        F.sum((F.col("label") > 0).cast("int")).alias("toxic"), F.sum((F.col("label") <= 0).cast("int")).alias("other")
+    entries = rows.select("toxic", "family", F.explode(F.array_distinct(F.concat("words", *stems))).alias("entry"))
+    count = lambda kind: F.sum(kind.cast("int"))
+    counted = entries.distinct().groupBy("entry").agg(
+        count(F.col("toxic")).alias("toxic"), count(~F.col("toxic")).alias("other")
     )
-    size = sample.agg(F.sum((F.col("label") > 0).cast("int")), F.sum((F.col("label") <= 0).cast("int"))).first()
+    size = rows.select("toxic", "family").distinct().agg(count(F.col("toxic")), count(~F.col("toxic"))).first()
     n_toxic, n_other = size[0] or 0, size[1] or 0
     if not n_toxic or not n_other:
         return [], []
     share = (F.col("toxic") / n_toxic) / ((F.col("other") + 0.5) / n_other)
+    enough = max(least_docs, LEAST_SHARE * n_toxic)
     found = (
-        counted.filter((F.col("toxic") >= least_docs) & (share >= LEAST_RATIO) & (F.char_length(F.ltrim("entry")) >= 3))
+        counted.filter((F.col("toxic") >= enough) & (share >= LEAST_RATIO) & (F.char_length("entry") >= 3))
         .orderBy(F.col("toxic").desc(), "entry")
         .limit(TERMS)
         .collect()

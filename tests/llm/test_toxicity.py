@@ -33,7 +33,7 @@ def test_automaton_against_dynamic_programming():
     word = lambda n: "".join(rng.choice("abcé") for _ in range(n))
     for _ in range(40):
         terms, stems = [word(rng.randint(3, 7)) for _ in range(4)], [word(rng.randint(4, 5)) for _ in range(2)]
-        trie = Trie(terms, stems)
+        trie = Trie(terms, stems, 0, 0)
         for _ in range(60):
             w = word(rng.randint(0, 9))
             best = min([edits(w, t) for t in terms] + [edits(w[:i], s) for s in stems for i in range(len(w) + 1)])
@@ -44,7 +44,7 @@ def test_automaton_against_dynamic_programming():
 def test_quick_test_loses_no_hit():
     rng = random.Random(2)
     word = lambda n: "".join(rng.choice("abcdé") for _ in range(n))
-    trie = Trie([word(rng.randint(3, 8)) for _ in range(8)], [word(rng.randint(4, 7)) for _ in range(4)])
+    trie = Trie([word(rng.randint(3, 8)) for _ in range(8)], [word(rng.randint(4, 7)) for _ in range(4)], 4, 5)
     words = [word(rng.randint(1, 10)) for _ in range(20000)]
     assert _kinds(words, trie).tolist() == [kind_of(trie, w) for w in words]
     assert any(Halves(trie).may_hit(w) for w in words)
@@ -56,9 +56,9 @@ def count(text, trie=Trie(["moron", "scum", "pathetic"], ["vequ"])):
 
 def test_contexts():
     none = dict.fromkeys(COUNTS, 0.0)
-    assert count("A clean text about mormons, skum and pathology.") == none
+    assert count("A clean text about mormons, skum, veq, vaqu and pathology.") == none
     assert count("what a MORON.") == none | {"plain": 1}
-    assert count("what a mroon, m0ron, morron, moro") == none | {"misspelled": 3}  # 4 letters must match
+    assert count("what a mroon, m0ron, morron, moro") == none | {"misspelled": 4}
     assert count("you are a moron") == none | {"plain": 1, "addressed": 1}
     assert count('she read "what a moron" aloud') == none | {"quoted": 1}
     assert count("the word moron is old") == none | {"reported": 1}
