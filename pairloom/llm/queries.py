@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pairloom.llm.chat import format_chats, read_loss, read_turns
 from pairloom.llm.decontaminate import find_leaks
 from pairloom.llm.language_model import score
+from pairloom.llm.nearest import Index
 from pairloom.llm.quality import fit_quality, grade
 from pairloom.llm.similarity import similar_documents
 from pairloom.llm.token_counts import Ledger
@@ -122,6 +123,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.totals()
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every vector whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return Index(vectors).nearest(vectors.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
 def remainder(n: int) -> Column:
     """crc32 of the document id as text, modulo n; 0 marks rows held out."""
     return F.crc32(F.col("doc_id").cast("string")) % n
@@ -189,6 +196,7 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_quality": op4_quality,
+    "op5_nearest": op5_nearest,
     "op6_lm_score": op6_lm_score,
     "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,

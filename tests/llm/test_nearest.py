@@ -1,0 +1,97 @@
+from __future__ import annotations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pairloom.llm.nearest import Index, build, search, unit
+
+SF = "/root/testdata/sf0.01"
+
+
+def brute(rows, queries, k):
+    ids = np.array([i for i, _ in rows])
+    x = np.array([v for _, v in rows], dtype=float)
+    out = {}
+    for q, v in queries:
+        v = np.array(v, dtype=float)
+        s = (x * v).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((v * v).sum()))
+        order = [i for i in np.lexsort([ids, -s]) if ids[i] != q][:k]
+        out[q] = [(int(ids[i]), s[i]) for i in order]
+    return out
+
+
+def recall(got, want):
+    """Share of the wanted rows found; one with the same score as a wanted one counts."""
+    hit = total = 0
+    for q, rows in want.items():
+        total += len(rows)
+        found = got.get(q, [])
+        least = rows[-1][1] - 1e-12 if rows else 0
+        hit += sum(s >= least for _, s in found)
+    return hit / max(1, total)
+
+
+def collected(df):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: (r.query_id, r.rank)):
+        out.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert r.rank == len(out[r.query_id])
+    return out
+
+
+@pytest.mark.parametrize("n,dim", [(3000, 16), (1500, 64), (40, 8), (1, 4)])
+def test_graph_alone(n, dim):
+    rng = np.random.default_rng(n)
+    x = unit(rng.normal(size=(n, dim)))
+    levels = np.minimum(rng.geometric(1 - 1 / 16, n) - 1, 4)
+    layers = build(x, levels)
+    assert len(layers[-1][0]) == n and all(len(a[0]) <= len(b[0]) for a, b in zip(layers, layers[1:]))
+    assert all((f < len(nodes)).all() for nodes, f in layers)
+    q = unit(rng.normal(size=(50, dim)))
+    found, score = search(x, layers, q, 64)
+    true = np.argsort(-(q @ x.T), axis=1)[:, : min(5, n)]
+    assert np.mean([len(set(t) & set(f[:10])) / len(t) for t, f in zip(true, found)]) > 0.9
+    assert (np.diff(score[:, : min(n, 10)], axis=1) <= 1e-6).all()
+
+
+def test_recall_of_given_vectors(spark):
+    df = spark.read.parquet(f"{SF}/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    queries = df.filter("vec_id % 10 = 0")
+    got = collected(Index(df, shard_rows=128).nearest(queries, 5))
+    want = brute(rows, [r for r in rows if r[0] % 10 == 0], 5)
+    assert got.keys() == want.keys() and recall(got, want) >= 0.97
+    for q, found in got.items():
+        exact = dict(brute(rows, [(q, dict(rows)[q])], len(rows))[q])
+        assert all(s == pytest.approx(exact[v], abs=1e-12) for v, s in found)
+
+
+def test_copies_ties_and_unusable_vectors(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(60)]
+    rows += [(i, [1.0, 0.0, 0.0, 0.0]) for i in range(100, 400)]
+    rows += [(500, None), (501, [0.0] * 4), (502, [1.0, None, 0.0, 0.0]), (503, [float("nan"), 0.0, 0.0, 1.0]), (504, [float("inf"), 0.0, 0.0, 1.0]), (505, [])]
+    rows += [(510, [1e300, 0.0, 0.0, 0.0]), (511, [1e-300, 0.0, 0.0, 0.0]), (520, [1.0, 2.0])]
+    rows += [(None, [1.0, 1.0, 1.0, 1.0]), (7, rows[7][1])]
+    schema = "vec_id bigint, embedding array<double>, label int, score int"
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], schema).repartition(3)
+    got = collected(Index(df, shard_rows=50).nearest(df, 5))
+    usable = [r for r in rows if r[0] is not None and (r[0] < 500 or r[0] in (510, 511))]
+    assert set(got) == {r[0] for r in usable}
+    for q in (100, 101, 399, 510):
+        assert [v for v, _ in got[q]] == [v for v in range(100, 107) if v != q][:5]
+        assert all(s == 1.0 for _, s in got[q])
+    distinct = list({i: v for i, v in usable if i < 60 or i < 106}.items())
+    want = brute(distinct, [r for r in distinct if r[0] < 60], 5)
+    assert recall({q: got[q] for q in want}, want) >= 0.95
+
+
+def test_small_tables(spark):
+    schema = "vec_id bigint, embedding array<float>"
+    none = spark.createDataFrame([], schema)
+    assert Index(none).nearest(none).count() == 0
+    two = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], schema)
+    assert collected(Index(two).nearest(two, 5)) == {1: [(2, 0.0)], 2: [(1, 0.0)]}
+    assert Index(two).nearest(two.filter("vec_id = 9")).count() == 0
+    assert Index(none).nearest(two).count() == 0
