@@ -9,6 +9,7 @@ from pairloom.llm.chat import format_chats, read_loss, read_turns
 from pairloom.llm.decontaminate import find_leaks
 from pairloom.llm.language_model import score
 from pairloom.llm.nearest import Index
+from pairloom.llm.packing import pack
 from pairloom.llm.quality import fit_quality, grade
 from pairloom.llm.similarity import similar_documents
 from pairloom.llm.token_counts import Ledger
@@ -161,6 +162,26 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids in sequences of 2048."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack(docs, tokenizer_path()).select(
+        "doc_id",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; a fifth of the labels is held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -198,6 +219,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_nearest": op5_nearest,
     "op6_lm_score": op6_lm_score,
+    "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
     "op10_token_counts": op10_token_counts,
