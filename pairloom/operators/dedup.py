@@ -12,27 +12,37 @@ def _foreign() -> Column:
     return ~F.col("lang").eqNullSafe("en")
 
 
-def remove_duplicates(df: DataFrame, order: str = "IDS", by: str | None = None) -> DataFrame:
+def remove_duplicates(
+    df: DataFrame, order: str = "IDS", by: str | None = None, check: bool = True
+) -> DataFrame:
     """Drop every non-English row whose pair occurs earlier, in ``order``.
 
-    ``order`` is a unique row key. Null texts are equal to each other and a null
-    language is not English. English rows all stay, so they are not shuffled. A
-    foreign row stays exactly when it is the first of its pair: one aggregate by
-    the pair finds the first row, with its other columns, and is the only
-    shuffle. A pair that fills a third of the table shrinks to one row per map
-    task before it.
+    Null texts are equal to each other and a null language is not English. English
+    rows all stay. A foreign row stays exactly when it is the first of its pair.
+    One hash aggregate by the pair, with map-side combine, finds the first key of
+    each pair and the first foreign one; where they are equal, that foreign row is
+    kept by a semi-join on the key. English rows enter the aggregate with their pair and
+    key alone; their other columns are not shuffled. A pair that fills a third of
+    the table shrinks to one row per map task.
+
+    ``order`` must be a unique row key without nulls; ``check`` counts the keys and raises
+    ``ValueError`` if it is not, because the result would then depend on the
+    partitioning. ``df`` is read once for each branch, so it should be stored.
 
     With ``by`` the rule is the literal one for keys that several rows share:
     one repeated foreign row removes all rows with its ``by`` value.
     """
     require_columns(df, "sentence", "paraphrase", "lang", order)
+    if check:
+        repeated = df.groupBy(order).count().filter((F.col("count") > 1) | F.col(order).isNull())
+        if repeated.limit(1).count():
+            raise ValueError(f"{order} is not a unique row key; number the rows first (row_index)")
     pairs = df.groupBy("sentence", "paraphrase")
-    first = F.min(order).alias(order)
+    first = F.min(order).alias("_first")
+    foreign = df.filter(_foreign())
     if by is None:
-        rest = [c for c in df.columns if c not in ("sentence", "paraphrase", order)]
-        carried = F.min_by(F.struct(*rest), F.col(order)).alias("_rest")
-        firsts = pairs.agg(first, carried).select(order, "sentence", "paraphrase", "_rest.*")
-        return df.filter(~_foreign()).unionByName(firsts.filter(_foreign()))
-    foreign = df.filter(_foreign()).select(order, by)
-    repeated = foreign.join(pairs.agg(first).select(order), order, "left_anti")
-    return df.join(repeated.select(by).distinct(), by, "left_anti")
+        firsts = pairs.agg(first, F.min(F.when(_foreign(), F.col(order))).alias("_foreign"))
+        kept = firsts.filter(F.col("_first") == F.col("_foreign")).select(F.col("_first").alias(order))
+        return df.filter(~_foreign()).unionByName(foreign.join(kept, order, "left_semi").select(df.columns))
+    later = foreign.select(order, by).join(pairs.agg(first.alias(order)), order, "left_anti")
+    return df.join(later.select(by).distinct(), by, "left_anti")

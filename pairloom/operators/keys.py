@@ -14,6 +14,7 @@ from pairloom.functions.labels import rank_key
 from pairloom.shared import fresh_path, write_table
 
 HEX_DIGITS = 3  # 4096 buckets for each pass of a cut
+MAX_BLOCKS = 2_000_000  # input splits whose starts (16 bytes each) may be broadcast
 SMALL_BUCKET = 20_000  # a bucket this small may be looked at value by value
 
 
@@ -48,36 +49,45 @@ def row_index(df: DataFrame, *order: str | Column, name: str = "IDS") -> DataFra
 def file_row_index(scan: DataFrame, name: str = "IDS", header: bool = False) -> DataFrame:
     """Number the rows of a text or CSV scan in file order, then line order.
 
-    Two passes over the files and no sort: the first counts the rows of each
-    file block, the second adds each block's start to the row's place in its
-    block. The table of blocks has one row for each input split, and is joined
-    by the strategy Spark picks for its written size. With ``header`` the first
-    line of every file is dropped and not counted.
+    The files are scanned once: rows are stored with a hash of their file block and
+    their running id, and everything else is read from the stored table, so it does
+    not matter if Spark would cut the files differently later. The table of blocks has
+    one row of 16 bytes for each input split; it is broadcast up to MAX_BLOCKS rows and
+    joined by the strategy Spark picks beyond, on the 8-byte hash. A row without a block,
+    or two blocks with one hash, fail the job. With ``header`` the first line of every
+    file is dropped and not counted.
     """
-    placed = scan.select(
-        "*",
-        F.col("_metadata.file_path").alias("_path"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_at"),
+    start = F.col("_metadata.file_block_start")
+    stored = write_table(
+        scan.select(
+            "*",
+            F.col("_metadata.file_path").alias("_path"),
+            start.alias("_start"),
+            F.xxhash64("_metadata.file_path", start).alias("_block"),
+            F.monotonically_increasing_id().alias("_at"),
+        ),
+        "scan",
     )
     head = F.when(F.col("_start") == 0, 1).otherwise(0) if header else F.lit(0)
-    blocks = placed.groupBy("_path", "_start").agg(
+    blocks = stored.groupBy("_path", "_start", "_block").agg(
         F.min("_at").alias("_lo"), (F.count(F.lit(1)) - head).alias("_n")
     )
     before = Window.orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, -1)
     starts = write_table(
         blocks.select(
-            "_path",
-            "_start",
+            "_block",
             (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_lo") - head).alias("_shift"),
             (F.col("_lo") + head).alias("_from"),
         ),
         "block-starts",
     )
-    return (
-        placed.join(starts, ["_path", "_start"])
-        .filter(F.col("_at") >= F.col("_from"))
-        .select((F.col("_at") + F.col("_shift")).alias(name), *scan.columns)
+    n_blocks, n_hashes = starts.agg(F.count(F.lit(1)), F.count_distinct("_block")).first()
+    if n_blocks != n_hashes:
+        raise RuntimeError("two file blocks have one hash; rename a file")
+    placed = stored.join(F.broadcast(starts) if n_blocks <= MAX_BLOCKS else starts, "_block", "left")
+    lost = F.raise_error(F.lit("a row has no file block")).cast("bigint")
+    return placed.filter(F.coalesce(F.col("_at") >= F.col("_from"), lost.isNotNull())).select(
+        (F.col("_at") + F.col("_shift")).alias(name), *scan.columns
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pairloom.shared import write_table
@@ -30,12 +30,17 @@ def salted_join(
     ``pieces`` rows of 12 bytes by construction, whatever the data, so both
     sides may look it up by broadcast. A null key matches nothing; ``how`` is
     ``inner``, ``left``, ``left_semi`` or ``left_anti``.
+
+    ``big`` is read twice, once to count its keys and once to join: store it first when
+    it is costly to compute.
     """
     on = [on] if isinstance(on, str) else on
     counts = big.groupBy(F.xxhash64(*on).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
-    frequent = write_table(counts.filter(F.col("_n") > min_piece), "hot-keys")
+    seen = Observation()
+    counted = counts.observe(seen, F.sum("_n").alias("total"))
+    frequent = write_table(counted.filter(F.col("_n") > min_piece), "hot-keys")
     largest = frequent.agg(F.max("_n")).first()[0] or 0
-    piece = max(min_piece, -(-big.count() // pieces)) if largest else min_piece
+    piece = max(min_piece, -(-seen.get["total"] // pieces)) if largest else min_piece
     if largest <= piece:
         return big.join(small, on, how)
 

@@ -9,6 +9,7 @@ it is broadcast only when it is under ``spark.sql.autoBroadcastJoinThreshold``.
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
@@ -23,18 +24,33 @@ def _local_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by the cluster; a temporary one only in local mode."""
+    """The folder named by the cluster; a temporary one only where driver and tasks are one process."""
     path = spark.conf.get(_DIR_KEY, None)
     if path:
         return path.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
         raise RuntimeError(f"set {_DIR_KEY} to a folder all executors can reach")
     return _local_dir()
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one."""
+    return f"{shared_dir(spark)}/pairloom/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used before."""
-    return f"{shared_dir(spark)}/pairloom/{name}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_intermediates(spark: SparkSession) -> None:
+    """Delete the tables this application has put into the shared folder.
+
+    To be called when its results are stored elsewhere: a DataFrame that still reads an
+    intermediate table fails afterwards.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:

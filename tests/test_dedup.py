@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from pairloom.operators.dedup import remove_duplicates
 
 SCHEMA = "IDS bigint, sentence string, paraphrase string, lang string, index bigint"
@@ -43,3 +45,11 @@ def test_random_tables_and_idempotence(spark):
     assert run(spark, kept) == want
     assert {r[0] for r in rows if r[3] == "en"} <= set(want)
     assert run(spark, rows, by="index") == brute(rows, by="index")
+
+
+def test_order_must_be_unique(spark):
+    for rows in ([(0, "a", "b", "es", 0), (0, "c", "d", "es", 0)], [(None, "a", "b", "es", 0)]):
+        with pytest.raises(ValueError, match="unique row key"):
+            run(spark, rows)
+    extra = spark.createDataFrame([(0, "a", "b", "es", 0)], SCHEMA).selectExpr("*", "1 as _first")
+    assert remove_duplicates(extra).columns == extra.columns

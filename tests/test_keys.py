@@ -124,3 +124,29 @@ def test_salted_join_splits_the_hot_key(spark):
         for k, v in keep.items():
             spark.conf.set(k, v)
     assert sum(sizes) == 1000 and max(sizes) < 700 and len(sizes) > 1
+
+
+def test_numbering_does_not_depend_on_later_splits(spark, tmp_path):
+    path = str(tmp_path / "lines")
+    spark.range(30000).select(F.format_string("line %06d and some more text", "id")).coalesce(3).write.text(path)
+    setting = "spark.sql.files.maxPartitionBytes"
+    was = spark.conf.get(setting)
+    try:
+        spark.conf.set(setting, 100_000)
+        numbered = keys.file_row_index(spark.read.text(path))
+        spark.conf.set(setting, 70_000)
+        rows = numbered.orderBy("IDS").collect()
+    finally:
+        spark.conf.set(setting, was)
+    assert [r.IDS for r in rows] == list(range(30000))
+    assert [r.value for r in rows] == sorted(r.value for r in rows)
+
+
+def test_row_without_a_block_fails(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "lines")
+    spark.range(10).select(F.col("id").cast("string")).write.text(path)
+    stored = keys.write_table
+    lose = lambda df, name: stored(df.limit(0) if name == "block-starts" else df, name)
+    monkeypatch.setattr(keys, "write_table", lose)
+    with pytest.raises(Exception, match="no file block"):
+        keys.file_row_index(spark.read.text(path)).collect()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pairloom.operators import augment, features, grid, metrics, normalize, sampling
 from pairloom.operators.dedup import remove_duplicates
+from pairloom.operators.keys import file_row_index
 from pairloom.shared import write_table
 
 
@@ -43,10 +44,21 @@ def test_splits_and_samples_do_not_shuffle(corpus):
     assert columns_read(sampling.split_two(corpus).select("IDS", "split")) == {"IDS"}
 
 
-def test_duplicates_need_one_shuffle_of_foreign_firsts(corpus):
-    made = remove_duplicates(corpus)
-    assert len(shuffles(made)) == 1
-    assert "partial_min_by" in plan(made)
+def test_duplicates_use_hash_aggregates_and_leave_english_rows(corpus):
+    made = remove_duplicates(corpus, check=False)
+    text = plan(made)
+    assert "SortAggregate" not in text and "HashAggregate" in text and "partial_min" in text
+    # only the pair and its keys are aggregated; other columns move with foreign rows alone
+    aggregates = re.findall(r"HashAggregate\(keys=\[([^\]]*)\]", text)
+    assert all("quality" not in a and "index" not in a for a in aggregates)
+    english = text[: text.index("BroadcastHashJoin")] if "BroadcastHashJoin" in text else text[: text.index("SortMergeJoin")]
+    assert "Exchange" not in english
+
+
+def test_numbering_a_file_does_not_shuffle_its_lines(spark, tmp_path):
+    spark.range(2000).select(F.concat(F.lit("line "), "id")).repartition(4).write.text(str(tmp_path / "lines"))
+    made = file_row_index(spark.read.text(str(tmp_path / "lines")))
+    assert shuffles(made) == [] and "BroadcastHashJoin" in plan(made)
 
 
 def test_normalisers_are_narrow_and_push_filters(corpus):
