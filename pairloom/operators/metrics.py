@@ -26,9 +26,14 @@ def unmatched(preds: DataFrame, gold: DataFrame, key: str = "IDS") -> DataFrame:
     )
 
 
-def confusion(df: DataFrame, *by: str, gold: str = "gold", pred: str = "pred") -> DataFrame:
-    """Four counts per group: hash aggregate with map-side combine."""
+def confusion(
+    df: DataFrame, *by: str, gold: str = "gold", pred: str = "pred", also: tuple[Column, ...] = ()
+) -> DataFrame:
+    """Four counts per group and ``n_invalid``, the rows whose label or prediction is
+    null or not 0 or 1: one hash aggregate with map-side combine. ``also`` adds
+    aggregates to it."""
     g, p = F.col(gold), F.col(pred)
+    valid = F.coalesce(g.isin(0, 1) & p.isin(0, 1), F.lit(False))
 
     def count(cond: Column) -> Column:
         return F.sum(F.when(cond, 1).otherwise(0))
@@ -38,9 +43,18 @@ def confusion(df: DataFrame, *by: str, gold: str = "gold", pred: str = "pred") -
         count((g == 0) & (p == 1)).alias("fp"),
         count((g == 1) & (p == 0)).alias("fn"),
         count((g == 0) & (p == 0)).alias("tn"),
+        count(~valid).alias("n_invalid"),
+        *also,
     )
 
 
+def refuse_invalid(counts: DataFrame) -> DataFrame:
+    """Fail the job where rows are left out of the four counts."""
+    message = F.concat(F.col("n_invalid").cast("string"), F.lit(" rows have a label or prediction that is not 0 or 1"))
+    failed = F.raise_error(message).cast("bigint")
+    return counts.withColumn("tp", F.when(F.col("n_invalid") > 0, failed).otherwise(F.col("tp")))
+
+
 def with_metrics(counts: DataFrame) -> DataFrame:
     """The seven metrics from the four counts.
 
@@ -72,15 +86,25 @@ def with_metrics(counts: DataFrame) -> DataFrame:
 
 
 def evaluate_runs(
-    df: DataFrame, *by: str, gold: str = "gold", pred: str = "pred"
+    df: DataFrame, *by: str, gold: str = "gold", pred: str = "pred", invalid: str = "raise"
 ) -> DataFrame:
-    """All metrics per run; ``by`` names the run columns."""
-    return with_metrics(confusion(df, *by, gold=gold, pred=pred)).drop("tp", "fp", "fn", "tn")
+    """All metrics per run; ``by`` names the run columns.
+
+    A row whose label or prediction is null or not 0 or 1 fails the job, or with
+    ``invalid="count"`` is counted in ``n_invalid`` and left out of the metrics.
+    """
+    counts = confusion(df, *by, gold=gold, pred=pred)
+    if invalid == "count":
+        return with_metrics(counts).drop("tp", "fp", "fn", "tn")
+    if invalid != "raise":
+        raise ValueError(f"invalid={invalid!r}")
+    return with_metrics(refuse_invalid(counts)).drop("tp", "fp", "fn", "tn", "n_invalid")
 
 
 def metric_report(results: DataFrame, *by: str, metrics: list[str] = METRICS) -> DataFrame:
     """One row per run and metric, sorted by name, as ``key = value`` and as a table line."""
-    long = results.unpivot(list(by), [F.col(f"`{m}`") for m in metrics], "key", "value")
+    numbers = [F.col(f"`{m}`").cast("double").alias(m) for m in metrics]
+    long = results.select(*by, *numbers).unpivot(list(by), [F.col(f"`{m}`") for m in metrics], "key", "value")
     shown = F.coalesce(F.col("value").cast("string"), F.lit("nan"))
     number = F.coalesce(F.format_string("%.6f", F.col("value")), F.lit("nan"))
     number = F.when(F.col("value").isNull(), F.lit("nan")).otherwise(number)

@@ -85,6 +85,55 @@ def _word_sets(pairs: DataFrame) -> DataFrame:
     ).drop("_a", "_b")
 
 
+def pair_features(pairs: DataFrame) -> DataFrame:
+    """``IDS``, ``quality`` and the numbers of words that both texts and only one have."""
+    sets = _word_sets(pairs)
+    return sets.select("IDS", "quality", F.size("_both").alias("n_both"), F.size("_one").alias("n_one"))
+
+
+def fit_word_ratios(train: DataFrame) -> DataFrame:
+    """``kind, word, weight``: how much a word that both texts share (``both``), or only one
+    has (``one``), speaks for quality 1, in millionths of a natural log ratio.
+
+    The ratio is of the word's smoothed shares of the positive and the negative
+    pairs. Weights are whole numbers from whole counts, so sums of them do not depend
+    on their order. The row without kind and word is the ratio of the classes.
+    """
+    require_columns(train, "sentence", "paraphrase", "quality")
+    sets = _word_sets(train.filter(F.col("quality").isin(0, 1)))
+    entry = lambda name, kind: F.transform(name, lambda w: F.struct(F.lit(kind).alias("kind"), w.alias("word")))
+    rows = sets.select("quality", F.explode(F.concat(entry("_both", "both"), entry("_one", "one"))).alias("e"))
+    positive, one = F.sum(F.col("quality")), F.count(F.lit(1))
+    counts = rows.groupBy("e.kind", "e.word").agg(positive.alias("p"), (one - positive).alias("n"))
+    whole = sets.agg(positive.alias("all_p"), (one - positive).alias("all_n"))
+    share = lambda c, total: (F.col(c) + 1).cast("double") / (F.col(total) + 2)
+    ratio = lambda p, n: F.round(F.log(p / n) * 1_000_000).cast("bigint").alias("weight")
+    words_ = counts.join(F.broadcast(whole)).select("kind", "word", ratio(share("p", "all_p"), share("n", "all_n")))
+    none = F.lit(None).cast("string")
+    classes = whole.select(
+        none.alias("kind"), none.alias("word"), ratio((F.col("all_p") + 1).cast("double"), (F.col("all_n") + 1).cast("double"))
+    )
+    return words_.unionByName(classes)
+
+
+def classify_by_ratios(ratios: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Add ``score``, the sum of the weights of a pair's words and of the classes, and
+    ``pred``, whether it is above 0. Unknown words weigh nothing.
+
+    Weights meet the words by a join, so the model may be larger than memory; the
+    scores are added up before they return to the rows by ``IDS``, a unique key.
+    """
+    sets = _word_sets(pairs.select("IDS", "sentence", "paraphrase"))
+    entry = lambda name, kind: F.transform(name, lambda w: F.struct(F.lit(kind).alias("kind"), w.alias("word")))
+    rows = sets.select("IDS", F.explode(F.concat(entry("_both", "both"), entry("_one", "one"))).alias("e"))
+    known = ratios.filter(F.col("kind").isNotNull())
+    sums = rows.select("IDS", "e.*").join(known, ["kind", "word"]).groupBy("IDS").agg(F.sum("weight").alias("_sum"))
+    base = F.broadcast(ratios.filter(F.col("kind").isNull()).select(F.col("weight").alias("_base")))
+    score = F.col("_base") + F.coalesce("_sum", F.lit(0))
+    scored = pairs.join(sums, "IDS", "left").join(base).withColumn("score", score).drop("_sum", "_base")
+    return scored.withColumn("pred", F.when(F.col("score") > 0, 1).otherwise(0))
+
+
 def fit_classifier(train: DataFrame, features: int = 1 << 16, iterations: int = 20) -> PipelineModel:
     """Logistic regression on the weighted words that the two texts share or do not.
 

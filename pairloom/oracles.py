@@ -289,17 +289,6 @@ ORACLES: dict[str, str] = {
         dev AS (SELECT *, 'dev' AS split FROM {_file("lang = 'de'")}),
         test AS (SELECT *, 'test' AS split FROM {_file("lang = 'fr'")})
         SELECT split, {PAIR} FROM (SELECT * FROM clean UNION ALL SELECT * FROM dev UNION ALL SELECT * FROM test)""",
-    "experiment_runs": f"""WITH {PAIRS}, sized AS (
-        SELECT *, length(sentence) + coalesce(length(paraphrase), 0) AS size,
-               row_number() OVER (ORDER BY {_rank()}) AS rk, ceil(0.2 * count(*) OVER ()) AS held FROM pairs),
-        members AS (SELECT * FROM (VALUES ('baseline', 'en'), ('es', 'en'), ('es', 'es'), ('all', 'en'), ('all', 'es'))
-                    AS m(langs, lang)),
-        means AS (SELECT langs, avg(size) AS mean FROM sized JOIN members USING (lang) WHERE rk > 2 * held GROUP BY langs),
-        preds AS (SELECT 'docs' AS dataset, o.model, means.langs, quality AS gold,
-                  CASE WHEN size >= mean * o.share THEN 1 ELSE 0 END AS pred
-                  FROM sized, means, (VALUES ('bert', 1), ('albert', 2)) AS o(model, share) WHERE rk <= held),
-        c AS ({_counts('preds', 'model, dataset, langs')})
-        SELECT {_metrics('model, dataset, langs')} FROM c""",
 }
 
 
@@ -314,12 +303,87 @@ def _report_sql() -> str:
 
 
 def _run_sql() -> str:
+    """All predictions against all labels; what has no partner or no valid value is counted."""
+    numbers = {**METRIC_SQL, "n_only_pred": "n_only_pred", "n_only_gold": "n_only_gold", "n_invalid": "n_invalid"}
     rows = " UNION ALL ".join(
-        f"SELECT '{n}' AS key, round({sql}, 6) AS value FROM c" for n, sql in METRIC_SQL.items()
+        f"SELECT model, '{n}' AS key, round(({sql})::DOUBLE, 6) AS value FROM c" for n, sql in numbers.items()
     )
-    return f"""WITH {PREDS}, c AS ({_counts("(SELECT * FROM preds WHERE model = 'xlnet')", '')}), r AS ({rows})
-        SELECT key, value, lpad(key, 20, ' ') || ': ' || coalesce(printf('%.6f', value), 'nan') AS table_line FROM r"""
-
-
+    return f"""WITH p AS (
+          SELECT m.model, doc_id, CASE WHEN n_chars >= m.cut THEN 1 ELSE 0 END AS pred FROM documents,
+               (VALUES ('bert', 200), ('xlnet', 500), ('roberta', 1000), ('albert', 2000)) AS m(model, cut)),
+        g AS (SELECT model, doc_id, quality FROM labels, (SELECT DISTINCT model FROM p)),
+        b AS (SELECT coalesce(p.model, g.model) AS model, p.doc_id AS pid, g.doc_id AS gid, pred, quality AS gold
+              FROM p FULL OUTER JOIN g ON p.model = g.model AND p.doc_id = g.doc_id),
+        c AS (SELECT model, count(*) FILTER (gold = 1 AND pred = 1) AS tp, count(*) FILTER (gold = 0 AND pred = 1) AS fp,
+                count(*) FILTER (gold = 1 AND pred = 0) AS fn, count(*) FILTER (gold = 0 AND pred = 0) AS tn,
+                count(*) FILTER (gid IS NULL) AS n_only_pred, count(*) FILTER (pid IS NULL) AS n_only_gold,
+                count(*) FILTER (gid IS NOT NULL AND pid IS NOT NULL AND
+                  NOT coalesce(gold IN (0, 1) AND pred IN (0, 1), false)) AS n_invalid
+              FROM b GROUP BY model),
+        r AS ({rows})
+        SELECT model, key, value, lpad(key, 20, ' ') || ': ' || coalesce(printf('%.6f', value), 'nan') AS table_line FROM r"""
+
+
+def _experiment_sql() -> str:
+    """For each set: filter the numbered rows by language, then drop foreign repeats."""
+    sets = {"es": ["en", "es"], "ko": ["en", "ko"], "yo": ["en", "yo"], "all": ["en", *TARGET_LANGUAGES]}
+    members = ", ".join(f"('{s}', '{code}')" for s, codes in sets.items() for code in codes)
+    places = ", ".join(f"('{c}', {i})" for i, c in enumerate(["en", *TARGET_LANGUAGES]))
+    quora = _QUORA.format("coalesce({0}, 'nan')")
+    return f"""WITH {AUGMENTED},
+        numbered AS (SELECT a.*, p.place FROM augmented a JOIN (VALUES {places}) AS p(lang, place) USING (lang)),
+        chosen AS (SELECT m.langs, n.*, row_number() OVER (PARTITION BY m.langs, sentence, paraphrase ORDER BY place, ids) AS nr
+                   FROM numbered n JOIN (VALUES {members}) AS m(langs, lang) USING (lang)),
+        q AS (SELECT ids, {_QUORA.format('sentence')} AS sentence, {_QUORA.format("coalesce(paraphrase, 'nan')")} AS paraphrase, quality,
+              row_number() OVER (ORDER BY {_rank()}) AS rk, ceil(0.2 * count(*) OVER ()) AS held FROM pairs),
+        t AS (SELECT *, row_number() OVER (ORDER BY {_rank()}) AS rk, ceil(0.2 * count(*) OVER ()) AS held
+              FROM pairs WHERE lang <> 'fr' AND score <> 3),
+        train AS (
+          SELECT d.dataset, langs, length(sentence) + coalesce(length(paraphrase), 0) AS size
+          FROM chosen, (VALUES ('tpc'), ('quora')) AS d(dataset) WHERE lang = 'en' OR nr = 1
+          UNION ALL SELECT 'quora', 'baseline', length(sentence) + length(paraphrase) FROM q WHERE rk > 2 * held
+          UNION ALL SELECT 'tpc', 'baseline', length(sentence) + coalesce(length(paraphrase), 0) FROM t WHERE rk > held),
+        means AS (SELECT dataset, langs, avg(size) AS mean FROM train GROUP BY dataset, langs),
+        tests AS (
+          SELECT 'quora' AS dataset, s.langs, length(sentence) + coalesce(length(paraphrase), 0) AS size, quality
+          FROM pairs, (VALUES ('es'), ('ko'), ('yo'), ('all')) AS s(langs) WHERE lang = 'fr'
+          UNION ALL SELECT 'quora', 'baseline', length(sentence) + length(paraphrase), quality FROM q WHERE rk <= held
+          UNION ALL SELECT 'tpc', s.langs, length(sentence) + coalesce(length(paraphrase), 0), quality
+          FROM pairs, (VALUES ('es'), ('ko'), ('yo'), ('all'), ('baseline')) AS s(langs) WHERE lang = 'fr' AND score <> 3),
+        preds AS (SELECT dataset, o.model, langs, quality AS gold, CASE WHEN size >= mean * o.share THEN 1 ELSE 0 END AS pred
+                  FROM tests JOIN means USING (dataset, langs), (VALUES ('bert', 1), ('albert', 2)) AS o(model, share)),
+        c AS ({_counts('preds', 'model, dataset, langs')})
+        SELECT {_metrics('model, dataset, langs')} FROM c"""
+
+
+def _words(column: str) -> str:
+    return f"list_distinct([w FOR w IN string_split_regex(lower(coalesce({column}, '')), '[ \\t\\n\\f\\r]+') IF w <> ''])"
+
+
+# Pairs of labelled documents with the words that both texts and only one have.
+_WORD_SETS = PAIRS + f""",
+ab AS (SELECT p.ids, l.quality, p.idx, {_words('p.sentence')} AS a, {_words('p.paraphrase')} AS b
+       FROM pairs p JOIN labels l ON l.doc_id = p.ids // 1000000),
+sets AS (SELECT ids, quality, idx, list_intersect(a, b) AS both_,
+         list_concat([w FOR w IN a IF NOT list_contains(b, w)], [w FOR w IN b IF NOT list_contains(a, w)]) AS one_ FROM ab)"""
+
+_RATIOS = _WORD_SETS + f""",
+held AS (SELECT idx FROM (SELECT idx, row_number() OVER (ORDER BY {_rank('idx')}) AS rk, ceil(0.2 * count(*) OVER ()) AS n
+         FROM (SELECT DISTINCT idx FROM sets)) WHERE rk <= n),
+e AS (SELECT ids, quality, idx, unnest(list_concat([('both', w) FOR w IN both_], [('one', w) FOR w IN one_])) AS e FROM sets),
+train AS (SELECT * FROM sets WHERE idx NOT IN (SELECT idx FROM held)),
+whole AS (SELECT sum(quality)::DOUBLE AS p, (count(*) - sum(quality))::DOUBLE AS n FROM train),
+counts AS (SELECT e, sum(quality) AS p, count(*) - sum(quality) AS n FROM e WHERE idx NOT IN (SELECT idx FROM held) GROUP BY e),
+weights AS (SELECT e, round(ln(((counts.p + 1) / (whole.p + 2)) / ((counts.n + 1) / (whole.n + 2))) * 1000000)::BIGINT AS weight
+            FROM counts, whole),
+sums AS (SELECT ids, sum(weight) AS s FROM e JOIN weights USING (e) GROUP BY ids),
+scored AS (SELECT ids, quality, (round(ln((whole.p + 1) / (whole.n + 1)) * 1000000) + coalesce(s, 0))::BIGINT AS score
+           FROM sets LEFT JOIN sums USING (ids), whole WHERE idx IN (SELECT idx FROM held))"""
+
+ORACLES["pair_features"] = f"""WITH {_WORD_SETS}
+    SELECT ids AS IDS, quality, len(both_)::INT AS n_both, len(one_)::INT AS n_one FROM sets"""
+ORACLES["fit_classifier"] = f"""WITH {_RATIOS}
+    SELECT ids AS IDS, quality, score, CASE WHEN score > 0 THEN 1 ELSE 0 END AS pred FROM scored"""
 ORACLES["metrics_report"] = _report_sql()
 ORACLES["evaluate_run"] = _run_sql()
+ORACLES["experiment_runs"] = _experiment_sql()

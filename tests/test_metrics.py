@@ -122,3 +122,14 @@ def test_grid(spark):
     for r in grid.language_set_table(spark).collect():
         sets.setdefault(r.lang_set, set()).add(r.lang)
     assert sets["en"] == {"en"} and sets["ko"] == {"en", "ko"} and len(sets["all"]) == 11
+
+
+def test_invalid_labels_fail_or_count(spark):
+    rows = [("m", 1, 1), ("m", 0, None), ("m", None, 0), ("m", 1, 2), ("n", 0, 0)]
+    df = spark.createDataFrame(rows, "model string, gold int, pred int")
+    with pytest.raises(Exception, match="3 rows"):
+        metrics.evaluate_runs(df, "model").collect()
+    found = {r.model: (r.n_invalid, r.accuracy) for r in metrics.evaluate_runs(df, "model", invalid="count").collect()}
+    assert found == {"m": (3, 1.0), "n": (0, 1.0)}
+    with pytest.raises(ValueError):
+        metrics.evaluate_runs(df, invalid="drop")

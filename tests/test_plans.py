@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pairloom.constants import METRICS
 from pairloom.operators import normalize, scoring
-from pairloom.plans.experiment import experiment
+from pairloom.plans.experiment import evaluate, experiment, prepared
 from pairloom.plans.prepare import prepare
 
 PAIRS = "IDS bigint, sentence string, paraphrase string, quality int"
@@ -60,13 +60,13 @@ def test_quora_baseline_downsampled(spark, tmp_path):
 
 
 def test_experiment(spark, tmp_path):
-    corpus = str(tmp_path / "corpus")
     train = pairs(spark, 200).withColumns({"lang": F.lit("en"), "index": F.col("IDS")})
     foreign = pairs(spark, 100, "f").withColumns({"lang": F.lit("es"), "index": F.col("IDS")})
     augmented = train.unionByName(foreign.withColumn("IDS", F.col("IDS") + 200))
-    raw_test = pairs(spark, 40)
-    sources = {"augmented": augmented, "dev": pairs(spark, 20), "test": raw_test}
-    prepare(spark, "quora", "augmented", sources, corpus, langs=["en", "es"])
+    raw = pairs(spark, 200).withColumnsRenamed(
+        {"IDS": "id", "sentence": "question1", "paraphrase": "question2", "quality": "is_duplicate"}
+    )
+    sources = {"all": raw, "augmented": augmented, "dev": pairs(spark, 20), "test": pairs(spark, 40)}
 
     def classifier(train):
         model = scoring.fit_classifier(train, features=64, iterations=3)
@@ -77,13 +77,35 @@ def test_experiment(spark, tmp_path):
 
     records = str(tmp_path / "records")
     results, board = experiment(
-        spark, corpus, "quora", {"bert": classifier, "albert": rule}, ["es"], records
+        {"quora": prepared(spark, "quora", sources)}, {"bert": classifier, "albert": rule}, ["es"], records
     )
     assert results.count() == 4 and board.count() == 4
     assert all(r[m] == 1.0 for r in results.filter("model = 'albert'").collect() for m in METRICS)
     assert spark.read.json(records).count() == 4
 
 
+def test_experiment_filters_before_it_drops_duplicates(spark):
+    rows = [(0, "a", "b", 1, "en", 0), (1, "c", "d", 1, "ko", 0), (2, "c", "d", 1, "es", 0)]
+    made = spark.createDataFrame(rows, "IDS bigint, sentence string, paraphrase string, quality int, lang string, index bigint")
+    other = pairs(spark, 10)
+    corpus = prepared(spark, "quora", {"augmented": made, "dev": other, "test": other})
+    for langs, want in ((["en", "es"], {0, 2}), (["en", "ko"], {0, 1}), (["en", "es", "ko"], {0, 1})):
+        assert {r.IDS for r in corpus(langs).filter("split = 'train'").collect()} == want
+
+
+def test_evaluate_needs_every_partner(spark):
+    preds = spark.createDataFrame([(1, 1), (2, 0), (3, None), (4, 2), (5, 1)], "IDS bigint, pred int")
+    gold = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (4, 1), (9, 0)], "IDS bigint, quality int")
+    config = {"dataset": "d", "model": "m", "langs": "en"}
+    with pytest.raises(Exception, match="not 0 or 1"):
+        evaluate(preds, gold, config).collect()
+    found = {r.key: r.value for r in evaluate(preds, gold, config, unmatched="count").collect()}
+    assert (found["n_only_pred"], found["n_only_gold"], found["n_invalid"]) == (1, 1, 2)
+    assert found["accuracy"] == 0.5
+    ok = evaluate(preds.filter("IDS < 3"), gold.filter("IDS < 3"), config)
+    assert "n_invalid" not in {r.key for r in ok.collect()}
+
+
 def test_normalisers_accept_a_stream(spark, tmp_path):
     raw = spark.range(70).select(
         F.col("id").alias("IDS"),
