@@ -92,6 +92,11 @@ def _sample(source: str, n: int = 100) -> str:
 
 PAIR = "ids AS IDS, sentence, paraphrase, quality"
 CORPUS = PAIR + ", lang, idx AS index"
+
+# The augmented rows as the job stores them: each language's keys follow on.
+_STORED = f"""
+stored AS (SELECT * REPLACE (ids + (list_position({['en', *TARGET_LANGUAGES]}, lang) - 1)
+             * (SELECT max(ids) + 1 FROM english) AS ids) FROM augmented)"""
 _TWITTER = "CASE WHEN score >= 4 THEN 1 ELSE 0 END"
 
 WORDS = """
@@ -196,7 +201,12 @@ ORACLES: dict[str, str] = {
     "split_sizes": f"""WITH {PAIRS}, clean AS ({_dedup("(SELECT * FROM pairs WHERE lang IN ('en', 'es'))")})
         SELECT split, count(*) AS n_rows FROM ({_split('clean')}) GROUP BY split""",
     "augment_fanout": f"WITH {AUGMENTED} SELECT {CORPUS} FROM augmented",
-    "augment_restart": f"WITH {AUGMENTED} SELECT {CORPUS} FROM augmented",
+    "augment_restart": f"WITH {AUGMENTED}, {_STORED} SELECT {CORPUS} FROM stored",
+    "augment_job_memory": f"WITH {AUGMENTED}, {_STORED} SELECT {CORPUS} FROM stored WHERE lang <> 'yo'",
+    "augment_job_service": f"WITH {AUGMENTED}, {_STORED} SELECT {CORPUS} FROM stored WHERE lang IN ('en', 'es', 'yo')",
+    "augment_untranslated": f"""WITH {AUGMENTED} SELECT lang, count(*) AS n_rows,
+        CASE WHEN lang = 'yo' THEN count(*) ELSE 0 END AS n_missing
+        FROM augmented WHERE lang <> 'en' GROUP BY lang""",
     "backtranslate_tm": f"WITH {AUGMENTED} SELECT {CORPUS} FROM augmented",
     "augment_batches": f"WITH {AUGMENTED} SELECT {CORPUS} FROM augmented",
     "untranslated": f"""WITH {AUGMENTED} SELECT lang, count(*) AS n_rows,

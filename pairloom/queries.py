@@ -24,6 +24,7 @@ from pairloom.operators import (
 )
 from pairloom.operators.dedup import remove_duplicates
 from pairloom.plans.augment import augment as store_augmented
+from pairloom.plans.augment import untranslated_rows
 from pairloom.plans.experiment import evaluate, experiment, prepared
 from pairloom.plans.prepare import prepare, renumber_augmented
 from pairloom.shared import fresh_path, write_table
@@ -226,6 +227,34 @@ def augment_restart(spark, sf_dir):
     return store_augmented(english, path, column=views.rule_translation)
 
 
+def _partial_memory(spark, sf_dir) -> DataFrame:
+    """The memory with a second, greater translation of every text, and without Yoruba."""
+    memory = views.memory(spark, sf_dir).filter(F.col("src") != "yo")
+    return memory.unionByName(memory.withColumn("tgt_text", F.concat("tgt_text", F.lit("~"))))
+
+
+@query
+def augment_job_memory(spark, sf_dir):
+    english = write_table(views.english(spark, sf_dir), "english")
+    path = fresh_path(spark, "augmented")
+    return store_augmented(english, path, memory=_partial_memory(spark, sf_dir))
+
+
+@query
+def augment_job_service(spark, sf_dir):
+    english = write_table(views.english(spark, sf_dir), "english")
+    path = fresh_path(spark, "augmented")
+    return store_augmented(english, path, ["es", "yo"], service=_rule_service)
+
+
+@query
+def augment_untranslated(spark, sf_dir):
+    english = write_table(views.english(spark, sf_dir), "english")
+    path = fresh_path(spark, "augmented")
+    store_augmented(english, path, memory=_partial_memory(spark, sf_dir))
+    return untranslated_rows(spark, path)
+
+
 @query
 def backtranslate_tm(spark, sf_dir):
     english = write_table(views.english(spark, sf_dir), "english")

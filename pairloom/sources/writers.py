@@ -44,29 +44,28 @@ def stored_table(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path)
 
 
-def write_languages(
-    spark: SparkSession, path: str, langs: list[str], make: Callable[[str], DataFrame]
-) -> DataFrame:
-    """Store ``make(lang)`` for each language that is not stored yet; return the table.
+def stored_languages(spark: SparkSession, path: str) -> set[str]:
+    """Languages with a committed folder at ``path``; lists folders and reads no rows."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return set()
+    names = [entry.getPath().getName() for entry in files.listStatus(folder)]
+    return {name.removeprefix("lang=") for name in names if name.startswith("lang=")}
 
-    Each language is one job that commits its own ``lang=`` folder, so a failure
-    in a later language keeps the earlier ones, and a restart skips them.
+
+def add_languages(rows: DataFrame, path: str) -> None:
+    """Store rows in a folder for each ``lang``, in one job; other languages stay as they are.
+
+    The job commits all its folders together at its end, so a failed one leaves none.
     """
-    stored = stored_table(spark, path)
-    done = set()
-    if stored is not None:
-        done = {row["lang"] for row in stored.select("lang").distinct().collect()}
-    for lang in langs:
-        if lang not in done:
-            (
-                make(lang)
-                .withColumn("lang", F.lit(lang))
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy("lang")
-                .parquet(path)
-            )
-    return spark.read.parquet(path)
+    require_columns(rows, "lang")
+    (
+        rows.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("lang")
+        .parquet(path)
+    )
 
 
 def cached_features(
