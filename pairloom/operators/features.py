@@ -10,6 +10,7 @@ from pairloom.functions.text import words
 from pairloom.operators.keys import row_index
 from pairloom.operators.skew import salted_join
 from pairloom.schemas import require_columns
+from pairloom.shared import write_table
 
 BROADCAST_BYTES = 64 << 20  # a vocabulary up to this size is looked up by broadcast
 HEAD_WORDS = 65_536  # of a larger one, so many of its most frequent words are
@@ -62,7 +63,9 @@ def encode_pairs(
     ``vocabulary`` should be a stored table: its size is measured, and up to
     ``broadcast_bytes`` it is broadcast whole. Of a larger one the ``head`` most
     frequent words are (their number and length are bounded), so common words
-    never move; the others go through a salted join on the word.
+    never move. What is left is stored once with its row; of the other words only key,
+    position and word go through a salted join on the word, and their ids come back
+    to the row as one list. ``key`` must be unique.
     """
     require_columns(df, key, "sentence", "paraphrase", "quality")
     budget = max_len - 3
@@ -86,22 +89,29 @@ def encode_pairs(
     )
 
     lookup = vocabulary.select("word", F.col("id").cast("int").alias("id"))
+    # Position and id share one long, so a row's tokens sort as plain numbers.
+    packed = F.shiftleft(F.col("pos").cast("bigint"), 32) + F.coalesce("id", F.lit(UNK_ID))
+    carried = [F.first(c).alias(c) for c in ("label", "la", "lb", "ka", "kb")]
     if _table_bytes(lookup) <= broadcast_bytes:
         ided = tokens.join(F.broadcast(lookup), "word", "left")
+        rows = ided.groupBy(key).agg(F.sort_array(F.collect_list(packed)).alias("_t"), *carried)
     else:
         common = (F.col("id") < head) & (F.length("word") <= HEAD_LENGTH)
         found = tokens.join(F.broadcast(lookup.filter(common)), "word", "left")
-        rare = found.filter(F.col("id").isNull()).drop("id")
+        known = F.col("id").isNotNull()
+        split_up = found.groupBy(key).agg(
+            F.collect_list(F.when(known, packed)).alias("_t"),
+            F.collect_list(F.when(~known, F.struct("pos", "word"))).alias("_u"),
+            *carried,
+        )
+        rows = write_table(split_up, "encoded-common")
+        rare = rows.select(key, F.explode("_u").alias("_w")).select(key, "_w.pos", "_w.word")
         rare = rare.withColumn("_token", F.xxhash64(key, "pos"))
         looked_up = salted_join(rare, lookup.filter(~common), "word", "_token", "left")
-        ided = found.filter(F.col("id").isNotNull()).unionByName(looked_up.drop("_token"))
+        ids_of = looked_up.groupBy(key).agg(F.collect_list(packed).alias("_r"))
+        both = F.concat("_t", F.coalesce("_r", F.array().cast("array<bigint>")))
+        rows = rows.drop("_u").join(ids_of, key, "left").withColumn("_t", F.sort_array(both)).drop("_r")
 
-    # Position and id share one long, so a row's tokens sort as plain numbers.
-    packed = F.shiftleft(F.col("pos").cast("bigint"), 32) + F.coalesce("id", F.lit(UNK_ID))
-    rows = ided.groupBy(key).agg(
-        F.sort_array(F.collect_list(packed)).alias("_t"),
-        *[F.first(c).alias(c) for c in ("label", "la", "lb", "ka", "kb")],
-    )
     ids = F.transform("_t", lambda t: t.bitwiseAND(0xFFFFFFFF).cast("int"))
     n = F.size("_t")
 

@@ -47,11 +47,16 @@ def balanced_sample(
 
 
 def downsample_with_siblings(
-    df: DataFrame, n: int = SAMPLE_SIZE, key: str = "IDS", seed: int = SPLIT_SEED
+    df: DataFrame,
+    n: int = SAMPLE_SIZE,
+    key: str = "IDS",
+    seed: int = SPLIT_SEED,
+    broadcast_keys: int = BROADCAST_KEYS,
 ) -> DataFrame:
     """A balanced sample of the English rows, and the foreign rows of the same source.
 
-    A table without ``lang`` counts as English. ``index`` names the source row.
+    A table without ``lang`` counts as English. ``index`` names the source row. Up to
+    ``broadcast_keys`` sampled sources are broadcast; more are joined with salted keys.
     """
     if "lang" not in df.columns:
         return balanced_sample(df, n, key, seed)
@@ -59,7 +64,7 @@ def downsample_with_siblings(
     sample = balanced_sample(df.filter(F.col("lang") == "en"), n, key, seed)
     foreign = df.filter(~F.col("lang").eqNullSafe("en"))
     sources = sample.select("index").distinct()
-    if n <= BROADCAST_KEYS:  # the sample has n rows, no more
+    if n <= broadcast_keys:  # the sample has n rows, no more
         siblings = foreign.join(F.broadcast(sources), "index", "left_semi")
     else:
         siblings = salted_join(foreign, sources, "index", key, "left_semi")

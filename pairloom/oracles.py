@@ -262,6 +262,7 @@ ORACLES: dict[str, str] = {
         FROM k JOIN b ON k.dataset = b.dataset AND k.model = b.model""",
     "vocab": f"WITH {PAIRS}, {WORDS} SELECT word, n, id FROM vocab",
     "encode_pairs": ENCODED,
+    "encode_pairs_large_vocab": ENCODED,
     "cached_features": ENCODED,
     "score_pairs": f"""WITH {PAIRS} SELECT ids AS IDS, quality, CAST(length(sentence) AS DOUBLE) AS logit0,
         CAST(coalesce(length(paraphrase), 0) AS DOUBLE) AS logit1,
@@ -308,7 +309,7 @@ def _report_sql() -> str:
         for n, sql in METRIC_SQL.items()
     )
     return f"""WITH {PREDS}, c AS ({_counts('preds', 'model, dataset, langs')}), r AS ({rows})
-        SELECT model, dataset, langs, key, value,
+        SELECT model, dataset, langs, key, value, key || ' = ' || coalesce(value::VARCHAR, 'nan') AS line,
                lpad(key, 20, ' ') || ': ' || coalesce(printf('%.6f', value), 'nan') AS table_line FROM r"""
 
 
@@ -394,6 +395,7 @@ ORACLES["pair_features"] = f"""WITH {_WORD_SETS}
     SELECT ids AS IDS, quality, len(both_)::INT AS n_both, len(one_)::INT AS n_one FROM sets"""
 ORACLES["fit_classifier"] = f"""WITH {_RATIOS}
     SELECT ids AS IDS, quality, score, CASE WHEN score > 0 THEN 1 ELSE 0 END AS pred FROM scored"""
+ORACLES["downsample_siblings_joined"] = ORACLES["downsample_siblings"]
 ORACLES["metrics_report"] = _report_sql()
 ORACLES["evaluate_run"] = _run_sql()
 ORACLES["experiment_runs"] = _experiment_sql()

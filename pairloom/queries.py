@@ -187,6 +187,12 @@ def downsample_siblings(spark, sf_dir):
     return sampling.downsample_with_siblings(views.corpus(spark, sf_dir))
 
 
+@query
+def downsample_siblings_joined(spark, sf_dir):
+    """The same by the salted join that a sample beyond the broadcast limit takes."""
+    return sampling.downsample_with_siblings(views.corpus(spark, sf_dir), broadcast_keys=0)
+
+
 @query
 def split_two(spark, sf_dir):
     return sampling.split_two(views.corpus(spark, sf_dir)).select("IDS", "split")
@@ -360,7 +366,7 @@ def metrics_report(spark, sf_dir):
     rounded = found.select(
         "model", "dataset", "langs", *[F.round(F.col(f"`{m}`"), 6).alias(m) for m in METRICS]
     )
-    return metrics.metric_report(rounded, "model", "dataset", "langs").drop("line")
+    return metrics.metric_report(rounded, "model", "dataset", "langs")
 
 
 @query
@@ -413,10 +419,10 @@ def vocab(spark, sf_dir):
     return features.build_vocabulary(views.corpus(spark, sf_dir))
 
 
-def _encoded(spark, sf_dir) -> DataFrame:
+def _encoded(spark, sf_dir, **limits) -> DataFrame:
     corpus = write_table(views.corpus(spark, sf_dir), "corpus")
     vocabulary = write_table(features.build_vocabulary(corpus), "vocabulary")
-    return features.encode_pairs(corpus, vocabulary)
+    return features.encode_pairs(corpus, vocabulary, **limits)
 
 
 def _shown(encoded: DataFrame) -> DataFrame:
@@ -433,6 +439,12 @@ def encode_pairs(spark, sf_dir):
     return _shown(_encoded(spark, sf_dir))
 
 
+@query
+def encode_pairs_large_vocab(spark, sf_dir):
+    """The same by the way that a vocabulary beyond the broadcast limit takes."""
+    return _shown(_encoded(spark, sf_dir, broadcast_bytes=0, head=200))
+
+
 @query
 def cached_features(spark, sf_dir):
     folder = fresh_path(spark, "cache")

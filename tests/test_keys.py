@@ -86,7 +86,7 @@ def test_sample_needs_enough_rows(spark):
         sampling.balanced_sample(table(spark, 300).filter("quality = 0"))
 
 
-def test_siblings_with_and_without_broadcast(spark, monkeypatch):
+def test_siblings_with_and_without_broadcast(spark):
     df = table(spark, 600)
     rows = sampling.downsample_with_siblings(df, 20).collect()
     english = [r for r in rows if r.lang == "en"]
@@ -94,8 +94,7 @@ def test_siblings_with_and_without_broadcast(spark, monkeypatch):
     assert len(english) == 20
     want = {r.IDS for r in df.collect() if r.lang != "en" and r["index"] in sources}
     assert {r.IDS for r in rows if r.lang != "en"} == want
-    monkeypatch.setattr(sampling, "BROADCAST_KEYS", 0)
-    assert {r.IDS for r in sampling.downsample_with_siblings(df, 20).collect()} == {r.IDS for r in rows}
+    assert {r.IDS for r in sampling.downsample_with_siblings(df, 20, broadcast_keys=0).collect()} == {r.IDS for r in rows}
     no_lang = sampling.downsample_with_siblings(df.drop("lang"), 20)
     assert no_lang.count() == 20
 
