@@ -151,14 +151,24 @@ def _file(lang_rule: str, extra: str = "") -> str:
     return _numbered(f"(SELECT * FROM pairs WHERE {lang_rule}{extra})")
 
 
-_HAS = " AND paraphrase IS NOT NULL"
+# Lines are stripped before they are split, so a missing paraphrase takes the blanks before it along.
+_STRIPPED = r"""(SELECT * REPLACE (CASE WHEN paraphrase IS NULL
+  THEN nullif(regexp_replace(sentence, '\s+$', ''), '') ELSE sentence END AS sentence) FROM pairs)"""
 _QUORA = """'"' || replace({0}, '"', '') || '"'"""
 
 ORACLES: dict[str, str] = {
-    "src_tsv_pairs": f"WITH {PAIRS} SELECT {PAIR} FROM {_file('true', _HAS)}",
+    "src_tsv_pairs": f"WITH {PAIRS} SELECT {PAIR} FROM {_numbered(_STRIPPED)}",
     "src_tsv_cells": f"""WITH {PAIRS} SELECT ids AS first_id, CAST(5 AS INT) AS n_cells,
-        quality || '|' || ids || '|' || (ids + 1) || '|' || sentence || '|' || paraphrase AS joined
-        FROM pairs WHERE paraphrase IS NOT NULL""",
+        quality || '|' || ids || '|' || (ids + 1) || '|' || sentence || '|' || coalesce(paraphrase, '') AS joined
+        FROM pairs""",
+    "src_tsv_cells_quoted": f"""WITH {PAIRS} SELECT row_number() OVER (ORDER BY ids) - 1 AS IDS, 4::INT AS n_cells,
+        sentence || '|' || coalesce(paraphrase, '') || '|(' || score || ', 6)|u' AS joined FROM pairs""",
+    "read_split_csv": f"""WITH {PAIRS} SELECT ids AS IDS, nullif(sentence, '') AS sentence, paraphrase, quality
+        FROM ({_split('pairs')}) WHERE split = 'dev'""",
+    "prepare_tpc_downsampled": f"""WITH {PAIRS},
+        clean AS (SELECT * FROM {_file("lang = 'en'")} WHERE score <> 3), s AS ({_sample('clean')}),
+        test AS (SELECT *, 'test' AS split FROM {_file("lang <> 'en'")} WHERE score <> 3)
+        SELECT split, {PAIR} FROM ({_stack(_split('s'), 'SELECT * FROM test')})""",
     "src_tsv_quoted": f"""WITH {PAIRS} SELECT row_number() OVER (ORDER BY ids) - 1 AS IDS,
         sentence || chr(9) || '"' || lang || '"' || chr(10) || score AS c0, paraphrase AS c1,
         '(' || score || ', 6)' AS c2, 'u' AS c3 FROM pairs""",
@@ -271,12 +281,12 @@ ORACLES: dict[str, str] = {
         CASE WHEN coalesce(length(paraphrase), 0) > length(sentence) THEN 1 ELSE 0 END AS pred
         FROM ({_split('pairs')}) WHERE split = 'dev'), c AS ({_counts('p', '')})
         SELECT {_metrics('')} FROM c""",
-    "prepare_mrpc_baseline": f"""WITH {PAIRS}, train AS (SELECT * FROM {_file("lang = 'en'", _HAS)}),
-        test AS (SELECT *, 'test' AS split FROM {_file("lang IN ('de', 'fr')", _HAS)})
+    "prepare_mrpc_baseline": f"""WITH {PAIRS}, train AS (SELECT * FROM {_numbered(f"(SELECT * FROM {_STRIPPED} WHERE lang = 'en')")}),
+        test AS (SELECT *, 'test' AS split FROM {_numbered(f"(SELECT * FROM {_STRIPPED} WHERE lang <> 'en')")})
         SELECT split, {PAIR} FROM ({_stack(_split('train'), 'SELECT * FROM test')})""",
     "prepare_tpc_baseline": f"""WITH {PAIRS},
         train AS (SELECT * FROM {_file("lang = 'en'")} WHERE score <> 3),
-        test AS (SELECT *, 'test' AS split FROM {_file("lang IN ('de', 'fr')")} WHERE score <> 3)
+        test AS (SELECT *, 'test' AS split FROM {_file("lang <> 'en'")} WHERE score <> 3)
         SELECT split, {PAIR} FROM ({_stack(_split('train'), 'SELECT * FROM test')})""",
     "prepare_quora_baseline": f"""WITH {PAIRS}, r AS (SELECT *, row_number() OVER (ORDER BY {_rank()}) AS rk,
         ceil(0.2 * count(*) OVER ()) AS size FROM pairs)
@@ -288,7 +298,7 @@ ORACLES: dict[str, str] = {
         s AS ({_sample("(SELECT * FROM clean WHERE lang = 'en')")}),
         chosen AS (SELECT * FROM s UNION ALL
                    SELECT * FROM clean WHERE lang <> 'en' AND idx IN (SELECT idx FROM s)),
-        test AS (SELECT *, 'test' AS split FROM {_file("lang = 'fr'", _HAS)})
+        test AS (SELECT *, 'test' AS split FROM {_numbered(f"(SELECT * FROM {_STRIPPED} WHERE lang = 'fr')")})
         SELECT split, {PAIR} FROM ({_stack(_split('chosen'), 'SELECT * FROM test')})""",
     "prepare_tpc_augmented": f"""WITH {PAIRS},
         clean AS (SELECT *, 'train' AS split FROM ({_dedup(f"(SELECT * FROM {_file('true')} WHERE lang IN ('en', 'es'))")})),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +27,21 @@ from pairloom.shared import write_table
 from pairloom.sources.readers import read_csv_pairs, read_tsv_pairs, read_tsv_quoted
 from pairloom.sources.writers import write_splits
 
-Source = str | DataFrame
+
+@dataclass(frozen=True)
+class RawFile:
+    """A path in the raw layout with what its readers need to know.
+
+    ``multi_line=False`` reads files without line ends inside fields in many tasks each;
+    ``na_words=False`` keeps cell texts such as "NA" as they are.
+    """
+
+    path: str
+    multi_line: bool = True
+    na_words: bool = True
+
+
+Source = str | RawFile | DataFrame
 
 
 def prepare(
@@ -44,7 +60,8 @@ def prepare(
     all languages, of which ``langs`` are kept). ``sources`` names the files:
     ``train`` and ``test`` for a baseline (Quora: ``all``), ``augmented`` and
     ``test`` for an augmented corpus, there with ``dev`` but for MRPC. A source
-    may be a path in the raw layout or a DataFrame that already has its columns.
+    may be a path in the raw layout, a ``RawFile`` with reader options, or a DataFrame
+    that already has its columns.
     """
     builders = {
         ("mrpc", "baseline"): _mrpc_baseline,
@@ -73,19 +90,27 @@ def _stack(**parts: DataFrame) -> DataFrame:
     return whole
 
 
+def _raw(source: Source) -> RawFile | None:
+    return RawFile(source) if isinstance(source, str) else source if isinstance(source, RawFile) else None
+
+
 def _mrpc_file(spark: SparkSession, source: Source) -> DataFrame:
-    return read_tsv_pairs(spark, source) if isinstance(source, str) else source
+    file = _raw(source)
+    return read_tsv_pairs(spark, file.path) if file else source
 
 
 def _twitter_file(spark: SparkSession, source: Source) -> DataFrame:
-    raw = read_tsv_quoted(spark, source) if isinstance(source, str) else source
+    file = _raw(source)
+    raw = read_tsv_quoted(spark, file.path, multi_line=file.multi_line) if file else source
     return normalize_twitter(raw)
 
 
 def _csv_file(spark: SparkSession, source: Source, schema: T.StructType) -> DataFrame:
-    if isinstance(source, str):
-        return read_csv_pairs(spark, source, schema, renumber="IDS" in schema.names)
-    return source
+    file = _raw(source)
+    if not file:
+        return source
+    renumber = "IDS" in schema.names
+    return read_csv_pairs(spark, file.path, schema, renumber, file.na_words, file.multi_line)
 
 
 def _augmented_train(pairs: DataFrame, langs: list[str]) -> DataFrame:

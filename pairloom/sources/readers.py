@@ -133,9 +133,26 @@ def _without_na(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.withColumns({f.name: null_words(F.col(f"`{f.name}`")) for f in schema.fields})
 
 
-def read_split(spark: SparkSession, path: str, mode: str, examples: bool = True) -> DataFrame:
-    """One split of a stored corpus; the other splits are pruned, not read."""
+def read_split(
+    spark: SparkSession,
+    path: str,
+    mode: str,
+    examples: bool = True,
+    fmt: str = "parquet",
+    schema: T.StructType = schemas.PAIRS,
+) -> DataFrame:
+    """One split of a stored corpus; the other splits are pruned, not read.
+
+    ``fmt="csv"`` reads what ``write_splits`` has written so, with its columns in the
+    order of ``schema``; there an empty text and a missing one are the same.
+    """
     if mode not in ("train", "dev", "test"):
         raise ValueError(f"unknown split {mode!r}")
-    rows = spark.read.parquet(path).filter(F.col("split") == mode).drop("split")
+    if fmt == "csv":
+        whole = T.StructType([*schema.fields, T.StructField("split", T.StringType())])
+        options = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "enforceSchema": False}
+        stored = spark.read.schema(whole).options(**options).csv(path)
+    else:
+        stored = spark.read.parquet(path)
+    rows = stored.filter(F.col("split") == mode).drop("split")
     return as_examples(rows) if examples else rows

@@ -123,9 +123,12 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_mrpc_file(spark: SparkSession, pairs: DataFrame) -> str:
-    """Raw lines in ``IDS`` order: label, two ids, two texts; no quoting."""
+    """Raw lines in ``IDS`` order: label, two ids, two texts; no quoting.
+
+    A missing paraphrase is an empty field at the line's end, which the reader strips.
+    """
     path = fresh_path(spark, "raw-mrpc")
-    lines = pairs.filter(F.col("paraphrase").isNotNull()).orderBy("IDS").select(
+    lines = pairs.orderBy("IDS").select(
         F.col("quality").alias("Quality"),
         F.col("IDS").alias("#1 ID"),
         (F.col("IDS") + 1).alias("#2 ID"),
