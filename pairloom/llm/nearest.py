@@ -22,7 +22,7 @@ from pairloom.shared import write_table
 SHARD_ROWS = 8192  # vectors of a shard, about
 LINKS = 16  # of a vector in upper layers; twice as many in the lowest
 THINNING = 16  # a layer has this fraction of the one below
-BEAM = 64  # candidates kept while the lowest layer is searched
+BEAM = 200  # candidates kept while the lowest layer is searched
 QUERY_BLOCK = 2048  # queries that meet a shard together
 
 
