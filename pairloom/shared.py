@@ -8,14 +8,18 @@ it is broadcast only when it is under ``spark.sql.autoBroadcastJoinThreshold``.
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import functools
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _DIR_KEY = "spark.checkpoint.dir"
+_SCRATCH: contextvars.ContextVar[str] = contextvars.ContextVar("scratch", default="")
 
 
 @functools.cache
@@ -40,7 +44,12 @@ def run_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used before."""
-    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{_SCRATCH.get()}{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def remove_intermediates(spark: SparkSession) -> None:
@@ -49,8 +58,23 @@ def remove_intermediates(spark: SparkSession) -> None:
     To be called when its results are stored elsewhere: a DataFrame that still reads an
     intermediate table fails afterwards.
     """
-    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    _delete(spark, run_dir(spark))
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what is written to fresh paths inside.
+
+    For work whose result is stored at a path made before it: DataFrames that read the
+    tables written inside fail afterwards.
+    """
+    folder = f"{_SCRATCH.get()}scratch-{uuid.uuid4().hex}/"
+    token = _SCRATCH.set(folder)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        _delete(spark, f"{run_dir(spark)}/{folder}")
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:

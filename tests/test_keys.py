@@ -6,6 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from pairloom import shared
 from pairloom.operators import keys, sampling
 from pairloom.operators.skew import salted_join
 
@@ -149,3 +150,16 @@ def test_row_without_a_block_fails(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(keys, "write_table", lose)
     with pytest.raises(Exception, match="no file block"):
         keys.file_row_index(spark.read.text(path)).collect()
+
+
+def test_scratch_is_deleted_and_other_tables_stay(spark):
+    before = shared.write_table(spark.range(3), "before")
+    path = shared.fresh_path(spark, "result")
+    with pytest.raises(RuntimeError), shared.scratch(spark):
+        inside = shared.write_table(spark.range(5), "inside")
+        inside.write.parquet(path)
+        raise RuntimeError
+    assert spark.read.parquet(path).count() == 5 and before.count() == 3
+    with pytest.raises(Exception):
+        inside.count()
+    assert "scratch" not in shared.fresh_path(spark, "later")
