@@ -58,6 +58,33 @@ SELECT page_id, host AS url_host, coalesce(lists, '') AS url_lists, lists IS NOT
 FROM p LEFT JOIN lists USING (page_id)
 """
 
+# All windows of all documents joined with those of the items.
+OP9 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (
+  SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, k, array_to_string(w[p:p + k - 1], ' ') AS g
+  FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS p FROM (SELECT *, least(10, len(w)) AS k FROM i WHERE len(w) > 0))),
+sizes AS (SELECT DISTINCT k FROM windows),
+places AS (
+  SELECT doc_id, k, p, array_to_string(w[p:p + k - 1], ' ') AS g
+  FROM (SELECT doc_id, k, w, unnest(range(1, len(w) - k + 2)) AS p FROM d, sizes WHERE len(w) >= k)),
+found AS (SELECT doc_id, p, windows.k, item FROM places JOIN windows ON places.k = windows.k AND places.g = windows.g),
+hits AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit
+  FROM (SELECT doc_id, unnest(range(p, p + k)) AS place FROM (SELECT DISTINCT doc_id, p, k FROM found)) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
 # Totals counted at once from the last state of every document.
 OP10 = r"""
 WITH last AS (
@@ -100,5 +127,6 @@ ORACLES: dict[str, str] = {
     "op1_chat_format": OP1,
     "op2_url_filter": OP2,
     "op3_jaccard_join": OP3,
+    "op9_decontaminate": OP9,
     "op10_token_counts": OP10,
 }

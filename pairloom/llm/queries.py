@@ -206,9 +206,6 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("hit_items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
         (F.size("hit_items") > 0).alias("contaminated"),
-        "longest_match",
-        "longest_item",
-        "longest_at",
     )
 
 

@@ -72,11 +72,17 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
     Null is an empty text.
     """
-    texts = texts.fill_null("").cast(pa.large_string())
-    _, offsets, data = texts.buffers()
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    if texts.null_count:
+        texts = texts.fill_null("")
     if not len(texts):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if texts.type not in (pa.string(), pa.large_string()):
+        texts = texts.cast(pa.large_string())
+    _, offsets, data = texts.buffers()  # no copy
+    kind = np.int32 if texts.type == pa.string() else np.int64
+    at = np.frombuffer(offsets, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
     return data, at - at[0]
 
@@ -130,12 +136,11 @@ def shingles_of(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarr
     out, where = mix(total[whole]), text[whole]
     short = np.flatnonzero((count > 0) & (count < k))
     if len(short):
-        extra = np.empty(len(short), dtype=np.uint64)
-        for i, t in enumerate(short):
-            h = np.uint64(count[t])
-            for w in hashes[first[t] : first[t + 1]]:
-                h = mix(np.array([h * np.uint64(_BASE) + w]))[0]
-            extra[i] = h
+        extra = count[short].astype(np.uint64)
+        for j in range(k - 1):
+            more = j < count[short]
+            word = hashes[np.minimum(first[short] + j, n - 1)]
+            extra = np.where(more, mix(extra * np.uint64(_BASE) + word), extra)
         out, where = np.concatenate([out, extra]), np.concatenate([where, short])
     return out, where
 
