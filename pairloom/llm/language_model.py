@@ -21,13 +21,13 @@ from pairloom.llm.text import SPACED, batch_of, mix, pieces, with_columns, words
 from pairloom.shared import write_table
 
 BASE = 1.5  # of the quantised logarithm
-ENTRY_BITS = 12  # filter bits for each (n-gram, level)
+ENTRY_BITS = 10  # filter bits for each (n-gram, level)
 PROBES = 5
 ADD = 0.1  # to every unigram count
 WEIGHT, TRUST = 0.4, 4.0  # bigram weight: WEIGHT * c / (c + TRUST) for a context seen c times
 FLUSH_TOKENS = 3_000_000  # counted together before they leave a task
 PASS_BYTES = 256 << 20  # of the model sent to the workers at once
-SCORE_BYTES = 2 << 20  # of text scored at once
+SCORE_BYTES = 1 << 20  # of text scored at once
 _END, _START = np.uint64(0x1F3D5B79), np.uint64(0x2E4C6A88)
 _UNIGRAM, _BIGRAM = 1, 2
 _KEY_BYTES = 5  # of a bigram inside its slice; two collide with a chance of keys * 2**-40
@@ -164,7 +164,7 @@ class Part:
     """Some slices of the model, as flat arrays."""
 
     def __init__(self, rows: Iterable, sizes: list, n_slices: int):
-        """``sizes`` gives every row's order, slice, filter_bytes and key_bytes, so that
+        """``sizes`` gives every row's order, slice, tokens, filter_bytes and key_bytes, so that
         each array is made once and filled slice by slice."""
         self.n_slices = n_slices
         self.at = {o: np.zeros(n_slices, dtype=np.int64) for o in (_UNIGRAM, _BIGRAM)}
@@ -177,25 +177,32 @@ class Part:
                 keys_at[r["slice"]] = n_keys
                 n_keys += r["key_bytes"] // 8
         self.filter = {o: np.zeros(n, dtype=np.uint64) for o, n in total.items()}
-        keys, counts = np.zeros(n_keys, dtype=np.uint64), np.zeros(n_keys, dtype=np.int64)
+        # One more key at the end, above all others, so that a search needs no bound.
+        self.keys = np.full(n_keys + 1, 2**64 - 1, dtype=np.uint64)
+        total = sum(r["tokens"] for r in sizes if r["order"] == _UNIGRAM)
+        self.counts = np.zeros(n_keys + 1, dtype=np.uint32 if total < 2**32 else np.int64)
         for r in rows:
             at, size = self.at[r["order"]][r["slice"]], self.size[r["order"]][r["slice"]]
             self.filter[r["order"]][at : at + size] = np.frombuffer(r["filter"], np.uint64)
             if r["keys"]:
                 own = np.frombuffer(r["keys"], np.uint64)
-                keys[keys_at[r["slice"]] :][: len(own)] = own
-                counts[keys_at[r["slice"]] :][: len(own)] = np.frombuffer(r["counts"], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.counts = np.append(keys[order], np.uint64(2**64 - 1)), np.append(counts[order], 0)
-        self.shift = np.uint64(64 - max(1, n_keys.bit_length()))
-        starts = np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift
-        self.first = np.searchsorted(self.keys, starts).astype(np.int32)
+                place = slice(keys_at[r["slice"]], keys_at[r["slice"]] + len(own))
+                self.keys[place] = own
+                self.counts[place] = np.frombuffer(r["counts"], np.int64)
+        order = np.argsort(self.keys, kind="stable")
+        self.keys, self.counts = self.keys[order], self.counts[order]
 
     @staticmethod
     def received(fields: dict) -> Part:
         """A part from the fields that were broadcast; workers need not have this module."""
         part = object.__new__(Part)
         part.__dict__.update(fields)
+        bits = max(1, (len(part.keys) - 1).bit_length())
+        part.shift = np.uint64(64 - bits)
+        if "first" not in fields:  # made once in a task, and not sent
+            starts = np.arange(1 << bits, dtype=np.uint64) << part.shift
+            fields["first"] = np.searchsorted(part.keys, starts).astype(np.int32)
+        part.first = fields["first"]
         return part
 
     def exact(self, tokens: np.ndarray) -> np.ndarray:
@@ -205,7 +212,7 @@ class Part:
         while len(open_):
             at[open_] += 1
             open_ = open_[self.keys[at[open_]] < tokens[open_]]
-        return np.where(self.keys[at] == tokens, self.counts[at], 0)
+        return np.where(self.keys[at] == tokens, self.counts[at], 0).astype(np.int64)
 
     def levels(self, order: int, hashes: np.ndarray) -> np.ndarray:
         """Quantised log counts by membership probes for level 1, 2, ... until a miss."""
@@ -289,7 +296,7 @@ def score(
 
     # Texts begin as often as they end.
     end = int(_END) % n_slices
-    n_texts = float(part_of(end, end, (_UNIGRAM,)).exact(np.array([_END]))[0])
+    n_texts = float(Part.received(vars(part_of(end, end, (_UNIGRAM,)))).exact(np.array([_END]))[0])
 
     def make(piece: pa.RecordBatch, sent, low: int, high: int, first_pass: bool, last_pass: bool) -> dict:
         part = Part.received(sent.value)

@@ -96,7 +96,7 @@ def test_filter_never_underestimates():
         )
         rows += language_model._build_slice(table).to_pylist()
     sizes = [{**r, "filter_bytes": len(r["filter"]), "key_bytes": len(r["keys"])} for r in rows]
-    part = Part(rows, sizes, n)
+    part = Part.received(vars(Part(rows, sizes, n)))
     assert (part.exact(keys) == counts).all()
     levels, true = part.levels(1, keys), language_model._levels(counts)
     assert (levels >= true).all() and (levels == true).mean() > 0.97
