@@ -195,9 +195,10 @@ def _test_blocks(tests: DataFrame, key: str, text: str, window: int) -> list[Tes
         rows = sized.filter(F.pmod(F.xxhash64("key", "text"), F.lit(n_blocks)) == block).collect()
         rows.sort(key=lambda r: (str(r.key), r.text))
         keys = sorted({str(r.key) for r in rows})
+        number = {k: i for i, k in enumerate(keys)}
         hashes, first = words_of(pa.array([r.text for r in rows], pa.string()), ALPHANUMERIC)
         made = Tests(keys, hashes, first, window)
-        made.item = np.array([keys.index(str(r.key)) for r in rows], dtype=np.int64)[made.item] if rows else made.item
+        made.item = np.array([number[str(r.key)] for r in rows], dtype=np.int64)[made.item] if rows else made.item
         out.append(made)
     return out
 

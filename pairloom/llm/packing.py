@@ -59,8 +59,6 @@ class Encoder:
 
     def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
         """Encode new chunks, a thousand in one call, with a special token between them."""
-        if len(self.known) > KNOWN_CHUNKS:
-            self.clear()
         plain = [t if "<|" not in t else "" for t in texts]
         marked = [_MARK.join(plain[i : i + 1000]) for i in range(0, len(plain), 1000)]
         parts, counts = [], []
@@ -95,6 +93,8 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All ids with END after each text, where each text's begin (one more at the end),
         and the chunk hashes with the text of each."""
+        if len(self.known) > KNOWN_CHUNKS:
+            self.clear()
         data, at = text_bytes(texts)
         begins, ends = word_places(data, at, CHUNKS)
         begins, ends = _split_closing(data, begins, ends)
@@ -106,10 +106,6 @@ class Encoder:
             raw = data.tobytes()
             self.learn(distinct[missing], [raw[begins[i] : ends[i]].decode("utf-8", "replace") for i in one[missing]])
             chunk = self.find(distinct)
-            if (chunk < 0).any():  # what was known has been forgotten to make room
-                again = np.flatnonzero(chunk < 0)
-                self.learn(distinct[again], [raw[begins[i] : ends[i]].decode("utf-8", "replace") for i in one[again]])
-                chunk = self.find(distinct)
         text = np.searchsorted(at, begins, "right") - 1
         size = np.diff(self.at)[chunk][back]
         n = len(at) - 1

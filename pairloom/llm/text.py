@@ -185,7 +185,7 @@ def with_columns(
     ``mask`` only rows where that result is true return, and the result itself does not.
     """
     new = T._parse_datatype_string(result)
-    taken = {f.name.lower() for f in new}
+    taken = {f.name.lower() for f in new if f.name != mask}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in taken]
     sent = list(dict.fromkeys([*kept, text, *needs]))
     fields = [f for f in new if f.name != mask]

@@ -23,7 +23,9 @@ def tokenizer():
     return Tokenizer.from_file(tokenizer_path())
 
 
-def test_chunks_give_the_tokenizers_ids(tokenizer):
+@pytest.mark.parametrize("known", [10**6, 50])
+def test_chunks_give_the_tokenizers_ids(tokenizer, monkeypatch, known):
+    monkeypatch.setattr(packing, "KNOWN_CHUNKS", known)
     rng = random.Random(5)
     alphabet = list("aBé.,;!'%$ \ń<|>s1½") + ["<|endoftext|>", "'ll", "  "]
     texts = TEXTS + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(600)]
