@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.shared import write_table
@@ -36,16 +36,17 @@ def salted_join(
     """
     on = [on] if isinstance(on, str) else on
     counts = big.groupBy(F.xxhash64(*on).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
-    seen = Observation()
-    counted = counts.observe(seen, F.sum("_n").alias("total"))
-    frequent = write_table(counted.filter(F.col("_n") > min_piece), "hot-keys")
-    largest = frequent.agg(F.max("_n")).first()[0] or 0
-    piece = max(min_piece, -(-seen.get["total"] // pieces)) if largest else min_piece
+    # One row for each frequent hash, and one without hash for all the others together.
+    often = F.when(F.col("_n") > min_piece, F.col("_h"))
+    frequent = write_table(counts.groupBy(often.alias("_h")).agg(F.sum("_n").alias("_n")), "hot-keys")
+    total, largest = frequent.agg(F.sum("_n"), F.max(F.when(F.col("_h").isNotNull(), F.col("_n")))).first()
+    largest = largest or 0
+    piece = max(min_piece, -(-total // pieces)) if largest else min_piece
     if largest <= piece:
         return big.join(small, on, how)
 
     hot = F.broadcast(
-        frequent.filter(F.col("_n") > piece).select(
+        frequent.filter(F.col("_h").isNotNull() & (F.col("_n") > piece)).select(
             "_h", F.ceil(F.col("_n") / piece).cast("int").alias("_salts")
         )
     )
