@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_ROWS = 12_000  # labelled rows a fit may use
+SAMPLE_ROWS = 6_000  # labelled rows a fit may use
 SAMPLE_CHARS = 2_000_000  # of the text that a sampled row may have to be used in a fit
 
 

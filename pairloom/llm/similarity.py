@@ -15,6 +15,8 @@ link is confirmed on the whole sets.
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from pairloom.llm.components import components
 from pairloom.llm.text import SPACED, batch_of, list_of, mix, pieces, shingles_of, with_columns, words_of
 from pairloom.operators.skew import salted_join
-from pairloom.shared import write_table
+from pairloom.shared import fresh_path, scratch, write_table
 
 GROUP, DIFFERING = 3, 1  # partitions in a group, and differing elements it may hold
 BITS = 2048  # of a parity bitmap
@@ -232,6 +234,18 @@ def _near_pairs(num: int, den: int):
     return run
 
 
+def _release(df: DataFrame) -> None:
+    """Let Spark delete the shuffle files of finished steps.
+
+    It does so when the driver's JVM collects the objects that stand for them, which on a
+    quiet driver may be long after the next steps have filled the disks.
+    """
+    for _ in range(2):
+        gc.collect()
+        df.sparkSession._jvm.System.gc()
+        time.sleep(0.2)  # the cleaner works beside us
+
+
 class SimilarSets:
     """The join's stored tables: ``members`` (every row's key, n_shingles and set) and
     ``links`` (confirmed pairs of different sets)."""
@@ -243,11 +257,19 @@ class SimilarSets:
         self.n_slices = max(8, 2 * docs.rdd.getNumPartitions())
         self.members = write_table(with_columns(rows, "text", "n bigint, set_id bigint", self._sizes(), ["key"]), "sets")
         stars = write_table(self._signed(rows).groupBy("slice").applyInArrow(_star_pairs, "a bigint, b bigint").distinct(), "stars")
+        _release(docs)
         self.sets = write_table(self._involved(rows, stars), "involved-sets")
+        n, different = self.sets.agg(F.count(F.lit(1)), F.count_distinct("set_id")).first()
+        if n != different:  # rows that share key and text
+            self.sets = write_table(self.sets.dropDuplicates(["set_id"]), "involved-sets")
+        _release(docs)
         first = write_table(self._confirmed(stars), "links")
+        _release(docs)
         labels = components(first)
-        second = write_table(self._confirmed(self._crossing(labels).join(stars, ["a", "b"], "left_anti")), "links")
-        self.links = first.unionByName(second)
+        crossing = write_table(self._crossing(labels).join(stars, ["a", "b"], "left_anti"), "crossing")
+        _release(docs)
+        self.links = first.unionByName(write_table(self._confirmed(crossing), "links"))
+        _release(docs)
 
     def _sizes(self):
         words = self.words
@@ -289,8 +311,8 @@ class SimilarSets:
             }
 
         made = with_columns(texts, "text", "own bigint, n bigint, shingles array<bigint>, bitmap binary", make, ["set_id"])
-        # A key that several rows share may bring other sets, or one set twice.
-        return made.filter("own = set_id").drop("own").dropDuplicates(["set_id"])
+        # A key that several rows share may bring other sets.
+        return made.filter("own = set_id").drop("own")
 
     def _confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose whole sets are similar: bitmaps first, then the sets."""
@@ -313,7 +335,13 @@ class SimilarSets:
         bits = lambda x: own(x, F.col("bitmap").alias(f"bits_{x}"))
         sized = pairs.select("a", "b").join(bits("a"), "a").join(bits("b"), "b")
         left = write_table(sized.mapInArrow(near, "a bigint, b bigint, n_a bigint, n_b bigint"), "near-pairs")
-        sets = lambda x: self.sets.select(F.col("set_id").alias(x), F.col("shingles").alias(f"s_{x}"))
+        _release(left)
+        ids = left.select(F.col("a").alias("set_id")).unionByName(left.select(F.col("b").alias("set_id"))).distinct()
+        ids = write_table(ids, "near-sets")
+        # Only sets that are in a pair move.
+        own_ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+        moved = self.sets.select("set_id", "shingles").join(own_ids, "set_id", "left_semi")
+        sets = lambda x: moved.select(F.col("set_id").alias(x), F.col("shingles").alias(f"s_{x}"))
         common = F.size(F.array_intersect("s_a", "s_b")).cast("bigint")
         whole = left.join(sets("b"), "b").join(sets("a"), "a").withColumn("common", common)
         return whole.filter(F.col("common") * den >= (F.col("n_a") + F.col("n_b") - F.col("common")) * num).select("a", "b")
@@ -407,7 +435,14 @@ def similar_documents(
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` without those whose class has a smaller key."""
-    classes = similar_documents(docs, key, **options)
-    gone = write_table(classes.filter(F.col("component_id") != F.col(key)).select(key).distinct(), "copies")
+    """The rows of ``docs`` without those whose class has a smaller key.
+
+    Only the keys that go are stored; the join's own tables are deleted at the end.
+    """
+    spark = docs.sparkSession
+    path = fresh_path(spark, "copies")
+    with scratch(spark):
+        classes = similar_documents(docs, key, **options)
+        classes.filter(F.col("component_id") != F.col(key)).select(key).distinct().write.parquet(path)
+    gone = spark.read.parquet(path)
     return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, key, "left_anti").select(docs.columns)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.features import SAMPLE_ROWS, labelled_sample, minimise, sigmoid
 from pairloom.llm.text import ALPHANUMERIC, text_bytes, with_columns, word_hashes, word_places, worker_cache
-from pairloom.shared import write_table
+from pairloom.shared import scratch, write_table
 
 WINDOW = 6  # words before and after a hit that are its context
 LEAST_RATIO = 12  # of an entry's share of toxic rows to its share of the others
@@ -312,9 +312,10 @@ def fit_toxicity(
     docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS
 ) -> Toxicity:
     """Learn lexicon and weights from at most ``rows`` labelled rows where ``train`` holds."""
-    sample = write_table(labelled_sample(docs, labels, train, label, key, text, rows), "toxicity-sample")
-    model = Toxicity(*fit_lexicon(sample))
-    counted = _with_counts(sample, model, "text", ["key", "label"]).collect()
+    with scratch(docs.sparkSession):
+        sample = write_table(labelled_sample(docs, labels, train, label, key, text, rows), "toxicity-sample")
+        model = Toxicity(*fit_lexicon(sample))
+        counted = _with_counts(sample, model, "text", ["key", "label"]).collect()
     counted.sort(key=lambda r: (str(r.key), r.label, r.hits))
     if not counted:
         return model
