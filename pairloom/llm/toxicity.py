@@ -260,8 +260,9 @@ def fit_lexicon(sample: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[list[s
     Rows that share the smallest hash of three neighbouring words, as copies mostly do,
     count as one.
     An entry must be in ``least_docs`` toxic rows so counted, and in LEAST_SHARE of them,
-    and in LEAST_RATIO times as large a share of toxic as of other rows. Longer stems below
-    a kept one, and terms with a kept stem, add nothing and are left out.
+    and in LEAST_RATIO times as large a share of toxic as of other rows. Terms and stems that
+    may be misspelled stay below a kept stem that must match exactly; below one that may be
+    misspelled itself, and when they must match exactly, they add nothing and are left out.
     """
     word = F.regexp_extract_all(F.lower("text"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
 
@@ -302,12 +303,18 @@ def fit_lexicon(sample: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[list[s
         below = [w for w in words if w.startswith(stem)]
         # A stem of one frequent word is that word; a real stem has several endings.
         one_word = max((words[w] for w in below), default=0) >= 0.7 * by_stem[stem]
-        if not one_word and not any(stem.startswith(k) for k in kept):
+        if not one_word and not _covered(stem, kept, FUZZY_STEM):
             kept.add(stem)
-    terms = [w for w in words if not any(w.startswith(k) for k in kept)]
+    terms = [w for w in words if not _covered(w, kept, FUZZY_TERM)]
     return terms, sorted(kept)
 
 
+def _covered(entry: str, stems: set[str], fuzzy: int) -> bool:
+    """Whether the stems find all words that the entry, fuzzy from so many letters on, finds."""
+    least = FUZZY_STEM if len(entry) >= fuzzy else 0
+    return any(len(s) >= least and entry.startswith(s) for s in stems)
+
+
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS
 ) -> Toxicity:

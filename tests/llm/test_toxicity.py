@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.llm.toxicity import (
-    COUNTS, Halves, Toxicity, Trie, _kinds, fit_toxicity, hits, kind_of, remove_toxic, score_toxicity,
+    COUNTS, Halves, Toxicity, Trie, _kinds, fit_lexicon, fit_toxicity, hits, kind_of, remove_toxic, score_toxicity,
 )
 
 SF = "/root/testdata/sf0.01"
@@ -106,6 +106,23 @@ def test_held_out_documents(spark):
     assert sum(clean) <= 0.02 * len(clean)
 
 
+def labelled(spark, toxic, clean=400):
+    """Sample rows: the given toxic texts among other words of their own, and clean rows."""
+    rows = [(i, f"t{i}a t{i}b {t} t{i}c t{i}d", 1) for i, t in enumerate(toxic)]
+    rows += [(10**6 + i, f"c{i}a plain words c{i}b c{i}c", 0) for i in range(clean)]
+    return spark.createDataFrame(rows, "key bigint, text string, label int")
+
+
+def test_misspelled_words_of_a_family_with_a_short_stem(spark):
+    sample = labelled(spark, ["moron", "morons", "moronic", "moronity"] * 10)
+    terms, stems = fit_lexicon(sample)
+    assert "moro" in stems
+    trie = Trie(terms, stems)
+    assert [kind_of(trie, w) for w in ("morons", "moronesque", "moronity")] == [1, 1, 1]
+    assert [kind_of(trie, w) for w in ("mroon", "m0ronic", "mroonic", "morrons", "mronity", "maronic")] == [2] * 6
+    assert [kind_of(trie, w) for w in ("maro", "words", "mor")] == [0, 0, 0]
+
+
 def test_nothing_to_learn_from(spark, docs_of):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     model = fit_toxicity(docs_of(["a", None]), none, F.lit(True))
