@@ -21,7 +21,6 @@ from pairloom.shared import scratch, write_table
 
 WINDOW = 6  # words before and after a hit that are its context
 LEAST_RATIO = 12  # of an entry's share of toxic rows to its share of the others
-LEAST_SHARE = 0.015  # of the toxic rows that must have a lexicon entry
 LEAST_DOCS = 6  # toxic rows of the sample that must have a lexicon entry
 STEM = (4, 5, 6, 7)  # lengths of learned stems
 TERMS = 5000  # lexicon entries at most, the best first; a documented bound of the fit
@@ -259,8 +258,8 @@ def fit_lexicon(sample: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[list[s
     Words of each row are counted once, with their first letters (lengths STEM) as stems.
     Rows that share the smallest hash of three neighbouring words, as copies mostly do,
     count as one.
-    An entry must be in ``least_docs`` toxic rows so counted, and in LEAST_SHARE of them,
-    and in LEAST_RATIO times as large a share of toxic as of other rows. Terms and stems that
+    An entry must be in ``least_docs`` toxic rows so counted, however many there are, and
+    in LEAST_RATIO times as large a share of toxic as of other rows. Terms and stems that
     may be misspelled stay below a kept stem that must match exactly; below one that may be
     misspelled itself, and when they must match exactly, they add nothing and are left out.
     """
@@ -289,9 +288,8 @@ def fit_lexicon(sample: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[list[s
     if not n_toxic or not n_other:
         return [], []
     share = (F.col("toxic") / n_toxic) / ((F.col("other") + 0.5) / n_other)
-    enough = max(least_docs, LEAST_SHARE * n_toxic)
     found = (
-        counted.filter((F.col("toxic") >= enough) & (share >= LEAST_RATIO) & (F.char_length("entry") >= 3))
+        counted.filter((F.col("toxic") >= least_docs) & (share >= LEAST_RATIO) & (F.char_length("entry") >= 3))
         .orderBy(F.col("toxic").desc(), "entry")
         .limit(TERMS)
         .collect()

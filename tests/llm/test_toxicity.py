@@ -123,6 +123,10 @@ def test_misspelled_words_of_a_family_with_a_short_stem(spark):
     assert [kind_of(trie, w) for w in ("maro", "words", "mor")] == [0, 0, 0]
 
 
+def test_a_rare_term_stays_among_many_toxic_rows(spark):
+    assert "grawlix" in fit_lexicon(labelled(spark, ["scum"] * 700 + ["grawlix"] * 9, 1000))[0]
+
+
 def test_nothing_to_learn_from(spark, docs_of):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     model = fit_toxicity(docs_of(["a", None]), none, F.lit(True))
