@@ -31,7 +31,9 @@ from pairloom.shared import fresh_path, scratch, write_table
 
 GROUP, DIFFERING = 3, 1  # partitions in a group, and differing elements it may hold
 BITS = 2048  # of a parity bitmap
-BLOCK = 2048  # members of one signature that are compared in one task
+BLOCK = 2048  # members of one signature, or of one component, that are compared in one task
+BLOCK_SHINGLES = 1_000_000  # of a component's block, on average
+COLUMNS, POSTINGS = 4096, 64  # shingles multiplied together; pairs up to which a shingle's are listed
 FLUSH = 2_000_000  # signatures that leave a task together
 BROADCAST_ROWS = 2_000_000  # of ids (16 bytes each) that may be broadcast
 
@@ -234,6 +236,68 @@ def _near_pairs(num: int, den: int):
     return run
 
 
+def _common(row_a: np.ndarray, a: np.ndarray, n_a: int, row_b: np.ndarray, b: np.ndarray, n_b: int) -> np.ndarray:
+    """Sizes of the intersections of every set of one side with every set of the other.
+
+    ``a`` and ``b`` are elements, ``row_a`` and ``row_b`` their sets. Elements of many pairs
+    are counted by products of 0-1 matrices, the others pair by pair.
+    """
+    distinct, back = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = back[: len(a)], back[len(a) :]
+    held_a, held_b = (np.bincount(x, minlength=len(distinct)) for x in (a, b))
+    out = np.zeros((n_a, n_b), dtype=np.int64)
+    many = held_a * held_b > POSTINGS
+    column = np.where(many, np.cumsum(many) - 1, -1)
+    for lo in range(0, int(many.sum()), COLUMNS):
+        sides = []
+        for row, x, n in ((row_a, a, n_a), (row_b, b, n_b)):
+            at = column[x] - lo
+            some = (at >= 0) & (at < COLUMNS) & many[x]
+            side = np.zeros((n, COLUMNS), dtype=np.float32)
+            side[row[some], at[some]] = 1
+            sides.append(side)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    sorted_b = row_b[np.argsort(b, kind="stable")]
+    start_b = np.cumsum(held_b) - held_b
+    few = np.flatnonzero(~many[a] & (held_b[a] > 0))
+    for lo in range(0, len(few), 1 << 16):
+        i = few[lo : lo + (1 << 16)]
+        times = held_b[a[i]]
+        run = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        other = sorted_b[np.repeat(start_b[a[i]], times) + run]
+        out += np.bincount(np.repeat(row_a[i], times) * n_b + other, minlength=n_a * n_b).reshape(n_a, n_b)
+    return out
+
+
+def _counted(num: int, den: int):
+    """Links of each set of one block of a component with those of another, or of the same."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        block, set_id, size = (group.column(c).to_numpy() for c in ("block", "set_id", "n"))
+        one, two = group.column("one")[0].as_py(), group.column("two")[0].as_py()
+        found = group.column("shingles").combine_chunks().flatten().to_numpy()
+        row = np.repeat(np.arange(len(size)), size)
+        sides = []
+        for b in (one, two):
+            own = np.flatnonzero(block == b)
+            place = np.full(len(size), -1)
+            place[own] = np.arange(len(own))
+            take = place[row] >= 0
+            sides.append((own, place[row[take]], found[take]))
+        (x, row_x, of_x), (y, row_y, of_y) = sides
+        common = _common(row_x, of_x, len(x), row_y, of_y, len(y))
+        linked = common * den >= (size[x][:, None] + size[y][None, :] - common) * num
+        if one == two:
+            np.fill_diagonal(linked, False)
+            ids, links = set_id[x], linked.sum(1)
+        else:
+            ids, links = np.concatenate([set_id[x], set_id[y]]), np.concatenate([linked.sum(1), linked.sum(0)])
+        return pa.table({"set_id": pa.array(ids), "n_links": pa.array(links.astype(np.int64))})
+
+    return run
+
+
 def _release(df: DataFrame) -> None:
     """Let Spark delete the shuffle files of finished steps.
 
@@ -248,7 +312,7 @@ def _release(df: DataFrame) -> None:
 
 class SimilarSets:
     """The join's stored tables: ``members`` (every row's key, n_shingles and set) and
-    ``links`` (confirmed pairs of different sets)."""
+    ``links`` (confirmed pairs of different sets, enough of them to connect every class)."""
 
     def __init__(self, docs: DataFrame, key: str, text: str, words: int, threshold: tuple[int, int]):
         self.num, self.den = threshold
@@ -392,6 +456,38 @@ class SimilarSets:
         sorted_ = rows.repartition("key").sortWithinPartitions("key", "set_id")
         return sorted_.mapInArrow(_near_pairs(num, den), "a bigint, b bigint").distinct()
 
+    def link_counts(self, labels: DataFrame) -> DataFrame:
+        """set_id, n_links: how many other sets each linked set is similar to.
+
+        Similar sets are in one component, so the sets of each component are compared with
+        each other, block against block, on whole sets.
+        """
+        sets = self.sets.select("set_id", "n", "shingles").join(labels.withColumnRenamed("node", "set_id"), "set_id")
+        sizes = sets.groupBy("label").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("total"))
+        blocks = F.ceil(F.greatest(F.col("count") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
+        sizes = write_table(sizes.select("label", "count", blocks.alias("blocks")), "component-sizes")
+        two = labels.join(sizes.filter("count = 2"), "label").select(F.col("node").alias("set_id"), F.lit(1).cast("bigint").alias("n_links"))
+        dealt = (
+            sets.join(sizes.filter("count > 2"), "label")
+            .withColumn("block", F.pmod(F.xxhash64("set_id"), "blocks").cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
+            .select("label", "one", "two", "block", "set_id", "n", "shingles")
+        )
+        # Two blocks meet once; an empty one leaves the other alone and counts nothing.
+        counted = dealt.groupBy("label", "one", "two").applyInArrow(_counted(self.num, self.den), "set_id bigint, n_links bigint")
+        return two.unionByName(counted.groupBy("set_id").agg(F.sum("n_links").alias("n_links")))
+
+
+def _named(found: SimilarSets, labels: DataFrame) -> DataFrame:
+    """set_id, label, component_id of every set that is not empty."""
+    by_set = found.members.filter("n > 0").groupBy("set_id").agg(F.min("key").alias("first"))
+    named = by_set.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
+        "label", F.coalesce("label", "set_id")
+    )
+    ids = named.groupBy("label").agg(F.min("first").alias("component_id"))
+    return named.join(ids, "label").select("set_id", "label", "component_id")
+
 
 def similar_documents(
     docs: DataFrame,
@@ -405,8 +501,8 @@ def similar_documents(
     A row's set has the distinct ``words``-word shingles of its whole text (lower-case
     A-Z, words are runs without ASCII white space); a shorter text is one shingle. Two
     rows are linked when ``den * intersection >= num * union`` for ``threshold`` (num,
-    den). component_id is the smallest key that links lead to; n_links counts other sets
-    that are similar to a row's and have been compared with it.
+    den). component_id is the smallest key that links lead to; n_links counts all
+    other sets that are similar to a row's.
 
     A null or empty text has the empty set and is linked with nothing: its component is
     its own key. Rows with equal sets are linked, whatever their keys. A row with a null
@@ -415,15 +511,9 @@ def similar_documents(
     """
     found = SimilarSets(docs, key, text, words, threshold)
     labels = components(found.links, "classes")
-    by_set = found.members.filter("n > 0").groupBy("set_id").agg(F.min("key").alias("first"))
-    named = by_set.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
-        "label", F.coalesce("label", "set_id")
-    )
-    ids = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    both = found.links.select(F.col("a").alias("set_id")).unionByName(found.links.select(F.col("b").alias("set_id")))
     classes = write_table(
-        named.join(ids, "label")
-        .join(both.groupBy("set_id").agg(F.count(F.lit(1)).alias("n_links")), "set_id", "left")
+        _named(found, labels)
+        .join(found.link_counts(labels), "set_id", "left")
         .select("set_id", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")),
         "classes",
     )

@@ -95,6 +95,30 @@ def test_one_of_each(spark, docs_of):
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [0, 3, 4, 5]
 
 
+def test_every_link_is_counted(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 16)  # several blocks of a component
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base[:i] + [f"x{i}"] + base[i + 1 :]) for i in range(40)] + [" ".join(base)] * 3 + ["a b", "a B", "c", None]
+    texts += [" ".join(f"y{i}" for i in range(k, k + 40)) for k in range(0, 30, 3)]
+    words = [(t or "").lower().split() for t in texts]
+    sets = [frozenset(tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))) if w else frozenset() for w in words]
+    near = lambda a, b: a and b and a != b and 100 * len(a & b) >= 70 * len(a | b)
+    want = [sum(bool(near(a, b)) for b in set(sets)) for a in sets]
+    got = {r.doc_id: r.n_links for r in similar_documents(docs_of(texts), words=4, threshold=(70, 100)).collect()}
+    assert [got[i] for i in range(len(texts))] == want and max(want) > 20
+
+
+def test_common_elements(monkeypatch):
+    monkeypatch.setattr(similarity, "COLUMNS", 8)
+    rng = np.random.default_rng(4)
+    sides = [[np.unique(rng.zipf(1.3, rng.integers(1, 60)) % 90) for _ in range(n)] for n in (30, 20)]
+    flat = [(np.repeat(np.arange(len(s)), [len(x) for x in s]), np.concatenate(s), len(s)) for s in sides]
+    want = [[len(np.intersect1d(a, b)) for b in sides[1]] for a in sides[0]]
+    for postings in (0, 40, 10**6):
+        monkeypatch.setattr(similarity, "POSTINGS", postings)
+        assert similarity._common(*flat[0], *flat[1]).tolist() == want
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(200, 260)] + [(rng.randrange(400, 500), rng.randrange(400, 500)) for _ in range(60)]
