@@ -524,15 +524,42 @@ def similar_documents(
     )
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` without those whose class has a smaller key.
+def one_of_each(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, threshold: tuple[int, int] = (80, 100)
+) -> DataFrame:
+    """One row of ``docs`` for each class: that of the smallest key, null keys last.
 
-    Only the keys that go are stored; the join's own tables are deleted at the end.
+    Of the rows that share this key, repeated rows and different texts of the class alike,
+    the first stored one stays. Rows with an empty set (null or empty texts) all stay.
+    Only the keys that go, and the rows whose key is null or shared, are stored; the join's
+    own tables are deleted at the end.
     """
     spark = docs.sparkSession
-    path = fresh_path(spark, "copies")
+    gone_path, rows_path, kept_path = (fresh_path(spark, name) for name in ("copies", "unclear-rows", "kept-rows"))
     with scratch(spark):
-        classes = similar_documents(docs, key, **options)
-        classes.filter(F.col("component_id") != F.col(key)).select(key).distinct().write.parquet(path)
-    gone = spark.read.parquet(path)
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, key, "left_anti").select(docs.columns)
+        found = SimilarSets(docs, key, text, words, threshold)
+        classes = write_table(_named(found, components(found.links, "classes")), "classes")
+        shared = found.members.groupBy("key").count().filter("key IS NULL OR count > 1").select(F.col("key").alias("shared"))
+        shared = write_table(shared, "shared-keys")
+        full = salted_join(found.members.filter("n > 0"), classes, "set_id", "key", "inner")
+        gone = full.filter("component_id <> key").select("key").unionByName(shared.select(F.col("shared").alias("key")))
+        gone.filter("key IS NOT NULL").distinct().write.parquet(gone_path)
+        n_shared = shared.count()
+        if n_shared:
+            small = F.broadcast(shared) if n_shared <= BROADCAST_ROWS else shared
+            unclear = docs.join(small, docs[f"`{key}`"].eqNullSafe(small["shared"]), "left_semi")
+            whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+            unclear.select(whole.alias("doc"), F.monotonically_increasing_id().alias("row")).write.parquet(rows_path)
+            stored = spark.read.parquet(rows_path)
+            own = stored.select("row", F.col("doc").getField(key).alias("key"), F.col("doc").getField(text).alias("text"))
+            sets = write_table(with_columns(own, "text", "n bigint, set_id bigint", found._sizes(), ["row", "key"]), "unclear-sets")
+            owned = salted_join(sets.filter("n > 0"), classes, "set_id", "row", "inner")
+            first = owned.filter("key <=> component_id").groupBy("label").agg(F.min("row").alias("row"))
+            sets.filter("n = 0").select("row").unionByName(first.select("row")).write.parquet(kept_path)
+    gone = spark.read.parquet(gone_path).withColumnRenamed("key", key)
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    clear = docs.filter(F.col(f"`{key}`").isNotNull()).join(gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    if not n_shared:
+        return clear
+    kept = spark.read.parquet(rows_path).join(spark.read.parquet(kept_path), "row", "left_semi")
+    return clear.unionByName(kept.select("doc.*"))

@@ -95,6 +95,20 @@ def test_one_of_each(spark, docs_of):
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [0, 3, 4, 5]
 
 
+def test_one_of_each_with_shared_and_null_keys(spark, docs_of):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [
+        (0, base), (0, base), (1, base + " x"),  # repeated rows that are the first of their class
+        (5, base + " y"), (5, "clean five"),  # a key of a copy and of a clean text
+        (None, "no key"), (None, "no key"), (None, base), (None, "also none"),
+        (7, None), (7, ""), (None, None), (8, "clean eight"), (9, "clean eight"),
+    ]
+    docs = docs_of([(*r, "en", "s", 1) for r in rows])
+    out = one_of_each(docs)
+    want = [(0, base), (5, "clean five"), (None, "no key"), (None, "also none"), (7, None), (7, ""), (None, None), (8, "clean eight")]
+    assert out.columns == docs.columns and sorted(map(str, [(r.doc_id, r.text) for r in out.collect()])) == sorted(map(str, want))
+
+
 def test_every_link_is_counted(spark, docs_of, monkeypatch):
     monkeypatch.setattr(similarity, "BLOCK", 16)  # several blocks of a component
     base = [f"w{i}" for i in range(60)]
