@@ -123,10 +123,49 @@ SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce(b, doc_id)
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN first USING (doc_id)
 """
 
+# The ring's virtual nodes with the rows up to each; then one walk of two laps, a step for
+# each visit, that fills the shards' rooms with the waiting rows.
+OP11 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(text, '') AS t, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS place FROM documents),
+i AS (SELECT *, row_number() OVER (ORDER BY place, doc_id) - 1 AS pos FROM d),
+size AS (SELECT count(*) AS n FROM d),
+node AS (
+  SELECT id % 24 AS shard, ('0x' || substr(md5('shard/' || (id % 24) || '/' || (id // 24)), 1, 15))::BIGINT AS place
+  FROM range(24 * 64) r(id)),
+upto AS (
+  SELECT row_number() OVER (ORDER BY node.place, shard) - 1 AS visit, shard,
+    coalesce((SELECT max(pos) + 1 FROM i WHERE i.place <= node.place), 0) AS upto FROM node),
+laps AS (
+  SELECT visit, shard, upto FROM upto UNION ALL SELECT visit + 24 * 64, shard, n FROM upto, size),
+walk AS (
+  SELECT -1::BIGINT AS visit, 0::BIGINT AS pos, 0::BIGINT AS took, -1::BIGINT AS shard, 0::BIGINT AS base,
+    [n // 24 + CASE WHEN s < n % 24 THEN 1 ELSE 0 END for s in range(24)] AS room
+  FROM size
+  UNION ALL
+  SELECT laps.visit, walk.pos + walk.took, greatest(0, least(laps.upto - walk.pos - walk.took,
+      CASE WHEN walk.shard = laps.shard THEN room[laps.shard + 1] - walk.took ELSE room[laps.shard + 1] END)),
+    laps.shard, 0,
+    [CASE WHEN s = walk.shard + 1 THEN room[s] - walk.took ELSE room[s] END for s in range(1, 25)]
+  FROM walk JOIN laps ON laps.visit = walk.visit + 1),
+crc AS (
+  SELECT list(list_reduce([b::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS crc FROM range(256) r(b)),
+part AS (
+  SELECT pos AS first, pos + took AS last, shard, n // 24 + CASE WHEN shard < n % 24 THEN 1 ELSE 0 END - room[shard + 1] AS base
+  FROM walk, size WHERE took > 0)
+SELECT doc_id, strlen(t) + 8 AS size, xor(list_reduce([4294967295::BIGINT] ||
+    list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda b: ('0x' || b)::BIGINT),
+    lambda c, b: xor(c >> 8, crc[xor(c & 255, b) + 1])), 4294967295::BIGINT) AS text_crc32,
+  'rows' AS law, part.shard::INTEGER AS shard, (base + pos - first)::BIGINT AS slot, NULL::INTEGER AS grown_shard
+FROM i JOIN part ON pos >= first AND pos < last, crc
+"""
+
 ORACLES: dict[str, str] = {
     "op1_chat_format": OP1,
     "op2_url_filter": OP2,
     "op3_jaccard_join": OP3,
     "op9_decontaminate": OP9,
     "op10_token_counts": OP10,
+    "op11_sharding": OP11,
 }

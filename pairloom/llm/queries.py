@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairloom.llm.alignment import align_tokens
 from pairloom.llm.chat import format_chats, read_loss, read_turns
 from pairloom.llm.decontaminate import find_leaks
 from pairloom.llm.language_model import score
 from pairloom.llm.nearest import Index
 from pairloom.llm.packing import pack
 from pairloom.llm.quality import fit_quality, grade
+from pairloom.llm.repeats import find_runs
+from pairloom.llm.sharding import assign_shards
 from pairloom.llm.similarity import similar_documents
 from pairloom.llm.token_counts import Ledger
 from pairloom.llm.toxicity import fit_toxicity, score_toxicity
@@ -209,6 +212,59 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 24 shards whose counts differ by one at most; equal texts share a place."""
+    return assign_shards(table(spark, sf_dir, "documents"), 24).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def made_periodic(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where a tenth of the texts, by crc32 of the id, repeats a stretch from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    chosen = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, words).alias("words"))
+    n = F.size("words")
+    sized = chosen.withColumns({"n": n, "a": F.when(n > 0, F.pmod("g", n))})
+    period = 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))
+    at = sized.withColumn("p", period)
+    moved = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    made = F.transform("words", lambda w, i: F.get(F.col("words"), moved(i).cast("int")))
+    return at.select("doc_id", F.when(F.col("n") > 0, F.array_join(made, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document's words, a tenth of the documents made periodic."""
+    found = find_runs(made_periodic(table(spark, sf_dir, "documents")), keep=["doc_id"])
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    first = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"], r["period"])))
+    return found.withColumn("top", first).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        F.col("top.start").alias("start"),
+        (-F.col("top.l")).alias("length"),
+        F.col("top.period").alias("period"),
+        F.expr("(-1000 * top.l) div top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens of two tokenizers, aligned."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_url_filter": op2_url_filter,
@@ -220,4 +276,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
     "op10_token_counts": op10_token_counts,
+    "op11_sharding": op11_sharding,
+    "op12_runs": op12_runs,
+    "op13_alignment": op13_alignment,
 }
