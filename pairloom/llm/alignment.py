@@ -34,6 +34,8 @@ from pairloom.shared import write_table
 
 TEXT_BYTES = 2 << 20  # of text handled at once
 KNOWN_CHUNKS = 800_000  # remembered by a worker
+NEW_CHUNKS = 40_000  # encoded and aligned at once
+LINKS = 1_000_000  # looked at at once
 JOINED_BYTES = 1 << 16  # of new chunks encoded in one call
 PASS_BYTES = 128 << 20  # of pair counts that are broadcast at once
 HELD_PAIRS = 1_000_000  # distinct pairs that a counting task holds
@@ -117,15 +119,16 @@ class Aligner:
         self.size_b = np.array([len(x) for x in self.b.bytes])
         self.name_a = np.array([str(i) for i in range(len(self.size_a))], dtype=object)
         self.name_b = np.array([str(i) for i in range(len(self.size_b))], dtype=object)
+        self.kind = pair_kind(len(self.size_a), len(self.size_b))
         self.clear()
 
     def clear(self) -> None:
         self.known = np.zeros(0, dtype=np.uint64)
         self.where = np.zeros(0, dtype=np.int64)
-        self.counts = np.zeros((0, 4), dtype=np.int64)  # tokens of a, of b, links, overlaps
+        self.counts = np.zeros((0, 4), dtype=np.int32)  # tokens of a, of b, links, overlaps
         self.sound = np.zeros(0, dtype=bool)  # both sides' bytes are the chunk's
         self.link_at = np.zeros(1, dtype=np.int64)
-        self.links = np.zeros(0, dtype=np.uint64)
+        self.links = np.zeros(0, dtype=self.kind)
         self.shown = np.zeros(0, dtype=object)
 
     def chunks(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,7 +203,7 @@ class Aligner:
         row_a, row_b = row_a[by], row_b[by]
         chunk_a, chunk_b = a["doc"].to_numpy(), b["doc"].to_numpy()
         id_a, id_b = a["id"].to_numpy(), b["id"].to_numpy()
-        links = id_b[row_b].astype(np.uint64) << np.uint64(32) | id_a[row_a].astype(np.uint64)
+        links = (id_b[row_b] * len(self.size_a) + id_a[row_a]).astype(self.kind)
         per = lambda rows: np.bincount(rows, minlength=n)
         link_chunk = chunk_a[row_a]
         counts = np.stack([per(chunk_a), per(chunk_b), per(link_chunk), per(chunk_a[both["a"].to_numpy()])], 1)
@@ -215,7 +218,7 @@ class Aligner:
         shown = np.empty(n, dtype=object)
         shown[:] = ["".join(token[where[i] : where[i + 1]]).encode() for i in range(n)]
         base = len(self.sound)
-        self.counts = np.concatenate([self.counts, counts])
+        self.counts = np.concatenate([self.counts, counts.astype(np.int32)])
         self.sound = np.concatenate([self.sound, sound])
         self.link_at = np.concatenate([self.link_at, self.link_at[-1] + np.cumsum(per(link_chunk))])
         self.links = np.concatenate([self.links, links])
@@ -248,8 +251,11 @@ class Aligner:
         missing = np.flatnonzero(chunk < 0)
         if len(missing):
             raw = data.tobytes()
-            new = one[missing]
-            self.learn(distinct[missing], [raw[i:j] for i, j in zip(begins[new].tolist(), ends[new].tolist(), strict=True)], visible[new])
+            for lo in range(0, len(missing), NEW_CHUNKS):
+                some = missing[lo : lo + NEW_CHUNKS]
+                new = one[some]
+                self.learn(distinct[some], [raw[i:j] for i, j in zip(begins[new].tolist(), ends[new].tolist(), strict=True)], visible[new])
+            del raw
             chunk = self.find(distinct)
         number = chunk[back]
         doc = np.searchsorted(at, begins, "right") - 1
@@ -264,7 +270,7 @@ class Aligner:
         size = self.counts[number, 2]
         step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
         links = self.links[np.repeat(self.link_at[number], size) + step]
-        bounds = np.concatenate([[0], np.cumsum(counts[:, 2])]).astype(np.int64) * 8
+        bounds = np.concatenate([[0], np.cumsum(counts[:, 2])]).astype(np.int64) * self.kind.itemsize
         return {
             "n_a": counts[:, 0],
             "n_b": counts[:, 1],
@@ -272,10 +278,15 @@ class Aligner:
             "n_links": counts[:, 2],
             "n_overlaps": counts[:, 3],
             "groups_sha256": pa.array(digest, pa.string()),
-            "links": pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(links, "<u8"))]).cast(pa.binary()),
+            "links": pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(links))]).cast(pa.binary()),
         }
 
 
+def pair_kind(n_a: int, n_b: int) -> np.dtype:
+    """A pair of ids as one number, the second id times the first side's size and the first id."""
+    return np.dtype("<u4" if n_a * n_b <= 1 << 32 else "<u8")
+
+
 def _visible(data: np.ndarray) -> np.ndarray:
     """Bytes that surely end a character that is no white space of any kind.
 
@@ -290,11 +301,7 @@ def _visible(data: np.ndarray) -> np.ndarray:
 _RESULT = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_overlaps bigint, groups_sha256 string"
 
 
-def _aligned(docs: DataFrame, first: str, second: str, key: str, text: str) -> DataFrame:
-    specs = []
-    for path in (first, second):
-        with open(path, "rb") as f:
-            specs.append(f.read())
+def _aligned(docs: DataFrame, specs: list[bytes], key: str, text: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(tuple(specs))
     name = ("aligner", hashlib.sha256(b"\0".join(specs)).hexdigest())
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), *T._parse_datatype_string(f"{_RESULT}, links binary")])
@@ -311,9 +318,25 @@ def _aligned(docs: DataFrame, first: str, second: str, key: str, text: str) -> D
 
 
 def _flat(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    """All packed values of a binary column, and the number in each row."""
-    size = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // kind.itemsize
-    return np.frombuffer(b"".join(column.to_pylist()), kind), size
+    """All packed values of a binary column, without a copy, and the number in each row."""
+    n = len(column)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(column.type) else np.int32)
+    at = at[column.offset : column.offset + n + 1].astype(np.int64)
+    if data is None or not n:
+        return np.zeros(0, kind), np.zeros(n, np.int64)
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(kind), np.diff(at) // kind.itemsize
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with few links, and at least one row."""
+    ends = np.cumsum(pc.binary_length(batch.column("links")).to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < batch.num_rows:
+        before = ends[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, before + 4 * LINKS, "right")))
+        yield batch.slice(i, j - i)
+        i = j
 
 
 def _added(pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -325,14 +348,14 @@ def _added(pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _counted(n_slices: int):
+def _counted(n_slices: int, n_a: int, kind: np.dtype):
     """Partial counts of a task's links, packed by slice of the second side's id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(0, dtype=_PAIRS)
 
         def leave() -> pa.RecordBatch:
-            slices = (held["pair"] >> np.uint64(32)) % np.uint64(n_slices)
+            slices = held["pair"] // np.uint64(n_a) % np.uint64(n_slices)
             order = np.argsort(slices, kind="stable")
             ends = np.searchsorted(slices[order], np.arange(n_slices + 1))
             some = np.flatnonzero(np.diff(ends))
@@ -340,27 +363,32 @@ def _counted(n_slices: int):
             return batch_of({"slice": some.astype(np.int32), "rows": pa.array(rows, pa.binary())})
 
         for batch in batches:
-            links, _ = _flat(batch.column("links"), np.dtype("<u8"))
-            pairs, counts = np.unique(links, return_counts=True)
-            held = _added(np.concatenate([held["pair"], pairs]), np.concatenate([held["count"], counts]))
-            if len(held) >= HELD_PAIRS:
-                yield leave()
-                held = held[:0]
+            links, _ = _flat(batch.column("links"), kind)
+            for lo in range(0, len(links), LINKS):
+                pairs, counts = np.unique(links[lo : lo + LINKS], return_counts=True)
+                held = _added(np.concatenate([held["pair"], pairs]), np.concatenate([held["count"], counts]))
+                if len(held) >= HELD_PAIRS:
+                    yield leave()
+                    held = held[:0]
         if len(held):
             yield leave()
 
     return run
 
 
-def _totals(group: pa.Table) -> pa.Table:
+def _totals(n_a: int):
     """Counts of one slice; the highest of each second id is stored as a negative number."""
-    rows, _ = _flat(group.column("rows").combine_chunks(), _PAIRS)
-    out = _added(rows["pair"], rows["count"])
-    second = out["pair"] >> np.uint64(32)
-    start = np.flatnonzero(np.append(True, second[1:] != second[:-1]))
-    best = np.repeat(np.maximum.reduceat(out["count"], start), np.diff(np.append(start, len(out))))
-    out["count"] = np.where(out["count"] == best, -out["count"], out["count"])
-    return pa.table({"slice": group.column("slice")[:1], "n_bytes": pa.array([out.nbytes]), "rows": pa.array([out.tobytes()], pa.binary())})
+
+    def run(group: pa.Table) -> pa.Table:
+        rows, _ = _flat(group.column("rows").combine_chunks(), _PAIRS)
+        out = _added(rows["pair"], rows["count"])
+        second = out["pair"] // np.uint64(n_a)
+        start = np.flatnonzero(np.append(True, second[1:] != second[:-1]))
+        best = np.repeat(np.maximum.reduceat(out["count"], start), np.diff(np.append(start, len(out))))
+        out["count"] = np.where(out["count"] == best, -out["count"], out["count"])
+        return pa.table({"slice": group.column("slice")[:1], "n_bytes": pa.array([out.nbytes]), "rows": pa.array([out.tobytes()], pa.binary())})
+
+    return run
 
 
 def _parts(totals: DataFrame, limit: int) -> list[list[int]]:
@@ -376,29 +404,36 @@ def _parts(totals: DataFrame, limit: int) -> list[list[int]]:
     return parts
 
 
-def _with_counts(rows: DataFrame, totals: DataFrame, part: list[int]) -> DataFrame:
+def _with_counts(rows: DataFrame, totals: DataFrame, part: list[int], kind: np.dtype) -> DataFrame:
     """Add the counts of the pairs of some slices to n_best and count_sum."""
     found = totals.filter(F.col("slice").isin(part)).select("rows").toArrow()
     table, _ = _flat(found.column("rows").combine_chunks(), _PAIRS)
     table = table[np.argsort(table["pair"])]
-    sent = rows.sparkSession.sparkContext.broadcast((table["pair"].copy(), table["count"].copy()))
+    sent = rows.sparkSession.sparkContext.broadcast((table["pair"].astype(kind), table["count"].copy()))
     del found, table
     names = rows.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def looked_up(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many best pairs, and what sum of counts, lie before each link and at the end."""
         pairs, counts = sent.value
-        for batch in batches:
-            links, size = _flat(batch.column("links"), np.dtype("<u8"))
-            doc = np.repeat(np.arange(len(size)), size)
-            at = np.minimum(np.searchsorted(pairs, links), len(pairs) - 1)
-            count = np.where(pairs[at] == links, counts[at], 0)
-            out = {c: batch.column(c) for c in names}
-            add = lambda c, x: batch.column(c).to_numpy() + np.bincount(doc, weights=x, minlength=len(size)).astype(np.int64)  # noqa: E731, B023
-            out["n_best"] = add("n_best", count < 0)
-            sums = np.concatenate([[0], np.cumsum(np.abs(count))])
-            ends = np.concatenate([[0], np.cumsum(size)])
-            out["count_sum"] = batch.column("count_sum").to_numpy() + sums[ends[1:]] - sums[ends[:-1]]
-            yield batch_of(out)
+        best, total = np.zeros(len(links) + 1, dtype=np.int64), np.zeros(len(links) + 1, dtype=np.int64)
+        for lo in range(0, len(links), LINKS):
+            own = links[lo : lo + LINKS]
+            at = np.minimum(np.searchsorted(pairs, own), len(pairs) - 1)
+            count = np.where(pairs[at] == own, counts[at], 0)
+            best[lo + 1 : lo + 1 + len(own)] = count < 0
+            total[lo + 1 : lo + 1 + len(own)] = np.abs(count)
+        return np.cumsum(best), np.cumsum(total)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in _slices(whole):
+                links, size = _flat(batch.column("links"), kind)
+                ends = np.concatenate([[0], np.cumsum(size)])
+                out = {c: batch.column(c) for c in names}
+                for c, sums in zip(("n_best", "count_sum"), looked_up(links), strict=True):
+                    out[c] = batch.column(c).to_numpy() + sums[ends[1:]] - sums[ends[:-1]]
+                yield batch_of(out)
 
     return rows.mapInArrow(run, rows.schema)
 
@@ -421,17 +456,23 @@ def align_tokens(
     repeated ones and those with a null key. No rows give no rows. Other columns are not
     read, so their names do not matter.
 
-    Links are stored with 8 bytes each. Pair counts are broadcast in parts of
+    Links are stored with 4 bytes each, or 8 for large vocabularies. Pair counts are broadcast in parts of
     ``pass_bytes``; their number is bounded by the vocabularies and measured here.
     """
-    stored = write_table(_aligned(docs, first, second, key, text), "aligned")
+    specs = []
+    for path in (first, second):
+        with open(path, "rb") as f:
+            specs.append(f.read())
+    n_a = len(ByteLevel(specs[0]).bytes)
+    kind = pair_kind(n_a, len(Pieces(specs[1]).bytes))
+    stored = write_table(_aligned(docs, specs, key, text), "aligned")
     n_slices = max(64, stored.rdd.getNumPartitions())
-    partial = stored.select("links").mapInArrow(_counted(n_slices), "slice int, rows binary")
-    totals = write_table(partial.groupBy("slice").applyInArrow(_totals, "slice int, n_bytes bigint, rows binary"), "pair-counts")
+    partial = stored.select("links").mapInArrow(_counted(n_slices, n_a, kind), "slice int, rows binary")
+    totals = write_table(partial.groupBy("slice").applyInArrow(_totals(n_a), "slice int, n_bytes bigint, rows binary"), "pair-counts")
     rows = stored.withColumns({"n_best": F.lit(0).cast("bigint"), "count_sum": F.lit(0).cast("bigint")})
     parts = _parts(totals, pass_bytes)
     for i, part in enumerate(parts):
-        rows = _with_counts(rows, totals, part)
+        rows = _with_counts(rows, totals, part, kind)
         if i + 1 < len(parts):
             rows = write_table(rows, "aligned")
     names = [n.split()[0] for n in _RESULT.split(", ")]
