@@ -13,17 +13,23 @@ def align(preds: DataFrame, gold: DataFrame, key: str = "IDS") -> DataFrame:
     return preds.join(gold, key)
 
 
-def unmatched(preds: DataFrame, gold: DataFrame, key: str = "IDS") -> DataFrame:
-    """Matched rows, predictions without gold, and gold rows without prediction."""
-    left = preds.select(key, F.lit(1).alias("_p"))
+def unmatched(preds: DataFrame, gold: DataFrame, key: str = "IDS", by: tuple[str, ...] = ()) -> DataFrame:
+    """Matched rows, predictions without gold, and gold rows without prediction.
+
+    With ``by`` a row for each run of ``preds``, all from one join; the key is unique in
+    gold and in each run.
+    """
+    left = preds.select(key, *by, F.lit(1).alias("_p"))
     right = gold.select(key, F.lit(1).alias("_g"))
-    both = left.join(right, key, "full_outer")
     has_p, has_g = F.col("_p").isNotNull(), F.col("_g").isNotNull()
-    return both.agg(
-        F.count(F.when(has_p & has_g, 1)).alias("n_matched"),
-        F.count(F.when(has_p & ~has_g, 1)).alias("n_only_pred"),
-        F.count(F.when(~has_p & has_g, 1)).alias("n_only_gold"),
-    )
+    matched = F.count(F.when(has_p & has_g, 1)).alias("n_matched")
+    only_pred = F.count(F.when(has_p & ~has_g, 1)).alias("n_only_pred")
+    if not by:
+        both = left.join(right, key, "full_outer")
+        return both.agg(matched, only_pred, F.count(F.when(~has_p & has_g, 1)).alias("n_only_gold"))
+    counted = left.join(right, key, "left").groupBy(*by).agg(matched, only_pred)
+    whole = F.broadcast(gold.agg(F.count(F.lit(1)).alias("_all")))  # one row
+    return counted.join(whole).withColumn("n_only_gold", F.col("_all") - F.col("n_matched")).drop("_all")
 
 
 def confusion(

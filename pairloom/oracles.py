@@ -19,7 +19,7 @@ pairs AS (
   FROM texts)"""
 
 ENGLISH = PAIRS + """,
-english AS (SELECT * FROM pairs WHERE lang = 'en' AND paraphrase IS NOT NULL)"""
+english AS (SELECT * FROM pairs WHERE lang = 'en')"""
 
 _CODES = ", ".join(f"('{c}')" for c in TARGET_LANGUAGES)
 _BACK = "CASE WHEN code IN ('es', 'ja') THEN paraphrase ELSE lower(paraphrase) END"
@@ -93,6 +93,9 @@ def _sample(source: str, n: int = 100) -> str:
 PAIR = "ids AS IDS, sentence, paraphrase, quality"
 CORPUS = PAIR + ", lang, idx AS index"
 
+# Rows that augmentation stores: English ones, and translations that there are.
+_FILLED = "lang = 'en' OR paraphrase IS NOT NULL"
+
 # The augmented rows as the job stores them: each language's keys follow on.
 _STORED = f"""
 stored AS (SELECT * REPLACE (ids + (list_position({['en', *TARGET_LANGUAGES]}, lang) - 1)
@@ -211,20 +214,21 @@ ORACLES: dict[str, str] = {
     "split_sizes": f"""WITH {PAIRS}, clean AS ({_dedup("(SELECT * FROM pairs WHERE lang IN ('en', 'es'))")})
         SELECT split, count(*) AS n_rows FROM ({_split('clean')}) GROUP BY split""",
     "augment_fanout": f"WITH {AUGMENTED} SELECT {CORPUS} FROM augmented",
-    "augment_restart": f"WITH {AUGMENTED}, {_STORED} SELECT {CORPUS} FROM stored",
-    "augment_job_memory": f"WITH {AUGMENTED}, {_STORED} SELECT {CORPUS} FROM stored WHERE lang <> 'yo'",
-    "augment_job_service": f"WITH {AUGMENTED}, {_STORED} SELECT {CORPUS} FROM stored WHERE lang IN ('en', 'es', 'yo')",
+    "augment_restart": f"WITH {AUGMENTED}, {_STORED} SELECT {CORPUS} FROM stored WHERE {_FILLED}",
+    "augment_job_memory": f"WITH {AUGMENTED}, {_STORED} SELECT {CORPUS} FROM stored WHERE lang <> 'yo' AND ({_FILLED})",
+    "augment_job_service": f"""WITH {AUGMENTED}, {_STORED} SELECT {CORPUS} FROM stored
+        WHERE lang IN ('en', 'es', 'yo') AND ({_FILLED})""",
     "augment_untranslated": f"""WITH {AUGMENTED} SELECT lang, count(*) AS n_rows,
-        CASE WHEN lang = 'yo' THEN count(*) ELSE 0 END AS n_missing
+        count(*) FILTER (lang = 'yo' OR paraphrase IS NULL) AS n_missing
         FROM augmented WHERE lang <> 'en' GROUP BY lang""",
-    "backtranslate_tm": f"WITH {AUGMENTED} SELECT {CORPUS} FROM augmented",
-    "augment_batches": f"WITH {AUGMENTED} SELECT {CORPUS} FROM augmented",
+    "backtranslate_tm": f"WITH {AUGMENTED} SELECT {CORPUS} FROM augmented WHERE {_FILLED}",
+    "augment_batches": f"WITH {AUGMENTED} SELECT {CORPUS} FROM augmented WHERE {_FILLED}",
     "untranslated": f"""WITH {AUGMENTED} SELECT lang, count(*) AS n_rows,
-        CASE WHEN lang = 'yo' THEN count(*) ELSE 0 END AS n_missing
+        count(*) FILTER (lang = 'yo' OR paraphrase IS NULL) AS n_missing
         FROM augmented WHERE lang <> 'en' GROUP BY lang""",
     "augment_then_dedup": f"""WITH {AUGMENTED}, numbered AS (
         SELECT * REPLACE (row_number() OVER (ORDER BY list_position({['en', *TARGET_LANGUAGES]}, lang), ids) - 1 AS ids)
-        FROM augmented) SELECT {CORPUS} FROM ({_dedup('numbered')})""",
+        FROM augmented WHERE {_FILLED}) SELECT {CORPUS} FROM ({_dedup('numbered')})""",
     "batch_texts": f"""WITH {BATCHES} SELECT i // 50 AS batch_id, CAST(count(*) AS INT) AS n_texts,
         string_agg(text, '|' ORDER BY i) AS joined FROM numbered GROUP BY 1""",
     "flatten_batches": f"""WITH {BATCHES} SELECT i // 50 AS batch_id, CAST(i % 50 AS INT) AS pos, text
@@ -241,9 +245,9 @@ ORACLES: dict[str, str] = {
         SELECT family, lang, count(*) AS n_rows, CAST(sum(quality) AS BIGINT) AS n_positive,
                CAST(grouping(family, lang) AS INT) AS level
         FROM named GROUP BY ROLLUP (family, lang)""",
-    "align_preds": """SELECT count(l.doc_id) AS n_matched, count(*) - count(l.doc_id) AS n_only_pred,
+    "align_preds": f"""SELECT model, count(l.doc_id) AS n_matched, count(*) - count(l.doc_id) AS n_only_pred,
         (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS n_only_gold
-        FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
+        FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id, (VALUES {_MODELS}) AS o(model) GROUP BY model""",
     "argmax_preds": """SELECT doc_id, CAST(CASE WHEN n_chars / 2 > 1000 THEN CASE WHEN n_chars >= n_chars / 2 THEN 1 END
         WHEN n_chars >= 1000 THEN 1 ELSE 2 END AS INT) AS pred, CAST(n_chars AS DOUBLE) AS value FROM documents""",
     "metrics_binary": f"""WITH {PREDS}, c AS ({_counts('preds', 'model')})

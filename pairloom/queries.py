@@ -346,8 +346,7 @@ def family_rollup(spark, sf_dir):
 
 @query
 def align_preds(spark, sf_dir):
-    preds = views.rule_predictions(spark, sf_dir).filter(F.col("model") == "bert")
-    return metrics.unmatched(preds, views.gold(spark, sf_dir))
+    return metrics.unmatched(views.rule_predictions(spark, sf_dir), views.gold(spark, sf_dir), by=("model",))
 
 
 @query

@@ -13,6 +13,7 @@ from pairloom.constants import TARGET_LANGUAGES
 from pairloom.functions.labels import binary_label
 from pairloom.shared import fresh_path, spread
 
+IDS_STEP = 1_000_000  # pairs of a document that have keys of their own
 CUTS = [("bert", 200), ("xlnet", 500), ("roberta", 1000), ("albert", 2000)]
 
 
@@ -34,7 +35,9 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = docs.select("doc_id", "lang", lines.alias("lines"))
     rows = cut.select("doc_id", "lang", F.posexplode_outer(F.arrays_zip(even.alias("a"), odd.alias("b"))))
     texts = rows.select(
-        (F.col("doc_id") * 1_000_000 + F.col("pos")).alias("IDS"),
+        F.when(F.col("pos") < IDS_STEP, F.col("doc_id") * IDS_STEP + F.col("pos"))
+        .otherwise(F.raise_error(F.lit("a document has too many pairs for its keys")).cast("bigint"))
+        .alias("IDS"),
         F.col("col.a").alias("sentence"),
         F.nullif(F.col("col.b"), F.lit("")).alias("paraphrase"),
         "lang",
@@ -51,9 +54,8 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = pairs(spark, sf_dir)
-    kept = whole.filter((F.col("lang") == "en") & F.col("paraphrase").isNotNull())
-    return kept.select("IDS", "sentence", "paraphrase", "quality")
+    """The English pairs, also those without a paraphrase."""
+    return pairs(spark, sf_dir).filter(F.col("lang") == "en").select("IDS", "sentence", "paraphrase", "quality")
 
 
 def memory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +65,7 @@ def memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     text itself for two languages, and the lower-cased text for the others.
     """
     codes = F.array(*[F.lit(c) for c in TARGET_LANGUAGES])
-    texts = english(spark, sf_dir).select(F.col("paraphrase").alias("t")).distinct()
+    texts = english(spark, sf_dir).select(F.col("paraphrase").alias("t")).dropna().distinct()
     each = texts.withColumn("code", F.explode(codes))
     foreign = F.concat("code", F.lit(":"), "t")
     there = each.select(
