@@ -12,6 +12,12 @@ def _foreign() -> Column:
     return ~F.col("lang").eqNullSafe("en")
 
 
+def _refuse_repeated(df: DataFrame, order: str) -> None:
+    repeated = df.groupBy(order).count().filter((F.col("count") > 1) | F.col(order).isNull())
+    if repeated.limit(1).count():
+        raise ValueError(f"{order} is not a unique row key; number the rows first (row_index)")
+
+
 def remove_duplicates(
     df: DataFrame, order: str = "IDS", by: str | None = None, check: bool = True
 ) -> DataFrame:
@@ -34,9 +40,7 @@ def remove_duplicates(
     """
     require_columns(df, "sentence", "paraphrase", "lang", order)
     if check:
-        repeated = df.groupBy(order).count().filter((F.col("count") > 1) | F.col(order).isNull())
-        if repeated.limit(1).count():
-            raise ValueError(f"{order} is not a unique row key; number the rows first (row_index)")
+        _refuse_repeated(df, order)
     pairs = df.groupBy("sentence", "paraphrase")
     first = F.min(order).alias("_first")
     foreign = df.filter(_foreign())
@@ -46,3 +50,36 @@ def remove_duplicates(
         return df.filter(~_foreign()).unionByName(foreign.join(kept, order, "left_semi").select(df.columns))
     later = foreign.select(order, by).join(pairs.agg(first.alias(order)), order, "left_anti")
     return df.join(later.select(by).distinct(), by, "left_anti")
+
+
+def remove_duplicates_in_sets(
+    df: DataFrame, sets: dict[str, list[str]], order: str = "IDS", check: bool = True
+) -> DataFrame:
+    """``remove_duplicates`` within every language set at once: adds ``lang_sets``.
+
+    A row's ``lang_sets`` names the sets in which it stays: for an English row all sets
+    with English, for a foreign row those of its language in which no row of the set has
+    the same pair earlier in ``order``. Rows that stay in no set are left out. The first
+    rows of all sets come from one hash aggregate by the pair, two minima for each set, so
+    texts are shuffled once whatever the number of sets, and rows are never copied.
+    """
+    require_columns(df, "sentence", "paraphrase", "lang", order)
+    if check:
+        _refuse_repeated(df, order)
+    firsts = []
+    for codes in sets.values():
+        inside = F.coalesce(F.col("lang").isin(list(codes)), F.lit(False))
+        firsts += [F.min(F.when(inside, F.col(order))), F.min(F.when(inside & _foreign(), F.col(order)))]
+    named = [c.alias(f"_{i}") for i, c in enumerate(firsts)]
+    by_pair = df.groupBy("sentence", "paraphrase").agg(*named)
+    entries = [
+        F.struct(F.lit(name).alias("name"), F.when(F.col(f"_{2 * i}") == F.col(f"_{2 * i + 1}"), F.col(f"_{2 * i}")).alias("key"))
+        for i, name in enumerate(sets)
+    ]
+    kept = by_pair.select(F.filter(F.array(*entries), lambda e: e["key"].isNotNull()).alias("_kept"))
+    each = kept.select("_kept", F.explode(F.array_distinct(F.transform("_kept", lambda e: e["key"]))).alias(order))
+    own = F.transform(F.filter("_kept", lambda e: e["key"] == F.col(order)), lambda e: e["name"])
+    foreign = df.filter(_foreign()).join(each.select(order, own.alias("lang_sets")), order)
+    english = F.array(*[F.lit(name) for name, codes in sets.items() if "en" in codes]).cast("array<string>")
+    whole = df.filter(~_foreign()).withColumn("lang_sets", english).filter(F.size("lang_sets") > 0)
+    return whole.unionByName(foreign)

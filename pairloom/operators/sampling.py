@@ -93,6 +93,32 @@ def split_two(
     return df.withColumn("split", F.when(held, F.lit(held_out)).otherwise(F.lit("train")))
 
 
+def split_in_sets(
+    df: DataFrame,
+    key: str = "IDS",
+    fraction: float = TEST_FRACTION,
+    seed: int = SPLIT_SEED,
+    held_out: str = "dev",
+) -> DataFrame:
+    """``split_two`` within every set of ``lang_sets`` at once: adds ``members``.
+
+    ``members`` is an array of (lang_set, split). The exact cuts of all sets come from the
+    same counting passes (``hash_cuts`` by set over the keys alone), so their number does
+    not depend on the number of sets.
+    """
+    require_columns(df, key, "lang_sets")
+    units = df.select(key, F.explode("lang_sets").alias("_set"))
+    cuts = hash_cuts(units, key, seed, lambda total: [math.ceil(fraction * total)], group="_set")
+    known = F.create_map(*[F.lit(x) for name, (cut,) in cuts.items() for x in (name, cut)]) if cuts else None
+
+    def member(name: Column) -> Column:
+        held = F.coalesce(F.col("_rank") <= known[name], F.lit(False)) if cuts else F.lit(False)
+        return F.struct(name.alias("lang_set"), F.when(held, F.lit(held_out)).otherwise(F.lit("train")).alias("split"))
+
+    ranked = df.withColumn("_rank", _rank(key, seed))
+    return ranked.withColumn("members", F.transform("lang_sets", member)).drop("_rank", "lang_sets")
+
+
 def split_three(
     df: DataFrame, key: str = "IDS", fraction: float = TEST_FRACTION, seed: int = SPLIT_SEED
 ) -> DataFrame:

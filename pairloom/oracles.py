@@ -381,6 +381,57 @@ def _experiment_sql() -> str:
         SELECT {_metrics('model, dataset, langs')} FROM c"""
 
 
+def _grid_sql() -> str:
+    """Tables of the whole grid: each set filtered, freed from foreign repeats, sampled and split on its own."""
+    places = ", ".join(f"('{c}', {i})" for i, c in enumerate(["en", *TARGET_LANGUAGES]))
+    length = "length(sentence) + coalesce(length(paraphrase), 0)"
+    by_set = f"row_number() OVER (PARTITION BY langs ORDER BY {_rank('nid')}) <= ceil(0.2 * count(*) OVER (PARTITION BY langs))"
+    return f"""{AUGMENTED},
+        numbered AS (SELECT a.*, p.place, row_number() OVER (ORDER BY p.place, ids) - 1 AS nid
+                     FROM augmented a JOIN (VALUES {places}) AS p(lang, place) USING (lang)),
+        sets AS (SELECT * FROM (VALUES {_MEMBERS}) AS m(langs, lang) WHERE langs <> 'en'),
+        chosen AS (SELECT s.langs, n.*, row_number() OVER (PARTITION BY s.langs, sentence, paraphrase ORDER BY nid) AS nr
+                   FROM numbered n JOIN sets s USING (lang)),
+        kept AS (SELECT * FROM chosen WHERE lang = 'en' OR nr = 1),
+        s AS (SELECT idx FROM (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY {_rank('nid')}) AS rk
+              FROM numbered WHERE lang = 'en') WHERE rk <= 50),
+        m AS (SELECT langs, nid, {length} AS size, quality, CASE WHEN {by_set} THEN 'dev' ELSE 'train' END AS split
+              FROM kept WHERE idx IN (SELECT idx FROM s)),
+        b AS (SELECT 'baseline' AS langs, ids AS nid, {length} AS size, quality, split
+              FROM ({_split(f"({_sample("(SELECT * FROM pairs WHERE lang <> 'fr')")})")})),
+        mtest AS (SELECT langs, ids AS nid, {length} AS size, quality, 'test' AS split
+                  FROM pairs, (SELECT DISTINCT langs FROM sets UNION SELECT 'baseline') WHERE lang = 'fr'),
+        q AS (SELECT length({_QUORA.format('sentence')}) + length({_QUORA.format("coalesce(paraphrase, 'nan')")}) AS size, quality,
+              row_number() OVER (ORDER BY {_rank()}) AS rk, ceil(0.2 * count(*) OVER ()) AS held FROM pairs),
+        t AS (SELECT {length} AS size, row_number() OVER (ORDER BY {_rank()}) AS rk, ceil(0.2 * count(*) OVER ()) AS held
+              FROM pairs WHERE lang <> 'fr' AND score <> 3),
+        mrpc AS (SELECT * FROM m UNION ALL SELECT * FROM b UNION ALL SELECT * FROM mtest)"""
+
+
+ORACLES["grid_members"] = f"""WITH {_grid_sql()}
+    SELECT langs AS lang_set, split, count(*) AS n_rows, sum(quality)::BIGINT AS n_positive, sum(nid)::BIGINT AS sum_ids
+    FROM mrpc GROUP BY langs, split"""
+ORACLES["experiment_grid"] = f"""WITH {_grid_sql()},
+    train AS (
+      SELECT 'mrpc' AS dataset, langs, size FROM mrpc WHERE split = 'train'
+      UNION ALL SELECT d.dataset, langs, length(sentence) + coalesce(length(paraphrase), 0)
+      FROM kept, (VALUES ('tpc'), ('quora')) AS d(dataset)
+      UNION ALL SELECT 'quora', 'baseline', size FROM q WHERE rk > 2 * held
+      UNION ALL SELECT 'tpc', 'baseline', size FROM t WHERE rk > held),
+    sums AS (SELECT dataset, langs, sum(size) AS total, count(*) AS n FROM train GROUP BY dataset, langs),
+    tests AS (
+      SELECT 'mrpc' AS dataset, langs, size, quality FROM mrpc WHERE split = 'test'
+      UNION ALL SELECT 'quora', langs, size, quality FROM mtest WHERE langs <> 'baseline'
+      UNION ALL SELECT 'quora', 'baseline', size, quality FROM q WHERE rk <= held
+      UNION ALL SELECT 'tpc', langs, length(sentence) + coalesce(length(paraphrase), 0), quality
+      FROM pairs, (SELECT DISTINCT langs FROM sets UNION SELECT 'baseline') WHERE lang = 'fr' AND score <> 3),
+    preds AS (SELECT dataset, o.model, langs, quality AS gold, CASE WHEN size * n >= total * o.share THEN 1 ELSE 0 END AS pred
+              FROM tests JOIN sums USING (dataset, langs),
+              (VALUES ('bert', 1), ('xlnet', 2), ('roberta', 3), ('albert', 4)) AS o(model, share)),
+    c AS ({_counts('preds', 'model, dataset, langs')})
+    SELECT {_metrics('model, dataset, langs')} FROM c"""
+
+
 def _words(column: str) -> str:
     return f"list_distinct([w FOR w IN string_split_regex(lower(coalesce({column}, '')), '[ \\t\\n\\f\\r]+') IF w <> ''])"
 

@@ -94,18 +94,18 @@ def _raw(source: Source) -> RawFile | None:
     return RawFile(source) if isinstance(source, str) else source if isinstance(source, RawFile) else None
 
 
-def _mrpc_file(spark: SparkSession, source: Source) -> DataFrame:
+def mrpc_file(spark: SparkSession, source: Source) -> DataFrame:
     file = _raw(source)
     return read_tsv_pairs(spark, file.path) if file else source
 
 
-def _twitter_file(spark: SparkSession, source: Source) -> DataFrame:
+def twitter_file(spark: SparkSession, source: Source) -> DataFrame:
     file = _raw(source)
     raw = read_tsv_quoted(spark, file.path, multi_line=file.multi_line) if file else source
     return normalize_twitter(raw)
 
 
-def _csv_file(spark: SparkSession, source: Source, schema: T.StructType) -> DataFrame:
+def csv_file(spark: SparkSession, source: Source, schema: T.StructType) -> DataFrame:
     file = _raw(source)
     if not file:
         return source
@@ -119,40 +119,40 @@ def _augmented_train(pairs: DataFrame, langs: list[str]) -> DataFrame:
 
 
 def _mrpc_baseline(spark, sources, langs, downsample) -> DataFrame:
-    pairs = _mrpc_file(spark, sources["train"])
+    pairs = mrpc_file(spark, sources["train"])
     if downsample:
         pairs = balanced_sample(write_table(pairs, "mrpc"))
     return _stack(
-        train=split_two(write_table(pairs, "mrpc-train")), test=_mrpc_file(spark, sources["test"])
+        train=split_two(write_table(pairs, "mrpc-train")), test=mrpc_file(spark, sources["test"])
     )
 
 
 def _mrpc_augmented(spark, sources, langs, downsample) -> DataFrame:
-    raw = _csv_file(spark, sources["augmented"], schemas.RAW_MRPC_AUGMENTED)
+    raw = csv_file(spark, sources["augmented"], schemas.RAW_MRPC_AUGMENTED)
     pairs = write_table(_augmented_train(normalize_mrpc(raw), langs), "mrpc-clean")
     if downsample:
         pairs = write_table(downsample_with_siblings(pairs), "mrpc-sample")
-    return _stack(train=split_two(pairs), test=_mrpc_file(spark, sources["test"]))
+    return _stack(train=split_two(pairs), test=mrpc_file(spark, sources["test"]))
 
 
 def _twitter_baseline(spark, sources, langs, downsample) -> DataFrame:
-    pairs = write_table(_twitter_file(spark, sources["train"]), "tpc-clean")
+    pairs = write_table(twitter_file(spark, sources["train"]), "tpc-clean")
     if downsample:
         pairs = write_table(balanced_sample(pairs), "tpc-sample")
-    return _stack(train=split_two(pairs), test=_twitter_file(spark, sources["test"]))
+    return _stack(train=split_two(pairs), test=twitter_file(spark, sources["test"]))
 
 
 def _twitter_augmented(spark, sources, langs, downsample) -> DataFrame:
-    pairs = _csv_file(spark, sources["augmented"], schemas.AUGMENTED)
+    pairs = csv_file(spark, sources["augmented"], schemas.AUGMENTED)
     return _stack(
         train=_augmented_train(pairs, langs),
-        dev=_csv_file(spark, sources["dev"], schemas.AUGMENTED),
-        test=_twitter_file(spark, sources["test"]),
+        dev=csv_file(spark, sources["dev"], schemas.AUGMENTED),
+        test=twitter_file(spark, sources["test"]),
     )
 
 
 def _quora_baseline(spark, sources, langs, downsample) -> DataFrame:
-    raw = _csv_file(spark, sources["all"], schemas.RAW_QUORA)
+    raw = csv_file(spark, sources["all"], schemas.RAW_QUORA)
     pairs = write_table(normalize_quora(raw), "quora-clean")
     if not downsample:
         return split_three(pairs)
@@ -163,14 +163,17 @@ def _quora_baseline(spark, sources, langs, downsample) -> DataFrame:
 
 
 def _quora_augmented(spark, sources, langs, downsample) -> DataFrame:
-    pairs = _csv_file(spark, sources["augmented"], schemas.AUGMENTED)
+    pairs = csv_file(spark, sources["augmented"], schemas.AUGMENTED)
     return _stack(
         train=_augmented_train(pairs, langs),
-        dev=_csv_file(spark, sources["dev"], schemas.AUGMENTED),
-        test=_csv_file(spark, sources["test"], schemas.AUGMENTED),
+        dev=csv_file(spark, sources["dev"], schemas.AUGMENTED),
+        test=csv_file(spark, sources["test"], schemas.AUGMENTED),
     )
 
 
+BASELINES = {"mrpc": _mrpc_baseline, "tpc": _twitter_baseline, "quora": _quora_baseline}
+
+
 def renumber_augmented(augmented: DataFrame, langs: list[str]) -> DataFrame:
     """Unique ``IDS`` for the output of an augmentation: English first, then by language."""
     place = F.array_position(F.array(*[F.lit(c) for c in ["en", *langs]]), F.col("lang"))

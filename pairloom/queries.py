@@ -26,6 +26,8 @@ from pairloom.operators.dedup import remove_duplicates
 from pairloom.plans.augment import augment as store_augmented
 from pairloom.plans.augment import untranslated_rows
 from pairloom.plans.experiment import evaluate, experiment, prepared
+from pairloom.plans.grid import experiment_grid as run_whole_grid
+from pairloom.plans.grid import of_split, prepare_grid
 from pairloom.plans.prepare import prepare, renumber_augmented
 from pairloom.shared import fresh_path, write_table
 from pairloom.sources import readers, writers
@@ -615,6 +617,66 @@ def evaluate_run(spark, sf_dir):
     return whole.select("model", "key", F.round("value", 6).alias("value"), "table_line")
 
 
+def _grid_sources(spark, sf_dir) -> dict[str, dict]:
+    """Sources of the three datasets: all pairs, and the English ones with their translations."""
+    english = write_table(views.english(spark, sf_dir), "english")
+    made = augment.augment_by_column(english, views.rule_translation)
+    augmented = write_table(renumber_augmented(made, TARGET_LANGUAGES), "augmented")
+    corpus = write_table(views.corpus(spark, sf_dir), "corpus")
+    plain = corpus.drop("lang", "index")
+    tests = corpus.filter(F.col("lang") == "fr").drop("lang", "index")
+    raw = write_table(_raw_twitter(spark, sf_dir).join(corpus.select("IDS", "lang"), "IDS"), "raw")
+    of = lambda rows, french: rows.filter((F.col("lang") == "fr") == french).drop("lang", "index")
+    return {
+        "mrpc": {
+            "train": of(corpus, False),
+            "test": tests,
+            "augmented": augmented.withColumnsRenamed(
+                {"sentence": "#1 String", "paraphrase": "#2 String", "quality": "Quality"}
+            ),
+        },
+        "tpc": {"train": of(raw, False), "test": of(raw, True), "augmented": augmented, "dev": plain},
+        "quora": {"all": _raw_quora(spark, sf_dir), "augmented": augmented, "dev": plain, "test": tests},
+    }
+
+
+@query
+def experiment_grid(spark, sf_dir):
+    """All 3 datasets, 4 rule models and 11 language sets, and the baselines, in one go.
+
+    A model asks if a pair is so many times as long as the average training pair of its set.
+    """
+    size = F.length("sentence") + F.coalesce(F.length("paraphrase"), F.lit(0))
+
+    def fit_with(share: int):
+        def fit(train: DataFrame):
+            sums = write_table(
+                train.groupBy("lang_set").agg(F.sum(size).alias("total"), F.count(F.lit(1)).alias("n")), "means"
+            )
+            return lambda test: test.join(F.broadcast(sums), "lang_set").withColumn(
+                "pred", F.when(size * F.col("n") >= F.col("total") * share, 1).otherwise(0)
+            )
+
+        return fit
+
+    models = {"bert": fit_with(1), "xlnet": fit_with(2), "roberta": fit_with(3), "albert": fit_with(4)}
+    results, _ = run_whole_grid(spark, _grid_sources(spark, sf_dir), models, downsample=("mrpc",))
+    return _rounded(results, "dataset", "model", "langs")
+
+
+@query
+def grid_members(spark, sf_dir):
+    """Rows and positives of every split of every set of the sampled corpus, each split a table of its own."""
+    table = prepare_grid(spark, "mrpc", _grid_sources(spark, sf_dir)["mrpc"], downsample=True)
+    parts = [of_split(table, s).withColumn("split", F.lit(s)) for s in ("train", "dev", "test")]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return rows.groupBy("lang_set", "split").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum(F.col("quality").cast("bigint")).alias("n_positive"),
+        F.sum("IDS").alias("sum_ids"),
+    )
+
+
 @query
 def experiment_runs(spark, sf_dir):
     """Rule models: is a pair as long as the average training pair, or twice that?
