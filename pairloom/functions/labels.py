@@ -31,6 +31,17 @@ def squeeze(logits: Column) -> Column:
     return F.get(logits, F.lit(0))
 
 
+def cross_entropy(logits: Column, label: Column) -> Column:
+    """The loss of a row: log-sum-exp of its logits less the logit of its class.
+
+    The largest logit is taken out before the exponentials, so logits of any size neither
+    overflow nor lose the loss. A null label, or one without a logit, gives null.
+    """
+    top = F.array_max(logits)
+    total = F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x - top))
+    return top + F.log(total) - F.get(logits, label)
+
+
 def rank_key(key: Column, seed: int) -> Column:
     """A text that orders rows at random, the same on every run and layout."""
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.constants import TRANSLATION_BATCH
+from pairloom.constants import SCORING_BATCH, TRANSLATION_BATCH
+from pairloom.functions.labels import cross_entropy
 from pairloom.operators.keys import row_index
 
 
@@ -30,6 +31,20 @@ def flatten_batches(batches: DataFrame) -> DataFrame:
     return batches.select("batch_id", F.posexplode("texts").alias("pos", "text"))
 
 
+def evaluation_loss(
+    scored: DataFrame, place: str = "IDS", batch: int = SCORING_BATCH["bert"], logits: str = "logits", label: str = "quality"
+) -> DataFrame:
+    """``eval_loss, n_batches``: the mean over batches of the mean cross-entropy of their rows.
+
+    ``place`` is a dense row index from 0 in evaluation order, so that batches are runs of
+    ``batch`` rows. A row whose label has no logit fails the job.
+    """
+    lost = F.raise_error(F.lit("a row has no logit for its label")).cast("double")
+    loss = F.coalesce(cross_entropy(F.col(logits), F.col(label)), lost)
+    found = mean_of_batch_means(scored.withColumn("_loss", loss), "_loss", F.floor(F.col(place) / batch))
+    return found.withColumnRenamed("mean_of_means", "eval_loss")
+
+
 def mean_of_batch_means(df: DataFrame, value: str, batch: Column) -> DataFrame:
     """The plain mean of the means per batch (a short last batch counts in full)."""
     means = df.groupBy(batch.alias("_b")).agg(F.avg(value).alias("_m"))

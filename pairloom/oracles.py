@@ -460,6 +460,45 @@ ORACLES["pair_features"] = f"""WITH {_WORD_SETS}
     SELECT ids AS IDS, quality, len(both_)::INT AS n_both, len(one_)::INT AS n_one FROM sets"""
 ORACLES["fit_classifier"] = f"""WITH {_RATIOS}
     SELECT ids AS IDS, quality, score, CASE WHEN score > 0 THEN 1 ELSE 0 END AS pred FROM scored"""
+
+def _fit_sql() -> str:
+    """The iterative fit step by step: two batches in each of three epochs, rates rising once, then falling."""
+    steps, batches, rate, warmup = 6, 2, 4.0, 1
+    margin = "(w0 + w1 * x1 + w2 * x2)"
+    parts = [f"""x AS MATERIALIZED (SELECT ids, quality, len(both_) / (len(both_) + len(one_) + 1) AS x1,
+            len(one_) / (len(both_) + len(one_) + 1) AS x2, idx IN (SELECT idx FROM held) AS dev FROM sets),
+        w_0 AS MATERIALIZED (SELECT 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2)"""]
+    for k in range(steps):
+        r = rate * k / warmup if k < warmup else rate * (steps - k) / (steps - warmup)
+        error = f"(1 / (1 + exp(-{margin})) - quality)"
+        batch = f"('0x' || substr(md5(concat('{123 + k // batches}:', ids)), 1, 7))::BIGINT % {batches} = {k % batches}"
+        parts.append(f"""w_{k + 1} AS MATERIALIZED (
+          SELECT any_value(w0) - {r} * avg({error}) AS w0, any_value(w1) - {r} * avg({error} * x1) AS w1,
+                 any_value(w2) - {r} * avg({error} * x2) AS w2 FROM x, w_{k} WHERE NOT dev AND {batch})""")
+    scored = " UNION ALL ".join(
+        f"SELECT {k} AS step, ids, quality, {margin} AS m FROM x, w_{k} WHERE dev" for k in range(batches, steps + 1, batches)
+    )
+    loss = "greatest(m, 0) + ln(exp(-greatest(m, 0)) + exp(m - greatest(m, 0))) - CASE WHEN quality = 1 THEN m ELSE 0 END"
+    return f"""{_WORD_SETS},
+        held AS (SELECT idx FROM (SELECT idx, row_number() OVER (ORDER BY {_rank('idx')}) AS rk, ceil(0.2 * count(*) OVER ()) AS n
+                 FROM (SELECT DISTINCT idx FROM sets)) WHERE rk <= n),
+        {', '.join(parts)},
+        s AS (SELECT *, quality AS gold, CASE WHEN m > 0 THEN 1 ELSE 0 END AS pred, {loss} AS loss FROM ({scored})),
+        c AS ({_counts('s', 'step')}),
+        l AS (SELECT step, avg(loss) AS loss FROM s GROUP BY step)"""
+
+
+ORACLES["fit_epochs"] = f"""WITH {_fit_sql()}
+    SELECT step, (step // 2)::INT AS epoch, round(loss, 6) AS dev_loss, {_metrics('')} FROM c JOIN l USING (step)"""
+ORACLES["fit_best_state"] = f"""WITH {_fit_sql()}
+    SELECT ids AS IDS, step::INT AS step, quality, pred FROM s
+    WHERE step = (SELECT step FROM c ORDER BY {_F1P} DESC, step LIMIT 1)"""
+ORACLES["eval_loss"] = f"""WITH {PAIRS}, n AS (
+    SELECT row_number() OVER (ORDER BY ids) - 1 AS i, quality, length(sentence)::DOUBLE AS a,
+           coalesce(length(paraphrase), 0)::DOUBLE AS b FROM pairs),
+    l AS (SELECT i // 32 AS k, greatest(a, b) + ln(exp(a - greatest(a, b)) + exp(b - greatest(a, b)))
+            - CASE WHEN quality = 1 THEN b ELSE a END AS loss FROM n)
+    SELECT round(avg(m), 6) AS eval_loss, count(*) AS n_batches FROM (SELECT k, avg(loss) AS m FROM l GROUP BY k)"""
 ORACLES["downsample_siblings_joined"] = ORACLES["downsample_siblings"]
 ORACLES["metrics_report"] = _report_sql()
 ORACLES["evaluate_run"] = _run_sql()

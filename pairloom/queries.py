@@ -29,6 +29,7 @@ from pairloom.plans.experiment import evaluate, experiment, prepared
 from pairloom.plans.grid import experiment_grid as run_whole_grid
 from pairloom.plans.grid import of_split, prepare_grid
 from pairloom.plans.prepare import prepare, renumber_augmented
+from pairloom.plans import training
 from pairloom.shared import fresh_path, write_table
 from pairloom.sources import readers, writers
 
@@ -526,6 +527,41 @@ def fit_classifier(spark, sf_dir):
     return found.select("IDS", "quality", "score", "pred")
 
 
+@query
+def eval_loss(spark, sf_dir):
+    """The evaluation loss of the rule in place of a model, over batches in row order."""
+    pairs = views.corpus(spark, sf_dir).withColumnRenamed("IDS", "pair")
+    numbered = keys.row_index(pairs, "pair")
+    found = batches.evaluation_loss(scoring.score_pairs(numbered, _longer))
+    return found.select(F.round("eval_loss", 6).alias("eval_loss"), "n_batches")
+
+
+_FIT = {"n_features": 3, "epochs": 3, "batches": 2, "rate": 4.0, "warmup": 1}
+
+
+def _fitted(spark, sf_dir) -> tuple[DataFrame, str, DataFrame]:
+    rows = write_table(_labelled(spark, sf_dir), "labelled")
+    train, dev = training.stored_vectors(sampling.split_two(rows, group_by="index"), "vectors")
+    path = fresh_path(spark, "fit")
+    return training.fit_epochs(train, dev, path, **_FIT), path, dev
+
+
+@query
+def fit_epochs(spark, sf_dir):
+    """Loss and metrics on the held-out pairs after every epoch of an iterative fit."""
+    reports, _, _ = _fitted(spark, sf_dir)
+    return _rounded(reports, "step", "epoch", F.round("dev_loss", 6).alias("dev_loss"))
+
+
+@query
+def fit_best_state(spark, sf_dir):
+    """Classes of the held-out pairs by the state that was best on them."""
+    reports, path, dev = _fitted(spark, sf_dir)
+    step = training.best_step(reports)
+    scored = training.score_by_state(training.read_state(spark, path, step), dev)
+    return scored.select("IDS", F.lit(step).alias("step"), "quality", "pred")
+
+
 # Whole jobs --------------------------------------------------------------
 
 

@@ -85,6 +85,17 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def committed_parts(spark: SparkSession, folder: str, column: str) -> set[int]:
+    """Numbers k of the folders ``column=k`` in which a job has committed its table."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not files.exists(path):
+        return set()
+    names = [entry.getPath().getName() for entry in files.listStatus(path)]
+    done = lambda name: files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/_SUCCESS"))
+    return {int(n.split("=")[1]) for n in names if n.startswith(f"{column}=") and done(n)}
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Deal a scan with fewer input splits than cores out to all cores, by ``key``.
 
