@@ -499,6 +499,9 @@ ORACLES["eval_loss"] = f"""WITH {PAIRS}, n AS (
     l AS (SELECT i // 32 AS k, greatest(a, b) + ln(exp(a - greatest(a, b)) + exp(b - greatest(a, b)))
             - CASE WHEN quality = 1 THEN b ELSE a END AS loss FROM n)
     SELECT round(avg(m), 6) AS eval_loss, count(*) AS n_batches FROM (SELECT k, avg(loss) AS m FROM l GROUP BY k)"""
+ORACLES["src_tsv_quoted_parallel"] = ORACLES["src_tsv_quoted"]
+ORACLES["src_csv_parallel"] = f"""WITH {PAIRS} SELECT row_number() OVER (ORDER BY ids) - 1 AS IDS,
+    sentence || chr(10) || '",' || lang || '"' AS sentence, paraphrase, quality, lang, idx AS index FROM pairs"""
 ORACLES["downsample_siblings_joined"] = ORACLES["downsample_siblings"]
 ORACLES["metrics_report"] = _report_sql()
 ORACLES["evaluate_run"] = _run_sql()

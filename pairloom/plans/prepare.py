@@ -32,12 +32,12 @@ from pairloom.sources.writers import write_splits
 class RawFile:
     """A path in the raw layout with what its readers need to know.
 
-    ``multi_line=False`` reads files without line ends inside fields in many tasks each;
+    ``multi_line`` says how files with line ends inside fields are scanned (``read_tsv_quoted``);
     ``na_words=False`` keeps cell texts such as "NA" as they are.
     """
 
     path: str
-    multi_line: bool = True
+    multi_line: bool | str | None = None
     na_words: bool = True
 
 

@@ -77,6 +77,23 @@ def src_tsv_quoted(spark, sf_dir):
     return readers.read_tsv_quoted(spark, path)
 
 
+@query
+def src_tsv_quoted_parallel(spark, sf_dir):
+    """The same file by records, in many tasks, whatever its size."""
+    pairs = views.pairs(spark, sf_dir)
+    awkward = F.concat("sentence", F.lit('\t"'), "lang", F.lit('"\n'), F.col("score"))
+    path = views.write_twitter_file(spark, pairs.withColumn("sentence", awkward))
+    return readers.read_tsv_quoted(spark, path, multi_line="records")
+
+
+@query
+def src_csv_parallel(spark, sf_dir):
+    """A saved corpus with line ends in its fields, by records."""
+    awkward = F.concat("sentence", F.lit('\n",'), "lang", F.lit('"'))
+    path = views.write_pairs_csv(spark, views.corpus(spark, sf_dir).withColumn("sentence", awkward))
+    return readers.read_csv_pairs(spark, path, renumber=True, multi_line="records")
+
+
 @query
 def src_csv_pairs(spark, sf_dir):
     path = views.write_pairs_csv(spark, views.corpus(spark, sf_dir))
