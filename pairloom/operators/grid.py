@@ -13,6 +13,7 @@ from pairloom.constants import (
     METRICS,
     MODELS,
 )
+from pairloom.operators.metrics import with_metrics
 
 
 def language_sets(languages: list[str] = LANGUAGES) -> dict[str, list[str]]:
@@ -137,3 +138,26 @@ def family_rollup(pairs: DataFrame, families: DataFrame) -> DataFrame:
         )
         .select("family", "lang", "n_rows", "n_positive", "level")
     )
+
+
+def family_metrics(counts: DataFrame, families: DataFrame, *by: str) -> DataFrame:
+    """The metrics of every run by family, branch and language, with sub-totals and the total.
+
+    ``counts`` has the four confusion counts for each ``lang`` and the columns ``by``. They
+    are added up over grouping sets, and the metrics follow from the sums, so predictions
+    are counted once for all levels. ``level`` is 0 for a language, 1 for a branch, 3 for a family and 7
+    for the total. Languages without a family go to the family and branch ``other``.
+    """
+    named = counts.join(F.broadcast(families), "lang", "left").withColumns(
+        {
+            "family": F.coalesce("family", F.lit("other")),
+            "branch": F.coalesce("branch", F.lit("other")),
+            "language": F.coalesce("language", "lang"),
+        }
+    )
+    levels = ["family", "branch", "language"]
+    sums = [F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")]
+    sets = [[*by, *levels[:n]] for n in range(len(levels) + 1)]
+    level = F.grouping_id().cast("int").alias("level")
+    rolled = named.groupingSets([[F.col(c) for c in s] for s in sets], *by, *levels).agg(*sums, level)
+    return with_metrics(rolled).drop("tp", "fp", "fn", "tn")

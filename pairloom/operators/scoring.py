@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, VectorAssembler
@@ -17,27 +18,47 @@ from pairloom.functions.labels import argmax, squeeze
 from pairloom.functions.text import words
 from pairloom.operators.metrics import evaluate_runs
 from pairloom.schemas import require_columns
+from pairloom.shared import worker_cache
 
 BatchModel = Callable[[pd.DataFrame], list[list[float]]]
 
 
 def score_pairs(
     df: DataFrame,
-    load: Callable[[], BatchModel],
+    load: Callable[..., BatchModel],
     batch: int = SCORING_BATCH["bert"],
     keep: tuple[str, ...] = ("IDS", "quality"),
     inputs: tuple[str, ...] = ("sentence", "paraphrase"),
+    version: str | None = None,
+    weights: str | None = None,
 ) -> DataFrame:
-    """Add ``logits`` from a batch function, which each task loads once.
+    """Add ``logits`` from a batch function.
 
     The gold label travels with the row, so predictions need no join to meet it.
+
+    With ``version`` a Python worker loads the model once and keeps it for all its tasks,
+    until it is asked for another version; without it each task loads it. ``weights`` names
+    a file (in any file system that Spark reads) that every executor fetches once; ``load``
+    then gets the path of its copy.
     """
+    if weights is not None:
+        df.sparkSession.sparkContext.addFile(weights)
     require_columns(df, *keep, *inputs)
     columns = list(dict.fromkeys([*keep, *inputs]))
     out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keep).schema)
 
+    def loaded() -> BatchModel:
+        make = load if weights is None else lambda: load(SparkFiles.get(weights.rstrip("/").rsplit("/", 1)[-1]))
+        if version is None:
+            return make()
+        cache = worker_cache()
+        if "model" not in cache or cache["model"][0] != version:
+            cache.pop("model", None)  # one model at a time
+            cache["model"] = (version, make())
+        return cache["model"][1]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = load()
+        model = loaded()
         for frame in frames:
             logits: list[list[float]] = []
             for at in range(0, len(frame), batch):

@@ -499,6 +499,33 @@ ORACLES["eval_loss"] = f"""WITH {PAIRS}, n AS (
     l AS (SELECT i // 32 AS k, greatest(a, b) + ln(exp(a - greatest(a, b)) + exp(b - greatest(a, b)))
             - CASE WHEN quality = 1 THEN b ELSE a END AS loss FROM n)
     SELECT round(avg(m), 6) AS eval_loss, count(*) AS n_batches FROM (SELECT k, avg(loss) AS m FROM l GROUP BY k)"""
+_TAGGED = """(SELECT row_number() OVER (ORDER BY ids) - 1 AS IDS, sentence, paraphrase, quality,
+    CASE WHEN ids % 97 = 0 THEN 'label' WHEN paraphrase IS NULL THEN 'paraphrase' END AS reason,
+    CASE WHEN ids % 97 = 0 THEN 'n/a ' ELSE '' END || quality || chr(9) || ids || chr(9) || (ids + 1) || chr(9)
+      || sentence || chr(9) || coalesce(paraphrase, '') AS line FROM pairs)"""
+ORACLES["src_tsv_rejects"] = f"WITH {PAIRS} SELECT IDS, reason, line FROM {_TAGGED} WHERE reason IS NOT NULL"
+ORACLES["src_tsv_checked"] = f"WITH {PAIRS} SELECT IDS, sentence, paraphrase, quality FROM {_TAGGED} WHERE reason IS NULL"
+ORACLES["augment_job_answers"] = ORACLES["augment_job_service"]
+ORACLES["answers_reused"] = f"""WITH {ENGLISH},
+    t AS (SELECT paraphrase, CASE WHEN bool_or(ids % 10 <> 0) THEN 1 ELSE 2 END AS run FROM english
+          WHERE paraphrase IS NOT NULL GROUP BY paraphrase)
+    SELECT run::INT AS run, lang, to_foreign, count(*) AS n_asked
+    FROM t, (VALUES ('es'), ('yo')) AS l(lang), (VALUES (true), (false)) AS d(to_foreign) GROUP BY ALL"""
+ORACLES["report_file"] = f"""SELECT row_number() OVER (ORDER BY model, dataset, langs, key) - 1 AS place, table_line AS line
+    FROM ({_report_sql()})"""
+_NAMED = ", ".join(f"('{c}', '{n}', '{f}', '{b}')" for c, n, f, b in LANGUAGE_FAMILIES)
+ORACLES["family_metrics"] = f"""WITH {PREDS},
+    n AS (SELECT model, gold, pred, coalesce(family, 'other') AS family, coalesce(branch, 'other') AS branch,
+            coalesce(language, langs) AS language
+          FROM preds LEFT JOIN (VALUES {_NAMED}) AS f(lang, language, family, branch) ON f.lang = langs),
+    c AS (SELECT model, family, branch, language, grouping(family, branch, language)::INT AS level,
+            count(*) FILTER (gold = 1 AND pred = 1) AS tp, count(*) FILTER (gold = 0 AND pred = 1) AS fp,
+            count(*) FILTER (gold = 1 AND pred = 0) AS fn, count(*) FILTER (gold = 0 AND pred = 0) AS tn
+          FROM n GROUP BY GROUPING SETS ((model, family, branch, language), (model, family, branch), (model, family), (model)))
+    SELECT {_metrics('model, family, branch, language, level')} FROM c"""
+ORACLES["score_pairs_cached"] = f"""WITH {PAIRS} SELECT ids AS IDS, quality, CAST(length(sentence) AS DOUBLE) AS logit0,
+    coalesce(length(paraphrase), 0) / 2 AS logit1,
+    CASE WHEN coalesce(length(paraphrase), 0) / 2 > length(sentence) THEN 1 ELSE 0 END AS pred FROM pairs"""
 ORACLES["src_tsv_quoted_parallel"] = ORACLES["src_tsv_quoted"]
 ORACLES["src_csv_parallel"] = f"""WITH {PAIRS} SELECT row_number() OVER (ORDER BY ids) - 1 AS IDS,
     sentence || chr(10) || '",' || lang || '"' AS sentence, paraphrase, quality, lang, idx AS index FROM pairs"""

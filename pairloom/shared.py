@@ -12,7 +12,9 @@ import contextlib
 import contextvars
 import functools
 import re
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -47,7 +49,18 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{run_dir(spark)}/{_SCRATCH.get()}{name}-{uuid.uuid4().hex}"
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def worker_cache() -> dict:
+    """A dict that lives as long as a Python worker process.
+
+    Functions reach workers by value, so their own globals last one task. What is kept here
+    is a function of its key; a lost worker only costs the time to make it again.
+    """
+    module = sys.modules.setdefault("pairloom_kept", types.ModuleType("pairloom_kept"))
+    return module.__dict__.setdefault("entries", {})
+
+
+def delete_path(spark: SparkSession, folder: str) -> None:
+    """Delete a folder and all below it."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
@@ -58,7 +71,7 @@ def remove_intermediates(spark: SparkSession) -> None:
     To be called when its results are stored elsewhere: a DataFrame that still reads an
     intermediate table fails afterwards.
     """
-    _delete(spark, run_dir(spark))
+    delete_path(spark, run_dir(spark))
 
 
 @contextlib.contextmanager
@@ -74,7 +87,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _SCRATCH.reset(token)
-        _delete(spark, f"{run_dir(spark)}/{folder}")
+        delete_path(spark, f"{run_dir(spark)}/{folder}")
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
@@ -85,15 +98,15 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def committed_parts(spark: SparkSession, folder: str, column: str) -> set[int]:
-    """Numbers k of the folders ``column=k`` in which a job has committed its table."""
+def committed_parts(spark: SparkSession, folder: str, name: str, mark: str = "=") -> set[int]:
+    """Numbers k of the folders ``name=k`` in which a job has committed its table."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     if not files.exists(path):
         return set()
-    names = [entry.getPath().getName() for entry in files.listStatus(path)]
-    done = lambda name: files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/_SUCCESS"))
-    return {int(n.split("=")[1]) for n in names if n.startswith(f"{column}=") and done(n)}
+    parts = [entry.getPath().getName() for entry in files.listStatus(path)]
+    done = lambda part: files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{part}/_SUCCESS"))
+    return {int(p.removeprefix(name + mark)) for p in parts if p.startswith(name + mark) and done(p)}
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pairloom import schemas
 from pairloom.functions.text import null_words, strip, tab_field
 from pairloom.operators.keys import file_row_index
 from pairloom.operators.normalize import as_examples
+from pairloom.shared import write_table
 from pairloom.sources.records import quoted_records
 
 BOM = "\ufeff"
@@ -37,12 +38,36 @@ def read_tsv_pairs(spark: SparkSession, path: str, header: bool = True) -> DataF
     )
 
 
-def read_tsv_rejects(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """The lines whose label is not a number or that have no paraphrase."""
+def read_tsv_checked(spark: SparkSession, path: str, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``read_tsv_pairs`` of the good lines, and the others as ``IDS, reason, line``.
+
+    Every line is parsed and tagged once, and stored with its tag; both tables are read
+    from there. A line is bad when its label is no whole number ("label") or when it has no
+    fifth field ("paraphrase").
+    """
     cells = F.split(strip(F.col("value")), "\t", -1)
     lines = file_row_index(spark.read.text(path), header=header)
-    bad = tab_field(cells, 0).try_cast("int").isNull() | tab_field(cells, 4).isNull()
-    return lines.filter(bad).select("IDS", F.col("value").alias("line"))
+    label, second = tab_field(F.col("cells"), 0).try_cast("int"), tab_field(F.col("cells"), 4)
+    reason = F.when(label.isNull(), "label").when(second.isNull(), "paraphrase")
+    parsed = lines.select("IDS", "value", cells.alias("cells")).withColumn("reason", reason)
+    tagged = write_table(
+        parsed.select(
+            "IDS",
+            "reason",
+            tab_field(F.col("cells"), 3).alias("sentence"),
+            second.alias("paraphrase"),
+            label.alias("quality"),
+            F.when(F.col("reason").isNotNull(), F.col("value")).alias("line"),
+        ),
+        "tagged-lines",
+    )
+    good = tagged.filter(F.col("reason").isNull()).select("IDS", "sentence", "paraphrase", "quality")
+    return good, tagged.filter(F.col("reason").isNotNull()).select("IDS", "reason", "line")
+
+
+def read_tsv_rejects(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+    """The lines whose label is not a number or that have no paraphrase."""
+    return read_tsv_checked(spark, path, header)[1].select("IDS", "line")
 
 
 def read_tsv_cells(

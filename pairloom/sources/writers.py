@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pairloom.operators.sampling import split_sizes
 from pairloom.schemas import require_columns
+from pairloom.shared import committed_parts, delete_path
 
 
 def write_splits(df: DataFrame, path: str, fmt: str = "parquet") -> dict[str, int]:
@@ -87,16 +89,54 @@ def cached_features(
 
 
 def append_records(records: DataFrame, path: str) -> None:
-    """Append ``{config, results}`` records as JSON lines, one folder per dataset."""
+    """Append ``{config, results}`` records as JSON lines, one folder per attempt and dataset.
+
+    An attempt counts when its job has committed it; a failed one leaves nothing that
+    ``read_records`` would read. An attempt may repeat what an earlier one has appended.
+    """
     require_columns(records, "config", "results")
+    spark = records.sparkSession
+    attempt = max(committed_parts(spark, path, "attempt"), default=-1) + 1
     (
         records.withColumn("dataset", F.col("config.dataset"))
-        .write.mode("append")
+        .write.mode("overwrite")  # of what a failed attempt has left
         .partitionBy("dataset")
         .option("ignoreNullFields", False)
-        .json(path)
+        .json(f"{path.rstrip('/')}/attempt={attempt}")
     )
 
 
 def read_records(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).json(path).select("config", "results")
+    """The records of all committed attempts; of several with one config the last attempt's."""
+    path = path.rstrip("/")
+    done = sorted(committed_parts(spark, path, "attempt"))
+    if not done:
+        return spark.createDataFrame([], schema).select("config", "results")
+    rows = spark.read.schema(schema).option("basePath", path).json([f"{path}/attempt={k}" for k in done])
+    attempt = F.regexp_extract(F.col("_metadata.file_path"), "/attempt=([0-9]+)/", 1).cast("int")
+    last = F.max_by("results", attempt).alias("results")
+    return rows.groupBy("config").agg(last).select("config", "results")
+
+
+def write_report(report: DataFrame, path: str, *order: str, line: str = "line") -> None:
+    """Write the ``line`` column, sorted by ``order``, as one text file at ``path``.
+
+    The lines, a few for each run, are written by one task to a folder beside the file, which
+    then takes the file's place by a rename: readers see the old report or the new one.
+    """
+    spark = report.sparkSession
+    folder = f"{path}.{uuid.uuid4().hex}"
+    rows = report.select(line, *order).repartition(1).sortWithinPartitions(*order)
+    rows.select(F.col(line).alias("value")).write.text(folder)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    files = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    parts = [entry.getPath() for entry in files.listStatus(hadoop.Path(folder)) if entry.getPath().getName().startswith("part-")]
+    context = hadoop.FileContext.getFileContext(target.toUri(), spark._jsparkSession.sessionState().newHadoopConf())
+    if not parts:  # no lines: an empty file
+        parts = [hadoop.Path(f"{folder}/empty")]
+        files.create(parts[0]).close()
+    overwrite = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(parts[0], target, overwrite)
+    delete_path(spark, folder)
