@@ -118,9 +118,17 @@ near AS (
   SELECT a, b FROM links JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
   WHERE 100 * common >= 85 * (x.n + y.n - common)),
 reach(a, b) AS (SELECT a, b FROM near UNION SELECT reach.a, near.b FROM reach JOIN near ON near.a = reach.b),
-first AS (SELECT a AS doc_id, min(b) AS b FROM reach GROUP BY a)
-SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id
-FROM d LEFT JOIN n USING (doc_id) LEFT JOIN first USING (doc_id)
+first AS (SELECT a AS doc_id, min(b) AS b FROM reach GROUP BY a),
+same AS (
+  SELECT a AS doc_id, least(a, min(b)) AS set_id FROM links JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE common = x.n AND common = y.n GROUP BY a),
+sets AS (SELECT doc_id, coalesce(set_id, doc_id) AS set_id FROM n LEFT JOIN same USING (doc_id)),
+linked AS (
+  SELECT near.a AS doc_id, count(DISTINCT y.set_id) AS n_links
+  FROM near JOIN sets x ON x.doc_id = near.a JOIN sets y ON y.doc_id = near.b WHERE x.set_id <> y.set_id GROUP BY near.a)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id,
+  coalesce(n_links, 0) AS n_links
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN first USING (doc_id) LEFT JOIN linked USING (doc_id)
 """
 
 # The ring's virtual nodes with the rows up to each; then one walk of two laps, a step for

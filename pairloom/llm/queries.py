@@ -139,9 +139,9 @@ def remainder(n: int) -> Column:
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classes of documents whose sets of 4-word shingles have a similarity of 0.85 or more."""
+    """Classes of documents whose sets of 4-word shingles have a similarity of 0.85 or more, and each one's links."""
     classes = similar_documents(table(spark, sf_dir, "documents"), words=4, threshold=(85, 100))
-    return classes.select("doc_id", "n_shingles", "component_id")
+    return classes.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,16 +7,17 @@ partitions, so many groups that one of them holds at most one of the differing e
 Two of the three partitions of that group are then equal: every subset of two partitions
 is enumerated as a signature, and similar sets share one, whatever they are.
 
-Sets with a common signature are candidates. A group is never expanded into all its
-pairs: its members are first compared with one of them, and only groups that still hold
-different components are looked at again, by exact bounds from parity bitmaps. Every
-link is confirmed on the whole sets.
+Sets with a common signature are candidates. A signature's members are compared with one
+of them by exact bounds from parity bitmaps, and where they still lie in different
+components, with each other in blocks; a block only returns the pairs that join two
+components. So near components arise that hold every similar pair. In each of them the
+whole sets are compared, block against block, in the task that holds them: it returns one
+row for each set, with the number of its links and the set it hangs together with. No step
+writes out the pairs of a group.
 """
 
 from __future__ import annotations
 
-import gc
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,10 @@ from pairloom.shared import fresh_path, scratch, write_table
 
 GROUP, DIFFERING = 3, 1  # partitions in a group, and differing elements it may hold
 BITS = 2048  # of a parity bitmap
-BLOCK = 2048  # members of one signature, or of one component, that are compared in one task
-BLOCK_SHINGLES = 1_000_000  # of a component's block, on average
+BLOCK = 2048  # members of one signature whose bitmaps are compared in one task
+SETS = 256  # of a near component that are compared with as many others in one task
+SHINGLES = 250_000  # of such a block, on average
+SMALL = 1_000_000  # shingles of small components that one task takes together
 COLUMNS, POSTINGS = 4096, 64  # shingles multiplied together; pairs up to which a shingle's are listed
 FLUSH = 2_000_000  # signatures that leave a task together
 BROADCAST_ROWS = 2_000_000  # of ids (16 bytes each) that may be broadcast
@@ -112,24 +115,38 @@ def bitmaps(found: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out.reshape(n, BITS // 64)
 
 
+SIGNATURE_BYTES = 5  # of a signature within its slice; sets that only seem to share one are compared in vain
+
+
 def _packed(batches, parts, n_slices: int) -> Iterator[pa.RecordBatch]:
-    """Signature rows by slice, packed: one row for each slice and flush of a task.
+    """Signatures by slice: one row for each slice and flush of a task.
 
-    ``parts`` yields (signatures, other columns of 64 bits) for a batch.
+    ``parts`` yields (signatures, set of each, set ids) for a batch. A slice's row holds
+    set ids, the number of signatures of each, and the signatures without their lowest bytes.
     """
     held: list[tuple] = []
 
     def leave() -> Iterator[pa.RecordBatch]:
-        columns = np.stack([np.concatenate([h[i] for h in held]) for i in range(len(held[0]))], 1)
-        columns = np.unique(columns, axis=0) if len(columns) < 1000 else _distinct(columns)
-        slices = (columns[:, 0] % np.uint64(n_slices)).astype(np.int64)
-        order = np.argsort(slices, kind="stable")
-        columns, ends = columns[order], np.searchsorted(slices[order], np.arange(n_slices + 1))
+        base = np.cumsum([0, *[len(h[2]) for h in held]])
+        key, ids = np.concatenate([h[0] for h in held]), np.concatenate([h[2] for h in held])
+        of = np.concatenate([h[1] + n for h, n in zip(held, base[:-1], strict=True)])
+        place = (key % np.uint64(n_slices)).astype(np.int64) * len(ids) + of
+        order = np.argsort(place, kind="stable")
+        place, key = place[order], np.ascontiguousarray(key[order], "<u8")
+        start = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        count = np.diff(np.append(start, len(place))).astype("<u4")
+        own = ids[place[start] % len(ids)].astype("<u8")
+        slices = place[start] // len(ids)
+        short = key.view(np.uint8).reshape(-1, 8)[:, 8 - SIGNATURE_BYTES :]
+        ends = np.searchsorted(slices, np.arange(n_slices + 1))
         some = np.flatnonzero(np.diff(ends))
+        bounds = np.append(start, len(place))
         yield batch_of(
             {
                 "slice": some.astype(np.int32),
-                "rows": pa.array([columns[ends[s] : ends[s + 1]].tobytes() for s in some], pa.binary()),
+                "ids": pa.array([own[ends[s] : ends[s + 1]].tobytes() for s in some], pa.binary()),
+                "counts": pa.array([count[ends[s] : ends[s + 1]].tobytes() for s in some], pa.binary()),
+                "signatures": pa.array([short[bounds[ends[s]] : bounds[ends[s + 1]]].tobytes() for s in some], pa.binary()),
             }
         )
         held.clear()
@@ -144,6 +161,9 @@ def _packed(batches, parts, n_slices: int) -> Iterator[pa.RecordBatch]:
         yield from leave()
 
 
+_PACKED = "slice int, ids binary, counts binary, signatures binary"
+
+
 def _distinct(columns: np.ndarray) -> np.ndarray:
     order = np.lexsort([columns[:, i] for i in range(columns.shape[1])][::-1])
     columns = columns[order]
@@ -152,47 +172,34 @@ def _distinct(columns: np.ndarray) -> np.ndarray:
     return columns[new]
 
 
-def _unpacked(group: pa.Table, width: int) -> np.ndarray:
-    raw = b"".join(b.as_py() for b in group.column("rows"))
-    return _distinct(np.frombuffer(raw, np.uint64).reshape(-1, width))
-
-
-def _star_pairs(group: pa.Table) -> pa.Table:
-    """For each signature of a slice, its smallest set with each other one."""
-    rows = _unpacked(group, 2)
-    new = np.ones(len(rows), dtype=bool)
-    new[1:] = rows[1:, 0] != rows[:-1, 0]
-    start = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
-    other = np.flatnonzero(start != np.arange(len(rows)))
-    pairs = np.stack([rows[start[other], 1], rows[other, 1]], 1)
-    pairs = _distinct(pairs) if len(pairs) else pairs.reshape(0, 2)
-    return pa.table({"a": pa.array(pairs[:, 0].view(np.int64)), "b": pa.array(pairs[:, 1].view(np.int64))})
+def _groups(group: pa.Table) -> pa.Table:
+    """The sets of each signature of a slice: the smallest with each other one, equal groups once.
 
-
-def _open_groups(group: pa.Table) -> pa.Table:
-    """Members of signatures that hold several components; equal groups once."""
-    rows = _unpacked(group, 3)
-    if not len(rows):
-        return pa.table({c: pa.array([], pa.int64()) for c in ("gid", "set_id", "label")})
-    start = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
+    ``gid`` names a group of three or more; pairs have 0.
+    """
+    join = lambda c: b"".join(x.as_py() for x in group.column(c))
+    ids, counts = np.frombuffer(join("ids"), "<u8"), np.frombuffer(join("counts"), "<u4")
+    short = np.frombuffer(join("signatures"), np.uint8).reshape(-1, SIGNATURE_BYTES)
+    key = np.zeros((len(short), 8), dtype=np.uint8)
+    key[:, 8 - SIGNATURE_BYTES :] = short
+    rows = _distinct(np.stack([key.view("<u8").ravel(), np.repeat(ids, counts)], 1))
+    start = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0])) if len(rows) else np.zeros(0, np.int64)
     size = np.diff(np.append(start, len(rows)))
-    several = np.minimum.reduceat(rows[:, 2], start) != np.maximum.reduceat(rows[:, 2], start)
-    gid = mix(np.add.reduceat(mix(rows[:, 1] + np.uint64(5)), start) + size.astype(np.uint64))
+    gid = mix(np.add.reduceat(mix(rows[:, 1] + np.uint64(5)), start) + size.astype(np.uint64)) if len(rows) else np.zeros(0, np.uint64)
     _, one = np.unique(gid, return_index=True)
     once = np.zeros(len(start), dtype=bool)
     once[one] = True
-    take = np.repeat(several & once, size)
-    return pa.table(
-        {
-            "gid": pa.array(np.repeat(gid, size)[take].view(np.int64)),
-            "set_id": pa.array(rows[take, 1].view(np.int64)),
-            "label": pa.array(rows[take, 2].view(np.int64)),
-        }
-    )
+    once &= size > 1
+    gid = np.where(size > 2, gid | np.uint64(1), 0)
+    take = np.repeat(once, size)
+    take[start] = False
+    first = np.repeat(rows[start, 1], size)[take] if len(rows) else np.zeros(0, np.uint64)
+    columns = {"gid": np.repeat(gid, size)[take], "a": first, "b": rows[take, 1] if len(rows) else first}
+    return pa.table({c: pa.array(x.astype(np.uint64).view(np.int64)) for c, x in columns.items()})
 
 
-def _near_pairs(num: int, den: int):
-    """Pairs of one key and of different components that their sizes and bitmaps allow."""
+def _near_forest(num: int, den: int):
+    """Pairs of one key that their sizes and bitmaps allow, as far as they join different components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -213,6 +220,15 @@ def _near_pairs(num: int, den: int):
             table.column(c).to_numpy() for c in ("key", "one", "two", "block", "set_id", "label", "n")
         )
         bits = np.frombuffer(b"".join(table.column("bitmap").to_pylist()), np.uint64).reshape(len(key), -1)
+        names, own = np.unique(label, return_inverse=True)
+        up = np.arange(len(names))  # the components joined so far, as a forest over labels
+
+        def root(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
         active = np.arange(len(key))
         step = 1
         while True:
@@ -220,16 +236,24 @@ def _near_pairs(num: int, den: int):
             active = active[key[active] == key[active + step]]
             if not len(active):
                 return
-            i, j = active, active + step
-            ok = (label[i] != label[j]) & ((one[i] == two[i]) | (block[i] != block[j]))
-            ok &= np.minimum(size[i], size[j]) * den >= np.maximum(size[i], size[j]) * num
-            i, j = i[ok], j[ok]
-            for lo in range(0, len(i), 1 << 14):
-                a, b = i[lo : lo + (1 << 14)], j[lo : lo + (1 << 14)]
-                differ = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
-                keep = differ <= (size[a] + size[b]) * (den - num) // (den + num)
-                if keep.any():
-                    x, y = set_id[a[keep]], set_id[b[keep]]
+            for at in range(0, len(active), 1 << 14):
+                i = active[at : at + (1 << 14)]
+                j = i + step
+                while (up[up] != up).any():
+                    up[:] = up[up]
+                ok = (up[own[i]] != up[own[j]]) & ((one[i] == two[i]) | (block[i] != block[j]))
+                ok &= np.minimum(size[i], size[j]) * den >= np.maximum(size[i], size[j]) * num
+                i, j = i[ok], j[ok]
+                differ = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
+                keep = differ <= (size[i] + size[j]) * (den - num) // (den + num)
+                joined = []
+                for x, y in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
+                    a, b = root(own[x]), root(own[y])
+                    if a != b:
+                        up[max(a, b)] = min(a, b)
+                        joined.append((x, y))
+                if joined:
+                    x, y = set_id[[p[0] for p in joined]], set_id[[p[1] for p in joined]]
                     yield batch_of({"a": np.minimum(x, y), "b": np.maximum(x, y)})
             step += 1
 
@@ -269,71 +293,93 @@ def _common(row_a: np.ndarray, a: np.ndarray, n_a: int, row_b: np.ndarray, b: np
     return out
 
 
-def _counted(num: int, den: int):
-    """Links of each set of one block of a component with those of another, or of the same."""
+def _side(group: pa.Table, take: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and sizes of some rows' sets, each once, and their elements with the set of each."""
+    ids, first = np.unique(group.column("set_id").to_numpy()[take], return_index=True)
+    rows = group.take(pa.array(take[first]))
+    size = rows.column("n").to_numpy()
+    found = rows.column("shingles").combine_chunks().flatten().to_numpy()
+    return ids, size, np.repeat(np.arange(len(ids)), size), found
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        block, set_id, size = (group.column(c).to_numpy() for c in ("block", "set_id", "n"))
-        one, two = group.column("one")[0].as_py(), group.column("two")[0].as_py()
-        found = group.column("shingles").combine_chunks().flatten().to_numpy()
-        row = np.repeat(np.arange(len(size)), size)
-        sides = []
-        for b in (one, two):
-            own = np.flatnonzero(block == b)
-            place = np.full(len(size), -1)
-            place[own] = np.arange(len(own))
-            take = place[row] >= 0
-            sides.append((own, place[row[take]], found[take]))
-        (x, row_x, of_x), (y, row_y, of_y) = sides
-        common = _common(row_x, of_x, len(x), row_y, of_y, len(y))
-        linked = common * den >= (size[x][:, None] + size[y][None, :] - common) * num
-        if one == two:
-            np.fill_diagonal(linked, False)
-            ids, links = set_id[x], linked.sum(1)
-        else:
-            ids, links = np.concatenate([set_id[x], set_id[y]]), np.concatenate([linked.sum(1), linked.sum(0)])
-        return pa.table({"set_id": pa.array(ids), "n_links": pa.array(links.astype(np.int64))})
 
-    return run
+def _linked(a: tuple, b: tuple, num: int, den: int) -> np.ndarray:
+    """Which sets of one side are similar to which of the other."""
+    if len(a[0]) == len(b[0]) == 1:
+        common = np.array([[len(np.intersect1d(a[3], b[3], assume_unique=True))]])
+    else:
+        common = _common(a[2], a[3], len(a[0]), b[2], b[3], len(b[0]))
+    return common * den >= (a[1][:, None] + b[1][None, :] - common) * num
+
 
+def _hanging(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the sets of both sides the least set that links lead to; the second side counts on."""
+    n, m = linked.shape
+    x, y = np.arange(n), n + np.arange(m)
+    while True:
+        new_y = np.minimum(y, np.where(linked, x[:, None], n + m).min(0, initial=n + m))
+        new_x = np.minimum(x, np.where(linked, new_y[None, :], n + m).min(1, initial=n + m))
+        if (new_x == x).all() and (new_y == y).all():
+            return x, y
+        x, y = new_x, new_y
 
-def _release(df: DataFrame) -> None:
-    """Let Spark delete the shuffle files of finished steps.
 
-    It does so when the driver's JVM collects the objects that stand for them, which on a
-    quiet driver may be long after the next steps have filled the disks.
+def _exact(num: int, den: int):
+    """Links of each set within a block of a near component or between two blocks.
+
+    A group holds two blocks of one component, or many small components. A row for each
+    set: how many sets of the other side it is similar to, and the set it hangs together with.
     """
-    for _ in range(2):
-        gc.collect()
-        df.sparkSession._jvm.System.gc()
-        time.sleep(0.2)  # the cleaner works beside us
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        label, block = (group.column(c).to_numpy() for c in ("label", "block"))
+        one, two = group.column("one")[0].as_py(), group.column("two")[0].as_py()
+        order = np.argsort(label, kind="stable")
+        start = np.flatnonzero(np.append(True, label[order][1:] != label[order][:-1]))
+        out = []
+        for own in np.split(order, start[1:]):
+            if one == two:
+                a = b = _side(group, own)
+                linked = _linked(a, b, num, den) if len(a[0]) > 1 else np.zeros((len(a[0]), len(a[0])), dtype=bool)
+                np.fill_diagonal(linked, False)
+                ids, n_links, root = a[0], linked.sum(1), a[0][_hanging(linked | np.eye(len(a[0]), dtype=bool))[0]]
+            else:
+                a, b = (_side(group, own[block[own] == x]) for x in (one, two))
+                linked = _linked(a, b, num, den) if len(a[0]) and len(b[0]) else np.zeros((len(a[0]), len(b[0])), dtype=bool)
+                ids = np.concatenate([a[0], b[0]])
+                n_links, root = np.concatenate([linked.sum(1), linked.sum(0)]), ids[np.concatenate(_hanging(linked))]
+            out.append((ids, root, n_links))
+        ids, root, n_links = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.table({"set_id": ids, "root": root, "n_links": n_links.astype(np.int64)})
+
+    return run
 
 
 class SimilarSets:
-    """The join's stored tables: ``members`` (every row's key, n_shingles and set) and
-    ``links`` (confirmed pairs of different sets, enough of them to connect every class)."""
+    """The join's stored tables: ``members`` (every row's key, n_shingles and set), ``links``
+    (pairs of similar sets, enough of them to connect every class) and ``counts`` (set_id,
+    n_links: how many other sets each set of a near component is similar to)."""
 
     def __init__(self, docs: DataFrame, key: str, text: str, words: int, threshold: tuple[int, int]):
         self.num, self.den = threshold
         self.words = words
-        rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+        # A row is found again by this hash, whatever its key.
+        own = F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("row_hash")
+        self.rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), own)
         self.n_slices = max(8, 2 * docs.rdd.getNumPartitions())
-        self.members = write_table(with_columns(rows, "text", "n bigint, set_id bigint", self._sizes(), ["key"]), "sets")
-        stars = write_table(self._signed(rows).groupBy("slice").applyInArrow(_star_pairs, "a bigint, b bigint").distinct(), "stars")
-        _release(docs)
-        self.sets = write_table(self._involved(rows, stars), "involved-sets")
-        n, different = self.sets.agg(F.count(F.lit(1)), F.count_distinct("set_id")).first()
-        if n != different:  # rows that share key and text
-            self.sets = write_table(self.sets.dropDuplicates(["set_id"]), "involved-sets")
-        _release(docs)
-        first = write_table(self._confirmed(stars), "links")
-        _release(docs)
-        labels = components(first)
-        crossing = write_table(self._crossing(labels).join(stars, ["a", "b"], "left_anti"), "crossing")
-        _release(docs)
-        self.links = first.unionByName(write_table(self._confirmed(crossing), "links"))
-        _release(docs)
+        self.members = write_table(with_columns(self.rows, "text", "n bigint, set_id bigint", self._sizes(), ["key", "row_hash"]), "sets")
+        groups = self._signed().groupBy("slice").applyInArrow(_groups, "gid bigint, a bigint, b bigint")
+        groups = write_table(groups.distinct(), "groups")
+        stars = write_table(groups.select("a", "b").distinct(), "stars")
+        self.bits = self._bits(stars)
+        edges = write_table(self._near(stars), "near")
+        labels = components(edges)
+        more = write_table(self._crossing(groups, labels), "crossing")
+        if not more.isEmpty():
+            labels = components(edges.unionByName(more))
+        exact = write_table(self._exact(labels), "exact")
+        self.links = exact.filter("root <> set_id").select(F.col("root").alias("a"), F.col("set_id").alias("b"))
+        self.counts = exact.groupBy("set_id").agg(F.sum("n_links").alias("n_links"))
 
     def _sizes(self):
         words = self.words
@@ -344,42 +390,59 @@ class SimilarSets:
 
         return make
 
-    def _signed(self, rows: DataFrame) -> DataFrame:
+    def _signed(self) -> DataFrame:
         words, num, den, n_slices = self.words, self.num, self.den, self.n_slices
 
-        def parts(batch):
-            for piece in pieces(batch, "text"):
-                found, first = shingle_sets(piece.column("text"), words)
-                key, of = signatures(found, first, num, den)
-                yield key, set_ids(found, first).view(np.uint64)[of]
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            signed = np.zeros(0, dtype=np.uint64)  # sets that this task has signed
 
-        return rows.select("text").mapInArrow(lambda batches: _packed(batches, parts, n_slices), "slice int, rows binary")
+            def parts(batch):
+                nonlocal signed
+                for piece in pieces(batch, "text"):
+                    found, first = shingle_sets(piece.column("text"), words)
+                    ids, at = np.unique(set_ids(found, first).view(np.uint64), return_index=True)
+                    new = at[~np.isin(ids, signed)]
+                    size = np.diff(first)[new]
+                    step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+                    own = found[np.repeat(first[new], size) + step]
+                    bounds = np.concatenate([[0], np.cumsum(size)])
+                    signed = np.concatenate([signed, set_ids(found, first).view(np.uint64)[new]])
+                    yield *signatures(own, bounds, num, den), signed[len(signed) - len(new) :]
 
-    def _involved(self, rows: DataFrame, stars: DataFrame) -> DataFrame:
-        """set_id, n, shingles, bitmap of every set with a common signature, from its smallest key."""
-        ids = stars.select(F.col("a").alias("set_id")).unionByName(stars.select(F.col("b").alias("set_id"))).distinct()
-        chosen = self.members.filter("n > 0").groupBy("set_id").agg(F.min("key").alias("key")).join(ids, "set_id", "left_semi")
-        chosen = write_table(chosen.select("key", "set_id"), "involved")
+            yield from _packed(batches, parts, n_slices)
+
+        return self.rows.select("text").mapInArrow(run, _PACKED)
+
+    def _one_row(self) -> DataFrame:
+        """set_id, row_hash and n of every set that is not empty, from one of its rows."""
+        return self.members.filter("n > 0").groupBy("set_id").agg(F.min("row_hash").alias("row_hash"), F.first("n").alias("n"))
+
+    def _texts(self, chosen: DataFrame) -> DataFrame:
+        """The rows of a stored table with ``row_hash``, with their texts.
+
+        Its rows have numbers only, and up to BROADCAST_ROWS of them are broadcast.
+        """
         small = chosen.count() <= BROADCAST_ROWS
-        texts = rows.join(F.broadcast(chosen) if small else chosen, rows["key"].eqNullSafe(chosen["key"])).select("set_id", "text")
+        return self.rows.select("row_hash", "text").join(F.broadcast(chosen) if small else chosen, "row_hash").drop("row_hash")
+
+    def _bits(self, stars: DataFrame) -> DataFrame:
+        """set_id, n and bitmap of every set with a common signature."""
+        ids = stars.select(F.col("a").alias("set_id")).unionByName(stars.select(F.col("b").alias("set_id"))).distinct()
+        chosen = write_table(self._one_row().join(ids, "set_id", "left_semi").select("set_id", "row_hash"), "involved")
         words = self.words
 
         def make(piece: pa.RecordBatch) -> dict:
             found, first = shingle_sets(piece.column("text"), words)
             bits = bitmaps(found, first)
-            return {
-                "own": set_ids(found, first),
-                "n": np.diff(first),
-                "shingles": list_of(found.view(np.int64), np.diff(first)),
-                "bitmap": pa.array([b.tobytes() for b in bits], pa.binary()),
-            }
+            return {"own": set_ids(found, first), "n": np.diff(first), "bitmap": pa.array([b.tobytes() for b in bits], pa.binary())}
 
-        made = with_columns(texts, "text", "own bigint, n bigint, shingles array<bigint>, bitmap binary", make, ["set_id"])
-        # A key that several rows share may bring other sets.
-        return made.filter("own = set_id").drop("own")
+        made = with_columns(self._texts(chosen), "text", "own bigint, n bigint, bitmap binary", make, ["set_id"])
+        bits = write_table(made.filter("own = set_id").drop("own"), "bitmaps")
+        n, different = bits.agg(F.count(F.lit(1)), F.count_distinct("set_id")).first()
+        return bits if n == different else write_table(bits.dropDuplicates(["set_id"]), "bitmaps")  # repeated rows
 
-    def _confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose whole sets are similar: bitmaps first, then the sets."""
+    def _near(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that sizes and bitmaps allow."""
         num, den = self.num, self.den
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,54 +456,22 @@ class SimilarSets:
                 m, n = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
                 ok = np.minimum(m, n) * den >= np.maximum(m, n) * num
                 ok &= np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= (m + n) * (den - num) // (den + num)
-                yield batch.select(["a", "b", "n_a", "n_b"]).filter(pa.array(ok))
-
-        own = lambda x, *more: self.sets.select(F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), *more)
-        bits = lambda x: own(x, F.col("bitmap").alias(f"bits_{x}"))
-        sized = pairs.select("a", "b").join(bits("a"), "a").join(bits("b"), "b")
-        left = write_table(sized.mapInArrow(near, "a bigint, b bigint, n_a bigint, n_b bigint"), "near-pairs")
-        _release(left)
-        ids = left.select(F.col("a").alias("set_id")).unionByName(left.select(F.col("b").alias("set_id"))).distinct()
-        ids = write_table(ids, "near-sets")
-        # Only sets that are in a pair move.
-        own_ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-        moved = self.sets.select("set_id", "shingles").join(own_ids, "set_id", "left_semi")
-        sets = lambda x: moved.select(F.col("set_id").alias(x), F.col("shingles").alias(f"s_{x}"))
-        common = F.size(F.array_intersect("s_a", "s_b")).cast("bigint")
-        whole = left.join(sets("b"), "b").join(sets("a"), "a").withColumn("common", common)
-        return whole.filter(F.col("common") * den >= (F.col("n_a") + F.col("n_b") - F.col("common")) * num).select("a", "b")
-
-    def _crossing(self, labels: DataFrame) -> DataFrame:
-        """Pairs of different components that share a signature, as far as bitmaps allow them."""
-        num, den, n_slices = self.num, self.den, self.n_slices
-        known = self.sets.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
-            "label", F.coalesce("label", "set_id")
-        )
-
-        def parts(batch: pa.RecordBatch):
-            step = 2000
-            for i in range(0, batch.num_rows, step):
-                piece = batch.slice(i, step)
-                lists = piece.column("shingles")
-                found = lists.flatten().to_numpy().view(np.uint64)
-                first = np.concatenate([[0], np.cumsum(piece.column("n").to_numpy())])
-                key, of = signatures(found, first, num, den)
-                ids, label = (piece.column(c).to_numpy().view(np.uint64) for c in ("set_id", "label"))
-                yield key, ids[of], label[of]
-
-        signed = known.select("set_id", "label", "n", "shingles").mapInArrow(
-            lambda batches: _packed(batches, parts, n_slices), "slice int, rows binary"
-        )
-        opened = write_table(
-            signed.groupBy("slice").applyInArrow(_open_groups, "gid bigint, set_id bigint, label bigint").distinct(),
-            "open-groups",
-        )
+                yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+        side = lambda x: self.bits.select(F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bitmap").alias(f"bits_{x}"))
+        return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(near, "a bigint, b bigint")
+
+    def _crossing(self, groups: DataFrame, labels: DataFrame) -> DataFrame:
+        """Near pairs that join components, from the groups that hold several of them."""
+        named = groups.filter("gid <> 0")
+        rows = named.select("gid", F.col("b").alias("set_id")).unionByName(named.select("gid", F.col("a").alias("set_id")).distinct())
+        known = rows.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+        known = write_table(known, "group-members")
+        several = known.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
+        several = several.filter("lo <> hi").select("gid", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
         # A group of more than BLOCK members is dealt to blocks; every two blocks meet in one task.
-        large = opened.groupBy("gid").count().filter(F.col("count") > BLOCK)
-        large = write_table(large.select("gid", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "large-groups")
         dealt = (
-            opened.join(large, "gid", "left")
-            .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+            known.join(write_table(several, "open-groups"), "gid")
             .withColumn("block", F.pmod(F.xxhash64("set_id"), "blocks").cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .select(
@@ -452,31 +483,41 @@ class SimilarSets:
                 "label",
             )
         )
-        rows = dealt.join(self.sets.select("set_id", "n", "bitmap"), "set_id")
-        sorted_ = rows.repartition("key").sortWithinPartitions("key", "set_id")
-        return sorted_.mapInArrow(_near_pairs(num, den), "a bigint, b bigint").distinct()
+        sorted_ = dealt.join(self.bits, "set_id").repartition("key").sortWithinPartitions("key", "set_id")
+        return sorted_.mapInArrow(_near_forest(self.num, self.den), "a bigint, b bigint").distinct()
 
-    def link_counts(self, labels: DataFrame) -> DataFrame:
-        """set_id, n_links: how many other sets each linked set is similar to.
+    def _exact(self, labels: DataFrame) -> DataFrame:
+        """set_id, root, n_links of the sets of near components, from their whole sets.
 
-        Similar sets are in one component, so the sets of each component are compared with
-        each other, block against block, on whole sets.
+        The sets of a component are dealt to blocks, and every two blocks meet in one task.
         """
-        sets = self.sets.select("set_id", "n", "shingles").join(labels.withColumnRenamed("node", "set_id"), "set_id")
-        sizes = sets.groupBy("label").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("total"))
-        blocks = F.ceil(F.greatest(F.col("count") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
-        sizes = write_table(sizes.select("label", "count", blocks.alias("blocks")), "component-sizes")
-        two = labels.join(sizes.filter("count = 2"), "label").select(F.col("node").alias("set_id"), F.lit(1).cast("bigint").alias("n_links"))
+        near = labels.withColumnRenamed("node", "set_id").join(self._one_row(), "set_id")
+        near = write_table(near, "near-sets")
+        sizes = near.groupBy("label").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("total"))
+        blocks = F.ceil(F.greatest(F.col("count") / SETS, F.col("total") / SHINGLES)).cast("int")
+        sizes = write_table(sizes.select("label", "total", F.least(blocks, "count").cast("int").alias("blocks")), "component-sizes")
+        tasks = sizes.filter("blocks = 1").agg(F.sum("total")).first()[0] or 0
+        tasks = tasks // SMALL + 1
+        chosen = write_table(near.join(sizes, "label").select("row_hash", "set_id", "label", "blocks"), "chosen-sets")
+        words = self.words
+
+        def make(piece: pa.RecordBatch) -> dict:
+            found, first = shingle_sets(piece.column("text"), words)
+            return {"own": set_ids(found, first), "n": np.diff(first), "shingles": list_of(found.view(np.int64), np.diff(first))}
+
+        made = with_columns(self._texts(chosen), "text", "own bigint, n bigint, shingles array<bigint>", make, ["set_id", "label", "blocks"])
         dealt = (
-            sets.join(sizes.filter("count > 2"), "label")
+            made.filter("own = set_id")
             .withColumn("block", F.pmod(F.xxhash64("set_id"), "blocks").cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
-            .select("label", "one", "two", "block", "set_id", "n", "shingles")
+            .withColumn("together", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("label"), F.lit(tasks))).otherwise(F.col("label")))
+            .withColumn("small", F.col("blocks") == 1)
+            .select("small", "together", "one", "two", "block", "label", "set_id", "n", "shingles")
+        )
+        return dealt.groupBy("small", "together", "one", "two").applyInArrow(
+            _exact(self.num, self.den), "set_id bigint, root bigint, n_links bigint"
         )
-        # Two blocks meet once; an empty one leaves the other alone and counts nothing.
-        counted = dealt.groupBy("label", "one", "two").applyInArrow(_counted(self.num, self.den), "set_id bigint, n_links bigint")
-        return two.unionByName(counted.groupBy("set_id").agg(F.sum("n_links").alias("n_links")))
 
 
 def _named(found: SimilarSets, labels: DataFrame) -> DataFrame:
@@ -513,7 +554,7 @@ def similar_documents(
     labels = components(found.links, "classes")
     classes = write_table(
         _named(found, labels)
-        .join(found.link_counts(labels), "set_id", "left")
+        .join(found.counts, "set_id", "left")
         .select("set_id", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")),
         "classes",
     )

@@ -56,6 +56,7 @@ def sample(seed, n=120):
 @pytest.mark.parametrize("seed,words,threshold,block", [(1, 4, (85, 100), 2048), (2, 5, (80, 100), 4), (3, 2, (60, 100), 3)])
 def test_against_all_pairs(spark, docs_of, monkeypatch, seed, words, threshold, block):
     monkeypatch.setattr(similarity, "BLOCK", block)
+    monkeypatch.setattr(similarity, "SETS", block)
     monkeypatch.setattr(similarity, "FLUSH", 500)
     texts = sample(seed)
     out = similar_documents(docs_of(texts).selectExpr("*", "1 as n", "2 as set_id"), words=words, threshold=threshold)
@@ -110,7 +111,7 @@ def test_one_of_each_with_shared_and_null_keys(spark, docs_of):
 
 
 def test_every_link_is_counted(spark, docs_of, monkeypatch):
-    monkeypatch.setattr(similarity, "BLOCK", 16)  # several blocks of a component
+    monkeypatch.setattr(similarity, "SETS", 16)  # several blocks of a component
     base = [f"w{i}" for i in range(60)]
     texts = [" ".join(base[:i] + [f"x{i}"] + base[i + 1 :]) for i in range(40)] + [" ".join(base)] * 3 + ["a b", "a B", "c", None]
     texts += [" ".join(f"y{i}" for i in range(k, k + 40)) for k in range(0, 30, 3)]
