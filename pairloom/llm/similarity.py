@@ -33,8 +33,8 @@ from pairloom.shared import fresh_path, scratch, write_table
 GROUP, DIFFERING = 3, 1  # partitions in a group, and differing elements it may hold
 BITS = 2048  # of a parity bitmap
 BLOCK = 2048  # members of one signature whose bitmaps are compared in one task
-SETS = 256  # of a near component that are compared with as many others in one task
-SHINGLES = 250_000  # of such a block, on average
+SETS = 1024  # of a near component that are compared with as many others in one task
+SHINGLES = 1_000_000  # of such a block, on average; a set moves once for each block of its component
 SMALL = 1_000_000  # shingles of small components that one task takes together
 COLUMNS, POSTINGS = 4096, 64  # shingles multiplied together; pairs up to which a shingle's are listed
 FLUSH = 2_000_000  # signatures that leave a task together
