@@ -22,6 +22,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,7 @@ BITS = 2048  # of a parity bitmap
 BLOCK = 2048  # members of one signature whose bitmaps are compared in one task
 SETS = 1024  # of a near component that are compared with as many others in one task
 SHINGLES = 1_000_000  # of such a block, on average; a set moves once for each block of its component
+CENTERS = 32 << 20  # bytes of the first sets of large components, which are broadcast up to this size
 SMALL = 1_000_000  # shingles of small components that one task takes together
 COLUMNS, POSTINGS = 4096, 64  # shingles multiplied together; pairs up to which a shingle's are listed
 FLUSH = 2_000_000  # signatures that leave a task together
@@ -293,21 +296,48 @@ def _common(row_a: np.ndarray, a: np.ndarray, n_a: int, row_b: np.ndarray, b: np
     return out
 
 
-def _side(group: pa.Table, take: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids and sizes of some rows' sets, each once, and their elements with the set of each."""
+def _differences(found: np.ndarray, first: np.ndarray, label: np.ndarray, centers: dict[int, np.ndarray]):
+    """Each set as it differs from its component's center, or whole if it has none.
+
+    Returns the elements in which they differ, their number for each set, how many of them
+    only the center has, and the center's size (0: none). For two sets with one center,
+    the common elements are size - removed - removed' + common differences, because
+    elements that one set lacks and elements that it adds are never the same.
+    """
+    n = len(first) - 1
+    removed, base = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    parts = [found[first[i] : first[i + 1]] for i in range(n)]
+    for name in np.unique(label):
+        center = centers.get(int(name))
+        if center is None:
+            continue
+        for i in np.flatnonzero(label == name):
+            at = np.minimum(np.searchsorted(center, parts[i]), len(center) - 1)
+            held = center[at] == parts[i]
+            lacks = np.ones(len(center), dtype=bool)
+            lacks[at[held]] = False
+            removed[i], base[i] = lacks.sum(), len(center)
+            parts[i] = np.concatenate([center[lacks], parts[i][~held]])
+    return np.concatenate([np.zeros(0, np.uint64), *parts]), np.array([len(x) for x in parts], dtype=np.int64), removed, base
+
+
+def _side(group: pa.Table, take: np.ndarray) -> tuple:
+    """Ids, sizes, removed elements and center's size of some rows' sets, each set once, and
+    the differing elements with the set of each."""
     ids, first = np.unique(group.column("set_id").to_numpy()[take], return_index=True)
     rows = group.take(pa.array(take[first]))
-    size = rows.column("n").to_numpy()
-    found = rows.column("shingles").combine_chunks().flatten().to_numpy()
-    return ids, size, np.repeat(np.arange(len(ids)), size), found
+    lists = rows.column("shingles").combine_chunks()
+    size, removed, base = (rows.column(c).to_numpy() for c in ("n", "removed", "base"))
+    return ids, size, removed, base, np.repeat(np.arange(len(ids)), pc.list_value_length(lists).to_numpy()), lists.flatten().to_numpy()
 
 
 def _linked(a: tuple, b: tuple, num: int, den: int) -> np.ndarray:
     """Which sets of one side are similar to which of the other."""
     if len(a[0]) == len(b[0]) == 1:
-        common = np.array([[len(np.intersect1d(a[3], b[3], assume_unique=True))]])
+        common = np.array([[len(np.intersect1d(a[5], b[5], assume_unique=True))]])
     else:
-        common = _common(a[2], a[3], len(a[0]), b[2], b[3], len(b[0]))
+        common = _common(a[4], a[5], len(a[0]), b[4], b[5], len(b[0]))
+    common = common + a[3][:, None] - a[2][:, None] - b[2][None, :]
     return common * den >= (a[1][:, None] + b[1][None, :] - common) * num
 
 
@@ -486,6 +516,28 @@ class SimilarSets:
         sorted_ = dealt.join(self.bits, "set_id").repartition("key").sortWithinPartitions("key", "set_id")
         return sorted_.mapInArrow(_near_forest(self.num, self.den), "a bigint, b bigint").distinct()
 
+    def _centers(self, near: DataFrame, chosen: DataFrame) -> Broadcast:
+        """The sorted first set of each component of several blocks, by label.
+
+        Its sets move once for each block, so only as they differ from this one. There are few
+        such components; should their first sets exceed CENTERS bytes, all sets move whole.
+        """
+        context = near.sparkSession.sparkContext
+        large = write_table(chosen.filter("blocks > 1 AND set_id = label"), "centers")
+        held = near.join(large.select("set_id"), "set_id", "left_semi").agg(F.sum("n")).first()[0] or 0
+        if not 0 < 8 * held <= CENTERS:
+            return context.broadcast({})
+        words = self.words
+
+        def make(piece: pa.RecordBatch) -> dict:
+            found, first = shingle_sets(piece.column("text"), words)
+            return {"own": set_ids(found, first), "shingles": list_of(found.view(np.int64), np.diff(first))}
+
+        made = with_columns(self._texts(large), "text", "own bigint, shingles array<bigint>", make, ["set_id"])
+        rows = made.filter("own = set_id").dropDuplicates(["set_id"]).toArrow()
+        sets = [x.values.to_numpy().view(np.uint64) for x in rows.column("shingles")]
+        return context.broadcast(dict(zip(rows.column("set_id").to_pylist(), sets, strict=True)))
+
     def _exact(self, labels: DataFrame) -> DataFrame:
         """set_id, root, n_links of the sets of near components, from their whole sets.
 
@@ -499,13 +551,21 @@ class SimilarSets:
         tasks = sizes.filter("blocks = 1").agg(F.sum("total")).first()[0] or 0
         tasks = tasks // SMALL + 1
         chosen = write_table(near.join(sizes, "label").select("row_hash", "set_id", "label", "blocks"), "chosen-sets")
-        words = self.words
+        words, sent = self.words, self._centers(near, chosen)
 
         def make(piece: pa.RecordBatch) -> dict:
             found, first = shingle_sets(piece.column("text"), words)
-            return {"own": set_ids(found, first), "n": np.diff(first), "shingles": list_of(found.view(np.int64), np.diff(first))}
+            other, size, removed, base = _differences(found, first, piece.column("label").to_numpy(), sent.value)
+            return {
+                "own": set_ids(found, first),
+                "n": np.diff(first),
+                "shingles": list_of(other.view(np.int64), size),
+                "removed": removed,
+                "base": base,
+            }
 
-        made = with_columns(self._texts(chosen), "text", "own bigint, n bigint, shingles array<bigint>", make, ["set_id", "label", "blocks"])
+        result = "own bigint, n bigint, shingles array<bigint>, removed bigint, base bigint"
+        made = with_columns(self._texts(chosen), "text", result, make, ["set_id", "label", "blocks"])
         dealt = (
             made.filter("own = set_id")
             .withColumn("block", F.pmod(F.xxhash64("set_id"), "blocks").cast("int"))
@@ -513,7 +573,7 @@ class SimilarSets:
             .withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
             .withColumn("together", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("label"), F.lit(tasks))).otherwise(F.col("label")))
             .withColumn("small", F.col("blocks") == 1)
-            .select("small", "together", "one", "two", "block", "label", "set_id", "n", "shingles")
+            .select("small", "together", "one", "two", "block", "label", "set_id", "n", "shingles", "removed", "base")
         )
         return dealt.groupBy("small", "together", "one", "two").applyInArrow(
             _exact(self.num, self.den), "set_id bigint, root bigint, n_links bigint"
