@@ -33,12 +33,13 @@ from pairloom.operators.skew import salted_join
 from pairloom.shared import fresh_path, scratch, write_table
 
 GROUP, DIFFERING = 3, 1  # partitions in a group, and differing elements it may hold
-BITS = 2048  # of a parity bitmap
+BITS = 2048  # of a parity bitmap at least; a larger set has as many as elements, rounded up to a power of two
 BLOCK = 2048  # members of one signature whose bitmaps are compared in one task
 SETS = 1024  # of a near component that are compared with as many others in one task
 SHINGLES = 1_000_000  # of such a block, on average; a set moves once for each block of its component
 CENTERS = 32 << 20  # bytes of the first sets of large components, which are broadcast up to this size
 SMALL = 1_000_000  # shingles of small components that one task takes together
+NEAR_ROWS = 2000  # pairs whose bitmaps are compared at once
 COLUMNS, POSTINGS = 4096, 64  # shingles multiplied together; pairs up to which a shingle's are listed
 FLUSH = 2_000_000  # signatures that leave a task together
 BROADCAST_ROWS = 2_000_000  # of ids (16 bytes each) that may be broadcast
@@ -107,15 +108,45 @@ def signatures(found: np.ndarray, first: np.ndarray, num: int, den: int) -> tupl
     return np.concatenate(out), np.concatenate(of)
 
 
-def bitmaps(found: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Parity bitmap of each set, BITS / 64 words: two sets' bitmaps differ in no more bits
-    than the sets differ in elements."""
-    n = len(first) - 1
-    bit = mix(found + np.uint64(77)) % np.uint64(BITS)
-    row = np.repeat(np.arange(n), np.diff(first))
-    out = np.zeros(n * (BITS // 64), dtype=np.uint64)
-    np.bitwise_xor.at(out, row * (BITS // 64) + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-    return out.reshape(n, BITS // 64)
+def bitmaps(found: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Parity bitmap of each set: two sets' bitmaps of one length differ in no more bits than
+    the sets differ in elements. Folded by exclusive or, a bitmap is that of a shorter length."""
+    size = np.diff(first)
+    bits = np.maximum(BITS, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    at = np.concatenate([[0], np.cumsum(bits >> 6)])
+    row = np.repeat(np.arange(len(size)), size)
+    bit = mix(found + np.uint64(77)) & (bits[row] - 1).astype(np.uint64)
+    out = np.zeros(at[-1], dtype=np.uint64)
+    np.bitwise_xor.at(out, at[row] + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return [out[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
+class Bitmaps:
+    """Bitmaps of many sets, to be compared pair by pair at the shorter one's length."""
+
+    def __init__(self, raw: list[bytes]):
+        self.width = np.array([len(r) for r in raw], dtype=np.int64)
+        self.place, self.table = {}, {}
+        for width in np.unique(self.width).tolist():
+            rows = np.flatnonzero(self.width >= width)
+            table = np.empty((len(rows), width // 8), dtype=np.uint64)
+            for own in np.unique(self.width[rows]).tolist():
+                some = np.flatnonzero(self.width[rows] == own)
+                whole = np.frombuffer(b"".join([raw[i] for i in rows[some].tolist()]), np.uint64)
+                table[some] = np.bitwise_xor.reduce(whole.reshape(len(some), own // width, width // 8), axis=1)
+            place = np.zeros(len(raw), dtype=np.int64)
+            place[rows] = np.arange(len(rows))
+            self.place[width], self.table[width] = place, table
+
+    def differing(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """In how many bits the sets i differ from the sets j."""
+        out = np.zeros(len(i), dtype=np.int64)
+        width = np.minimum(self.width[i], self.width[j])
+        for w in np.unique(width).tolist():
+            some = np.flatnonzero(width == w)
+            place, table = self.place[w], self.table[w]
+            out[some] = np.bitwise_count(table[place[i[some]]] ^ table[place[j[some]]]).sum(1, dtype=np.int64)
+        return out
 
 
 SIGNATURE_BYTES = 5  # of a signature within its slice; sets that only seem to share one are compared in vain
@@ -222,7 +253,7 @@ def _near_forest(num: int, den: int):
         key, one, two, block, set_id, label, size = (
             table.column(c).to_numpy() for c in ("key", "one", "two", "block", "set_id", "label", "n")
         )
-        bits = np.frombuffer(b"".join(table.column("bitmap").to_pylist()), np.uint64).reshape(len(key), -1)
+        bits = Bitmaps(table.column("bitmap").to_pylist())
         names, own = np.unique(label, return_inverse=True)
         up = np.arange(len(names))  # the components joined so far, as a forest over labels
 
@@ -247,8 +278,7 @@ def _near_forest(num: int, den: int):
                 ok = (up[own[i]] != up[own[j]]) & ((one[i] == two[i]) | (block[i] != block[j]))
                 ok &= np.minimum(size[i], size[j]) * den >= np.maximum(size[i], size[j]) * num
                 i, j = i[ok], j[ok]
-                differ = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
-                keep = differ <= (size[i] + size[j]) * (den - num) // (den + num)
+                keep = bits.differing(i, j) <= (size[i] + size[j]) * (den - num) // (den + num)
                 joined = []
                 for x, y in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
                     a, b = root(own[x]), root(own[y])
@@ -477,16 +507,16 @@ class SimilarSets:
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                a, b = (
-                    np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-                    for c in ("bits_a", "bits_b")
-                )
-                m, n = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
-                ok = np.minimum(m, n) * den >= np.maximum(m, n) * num
-                ok &= np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= (m + n) * (den - num) // (den + num)
-                yield batch.select(["a", "b"]).filter(pa.array(ok))
+                for at in range(0, batch.num_rows, NEAR_ROWS):
+                    part = batch.slice(at, NEAR_ROWS)
+                    m, n = part.column("n_a").to_numpy(), part.column("n_b").to_numpy()
+                    part = part.filter(pa.array(np.minimum(m, n) * den >= np.maximum(m, n) * num))
+                    if not part.num_rows:
+                        continue
+                    m, n = part.column("n_a").to_numpy(), part.column("n_b").to_numpy()
+                    own = Bitmaps(part.column("bits_a").to_pylist() + part.column("bits_b").to_pylist())
+                    differ = own.differing(np.arange(len(m)), len(m) + np.arange(len(m)))
+                    yield part.select(["a", "b"]).filter(pa.array(differ <= (m + n) * (den - num) // (den + num)))
 
         side = lambda x: self.bits.select(F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bitmap").alias(f"bits_{x}"))
         return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(near, "a bigint, b bigint")

@@ -150,3 +150,18 @@ def test_components(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == {n: find(n) for n in label}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_bitmaps_of_all_lengths():
+    """Folded bitmaps are those of the shorter length, and unlike large sets are told apart."""
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(1, 2**62, n, dtype=np.uint64)) for n in (1, 2000, 2048, 2049, 9000, 9000, 40_000)]
+    sets.append(np.unique(np.concatenate([sets[4][:8500], rng.integers(1, 2**62, 300, dtype=np.uint64)])))
+    first = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    own = similarity.Bitmaps([b.tobytes() for b in bitmaps(np.concatenate(sets), first)])
+    i, j = np.triu_indices(len(sets), 1)
+    differ = own.differing(i, j)
+    for a, b, d in zip(i, j, differ):
+        assert d <= len(np.setxor1d(sets[a], sets[b]))
+    pair = {(a, b): d for a, b, d in zip(i.tolist(), j.tolist(), differ.tolist())}
+    assert pair[4, 7] <= 800 and pair[4, 5] > 18_000 * 20 // 180
