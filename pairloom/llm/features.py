@@ -15,21 +15,26 @@ def labelled_sample(
 ) -> DataFrame:
     """At most ``rows`` labelled training documents: key, text, label.
 
-    The labels with the smallest hashes of (key, label) are taken, whatever their order;
-    rows without key or label take no part. So few labels are broadcast, and the texts
-    are not shuffled.
+    Only labels whose key is in ``docs`` are chosen from, so labels of documents that an
+    earlier stage has removed take no place. Those with the smallest hashes of (key, label)
+    are taken, whatever their order; rows without key or label take no part. A key that
+    several rows of ``docs`` share counts once, with its smallest text (null: empty). So the
+    result has ``rows`` rows at most; few labels are broadcast, and only their texts move.
+    Texts longer than SAMPLE_CHARS are left out of fits.
     """
+    own = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     chosen = (
         labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").alias("label"))
         .withColumnRenamed("key", key)
         .filter(F.col(key).isNotNull() & F.col("label").isNotNull() & train)
         .distinct()
-        .orderBy(F.xxhash64(key, "label"), key, "label")
-        .limit(rows)
         .withColumnRenamed(key, "key")
+        .join(own.select("key").distinct(), "key", "left_semi")
+        .orderBy(F.xxhash64("key", "label"), "key", "label")
+        .limit(rows)
     )
-    texts = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "key").filter(F.char_length("text") <= SAMPLE_CHARS)
+    texts = own.join(F.broadcast(chosen), "key").filter(F.char_length("text") <= SAMPLE_CHARS)
+    return texts.groupBy("key", "label").agg(F.min("text").alias("text")).select("key", "text", "label")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -5,11 +5,18 @@ word the Levenshtein automaton of the word is run over the trie, branch by branc
 follows only branches that can still come within the allowed distance. Every hit is then
 judged by its context window: one inside quotation marks, or near words that report or
 discuss speech, is quotation; one that addresses somebody is abuse. The counts of the
-kinds of hits go into a logistic regression learned from labelled rows.
+kinds of hits go into a logistic regression learned from labelled rows, from the same
+rows with their hits misspelled, and with their hits quoted. A misspelled hit counts as a
+learned share of an exact one, so it never lowers a score. Near misses that clean labelled
+rows hold are words of their own and no hits.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,9 +29,9 @@ from pairloom.shared import scratch, write_table
 WINDOW = 6  # words before and after a hit that are its context
 LEAST_RATIO = 12  # of an entry's share of toxic rows to its share of the others
 LEAST_DOCS = 6  # toxic rows of the sample that must have a lexicon entry
+RISK = 0.002  # of a clean row to have a near miss of an entry that no other one has; above it the entry is exact
 STEM = (4, 5, 6, 7)  # lengths of learned stems
-TERMS = 5000  # lexicon entries at most, the best first; a documented bound of the fit
-FUZZY_TERM, FUZZY_STEM = 5, 6  # shorter entries must match exactly
+FUZZY_TERM, FUZZY_STEM = 4, 5  # one edit of a shorter entry leaves too little of it: it must match exactly
 _MANY = 1 << 30
 KNOWN_WORDS = 2_000_000  # remembered by a worker
 TEXT_BYTES = 2 << 20
@@ -43,20 +50,31 @@ class Trie:
     """Lexicon as arrays of children; ``whole`` and ``stem`` mark where entries end: 1 for
     one that must match exactly, 2 for one that may be misspelled."""
 
-    def __init__(self, terms: list[str], stems: list[str], fuzzy_term: int = FUZZY_TERM, fuzzy_stem: int = FUZZY_STEM):
+    def __init__(
+        self,
+        terms: list[str],
+        stems: list[str],
+        fuzzy_term: int = FUZZY_TERM,
+        fuzzy_stem: int = FUZZY_STEM,
+        ordinary: frozenset[str] = frozenset(),
+        exact: frozenset[str] = frozenset(),
+    ):
+        """``exact``: terms, and stems with ``^`` before them, that must match exactly however long they are."""
+        self.ordinary = ordinary  # near misses that are words of their own
         self.children: list[dict[str, int]] = [{}]
-        self.whole, self.stem = [0], [0]
-        for words, marks, fuzzy in ((terms, self.whole, fuzzy_term), (stems, self.stem, fuzzy_stem)):
+        self.whole, self.stem, self.parents = [0], [0], [(0, "")]
+        for words, marks, fuzzy, sign in ((terms, self.whole, fuzzy_term, ""), (stems, self.stem, fuzzy_stem, "^")):
             for word in words:
                 at = 0
                 for c in word:
                     if c not in self.children[at]:
                         self.children[at][c] = len(self.children)
                         self.children.append({})
+                        self.parents.append((at, c))
                         self.whole.append(0)
                         self.stem.append(0)
                     at = self.children[at][c]
-                marks[at] = 2 if len(word) >= fuzzy else 1
+                marks[at] = 2 if len(word) >= fuzzy and sign + word not in exact else 1
 
     def distance(self, word: str, allowed: int) -> int | None:
         """Smallest edit distance, up to ``allowed``, of the word to a term, or of a
@@ -64,10 +82,14 @@ class Trie:
 
         Insertions, deletions, substitutions and swaps of neighbours cost 1.
         """
-        return next((k for k in range(allowed + 1) if self._within(word, k)), None)
+        return next((k for k in range(allowed + 1) if self._entry(word, k)), None)
+
+    def near(self, word: str) -> str | None:
+        """An entry one edit away, a stem with ``^`` before it; null if there is none."""
+        return self._entry(word, 1) or None
 
-    def _within(self, word: str, allowed: int) -> bool:
-        """Walk automaton and trie together. A state is a node of the trie, the letters
+    def _entry(self, word: str, allowed: int) -> str:
+        """Walk automaton and trie together to an entry, or return an empty text. A state is a node of the trie, the letters
         read, and the edits left; without edits left only the word's own branch is open."""
         n = len(word)
         todo, seen = [(0, 0, allowed)], set()
@@ -75,8 +97,10 @@ class Trie:
             state = todo.pop()
             node, i, left = state
             least = 1 if left == allowed else 2  # 2: an edit is used
-            if self.stem[node] >= least or (self.whole[node] >= least and i == n):
-                return True
+            if self.stem[node] >= least:
+                return "^" + self._spelled(node)
+            if self.whole[node] >= least and i == n:
+                return self._spelled(node)
             if left:
                 if state in seen:
                     continue
@@ -93,22 +117,29 @@ class Trie:
                         todo.append((child, i + 1, left - 1))
                 if i + 1 < n and word[i + 1] in children and word[i] in self.children[children[word[i + 1]]]:
                     todo.append((self.children[children[word[i + 1]]][word[i]], i + 2, left - 1))
-        return False
+        return ""
+
+    def _spelled(self, node: int) -> str:
+        letters = []
+        while node:
+            node, letter = self.parents[node]
+            letters.append(letter)
+        return "".join(reversed(letters))
 
     def fields(self) -> tuple:
-        return self.children, self.whole, self.stem
+        return self.children, self.parents, self.whole, self.stem, self.ordinary
 
     @staticmethod
     def received(fields: tuple) -> Trie:
         trie = object.__new__(Trie)
-        trie.children, trie.whole, trie.stem = fields
+        trie.children, trie.parents, trie.whole, trie.stem, trie.ordinary = fields
         return trie
 
 
 def kind_of(trie: Trie, word: str) -> int:
     """0 no hit, 1 an entry itself, 2 a misspelled one."""
     found = trie.distance(word.lower(), 1)
-    return 0 if found is None else found + 1
+    return 0 if found is None or (found and word.lower() in trie.ordinary) else found + 1
 
 
 class Halves:
@@ -226,17 +257,29 @@ def hits(texts: pa.Array, trie: Trie, lexicon: str) -> tuple[np.ndarray, list[li
     return counts, found
 
 
-#: Weights before any label is seen: a plain hit is abuse, a quoted one hardly.
-_PRIOR = np.array([4.0, 2.5, 0.5, 0.8, 1.0, -2.5])
+#: Weights before any label is seen: a hit is abuse, a misspelled one for 0.6 of an exact
+#: one, a quoted one hardly: abuse, share of misspelled, quoted, reported, addressed, constant.
+_PRIOR = np.array([4.0, 0.6, 0.5, 0.8, 1.0, -2.5])
 _TRUST = 0.002  # of the prior against the mean loss
+_SHARES = (1.0, 0.75, 0.5, 0.25)  # of a misspelled hit that the fit chooses from
+_HALVES = 2  # of the sample; near misses are judged by the rows of the other one
 
 
 class Toxicity:
-    """A lexicon and the weights of the kinds of hits."""
+    """A lexicon, near misses that are ordinary words, and the weights of the kinds of hits."""
 
-    def __init__(self, terms: list[str], stems: list[str], weights: np.ndarray = _PRIOR):
+    def __init__(
+        self, terms: list[str], stems: list[str], weights: np.ndarray = _PRIOR, ordinary: Iterable[str] = (), exact: Iterable[str] = ()
+    ):
         self.terms, self.stems, self.weights = sorted(terms), sorted(stems), weights
-        self.name = f"{len(terms)}-{len(stems)}-{hash_of(self.terms, self.stems)}"
+        self.ordinary, self.exact = sorted(ordinary), sorted(exact)
+
+    @property
+    def name(self) -> str:
+        return hash_of(self.terms, self.stems, self.ordinary, self.exact)
+
+    def trie(self) -> Trie:
+        return Trie(self.terms, self.stems, ordinary=frozenset(self.ordinary), exact=frozenset(self.exact))
 
     def probability(self, counts: np.ndarray) -> np.ndarray:
         return _probability(counts, self.weights)
@@ -248,8 +291,44 @@ def hash_of(*parts: list[str]) -> str:
     return hashlib.sha256("\0".join("\1".join(p) for p in parts).encode()).hexdigest()[:16]
 
 
+def _inputs(counts: np.ndarray, share: float) -> np.ndarray:
+    """What the weights are for: exact and misspelled hits together, quoted, reported,
+    addressed (each on a logarithmic scale up to 3), and 1."""
+    abuse = counts[:, 0] + share * counts[:, 1]
+    z = np.minimum(np.log2(1.0 + np.column_stack([abuse, counts[:, 2:]])), 3.0)
+    return np.append(z, np.ones((len(z), 1)), 1)
+
+
 def _probability(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    return sigmoid(np.minimum(np.log1p(counts) / np.log(2), 3.0) @ weights[:-1] + weights[-1])
+    return sigmoid(_inputs(counts, weights[1]) @ np.delete(weights, 1))
+
+
+def misspell(word: str) -> str:
+    """The word with one edit, chosen by its hash: two letters swapped, one left out, doubled or changed."""
+    if len(word) < 3:
+        return word
+    h = zlib.crc32(word.lower().encode())
+    i = 1 + h // 4 % (len(word) - 2)
+    return (
+        word[:i] + word[i + 1] + word[i] + word[i + 2 :],
+        word[:i] + word[i + 1 :],
+        word[:i] + word[i] + word[i:],
+        word[:i] + "*" * (word[i] == "x") + "x" * (word[i] != "x") + word[i + 1 :],
+    )[h % 4]
+
+
+def _misspelled_counts(counts: np.ndarray, found: list[list], trie: Trie) -> np.ndarray:
+    """Counts of the texts with every exact hit that is not quotation misspelled."""
+    out = counts.copy()
+    kinds: dict[str, int] = {}
+    for r, row in enumerate(found):
+        for _, _, word, kind, weight in row:
+            if kind == 1 and weight:
+                if word not in kinds:
+                    kinds[word] = kind_of(trie, misspell(word))
+                out[r, 0] -= kinds[word] != 1
+                out[r, 1] += kinds[word] == 2
+    return out
 
 
 def fit_lexicon(sample: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[list[str], list[str]]:
@@ -288,12 +367,9 @@ def fit_lexicon(sample: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[list[s
     if not n_toxic or not n_other:
         return [], []
     share = (F.col("toxic") / n_toxic) / ((F.col("other") + 0.5) / n_other)
-    found = (
-        counted.filter((F.col("toxic") >= least_docs) & (share >= LEAST_RATIO) & (F.char_length("entry") >= 3))
-        .orderBy(F.col("toxic").desc(), "entry")
-        .limit(TERMS)
-        .collect()
-    )
+    # The bounded sample bounds the entries too: each is in least_docs of its rows.
+    kept_ = (F.col("toxic") >= least_docs) & (share >= LEAST_RATIO) & (F.char_length("entry") >= 3)
+    found = counted.filter(kept_).orderBy(F.col("toxic").desc(), "entry").collect()
     by_stem = {r.entry[1:]: r.toxic for r in found if r.entry.startswith("^")}
     words = {r.entry: r.toxic for r in found if not r.entry.startswith("^")}
     kept: set[str] = set()
@@ -316,37 +392,123 @@ def _covered(entry: str, stems: set[str], fuzzy: int) -> bool:
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS
 ) -> Toxicity:
-    """Learn lexicon and weights from at most ``rows`` labelled rows where ``train`` holds."""
+    """Learn lexicon, ordinary near misses and weights from at most ``rows`` labelled rows where ``train`` holds.
+
+    The driver gets a few numbers and the distinct near misses of each sampled row. For the weights, a row's
+    near misses are judged by the other half of the sample, as those of unseen texts are.
+    Each toxic row takes part three times more: misspelled (toxic), quoted and reported (not).
+    """
     with scratch(docs.sparkSession):
         sample = write_table(labelled_sample(docs, labels, train, label, key, text, rows), "toxicity-sample")
         model = Toxicity(*fit_lexicon(sample))
-        counted = _with_counts(sample, model, "text", ["key", "label"]).collect()
+        sample = sample.withColumn("half", F.pmod(F.xxhash64("key", "label"), F.lit(_HALVES)).cast("int"))
+        misses = _near_misses(sample, model).collect()
+        model.exact = sorted(_too_common(misses, model))
+        by_half = [_ordinary([r for r in misses if r.half != h], model) for h in range(_HALVES)]
+        model.ordinary = sorted(_ordinary(misses, model))
+        counted = _with_counts(sample, model, by_half).collect()
     counted.sort(key=lambda r: (str(r.key), r.label, r.hits))
     if not counted:
         return model
     x = np.array([r.hits for r in counted])
     y = np.array([r.label > 0 for r in counted], dtype=float)
-    z = np.minimum(np.log1p(x) / np.log(2), 3.0)
-    z = np.append(z, np.ones((len(z), 1)), 1)
+    whole = np.array([r.altered for r in counted])[y > 0]
+    of_all = x[y > 0][:, :4].sum(1)
+    quoted, reported = np.zeros_like(whole), np.zeros_like(whole)
+    quoted[:, 2], reported[:, 3] = of_all, of_all
+    x = np.concatenate([x, whole, quoted[of_all > 0], reported[of_all > 0]])
+    y = np.concatenate([y, np.ones(len(whole)), np.zeros(2 * int((of_all > 0).sum()))])
+    model.weights = min((_fit_weights(x, y, share) for share in _SHARES), key=lambda f: f[0])[1]
+    return model
+
+
+def _fit_weights(x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, np.ndarray]:
+    """Loss and weights, none of a kind of hit below 0."""
+    z, prior = _inputs(x, share), np.delete(_PRIOR, 1)
+    free = np.ones(len(prior), dtype=bool)
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        w = np.where(free, w, 0.0)
         s = z @ w
-        value = np.logaddexp(0, s).mean() - (y * s).mean() + 0.5 * _TRUST * ((w - _PRIOR) ** 2).sum()
-        return float(value), z.T @ (sigmoid(s) - y) / len(y) + _TRUST * (w - _PRIOR)
+        value = np.logaddexp(0, s).mean() - (y * s).mean() + 0.5 * _TRUST * ((w - prior) ** 2).sum()
+        return float(value), (z.T @ (sigmoid(s) - y) / len(y) + _TRUST * (w - prior)) * free
+
+    while True:
+        w = np.where(free, minimise(loss, np.where(free, prior, 0.0)), 0.0)
+        below = np.append(w[:-1] < 0, False)
+        if not below.any():
+            return loss(w)[0], np.insert(w, 1, share)
+        free &= ~below
 
-    model.weights = minimise(loss, _PRIOR.copy())
-    return model
 
+def _near_misses(sample: DataFrame, model: Toxicity) -> DataFrame:
+    """label, half and the distinct misspelled hits of each row, lower case."""
+    sent = docs_broadcast(sample, model)
 
-def _with_counts(docs: DataFrame, model: Toxicity, text: str, keep: list[str]) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast((Trie(model.terms, model.stems).fields(), model.name))
+    def make(piece: pa.RecordBatch) -> dict:
+        trie, name, _ = sent.value
+        found = hits(piece.column("text"), Trie.received(trie), name)[1]
+        return {"words": pa.array([sorted({w.lower() for _, _, w, k, _ in f if k == 2}) for f in found], pa.list_(pa.string()))}
+
+    return with_columns(sample, "text", "words array<string>", make, ["label", "half"], limit=TEXT_BYTES)
+
+
+def _too_common(rows: list, model: Toxicity) -> set[str]:
+    """Entries that must match exactly, as near misses of theirs are new again and again in clean rows.
+
+    The share of clean rows with a near miss that no row before had is about the share of
+    near misses that one clean row has (Good and Turing's estimate). An entry with more than
+    RISK of it would make hits of unseen words, whatever words the sample shows to be ordinary.
+    """
+    clean = [r.words for r in rows if not r.label > 0]
+    seen = Counter(w for words in clean for w in words)
+    left, exact = [w for w, n in seen.items() if n == 1], set()
+    while True:
+        trie = Trie(model.terms, model.stems, exact=frozenset(exact))
+        entries = [(w, trie.near(w)) for w in left]
+        new = Counter(e for _, e in entries if e)
+        found = {e for e, n in new.items() if n > max(2, RISK * len(clean))}
+        if not found:
+            return exact
+        exact |= found
+        left = [w for w, e in entries if e]
+
+
+def _ordinary(rows: list, model: Toxicity) -> set[str]:
+    """Near misses in rows that are not toxic, unless toxic rows have them LEAST_RATIO times as often."""
+    trie = Trie(model.terms, model.stems, exact=frozenset(model.exact))
+    seen: dict[str, list[int]] = {}
+    size = [0, 0]
+    for r in rows:
+        size[r.label > 0] += 1
+        for w in r.words:
+            seen.setdefault(w, [0, 0])[r.label > 0] += 1
+    common = (w for w, (clean, toxic) in seen.items() if clean and toxic * size[0] < LEAST_RATIO * clean * size[1])
+    return {w for w in common if kind_of(trie, w) == 2}
+
+
+def docs_broadcast(docs: DataFrame, model: Toxicity):
+    """The model for the workers."""
+    return docs.sparkSession.sparkContext.broadcast((model.trie().fields(), model.name, model.weights))
+
+
+def _with_counts(sample: DataFrame, model: Toxicity, by_half: list[set[str]]) -> DataFrame:
+    """key, label, counts of hits, and of the text misspelled, each half with its own ordinary words."""
+    made = [Toxicity(model.terms, model.stems, model.weights, words, model.exact) for words in by_half]
+    sent = sample.sparkSession.sparkContext.broadcast([(m.trie().fields(), m.name) for m in made])
 
     def make(piece: pa.RecordBatch) -> dict:
-        trie, name = sent.value
-        counts, _ = hits(piece.column(text), Trie.received(trie), name)
-        return {"hits": pa.array(counts.tolist(), pa.list_(pa.float64()))}
+        half = piece.column("half").to_numpy()
+        counts, changed = np.zeros((len(half), len(COUNTS))), np.zeros((len(half), len(COUNTS)))
+        for h, (fields, name) in enumerate(sent.value):
+            own, trie = np.flatnonzero(half == h), Trie.received(fields)
+            if len(own):
+                counts[own], found = hits(piece.column("text").take(pa.array(own)), trie, name)
+                changed[own] = _misspelled_counts(counts[own], found, trie)
+        kind = pa.list_(pa.float64())
+        return {"hits": pa.array(counts.tolist(), kind), "altered": pa.array(changed.tolist(), kind)}
 
-    return with_columns(docs, text, "hits array<double>", make, keep, limit=TEXT_BYTES)
+    return with_columns(sample, "text", "hits array<double>, altered array<double>", make, ["key", "label"], limit=TEXT_BYTES, needs=["half"])
 
 
 _HITS = "array<struct<from:int,to:int,word:string,misspelled:boolean,abuse:double>>"
@@ -359,7 +521,7 @@ def score_toxicity(docs: DataFrame, model: Toxicity, text: str = "text", keep: l
     the score of the intercept. Repeated rows get the same result. Input columns with a
     result's name give way to it. One pass, no shuffle.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((Trie(model.terms, model.stems).fields(), model.name, model.weights))
+    sent = docs_broadcast(docs, model)
     kind = pa.list_(
         pa.struct([("from", pa.int32()), ("to", pa.int32()), ("word", pa.string()), ("misspelled", pa.bool_()), ("abuse", pa.float64())])
     )
@@ -377,7 +539,7 @@ def score_toxicity(docs: DataFrame, model: Toxicity, text: str = "text", keep: l
 
 def remove_toxic(docs: DataFrame, model: Toxicity, text: str = "text") -> DataFrame:
     """The rows that are not toxic, with their columns only."""
-    sent = docs.sparkSession.sparkContext.broadcast((Trie(model.terms, model.stems).fields(), model.name, model.weights))
+    sent = docs_broadcast(docs, model)
 
     def make(piece: pa.RecordBatch) -> dict:
         trie, name, weights = sent.value
