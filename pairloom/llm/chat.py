@@ -60,8 +60,10 @@ def format_chats(
             F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),
         ).alias("t"),
     )
-    # A chunk: its first and last role, and its text from the first text to the last, in
-    # segments (text, whether learned) that alternate between marks and texts.
+    # A chunk: its first and last role, its text from the first text to the last, made of
+    # segments (text, whether learned) that alternate between marks and texts, and the
+    # learned segments' places in it. Places are added up within chunks, then over chunks,
+    # so that a long conversation costs no square of its turns.
     at = F.col("turns")
     chunks = rows.groupBy("_c", "_part").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     segments = F.flatten(
@@ -87,15 +89,20 @@ def format_chats(
             F.element_at(at["role"], -1).alias("last"),
             segments.alias("segments"),
         ).alias("chunk"),
-    ).select(
+    ).withColumn("sizes", F.transform("chunk.segments", lambda x: F.octet_length(x["s"]).cast("bigint")))
+    places = F.zip_with(
+        _starts(F.col("sizes")),
+        "chunk.segments",
+        lambda at, x: F.struct(at.alias("at"), F.octet_length(x["s"]).cast("bigint").alias("bytes"), x["learn"].alias("learn")),
+    )
+    chunks = chunks.select(
         "_c",
         F.struct(
             F.col("chunk._part").alias("part"),
             F.col("chunk.first").alias("first"),
             F.col("chunk.last").alias("last"),
             F.array_join(F.col("chunk.segments.s"), "").alias("body"),
-            F.transform("chunk.segments", lambda x: F.octet_length(x["s"]).cast("bigint")).alias("bytes"),
-            F.col("chunk.segments.learn").alias("learn"),
+            F.filter(places, lambda p: p["learn"]).alias("spans"),
         ).alias("chunk"),
     )
     whole = chunks.groupBy("_c").agg(F.sort_array(F.collect_list("chunk")).alias("chunks"))
@@ -109,32 +116,38 @@ def format_chats(
         .otherwise(F.concat(F.lit(CLOSE + OPEN), escape(c["first"]), F.lit(HEAD))),
     )
     whole = whole.withColumn("heads", heads)
-    bytes_ = F.flatten(
+    length = lambda c: F.octet_length(c).cast("bigint")
+    bases = _starts(F.zip_with("heads", "chunks", lambda h, c: length(h) + length(c["body"])))
+    bases = F.zip_with(F.slice(bases, F.lit(1), F.size("chunks")), "heads", lambda at, h: at + length(h))
+    whole = whole.withColumn("bases", bases)
+    spans = F.flatten(
         F.zip_with(
-            "heads",
+            "bases",
             "chunks",
-            lambda h, c: F.concat(F.array(F.octet_length(h).cast("bigint")), c["bytes"]),
+            lambda base, c: F.transform(c["spans"], lambda p: F.struct((base + p["at"]).alias("at"), p["bytes"].alias("bytes"))),
         )
     )
-    learned = F.flatten(F.transform("chunks", lambda c: F.concat(F.array(F.lit(False)), c["learn"])))
     whole = whole.select(
-        F.col("_c"),
+        F.col("_c").alias(conversation),
         F.concat(
             F.array_join(F.zip_with("heads", "chunks", lambda h, c: F.concat(h, c["body"])), ""), F.lit(CLOSE)
         ).alias("formatted"),
-        F.arrays_zip(bytes_.alias("bytes"), learned.alias("learn")).alias("segments"),
-    )
-    starts = F.aggregate(
-        "segments.bytes",
-        F.array(F.lit(0).cast("bigint")),
-        lambda found, x: F.array_append(found, F.element_at(found, -1) + x),
+        spans.alias("spans"),
     )
-    spans = F.filter(F.zip_with(starts, "segments", lambda at, x: F.struct(at.alias("at"), x.alias("x"))), lambda s: s["x"]["learn"])
-    return whole.select(F.col("_c").alias(conversation), "formatted", spans.alias("spans")).select(
+    return whole.select(
         conversation,
         "formatted",
         F.col("spans.at").alias("loss_from"),
-        F.col("spans.x.bytes").alias("loss_bytes"),
+        F.col("spans.bytes").alias("loss_bytes"),
+    )
+
+
+def _starts(sizes: Column) -> Column:
+    """Sums of the sizes before each, and of all: one element more than ``sizes``."""
+    return F.aggregate(
+        sizes,
+        F.array(F.lit(0).cast("bigint")),
+        lambda found, x: F.array_append(found, F.element_at(found, -1) + x),
     )
 
 
@@ -155,11 +168,30 @@ def read_turns(formatted: Column) -> Column:
 
 
 def read_loss(formatted: Column, loss_from: Column, loss_bytes: Column) -> Column:
-    """array<string>: the texts under the loss mask, unescaped."""
-    return F.zip_with(
-        loss_from,
-        loss_bytes,
-        lambda at, n: unescape(
-            F.substring(formatted.cast("binary"), (at + 1).cast("int"), n.cast("int")).cast("string")
+    """array<string>: the texts under the loss mask, unescaped.
+
+    The text is cut for CHUNK spans at a time, and spans are cut from these cuts.
+    """
+    first = F.sequence(F.lit(1), F.greatest(F.size(loss_from), F.lit(1)), F.lit(CHUNK))
+    blocks = F.transform(
+        first,
+        lambda i: F.struct(
+            F.slice(loss_from, i, F.lit(CHUNK)).alias("at"),
+            F.slice(loss_bytes, i, F.lit(CHUNK)).alias("bytes"),
+        ),
+    )
+    cut = lambda data, at, n: F.substring(data, (at + 1).cast("int"), n.cast("int"))
+    last = lambda b: F.element_at(b["at"], -1) + F.element_at(b["bytes"], -1)
+    pieces = F.transform(
+        F.filter(blocks, lambda b: F.size(b["at"]) > 0),
+        lambda b: F.struct(
+            cut(formatted.cast("binary"), b["at"][0], last(b) - b["at"][0]).alias("data"), b["at"].alias("at"), b["bytes"].alias("bytes")
+        ),
+    )
+    texts = F.transform(
+        pieces,
+        lambda p: F.zip_with(
+            p["at"], p["bytes"], lambda at, n: unescape(cut(p["data"], at - p["at"][0], n).cast("string"))
         ),
     )
+    return F.flatten(texts)

@@ -69,3 +69,19 @@ def test_long_conversation_over_chunks(spark):
 def test_empty(spark):
     assert format_chats(spark.createDataFrame([], SCHEMA)).collect() == []
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_a_very_long_conversation(spark):
+    n = 100_000
+    turns = spark.range(n).select(
+        F.lit(1).alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+        F.concat(F.lit("é "), F.col("id").cast("string")).alias("text"),
+    )
+    chats = format_chats(turns.repartition(8))
+    row = chats.select(
+        F.size("loss_from").alias("n"), F.sha2(F.array_join(read_loss(F.col("formatted"), F.col("loss_from"), F.col("loss_bytes")), ""), 256).alias("loss")
+    ).first()
+    assert row.n == n // 2
+    assert row.loss == hashlib.sha256("".join(f"é {i}" for i in range(1, n, 2)).encode()).hexdigest()
