@@ -203,6 +203,7 @@ class Index:
         a third of all rows share moves ``copies`` rows for each task. Vectors of
         different lengths are apart: a query meets only those of its own length.
         """
+        self.copies = copies
         rows = vectors.filter(usable(vector) & F.col(f"`{key}`").isNotNull()).select(
             F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("vector")
         )
@@ -227,12 +228,15 @@ class Index:
         Nearness is the cosine in double precision from the original vectors; ties go to
         the smaller key; a query's own key is no candidate. Queries with an unusable
         vector have no rows, one with fewer candidates has fewer. Repeated query rows
-        count once. ``beam`` is raised to ``4 * k`` if smaller.
+        count once. ``beam`` is raised to ``4 * k`` if smaller. ``k`` must be below the index's
+        ``copies``: of more equal vectors the index does not hold enough keys.
 
         Queries meet the shards in blocks of QUERY_BLOCK, so what one task holds is
         bounded by a shard and a block; each returns ``k`` rows per query, which are
         merged by query.
         """
+        if k >= self.copies:
+            raise ValueError(f"k={k} needs an index with copies={k + 1} or more, this one has {self.copies}")
         width = max(beam, 4 * k)
         wanted = queries.filter(usable(vector) & F.col(f"`{key}`").isNotNull()).select(
             F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("vector")

@@ -95,3 +95,11 @@ def test_small_tables(spark):
     assert collected(Index(two).nearest(two, 5)) == {1: [(2, 0.0)], 2: [(1, 0.0)]}
     assert Index(two).nearest(two.filter("vec_id = 9")).count() == 0
     assert Index(none).nearest(two).count() == 0
+
+
+def test_more_neighbours_than_kept_copies(spark):
+    df = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(20)] + [(i, [0.0, 1.0]) for i in range(20, 30)], "vec_id bigint, embedding array<double>")
+    with pytest.raises(ValueError):
+        Index(df).nearest(df, 6)
+    got = collected(Index(df, copies=11).nearest(df.filter("vec_id = 3"), 10))
+    assert got == {3: [(i, 1.0) for i in range(11) if i != 3]}
