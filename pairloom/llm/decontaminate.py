@@ -10,6 +10,7 @@ split, so nothing is shuffled, and a lost task rebuilds its own shards.
 from __future__ import annotations
 
 import types
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -183,24 +184,25 @@ def search(tests: Tests, hashes: np.ndarray, first: np.ndarray) -> dict:
     return out
 
 
-def _test_blocks(tests: DataFrame, key: str, text: str, window: int) -> list[Tests]:
-    """Words of the items, in blocks of at most TEST_BYTES of text."""
+def _test_blocks(tests: DataFrame, key: str, text: str, window: int) -> tuple[int, Iterator[Tests]]:
+    """Number of blocks of about TEST_BYTES of text, and the items' words block by block: the driver holds one."""
     sized = write_table(
         tests.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")), "test-items"
     )
     total = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-total // TEST_BYTES))
-    out = []
-    for block in range(n_blocks):
+
+    def made(block: int) -> Tests:
         rows = sized.filter(F.pmod(F.xxhash64("key", "text"), F.lit(n_blocks)) == block).collect()
         rows.sort(key=lambda r: (str(r.key), r.text))
         keys = sorted({str(r.key) for r in rows})
         number = {k: i for i, k in enumerate(keys)}
         hashes, first = words_of(pa.array([r.text for r in rows], pa.string()), ALPHANUMERIC)
-        made = Tests(keys, hashes, first, window)
-        made.item = np.array([number[str(r.key)] for r in rows], dtype=np.int64)[made.item] if rows else made.item
-        out.append(made)
-    return out
+        found = Tests(keys, hashes, first, window)
+        found.item = np.array([number[str(r.key)] for r in rows], dtype=np.int64)[found.item] if rows else found.item
+        return found
+
+    return n_blocks, (made(block) for block in range(n_blocks))
 
 
 _RESULT = (
@@ -233,11 +235,14 @@ def find_leaks(
     to the workers in blocks of at most TEST_BYTES of text; with several blocks the rows
     are stored between passes.
     """
-    blocks = _test_blocks(tests, item_key, item_text, window)
+    n_blocks, blocks = _test_blocks(tests, item_key, item_text, window)
     names = [f.split()[0] for f in _RESULT.split(", ")]
     spark = docs.sparkSession
-    out = docs
+    out, sent = docs, None
     for i, block in enumerate(blocks):
+        if i:  # what the pass before has found, stored; its items are not needed any more
+            out = write_table(out, "leaks")
+            sent.unpersist()
         sent = spark.sparkContext.broadcast(vars(block))  # plain fields: workers need not have this module
         before = names if i else []
 
@@ -285,9 +290,7 @@ def find_leaks(
                 "longest_at": pa.array(longest_at, mask=longest == 0),
             }
 
-        kept = None if i or keep is None else list(dict.fromkeys([*keep, doc_text][: None if len(blocks) > 1 else len(keep)]))
-        if i:
-            out = write_table(out, "leaks")
+        kept = None if i or keep is None else list(dict.fromkeys([*keep, doc_text][: None if n_blocks > 1 else len(keep)]))
         out = _pass(out, doc_text, make, kept, before)
     return out if keep is None else out.select(*(f"`{c}`" for c in keep if c.lower() not in names), *names)
 
