@@ -34,8 +34,9 @@ WITH p AS (
     ('0x' || substr(md5(page_id::VARCHAR), 1, 5))::BIGINT % 17520 AS hour
   FROM pages),
 hosts AS (
-  SELECT DISTINCT host, unnest([array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.')
-    for i in range(1, len(string_split(host, '.')) + 1)]) AS key
+  SELECT DISTINCT host, unnest(CASE WHEN regexp_matches(host, '^[0-9]+(\.[0-9]+){3}$|^\[') THEN [host]
+    ELSE [array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.')
+      for i in range(1, len(string_split(host, '.')) + 1)] END) AS key
   FROM p WHERE host IS NOT NULL),
 keys AS (
   SELECT DISTINCT 'spam' AS list, 'host' AS kind, key FROM hosts

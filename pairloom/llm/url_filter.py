@@ -32,8 +32,9 @@ def url_key(url: Column) -> Column:
 
 
 def parents(host: Column) -> Column:
-    """A host and all hosts above it: a.b.c, b.c, c."""
-    labels = F.split(host, r"\.")
+    """A host and all hosts above it: a.b.c, b.c, c. An address in numbers has none above it."""
+    numbers = F.rlike(host, F.lit(r"^[0-9]+(\.[0-9]+){3}$|^\["))
+    labels = F.when(numbers, F.array(host)).otherwise(F.split(host, r"\."))
     return F.transform(
         F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
     )

@@ -4,8 +4,9 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
-from pairloom.llm.url_filter import filter_urls, validity
+from pairloom.llm.url_filter import filter_urls, parents, validity
 
 DAY0 = datetime(2024, 1, 1)
 ENTRY = "list string, kind string, key string, action string, effective_at timestamp"
@@ -88,3 +89,15 @@ def test_no_python_in_the_plan(spark, data):
     df = spark.createDataFrame([(*c, "x", "h") for c in data[0]], CAPTURE)
     plan = filter_urls(df, spark.createDataFrame(data[1], ENTRY))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_addresses_have_no_parents(spark):
+    hosts = ["10.0.0.1", "a.10.0.0.1", "x.b.com", "1.2.3", "[2001:db8::1]"]
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", parents(F.col("host")).alias("p")).collect()
+    assert {r.host: r.p for r in rows} == {
+        "10.0.0.1": ["10.0.0.1"],
+        "a.10.0.0.1": ["a.10.0.0.1", "10.0.0.1", "0.0.1", "0.1", "1"],
+        "x.b.com": ["x.b.com", "b.com", "com"],
+        "1.2.3": ["1.2.3", "2.3", "3"],
+        "[2001:db8::1]": ["[2001:db8::1]"],
+    }
