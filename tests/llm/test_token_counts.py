@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.llm.token_counts import Ledger, count_tokens
+from pairloom.llm.token_counts import Ledger, count_tokens, tokenizer_version
 
 SCHEMA = "doc_id bigint, op string, seq int, source string, lang string, text string, tokens string, version string"
 VERSIONS = ["words-1", "words-2", "bytes-1"]
@@ -98,3 +98,44 @@ def test_counts(spark):
     got = df.select("text", *(count_tokens(F.col("text"), v).alias(v) for v in VERSIONS)).collect()
     for r in got:
         assert [r[v] for v in VERSIONS] == [count(r.text, v) for v in VERSIONS]
+
+
+def test_compaction_between_batches(spark, tmp_path):
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    assert not ledger.compact()
+    batches = [
+        [(i, "upsert", 1, f"s{i % 3}", "en", "word " * i) for i in range(20)],
+        [(i, "delete", 2, None, None, None) for i in range(5)] + [(7, "upsert", 2, "s9", None, "a b")],
+        [(i, "upsert", 3, "s1", "en", "x") for i in range(3, 9)],
+    ]
+    for i, rows in enumerate(batches):
+        assert ledger.commit(f"b{i}", frame(spark, rows), VERSIONS)
+        if i < 2:
+            assert ledger.compact() and not ledger.compact()
+        assert not ledger.commit(f"b{i}", frame(spark, rows), VERSIONS)
+        assert totals(ledger) == replay(batches[: i + 1])
+    snapshot, after = ledger._sources()
+    assert len(after) == 1 and after[0].startswith("b2-")
+    assert {r.batch for r in ledger.deltas().select("batch").distinct().collect()} == {snapshot, "b2"}
+
+
+def test_totals_read_no_documents(spark, tmp_path):
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    ledger.commit("b", frame(spark, [(i, "upsert", 1, "s", "en", "a b") for i in range(50)]), VERSIONS)
+    assert all("/totals/" in f for f in ledger.totals().inputFiles())
+    assert ledger._read("totals", "source string").count() == 3
+
+
+def test_tokenizer_versions(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own = Tokenizer.from_file(path)
+    own.encode_special_tokens = True
+    texts = ["Hello there, world!", "", None, "é ß <|startoftext|> x" * 50]
+    rows = [(i, "upsert", 1, "s", "en", t) for i, t in enumerate(texts)]
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    ledger.commit("b", frame(spark, rows), {"word_bpe_49k": tokenizer_version(path)})
+    want = sum(len(own.encode(t or "", add_special_tokens=False).ids) for t in texts)
+    assert totals(ledger) == {("s", "en", "word_bpe_49k"): (4, want)}
