@@ -25,7 +25,6 @@ from pairloom.llm.text import batch_of, byte_class, mix, pieces, text_bytes, wor
 WINDOW = 2048
 END = 1  # the id after each document
 SHARD_BYTES = 6 << 20  # of text that shares an index; a longer text is a shard of its own
-QUERY_TERMS = 12  # of a seed, the heaviest, that are looked up
 K1, B = 1.2, 0.75
 KNOWN_CHUNKS = 3_000_000  # remembered by a worker
 _SPACE = byte_class(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
@@ -34,13 +33,18 @@ CHUNKS = np.where(np.arange(256) - 65 < 26, np.where(np.arange(256) >= 65, mix(_
 _CLOSING = np.isin(np.arange(256), [ord(c) for c in ".,;:!?%$#&*"])
 _ALNUM = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
 _MARK = "<|startoftext|>"
+#: Words and blanks whose joints show whether a tokenizer treats chunks apart.
+_PROBE = ["Ab1", "x.", "é!", "don't", "(a)", "9,", "a.b", "$5%", "ß", "日本", "I'm:", "1990's", "--", "wait...", "e-mail;", "UPPER?", "#1", "a*", "«b»"]
+_BLANKS = [" ", "\n", "\t", "  ", "\r\n", "\x0b", "\x0c"]
 
 
 class Encoder:
     """Token ids of white-space chunks, remembered by hash.
 
-    The tokenizer's pattern never joins what white space separates, nor a letter or digit
-    with a closing sign after it, so the ids of a text are those of its chunks in order.
+    A tokenizer whose pattern never joins what white space separates, nor a letter or digit
+    with a closing sign after it, gives for a text the ids of its chunks in order. Whether it
+    does is tried on load, with a probe of such joints; any other tokenizer, or one without
+    the mark that chunks are sent with, encodes whole texts.
     """
 
     def __init__(self, spec: str):
@@ -49,8 +53,26 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.mark = self.tokenizer.token_to_id(_MARK)
+        self.by_chunk = self.mark is not None and self._special_are_marked() and self._splits()
         self.clear()
 
+    def _special_are_marked(self) -> bool:
+        """Whether all added tokens can be told by ``<|`` and have no white space in them."""
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        return all("<|" in t and not any(c.isspace() for c in t) for t in added)
+
+    def _splits(self) -> bool:
+        """Whether the probe's ids are those of its chunks."""
+        probe = " " + "".join(w + _BLANKS[i % len(_BLANKS)] for i, w in enumerate(w for w in _PROBE for _ in _BLANKS))
+        data, at = text_bytes(pa.array([probe]))
+        begins, ends = _split_closing(data, *word_places(data, at, CHUNKS))
+        raw = data.tobytes()
+        chunks = [raw[b:e].decode() for b, e in zip(begins, ends)]
+        parts = self.tokenizer.encode_batch([*chunks, probe], add_special_tokens=False)
+        marked = self.tokenizer.encode(_MARK.join(chunks), add_special_tokens=False).ids
+        of_chunks = [i for p in parts[:-1] for i in p.ids]
+        return of_chunks == parts[-1].ids == [i for i in marked if i != self.mark]
+
     def clear(self) -> None:
         self.known = np.zeros(0, dtype=np.uint64)
         self.at = np.zeros(1, dtype=np.int64)  # of the ids of chunk i, in self.ids
@@ -93,6 +115,8 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All ids with END after each text, where each text's begin (one more at the end),
         and the chunk hashes with the text of each."""
+        if not self.by_chunk:
+            return self._encode_whole(texts)
         if len(self.known) > KNOWN_CHUNKS:
             self.clear()
         data, at = text_bytes(texts)
@@ -118,6 +142,14 @@ class Encoder:
         ids[np.arange(total) + np.repeat(text, size)] = self.ids[np.repeat(self.at[:-1][chunk][back], size) + step]
         return ids, first, hashes, text
 
+    def _encode_whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        made = self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)
+        first = np.concatenate([[0], np.cumsum([len(e.ids) + 1 for e in made])]).astype(np.int64)
+        ids = np.array([i for e in made for i in (*e.ids, END)], dtype=np.uint32)
+        data, at = text_bytes(texts)
+        begins, ends = _split_closing(data, *word_places(data, at, CHUNKS))
+        return ids, first, word_hashes(data, begins, ends, CHUNKS), np.searchsorted(at, begins, "right") - 1
+
 
 def _split_closing(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cut closing signs off chunks, where an ASCII letter or digit is before them."""
@@ -156,30 +188,24 @@ class Bm25:
         norm = K1 * (1 - B + B * length / max(1.0, length.mean()))
         weight = np.repeat(idf, held) * count * (K1 + 1) / (count + norm[self.doc])
         self.weight = weight.astype(np.float32)
-        # the heaviest terms of each document that others have too, for it as a query
+        # the terms of each document that others have too, for it as a query
         number = np.repeat(np.arange(len(held)), held)
         some = np.flatnonzero(held[number] > 1)
-        by = some[np.lexsort([number[some], -self.weight[some], self.doc[some]])]
-        place = np.arange(len(by)) - np.searchsorted(self.doc[by], self.doc[by])
-        by = by[place < QUERY_TERMS]
+        by = some[np.argsort(self.doc[some], kind="stable")]
         self.query = number[by]
         self.query_at = np.searchsorted(self.doc[by], np.arange(n_docs + 1))
+        self.n_docs = n_docs
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents with a term of the seed's, the best first, ties by place."""
         terms = self.query[self.query_at[seed] : self.query_at[seed + 1]]
         if not len(terms):
             return terms
-        spans = [slice(self.first[t], self.first[t + 1]) for t in terms]
-        docs = np.concatenate([self.doc[s] for s in spans])
-        weights = np.concatenate([self.weight[s] for s in spans])
-        free = unused[docs]
-        docs, weights = docs[free], weights[free]
-        if not len(docs):
-            return docs
-        found, back = np.unique(docs, return_inverse=True)
-        score = np.bincount(back, weights=weights)
-        return found[np.lexsort([found, -score])]
+        size = self.first[terms + 1] - self.first[terms]
+        at = np.repeat(self.first[terms] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        score = np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n_docs)
+        found = np.flatnonzero((score > 0) & unused)
+        return found[np.lexsort([found, -score[found]])]
 
 
 def fill_order(index: Bm25, counts: np.ndarray, window: int) -> np.ndarray:

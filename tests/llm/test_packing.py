@@ -37,6 +37,29 @@ def test_chunks_give_the_tokenizers_ids(tokenizer, monkeypatch, known):
             assert ids[first[i] : first[i + 1]].tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids + [END]
 
 
+def test_other_tokenizers_encode_whole_texts():
+    from tokenizers import models, pre_tokenizers
+
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        spec = f.read()
+    assert Encoder(spec).by_chunk
+    vocabulary = {"[UNK]": 0, "a": 1, "b": 2, "a.": 3, "<|startoftext|>": 4, " ": 5, "c.": 6, ".": 7}
+    plain = Tokenizer(models.WordLevel({k: v for k, v in vocabulary.items() if v < 4}, unk_token="[UNK]"))
+    plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    joined = Tokenizer(models.WordLevel(vocabulary, unk_token="[UNK]"))  # no splitting: one token a text
+    joined.add_special_tokens(["<|startoftext|>"])
+    masked = Tokenizer.from_str(spec)
+    masked.add_special_tokens(["[MASK]"])
+    texts = ["a b a.", "", None, "a", "c.", "a [MASK] b", "a\nb <|startoftext|>"]
+    for own in (plain, joined, masked):
+        encoder = Encoder(own.to_str())
+        assert not encoder.by_chunk
+        ids, first, terms, text = encoder.encode(pa.array(texts, pa.string()))
+        for i, t in enumerate(texts):
+            assert ids[first[i] : first[i + 1]].tolist() == own.encode(t or "", add_special_tokens=False).ids + [END]
+        assert len(terms) == len(text)
+
+
 def test_bm25_against_formula():
     rng = np.random.default_rng(3)
     n = 40
@@ -54,8 +77,7 @@ def test_bm25_against_formula():
             w = idf * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * length / length.mean()))
             if df > 1:
                 weight[t] = w
-        heavy = sorted(weight, key=lambda t: -np.float32(weight[t][seed]))[: packing.QUERY_TERMS]
-        score = sum((weight[t] for t in heavy), np.zeros(n))
+        score = sum(weight.values(), np.zeros(n))
         unused = rng.random(n) < 0.7
         got = index.neighbours(seed, unused)
         assert set(got) == set(np.flatnonzero((score > 0) & unused))
