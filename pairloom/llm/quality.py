@@ -2,7 +2,8 @@
 
 All grades share one weight for each hashed feature and differ only in ordered
 thresholds: P(grade <= k) = sigmoid(threshold_k - w.x). This gives an expected grade and
-the probability of at least a wanted grade, by which documents are selected.
+the probability of at least a wanted grade, by which documents are selected. The features
+are words, pairs of neighbouring words and the shapes of text, each hashed.
 """
 
 from __future__ import annotations
@@ -12,11 +13,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
 from pairloom.llm.features import SAMPLE_ROWS, labelled_sample, minimise, sigmoid
-from pairloom.llm.text import SPACED, mix, text_bytes, with_columns, word_hashes, word_places
+from pairloom.llm.text import SPACED, mix, shingles_of, text_bytes, with_columns, word_hashes, word_places
 
-BUCKETS = 2048  # hashed features
-RIDGE = 1e-4
+SHAPES = 2048  # hashed features of shapes
+WORDS = 2048  # hashed words and pairs of words
+BUCKETS = SHAPES + WORDS
+WORD_WEIGHT = 0.5  # of words beside shapes, in a feature vector of length 1
+RIDGE = 1e-5
 FEATURE_BYTES = 2 << 20  # of text turned into features at once
+FEATURE_ROWS = 1024  # texts counted at once
 
 
 def _classes() -> np.ndarray:
@@ -35,22 +40,30 @@ _CLASS = _classes()
 def features(texts: pa.Array) -> np.ndarray:
     """One row per text: square roots of the shares of hashed features, and their length 1.
 
-    The hashed features are three neighbouring byte classes, word shapes after one
-    another, and whether a word repeats one of the two before it. An empty text is a row
-    of zeros.
+    The hashed shapes are three neighbouring byte classes, word shapes after one another,
+    and whether a word repeats one of the two before it. Words (A-Z lower-cased) and pairs
+    of neighbouring words are hashed to features of their own. An empty text is a row of
+    zeros.
     """
+    out = np.zeros((len(texts), BUCKETS), dtype=np.float32)
+    for i in range(0, len(texts), FEATURE_ROWS):
+        _count_features(texts.slice(i, FEATURE_ROWS), out[i : i + FEATURE_ROWS])
+    return out
+
+
+def _count_features(texts: pa.Array, out: np.ndarray) -> None:
+    """Fill in the rows of a few texts."""
     n = len(texts)
-    out = np.zeros((n, BUCKETS), dtype=np.float32)
     data, at = text_bytes(texts)
     size = np.diff(at)
 
     def add(hashes: np.ndarray, row: np.ndarray, weight: float, first: int, count: int) -> None:
-        cell = row * BUCKETS + first + (hashes % np.uint64(count)).astype(np.int64)
-        found = np.bincount(cell, minlength=n * BUCKETS).reshape(n, BUCKETS)
+        cell = row * count + (hashes % np.uint64(count)).astype(np.int64)
+        found = np.bincount(cell, minlength=n * count).reshape(n, count)
         share = found / np.maximum(np.bincount(row, minlength=n), 1)[:, None]
-        np.add(out, weight * np.sqrt(share), out=out, casting="unsafe")
+        out[:, first : first + count] += weight * np.sqrt(share)
 
-    half = BUCKETS // 2
+    half = SHAPES // 2
     if len(data) > 2:
         row = np.repeat(np.arange(n), size)
         kind = _CLASS[data]
@@ -68,12 +81,15 @@ def features(texts: pa.Array) -> np.ndarray:
             same = np.zeros(len(words), dtype=bool)
             same[lag:] = words[lag:] == words[:-lag]
             repeats[same & (place >= lag) & (repeats == 0)] = lag
-        # first and last byte class of the word and the last of the word before
+        # first and last byte class of the word and its length
         shape = mix(_CLASS[data[begins]] + _CLASS[data[ends - 1]] * np.uint64(3) + np.minimum(ends - begins, 12).astype(np.uint64))
         add(shape, row, 1.0, half, half - 8)
-        add(repeats, row, 1.0, BUCKETS - 8, 3)
-    length = np.sqrt((out * out).sum(1, keepdims=True))
-    return out / np.maximum(length, 1e-9)
+        add(repeats, row, 1.0, SHAPES - 8, 3)
+        runs = [shingles_of(words, first, k) for k in (1, 2)]
+        paired = np.diff(first)[runs[1][1]] > 1  # a single word is no pair
+        hashes = np.concatenate([runs[0][0], runs[1][0][paired]])
+        add(hashes, np.concatenate([runs[0][1], runs[1][1][paired]]), WORD_WEIGHT, SHAPES, WORDS)
+    out /= np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-9)
 
 
 class CumulativeLink:

@@ -144,10 +144,20 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
+def ratings(labels: DataFrame) -> DataFrame:
+    """Three grades from the two labels: 0 bad quality, 1 good but toxic, 2 good and not toxic.
+
+    A row whose labels do not say which has no grade.
+    """
+    good, toxic = F.col("quality") == 1, F.col("toxic")
+    grade_ = F.when(F.col("quality") == 0, 0).when(good & (toxic == 1), 1).when(good & (toxic == 0), 2)
+    return labels.select("doc_id", grade_.alias("rating"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected grade and selection of every document; a fifth of the labels is held out."""
+    """Expected grade, and selection from grade 1 on, of every document; a fifth of the ratings is held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit_quality(docs, table(spark, sf_dir, "labels"), remainder(5) != 0)
+    model = fit_quality(docs, ratings(table(spark, sf_dir, "labels")), remainder(5) != 0, label="rating")
     return grade(docs, model, keep=["doc_id"]).withColumn("held_out", remainder(5) == 0)
 
 

@@ -1,12 +1,15 @@
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pairloom.llm.features import minimise
-from pairloom.llm.quality import BUCKETS, CumulativeLink, features, fit, fit_quality, grade, select_quality
+from pairloom.llm.quality import BUCKETS, FEATURE_ROWS, SHAPES, CumulativeLink, features, fit, fit_quality, grade, select_quality
+from pairloom.llm.queries import op4_quality, ratings
 
 SF = "/root/testdata/sf0.01"
 
@@ -51,6 +54,46 @@ def test_features_depend_on_the_text_alone():
     assert np.allclose((together[[0, 2, 3, 4]] ** 2).sum(1), 1, atol=1e-4)
 
 
+def test_words_are_features():
+    one = features(pa.array(["alpha beta", "gamma beta", "beta alpha", "alpha", "ALPHA beta", "alpha"]))
+    words = one[:, SHAPES:] > 0
+    assert words.sum(1).tolist() == [3, 3, 3, 1, 3, 1]  # two words and their pair; one word and no pair
+    assert (one[0, :SHAPES] == one[1, :SHAPES]).all()  # same shapes, told apart by words alone
+    assert (words[0] & words[1]).sum() == 1 and (words[0] & words[2]).sum() == 2
+    assert (words[0] == words[4]).all() and (words[3] == words[5]).all()
+    many = pa.array(["alpha beta", "", "b " * 9] * FEATURE_ROWS)
+    assert np.allclose(features(many)[-3:], features(many.slice(0, 3)), atol=1e-6)
+
+
+def test_ratings(spark):
+    rows = [(1, 0, 0), (2, 0, 1), (3, 1, 1), (4, 1, 0), (5, 0, None), (6, 1, None), (7, None, 1), (None, 1, 0)]
+    got = ratings(spark.createDataFrame(rows, "doc_id bigint, quality int, toxic int")).collect()
+    assert [(r.doc_id, r.rating) for r in got] == [(1, 0), (2, 0), (3, 1), (4, 2), (5, 0), (6, None), (7, None), (None, 2)]
+
+
+def test_whole_query_against_formula(spark):
+    """The query's results from a fit and scores made row by row, without Spark."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    labels = spark.read.parquet(f"{SF}/labels.parquet").collect()
+    grades = {r.doc_id: 0 if r.quality == 0 else 2 - r.toxic for r in labels if r.doc_id in docs}
+    assert set(grades.values()) == {0, 1, 2}
+    train = sorted(k for k in grades if zlib.crc32(str(k).encode()) % 5)
+    x = {k: features(pa.array([t], pa.string()))[0].astype(float) for k, t in docs.items()}
+    model = fit(np.stack([x[k] for k in train]).astype(np.float16), np.array([grades[k] for k in train]))
+    assert model.grades == [0, 1, 2] and model.thresholds[0] < model.thresholds[1]
+    rows = op4_quality(spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    for r in rows:
+        above = [1 / (1 + np.exp(cut - x[r.doc_id] @ model.weights)) for cut in model.thresholds]
+        assert r.tail_probability == pytest.approx(above[0], abs=0.02)
+        assert r.expected_grade == pytest.approx(sum(above), abs=0.03)
+        assert r.selected == (r.tail_probability >= 0.5)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+    held = [r for r in rows if r.held_out and r.doc_id in grades]
+    mean = [np.mean([r.expected_grade for r in held if grades[r.doc_id] == g]) for g in (0, 1, 2)]
+    assert mean[0] < 0.7 < mean[1] < mean[2]
+
+
 def test_held_out_documents(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
