@@ -1,7 +1,9 @@
 """Packing of documents into training sequences by lexical retrieval.
 
-Documents are tokenised and packed in shards, runs of rows with a bounded number of
-bytes. A shard has a BM25 inverted index over its words. The document that a sequence
+Documents are dealt to shards by content: they are sorted by two min-hashes of their
+words, so that texts with many common words lie together, and a shard is a run of them
+with a bounded number of bytes. A shard has a BM25 inverted index over its words, and
+documents are tokenised and packed in it. The document that a sequence
 begins with is its seed; its unused nearest neighbours by BM25 fill the window, the last
 one is cut at the window's end, and its rest begins the next window and is the next
 seed. So sequences hold related documents and have no padding: only a shard's last tokens
@@ -18,9 +20,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairloom.llm.text import batch_of, byte_class, mix, pieces, text_bytes, word_hashes, word_places, worker_cache
+from pairloom.llm.text import (
+    SPACED,
+    batch_of,
+    byte_class,
+    mix,
+    pieces,
+    text_bytes,
+    with_columns,
+    word_hashes,
+    word_places,
+    words_of,
+    worker_cache,
+)
 
 WINDOW = 2048
 END = 1  # the id after each document
@@ -208,6 +223,31 @@ class Bm25:
         return found[np.lexsort([found, -score[found]])]
 
 
+def content_places(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two min-hashes of each text's words, by which documents are sorted; texts without words come last."""
+    hashes, first = words_of(texts, SPACED)
+    some = np.flatnonzero(np.diff(first))
+    out = []
+    for seed in (1, 2):
+        least = np.full(len(first) - 1, np.iinfo(np.int64).max)
+        if len(some):
+            spread = (mix(hashes + np.uint64(seed)) >> np.uint64(1)).astype(np.int64)
+            least[some] = np.minimum.reduceat(spread, first[some])
+        out.append(least)
+    return out[0], out[1]
+
+
+def _by_content(docs: DataFrame) -> DataFrame:
+    """key and text, sorted by content; rows of equal content spread by key, then by place."""
+    placed = with_columns(
+        docs.withColumns({"by_key": F.xxhash64("key"), "row": F.monotonically_increasing_id()}),
+        "text",
+        "first bigint, second bigint",
+        lambda piece: dict(zip(("first", "second"), content_places(piece.column("text")))),
+    )
+    return placed.orderBy("first", "second", "by_key", "row").select("key", "text")
+
+
 def fill_order(index: Bm25, counts: np.ndarray, window: int) -> np.ndarray:
     """Order in which documents are put one after another, window by window."""
     n = len(counts)
@@ -269,8 +309,10 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
 
     A null or empty text is END alone. Rows are packed one by one, so repeated rows, also
     with one key, and null keys are documents of their own. No rows give no pieces. Other
-    columns are not read. Shards are runs of rows of one input split, so nothing is
-    shuffled; sequence ids are made from the split's number and do not depend on retries.
+    columns are not read. The texts are shuffled once, by ranges of their content: ranges are
+    of similar size, as a sample of the rows sets their bounds and rows of one content are
+    split by key and place. Sequence ids are made from the range's number and do not
+    depend on retries.
     """
     if window & (window - 1):
         raise ValueError("window is not a power of two")
@@ -287,8 +329,8 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
         encoder = cache[name]
         sequences = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for piece in pieces(batch, text, SHARD_BYTES):
-                ids, first, terms, doc = encoder.encode(piece.column(text))
+            for piece in pieces(batch, "text", SHARD_BYTES):
+                ids, first, terms, doc = encoder.encode(piece.column("text"))
                 counts = np.diff(first)
                 order = fill_order(Bm25(terms, doc, len(counts)), counts, window)
                 row, start, length, sequence, offset = pack_shard(counts, order, window)
@@ -298,7 +340,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
                 at = np.concatenate([[0], np.cumsum(length)]).astype(np.int32) * np.int32(4)
                 yield batch_of(
                     {
-                        key: piece.column(key).take(pa.array(row)),
+                        key: piece.column("key").take(pa.array(row)),
                         "start": start,
                         "length": length,
                         "doc_tokens": counts[row],
@@ -309,4 +351,5 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
                 )
                 sequences += int(sequence[-1]) + 1
 
-    return docs.select(f"`{key}`", f"`{text}`").mapInArrow(run, schema)
+    own = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    return _by_content(own).mapInArrow(run, schema)

@@ -5,10 +5,11 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pairloom.llm import packing
-from pairloom.llm.packing import END, Bm25, Encoder, cuts, fill_order, pack, pack_shard
+from pairloom.llm.packing import END, Bm25, Encoder, content_places, cuts, fill_order, pack, pack_shard
 from pairloom.llm.queries import tokenizer_path
 
 TEXTS = [
@@ -96,6 +97,48 @@ def test_neighbours_share_windows():
     assert max(same) <= 2
 
 
+def test_content_places_are_least_hashes():
+    texts = ["b a", "a  B a", None, "", "a b c d", "c", "\n", "d c b a"]
+    first, second = content_places(pa.array(texts))
+    single = {w: [x[0] for x in content_places(pa.array([w]))] for w in "abcd"}
+    for i, t in enumerate(texts):
+        words = (t or "").lower().split()
+        for j, got in enumerate((first, second)):
+            assert got[i] == min((single[w][j] for w in words), default=np.iinfo(np.int64).max)
+    assert (first[0], second[0]) == (first[1], second[1]) and single["a"][0] != single["a"][1]
+
+
+def test_near_copies_meet_in_a_shard(spark, docs_of, monkeypatch):
+    """Near copies far apart in the input are packed next to each other."""
+    monkeypatch.setattr(packing, "SHARD_BYTES", 20_000)
+    rng = random.Random(4)
+    groups = [[rng.choice("abcdefgh") + str(rng.randint(0, 5000)) for _ in range(80)] for _ in range(60)]
+    rows = []
+    for copy in range(5):
+        for g, words in enumerate(groups):
+            changed = [w if rng.random() > 0.03 else f"new{rng.random()}" for w in words]
+            rows.append((copy * 60 + g, " ".join(changed), "en", "s", 1))
+    out = pack(docs_of(rows, partitions=7), tokenizer_path(), window=1024).select("doc_id", "sequence_id").collect()
+    sequences = {}
+    for r in out:
+        sequences.setdefault(r.doc_id, set()).add(r.sequence_id)
+    near = [any(abs(a - b) <= 1 for a in sequences[d] for o in range(d % 60, 300, 60) if o != d for b in sequences[o]) for d in range(300)]
+    assert sum(near) > 0.8 * len(near)
+
+
+def test_one_content_is_spread(spark, docs_of):
+    """Equal rows, a third without a key, are dealt to several tasks and none is lost."""
+    rows = [(None if i % 3 == 0 else 7, "same words", "en", "s", 1) for i in range(3000)]
+    out = pack(docs_of(rows), tokenizer_path(), window=64)
+    assert out.filter("start = 0").count() == 3000
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert out.select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 @pytest.mark.parametrize("window", [8, 64])
 def test_shards_are_cut_without_loss(window):
     rng = np.random.default_rng(window)
