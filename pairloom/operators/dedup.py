@@ -5,19 +5,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.operators.keys import text_key
 from pairloom.schemas import require_columns
 
 
+COPIES = 64  # rows of one source that move together
+
+
+def _pair() -> Column:
+    return text_key(F.col("sentence"), F.col("paraphrase")).alias("_pair")
+
+
 def _foreign() -> Column:
     return ~F.col("lang").eqNullSafe("en")
 
 
 def _refuse_repeated(df: DataFrame, order: str) -> None:
-    repeated = df.groupBy(order).count().filter((F.col("count") > 1) | F.col(order).isNull())
+    repeated = df.groupBy(order).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col(order).isNull())
     if repeated.limit(1).count():
         raise ValueError(f"{order} is not a unique row key; number the rows first (row_index)")
 
 
+def _few_copies(df: DataFrame, order: str) -> bool:
+    """Whether ``index`` names a source with few foreign rows for every one of them."""
+    if "index" not in df.columns or order == "index":
+        return False
+    counts = df.groupBy("index").agg(F.count(F.lit(1)).alias("n"))
+    most, lost = counts.agg(F.max("n"), F.max(F.col("index").isNull().cast("int"))).first()
+    return most is not None and most <= COPIES and not lost
+
+
+def _found(foreign: DataFrame, kept: DataFrame, order: str, by_source: bool) -> DataFrame:
+    """The foreign rows whose key is in ``kept``, with the other columns of ``kept``.
+
+    With ``by_source`` the rows of one source move together: they differ little, so
+    that they are compressed to a fraction, and the kept keys of a source, ``COPIES`` at most,
+    are looked up in one list. The wide side is not sorted.
+    """
+    if not by_source:
+        return foreign.join(kept, order)
+    more = [c for c in kept.columns if c not in (order, "index")]
+    lists = kept.groupBy("index").agg(F.collect_list(F.struct(order, *more)).alias("_kept"))
+    joined = foreign.join(lists.hint("shuffle_hash"), "index")
+    own = F.filter("_kept", lambda e: e[order] == F.col(order))
+    marked = joined.withColumn("_own", F.get(own, F.lit(0))).filter(F.col("_own").isNotNull())
+    return marked.select(*foreign.columns, *[F.col("_own")[c].alias(c) for c in more])
+
+
 def remove_duplicates(
     df: DataFrame, order: str = "IDS", by: str | None = None, check: bool = True
 ) -> DataFrame:
@@ -25,10 +59,10 @@ def remove_duplicates(
 
     Null texts are equal to each other and a null language is not English. English
     rows all stay. A foreign row stays exactly when it is the first of its pair.
-    One hash aggregate by the pair, with map-side combine, finds the first key of
+    One hash aggregate by the pair's 16-byte key, with map-side combine, finds the first key of
     each pair and the first foreign one; where they are equal, that foreign row is
-    kept by a semi-join on the key. English rows enter the aggregate with their pair and
-    key alone; their other columns are not shuffled. A pair that fills a third of
+    kept by a join on the key, or on ``index`` where a source has few copies. English rows
+    enter the aggregate alone, and no text does. A pair that fills a third of
     the table shrinks to one row per map task.
 
     ``order`` must be a unique row key without nulls; ``check`` counts the keys and raises
@@ -41,13 +75,16 @@ def remove_duplicates(
     require_columns(df, "sentence", "paraphrase", "lang", order)
     if check:
         _refuse_repeated(df, order)
-    pairs = df.groupBy("sentence", "paraphrase")
+    pairs = df.groupBy(_pair())
     first = F.min(order).alias("_first")
     foreign = df.filter(_foreign())
     if by is None:
-        firsts = pairs.agg(first, F.min(F.when(_foreign(), F.col(order))).alias("_foreign"))
-        kept = firsts.filter(F.col("_first") == F.col("_foreign")).select(F.col("_first").alias(order))
-        return df.filter(~_foreign()).unionByName(foreign.join(kept, order, "left_semi").select(df.columns))
+        by_source = _few_copies(foreign, order)
+        own = F.when(_foreign(), F.col(order))
+        source = [F.min_by("index", own).alias("index")] if by_source else []
+        firsts = pairs.agg(first, F.min(own).alias("_foreign"), *source).filter(F.col("_first") == F.col("_foreign"))
+        kept = firsts.select(F.col("_first").alias(order), *(["index"] if by_source else []))
+        return df.filter(~_foreign()).unionByName(_found(foreign, kept, order, by_source).select(df.columns))
     later = foreign.select(order, by).join(pairs.agg(first.alias(order)), order, "left_anti")
     return df.join(later.select(by).distinct(), by, "left_anti")
 
@@ -60,26 +97,39 @@ def remove_duplicates_in_sets(
     A row's ``lang_sets`` names the sets in which it stays: for an English row all sets
     with English, for a foreign row those of its language in which no row of the set has
     the same pair earlier in ``order``. Rows that stay in no set are left out. The first
-    rows of all sets come from one hash aggregate by the pair, two minima for each set, so
-    texts are shuffled once whatever the number of sets, and rows are never copied.
+    rows of all sets come from one hash aggregate by the pair's key, a minimum for each language, so
+    no text is grouped whatever the number of sets, and rows are never copied.
     """
     require_columns(df, "sentence", "paraphrase", "lang", order)
     if check:
         _refuse_repeated(df, order)
+    foreign = df.filter(_foreign())
+    by_source = _few_copies(foreign, order)
+    codes = sorted({c for own in sets.values() for c in own})
+    place = {c: i for i, c in enumerate(codes)}
     firsts = []
-    for codes in sets.values():
-        inside = F.coalesce(F.col("lang").isin(list(codes)), F.lit(False))
-        firsts += [F.min(F.when(inside, F.col(order))), F.min(F.when(inside & _foreign(), F.col(order)))]
-    named = [c.alias(f"_{i}") for i, c in enumerate(firsts)]
-    by_pair = df.groupBy("sentence", "paraphrase").agg(*named)
+    for c, i in place.items():
+        own = F.when(F.col("lang") == c, F.col(order))
+        firsts.append(F.min(own).alias(f"_{i}"))
+        if by_source and c != "en":
+            firsts.append(F.min_by("index", own).alias(f"_from_{i}"))
+    none = F.lit(None).cast(df.schema[order].dataType)
+
+    def first(own: list[str]) -> Column:
+        return F.least(none, none, *[F.col(f"_{place[c]}") for c in own])
+
     entries = [
-        F.struct(F.lit(name).alias("name"), F.when(F.col(f"_{2 * i}") == F.col(f"_{2 * i + 1}"), F.col(f"_{2 * i}")).alias("key"))
-        for i, name in enumerate(sets)
+        F.struct(F.lit(name).alias("name"), F.when(first(own) == first([c for c in own if c != "en"]), first(own)).alias("key"))
+        for name, own in sets.items()
     ]
-    kept = by_pair.select(F.filter(F.array(*entries), lambda e: e["key"].isNotNull()).alias("_kept"))
-    each = kept.select("_kept", F.explode(F.array_distinct(F.transform("_kept", lambda e: e["key"]))).alias(order))
-    own = F.transform(F.filter("_kept", lambda e: e["key"] == F.col(order)), lambda e: e["name"])
-    foreign = df.filter(_foreign()).join(each.select(order, own.alias("lang_sets")), order)
-    english = F.array(*[F.lit(name) for name, codes in sets.items() if "en" in codes]).cast("array<string>")
+    by_pair = df.groupBy(_pair()).agg(*firsts)
+    kept = by_pair.withColumn("_kept", F.filter(F.array(*entries), lambda e: e["key"].isNotNull()))
+    keys = F.array_distinct(F.transform("_kept", lambda e: e["key"]))
+    each = kept.withColumn(order, F.explode(keys))
+    names = F.transform(F.filter("_kept", lambda e: e["key"] == F.col(order)), lambda e: e["name"])
+    sources = [F.when(F.col(f"_{i}") == F.col(order), F.col(f"_from_{i}")) for c, i in place.items() if c != "en"]
+    source = [F.coalesce(*sources).alias("index")] if by_source and sources else []
+    kept = each.select(order, names.alias("lang_sets"), *source)
+    english = F.array(*[F.lit(name) for name, own in sets.items() if "en" in own]).cast("array<string>")
     whole = df.filter(~_foreign()).withColumn("lang_sets", english).filter(F.size("lang_sets") > 0)
-    return whole.unionByName(foreign)
+    return whole.unionByName(_found(foreign, kept, order, bool(source)))

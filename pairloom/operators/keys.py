@@ -11,13 +11,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions.labels import rank_key
-from pairloom.shared import fresh_path, write_table
+from pairloom.shared import CODEC, fresh_path, write_table
 
 HEX_DIGITS = 3  # 4096 buckets for each pass of a cut
 MAX_BLOCKS = 2_000_000  # input splits whose starts (16 bytes each) may be broadcast
 SMALL_BUCKET = 20_000  # a bucket this small may be looked at value by value
 
 
+def text_key(*texts: Column) -> Column:
+    """16 bytes in place of texts as a key to group and join by: their md5, with lengths, nulls told apart."""
+    sized = [F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
+    return F.unhex(F.md5(F.concat(*sized)))
+
+
 def row_index(df: DataFrame, *order: str | Column, name: str = "IDS") -> DataFrame:
     """Number the rows 0..n-1 in the given order.
 
@@ -30,7 +36,7 @@ def row_index(df: DataFrame, *order: str | Column, name: str = "IDS") -> DataFra
     spark = df.sparkSession
     path = fresh_path(spark, "sorted")
     body = df.orderBy(*order).drop(name)
-    body.write.parquet(path)
+    body.write.option("compression", CODEC).parquet(path)
     stored = spark.read.schema(body.schema).parquet(path).select(
         "*",
         F.col("_metadata.file_name").alias("_file"),

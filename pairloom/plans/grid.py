@@ -69,7 +69,9 @@ def prepare_grid(
     names = list(sets)
     layout = schemas.RAW_MRPC_AUGMENTED if dataset == "mrpc" else schemas.AUGMENTED
     augmented = csv_file(spark, sources["augmented"], layout)
-    augmented = write_table(normalize_mrpc(augmented) if dataset == "mrpc" else augmented, "grid-augmented")
+    augmented = normalize_mrpc(augmented) if dataset == "mrpc" else augmented
+    if not isinstance(sources["augmented"], DataFrame):  # a table is read where it is, a parsed file is stored
+        augmented = write_table(augmented, "grid-augmented")
     baseline = BASELINES[dataset](spark, sources, None, downsample)
     parts = [
         baseline.withColumn("members", _members([BASELINE], F.col("split"))),

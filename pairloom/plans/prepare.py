@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairloom import schemas
+from pairloom.constants import TARGET_LANGUAGES
+from pairloom.operators.augment import Translation, tag_english
 from pairloom.operators.dedup import remove_duplicates
 from pairloom.operators.keys import row_index
 from pairloom.operators.normalize import (
@@ -174,6 +176,21 @@ def _quora_augmented(spark, sources, langs, downsample) -> DataFrame:
 BASELINES = {"mrpc": _mrpc_baseline, "tpc": _twitter_baseline, "quora": _quora_baseline}
 
 
+def augment_numbered(pairs: DataFrame, translate: Translation, langs: list[str] = TARGET_LANGUAGES) -> DataFrame:
+    """``renumber_augmented`` of ``augment_by_column``, with the English rows alone sorted.
+
+    Every row is there in every language, so its number follows from its place among the
+    English rows. Only these are stored; the copies are a narrow explode whenever they are read.
+    """
+    english = row_index(tag_english(pairs).drop("lang"), "IDS", name="_at")
+    n = english.count()
+    codes = F.array(*[F.lit(c) for c in ["en", *langs]])
+    copies = english.select("*", F.posexplode(codes).alias("_place", "lang"))
+    made = F.when(F.col("lang") == "en", F.col("paraphrase")).otherwise(translate(F.col("paraphrase"), F.col("lang")))
+    numbered = copies.withColumns({"IDS": F.col("_place") * F.lit(n) + F.col("_at"), "paraphrase": made})
+    return numbered.select("IDS", *[c for c in pairs.columns if c not in ("IDS", "lang", "index")], "lang", "index")
+
+
 def renumber_augmented(augmented: DataFrame, langs: list[str]) -> DataFrame:
     """Unique ``IDS`` for the output of an augmentation: English first, then by language."""
     place = F.array_position(F.array(*[F.lit(c) for c in ["en", *langs]]), F.col("lang"))

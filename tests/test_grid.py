@@ -12,7 +12,8 @@ from pairloom.operators.grid import language_sets
 from pairloom.operators.normalize import filter_languages
 from pairloom.operators.sampling import split_in_sets, split_two
 from pairloom.plans.grid import experiment_grid, of_split, prepare_grid
-from pairloom.plans.prepare import prepare
+from pairloom.operators.augment import augment_by_column
+from pairloom.plans.prepare import augment_numbered, prepare, renumber_augmented
 from pairloom.shared import fresh_path, write_table
 
 SETS = ["es", "ko", "yo", "all"]
@@ -120,3 +121,21 @@ def test_wrong_arguments(spark, augmented):
         prepare_grid(spark, "other", {}, SETS)
     with pytest.raises(KeyError):
         prepare_grid(spark, "tpc", sources(augmented, "tpc"), ["nowhere"])
+
+
+def test_numbered_translations(spark):
+    """The numbers are those of a sort of all copies, and only the English rows are sorted."""
+    rows = [(i, f"s{i}", None if i % 5 == 0 else f"T{i}", i % 2) for i in (9, 4, 30, 5, 12)]
+    english = spark.createDataFrame(rows, "IDS bigint, sentence string, paraphrase string, quality int")
+    rule = lambda text, lang: F.concat(lang, text)
+    found = augment_numbered(english, rule, ["ko", "es"])
+    want = renumber_augmented(augment_by_column(english, rule, ["ko", "es"]), ["ko", "es"]).select(found.columns)
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    assert "rangepartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_table_is_not_stored_again(spark, augmented, monkeypatch):
+    stored = []
+    monkeypatch.setattr("pairloom.plans.grid.write_table", lambda df, name: stored.append(name) or write_table(df, name))
+    prepare_grid(spark, "tpc", sources(augmented, "tpc"), SETS)
+    assert "grid-augmented" not in stored
