@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from pairloom.operators.dedup import remove_duplicates
+from pairloom.operators.dedup import remove_duplicates, remove_duplicates_in_sets
 
 SCHEMA = "IDS bigint, sentence string, paraphrase string, lang string, index bigint"
 
@@ -53,3 +53,27 @@ def test_order_must_be_unique(spark):
             run(spark, rows)
     extra = spark.createDataFrame([(0, "a", "b", "es", 0)], SCHEMA).selectExpr("*", "1 as _first")
     assert remove_duplicates(extra).columns == extra.columns
+
+
+def shuffled_texts(df):
+    """Whether a text column passes an exchange in the plan, other than in the rows that stay."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "hashpartitioning(sentence" in line]
+
+
+def test_pairs_are_grouped_without_their_texts(spark):
+    rows = [(i, f"s{i % 7}", f"p{i % 5}", ["en", "es", "ja", None][i % 4], i // 10) for i in range(200)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert not shuffled_texts(remove_duplicates(df))
+    assert not shuffled_texts(remove_duplicates(df, by="index"))
+    assert not shuffled_texts(remove_duplicates_in_sets(df, {"all": ["en", "es", "ja"]}))
+
+
+def test_sources_with_few_and_many_copies(spark):
+    """The rows of a source move together where they are few; the result is the same with many, or without a source."""
+    rng = random.Random(2)
+    for size in (5, 300):
+        rows = [(i, rng.choice(["a", "b", None, "1:a"]), rng.choice(["x", None]), rng.choice(["en", "es", None]), i // size) for i in range(600)]
+        assert run(spark, rows) == brute(rows)
+        rows = [(*r[:4], None if r[0] == 7 else r[4]) for r in rows]
+        assert run(spark, rows) == brute(rows)
