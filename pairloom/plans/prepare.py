@@ -192,6 +192,18 @@ def augment_numbered(pairs: DataFrame, translate: Translation, langs: list[str]
 
 
 def renumber_augmented(augmented: DataFrame, langs: list[str]) -> DataFrame:
-    """Unique ``IDS`` for the output of an augmentation: English first, then by language."""
+    """Unique ``IDS`` for the output of an augmentation: English first, then by language.
+
+    The rows are stored as they come, and their keys alone are sorted. The numbers come back to
+    the rows by runs of 64 stored rows, in which a source and its copies stay together, so
+    that they are compressed to a fraction where they move and are stored.
+    """
     place = F.array_position(F.array(*[F.lit(c) for c in ["en", *langs]]), F.col("lang"))
-    return row_index(augmented, place, "IDS", name="IDS")
+    stored = write_table(augmented.withColumn("_at", F.monotonically_increasing_id()), "augmented-rows")
+    keys = stored.select(place.alias("_place"), F.col("IDS").alias("_old"), "_at")
+    numbers = row_index(keys, "_place", "_old", name="IDS").select("IDS", "_at")
+    run = F.shiftright("_at", 6).alias("_run")
+    lists = numbers.groupBy(run).agg(F.collect_list(F.struct("_at", "IDS")).alias("_numbers"))
+    rows = stored.drop("IDS").withColumn("_run", run).join(lists.hint("shuffle_hash"), "_run")
+    own = F.get(F.filter("_numbers", lambda e: e["_at"] == F.col("_at")), F.lit(0))["IDS"].alias("IDS")
+    return write_table(rows.select(own, *[c for c in augmented.columns if c != "IDS"]), "augmented")
