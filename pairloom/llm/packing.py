@@ -41,6 +41,7 @@ WINDOW = 2048
 END = 1  # the id after each document
 SHARD_BYTES = 6 << 20  # of text that shares an index; a longer text is a shard of its own
 K1, B = 1.2, 0.75
+BEST = 32  # neighbours that are sorted first; all of them where these do not fill a window
 KNOWN_CHUNKS = 3_000_000  # remembered by a worker
 _SPACE = byte_class(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
 #: Bytes between ASCII white space, upper case apart: special tokens are spelled exactly.
@@ -48,6 +49,7 @@ CHUNKS = np.where(np.arange(256) - 65 < 26, np.where(np.arange(256) >= 65, mix(_
 _CLOSING = np.isin(np.arange(256), [ord(c) for c in ".,;:!?%$#&*"])
 _ALNUM = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
 _MARK = "<|startoftext|>"
+_SIGN = "~"  # sent between chunks without it, where it has one id; special tokens take twice the time
 #: Words and blanks whose joints show whether a tokenizer treats chunks apart.
 _PROBE = ["Ab1", "x.", "é!", "don't", "(a)", "9,", "a.b", "$5%", "ß", "日本", "I'm:", "1990's", "--", "wait...", "e-mail;", "UPPER?", "#1", "a*", "«b»"]
 _BLANKS = [" ", "\n", "\t", "  ", "\r\n", "\x0b", "\x0c"]
@@ -68,6 +70,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.mark = self.tokenizer.token_to_id(_MARK)
+        own = self.tokenizer.encode(_SIGN, add_special_tokens=False).ids
+        self.sign = own[0] if len(own) == 1 else None
         self.by_chunk = self.mark is not None and self._special_are_marked() and self._splits()
         self.clear()
 
@@ -86,6 +90,9 @@ class Encoder:
         parts = self.tokenizer.encode_batch([*chunks, probe], add_special_tokens=False)
         marked = self.tokenizer.encode(_MARK.join(chunks), add_special_tokens=False).ids
         of_chunks = [i for p in parts[:-1] for i in p.ids]
+        signed = self.tokenizer.encode(f" {_SIGN} ".join(chunks), add_special_tokens=False).ids
+        if of_chunks != [i for i in signed if i != self.sign]:
+            self.sign = None
         return of_chunks == parts[-1].ids == [i for i in marked if i != self.mark]
 
     def clear(self) -> None:
@@ -95,17 +102,23 @@ class Encoder:
         self.ids = np.zeros(0, dtype=np.uint32)
 
     def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        """Encode new chunks, a thousand in one call, with a special token between them."""
-        plain = [t if "<|" not in t else "" for t in texts]
-        marked = [_MARK.join(plain[i : i + 1000]) for i in range(0, len(plain), 1000)]
+        """Encode new chunks, a hundred in one call, with a sign or special token between them."""
+        sign, between = (self.mark, _MARK) if self.sign is None else (self.sign, f" {_SIGN} ")
+        own = lambda t: "<|" in t or self.sign is not None and _SIGN in t
+        plain = ["" if own(t) else t for t in texts]
+        sent = [plain[i : i + 100] for i in range(0, len(plain), 100)]
+        made = self.tokenizer.encode_batch_fast([between.join(some) for some in sent], add_special_tokens=False)
         parts, counts = [], []
-        for i, e in enumerate(self.tokenizer.encode_batch_fast(marked, add_special_tokens=False)):
+        for some, e in zip(sent, made, strict=True):
             ids = np.array(e.ids, dtype=np.uint32)
-            cut = np.flatnonzero(ids == self.mark)
+            cut = np.flatnonzero(ids == sign)
+            if len(cut) != len(some) - 1 and self.sign is not None:  # other texts have its id too
+                self.sign = None
+                return self.learn(hashes, texts)
             parts.append(np.delete(ids, cut))
             counts.append(np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1)
         ids, counts = np.concatenate(parts), np.concatenate(counts)
-        odd = [i for i, t in enumerate(texts) if "<|" in t]
+        odd = [i for i, t in enumerate(texts) if own(t)]
         if odd:
             ends = np.cumsum(counts)
             lists = np.split(ids, ends[:-1])
@@ -117,7 +130,7 @@ class Encoder:
         self.ids = np.concatenate([self.ids, ids])
         known = np.concatenate([self.known, hashes])
         where = np.concatenate([self.where, first + np.arange(len(hashes))])
-        order = np.argsort(known)
+        order = stable_order(known)
         self.known, self.where = known[order], where[order]
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
@@ -129,7 +142,8 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All ids with END after each text, where each text's begin (one more at the end),
-        and the chunk hashes with the text of each."""
+        and the chunk hashes with the text of each. ``order`` is then the stable order of these hashes, or None."""
+        self.order = None
         if not self.by_chunk:
             return self._encode_whole(texts)
         if len(self.known) > KNOWN_CHUNKS:
@@ -138,23 +152,29 @@ class Encoder:
         begins, ends = word_places(data, at, CHUNKS)
         begins, ends = _split_closing(data, begins, ends)
         hashes = word_hashes(data, begins, ends, CHUNKS)
-        distinct, one, back = np.unique(hashes, return_index=True, return_inverse=True)
+        order = self.order = stable_order(hashes)
+        sorted_ = hashes[order]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = sorted_[1:] != sorted_[:-1]
+        distinct, one = sorted_[new], order[new]
+        back = np.empty(len(order), dtype=np.int64)
+        back[order] = np.cumsum(new) - 1
         chunk = self.find(distinct)
         missing = np.flatnonzero(chunk < 0)
         if len(missing):
             raw = data.tobytes()
             self.learn(distinct[missing], [raw[begins[i] : ends[i]].decode("utf-8", "replace") for i in one[missing]])
             chunk = self.find(distinct)
-        text = np.searchsorted(at, begins, "right") - 1
-        size = np.diff(self.at)[chunk][back]
         n = len(at) - 1
+        text = np.repeat(np.arange(n), np.diff(np.searchsorted(begins, at)))
+        size = (self.at[chunk + 1] - self.at[chunk])[back]
         counts = np.bincount(text, weights=size, minlength=n).astype(np.int64) + 1
         first = np.concatenate([[0], np.cumsum(counts)])
         ids = np.full(first[-1], END, dtype=np.uint32)
-        total = int(size.sum())
-        run = np.repeat(np.cumsum(size) - size, size)  # of the chunk's ids, before it
-        step = np.arange(total) - run
-        ids[np.arange(total) + np.repeat(text, size)] = self.ids[np.repeat(self.at[:-1][chunk][back], size) + step]
+        inside = np.ones(first[-1], dtype=bool)
+        inside[first[1:] - 1] = False
+        shift = self.at[chunk][back] - np.cumsum(size) + size  # from a chunk's place among all ids to its known ids
+        ids[inside] = self.ids[np.repeat(shift, size) + np.arange(int(size.sum()))]
         return ids, first, hashes, text
 
     def _encode_whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -166,29 +186,44 @@ class Encoder:
         return ids, first, word_hashes(data, begins, ends, CHUNKS), np.searchsorted(at, begins, "right") - 1
 
 
+def stable_order(hashes: np.ndarray) -> np.ndarray:
+    """The stable argsort of hashes.
+
+    Their upper bits with their places below them are sorted as plain numbers, which takes a tenth of
+    the time; where two hashes have the same upper bits, the hashes themselves are sorted.
+    """
+    low = np.uint64(max(1, len(hashes)).bit_length())
+    below = (np.uint64(1) << low) - np.uint64(1)
+    order = (np.sort(hashes & ~below | np.arange(len(hashes), dtype=np.uint64)) & below).astype(np.int64)
+    found = hashes[order]
+    return order if (found[1:] >= found[:-1]).all() else np.argsort(hashes, kind="stable")
+
+
 def _split_closing(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cut closing signs off chunks, where an ASCII letter or digit is before them."""
     if not len(begins):
         return begins, ends
-    closing = np.append(_CLOSING[data], False)
     cut = ends.copy()
-    open_ = np.flatnonzero(closing[cut - 1] & (cut - begins > 1))
+    open_ = np.flatnonzero(_CLOSING[data[cut - 1]] & (cut - begins > 1))
     while len(open_):
         cut[open_] -= 1
-        open_ = open_[closing[cut[open_] - 1] & (cut[open_] - begins[open_] > 1)]
+        open_ = open_[_CLOSING[data[cut[open_] - 1]] & (cut[open_] - begins[open_] > 1)]
     split = (cut < ends) & _ALNUM[data[cut - 1]]
     cut = np.where(split, cut, ends)
-    all_begins = np.concatenate([begins, cut[split]])
-    all_ends = np.concatenate([cut, ends[split]])
-    order = np.argsort(all_begins, kind="stable")
-    return all_begins[order], all_ends[order]
+    place = np.arange(len(begins)) + np.cumsum(split) - split
+    rest = place[split] + 1
+    all_begins, all_ends = np.empty((2, len(begins) + len(rest)), dtype=begins.dtype)
+    all_begins[place], all_ends[place] = begins, cut
+    all_begins[rest], all_ends[rest] = cut[split], ends[split]
+    return all_begins, all_ends
 
 
 class Bm25:
     """Inverted index of a shard: for each term its documents and their BM25 weights."""
 
-    def __init__(self, terms: np.ndarray, doc: np.ndarray, n_docs: int):
-        order = np.lexsort([doc, terms])
+    def __init__(self, terms: np.ndarray, doc: np.ndarray, n_docs: int, order: np.ndarray | None = None):
+        """``order`` is that of the terms, where the documents of the same term are in order, if it is known."""
+        order = np.lexsort([doc, terms]) if order is None else order
         terms, doc = terms[order], doc[order]
         new = np.ones(len(terms), dtype=bool)
         new[1:] = (terms[1:] != terms[:-1]) | (doc[1:] != doc[:-1])
@@ -211,8 +246,8 @@ class Bm25:
         self.query_at = np.searchsorted(self.doc[by], np.arange(n_docs + 1))
         self.n_docs = n_docs
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents with a term of the seed's, the best first, ties by place."""
+    def neighbours(self, seed: int, unused: np.ndarray, most: int | None = None) -> np.ndarray:
+        """Unused documents with a term of the seed's, the best first, ties by place; the best ``most`` and those as good."""
         terms = self.query[self.query_at[seed] : self.query_at[seed + 1]]
         if not len(terms):
             return terms
@@ -220,6 +255,9 @@ class Bm25:
         at = np.repeat(self.first[terms] - np.cumsum(size) + size, size) + np.arange(size.sum())
         score = np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n_docs)
         found = np.flatnonzero((score > 0) & unused)
+        if most is not None and most < len(found):
+            own = score[found]
+            found = found[own >= np.partition(own, len(own) - most)[len(own) - most]]
         return found[np.lexsort([found, -score[found]])]
 
 
@@ -266,7 +304,9 @@ def fill_order(index: Bm25, counts: np.ndarray, window: int) -> np.ndarray:
             next_ += 1
         room = -at % window
         # The document whose rest has begun this window is its seed; an empty window has none.
-        near = index.neighbours(out[placed - 1], unused) if room else np.zeros(0, np.int64)
+        near = index.neighbours(out[placed - 1], unused, BEST) if room else np.zeros(0, np.int64)
+        if len(near) >= BEST and counts[near].sum() < room:
+            near = index.neighbours(out[placed - 1], unused)
         if len(near):
             put(near[: int(np.searchsorted(np.cumsum(counts[near]), room)) + 1])
         else:
@@ -332,7 +372,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
             for piece in pieces(batch, "text", SHARD_BYTES):
                 ids, first, terms, doc = encoder.encode(piece.column("text"))
                 counts = np.diff(first)
-                order = fill_order(Bm25(terms, doc, len(counts)), counts, window)
+                order = fill_order(Bm25(terms, doc, len(counts), encoder.order), counts, window)
                 row, start, length, sequence, offset = pack_shard(counts, order, window)
                 begin = first[row] + start
                 run_ = np.repeat(begin - np.cumsum(length) + length, length) + np.arange(length.sum())

@@ -38,6 +38,42 @@ def test_chunks_give_the_tokenizers_ids(tokenizer, monkeypatch, known):
             assert ids[first[i] : first[i + 1]].tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids + [END]
 
 
+def test_signs_between_chunks(tokenizer):
+    """Chunks with the sign that is sent between them, and hashes whose upper bits agree."""
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        encoder = Encoder(f.read())
+    assert encoder.by_chunk and encoder.sign is not None
+    texts = ["~", "a ~ b", "a~b ~~ ~c.", "x " * 250 + "~", "", None, "<|endoftext|> ~ <|"]
+    signed = encoder.encode(pa.array(texts, pa.string()))
+    for i, t in enumerate(texts):
+        own = signed[0][signed[1][i] : signed[1][i + 1]].tolist()
+        assert own == tokenizer.encode(t or "", add_special_tokens=False).ids + [END]
+    assert (encoder.order == np.argsort(signed[2], kind="stable")).all()
+    encoder.clear()
+    encoder.sign = None  # as for a tokenizer without it
+    assert all((x == y).all() for x, y in zip(signed, encoder.encode(pa.array(texts, pa.string())), strict=True))
+    rng = np.random.default_rng(3)
+    for hashes in (rng.integers(0, 9, 500), (1 << 60) + rng.integers(0, 4, 50), rng.integers(0, 1 << 62, 50), np.zeros(0)):
+        hashes = hashes.astype(np.uint64)
+        assert (packing.stable_order(hashes) == np.argsort(hashes, kind="stable")).all()
+
+
+def test_best_neighbours_come_first(monkeypatch):
+    rng = np.random.default_rng(4)
+    terms, doc = rng.integers(0, 40, 3000).astype(np.uint64), np.sort(rng.integers(0, 300, 3000))
+    index, unused = Bm25(terms, doc, 300), rng.random(300) < 0.8
+    counts = rng.integers(1, 40, 300)
+    for seed in range(20):
+        whole = index.neighbours(seed, unused)
+        assert (index.neighbours(seed, unused, 8) == whole[: len(index.neighbours(seed, unused, 8))]).all()
+        assert len(index.neighbours(seed, unused, 8)) >= min(8, len(whole))
+    orders = []
+    for best in (1, 5, 10**6):
+        monkeypatch.setattr(packing, "BEST", best)
+        orders.append(fill_order(index, counts, 256).tolist())
+    assert orders[0] == orders[1] == orders[2]
+
+
 def test_other_tokenizers_encode_whole_texts():
     from tokenizers import models, pre_tokenizers
 
