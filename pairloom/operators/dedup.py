@@ -10,6 +10,7 @@ from pairloom.schemas import require_columns
 
 
 COPIES = 64  # rows of one source that move together
+BROADCAST_PAIRS = 500_000  # 16-byte keys: 8 MB
 
 
 def _pair() -> Column:
@@ -90,7 +91,7 @@ def remove_duplicates(
 
 
 def remove_duplicates_in_sets(
-    df: DataFrame, sets: dict[str, list[str]], order: str = "IDS", check: bool = True
+    df: DataFrame, sets: dict[str, list[str]], order: str = "IDS", check: bool = True, part: DataFrame | None = None
 ) -> DataFrame:
     """``remove_duplicates`` within every language set at once: adds ``lang_sets``.
 
@@ -99,12 +100,17 @@ def remove_duplicates_in_sets(
     the same pair earlier in ``order``. Rows that stay in no set are left out. The first
     rows of all sets come from one hash aggregate by the pair's key, a minimum for each language, so
     no text is grouped whatever the number of sets, and rows are never copied.
+
+    With ``part``, some rows of ``df`` that are stored, the result is that of ``df`` for these rows alone:
+    of the other rows only those with the pair of a foreign one among them are grouped. Up to
+    ``BROADCAST_PAIRS`` such pairs are broadcast, so that no other row is moved.
     """
     require_columns(df, "sentence", "paraphrase", "lang", order)
     if check:
         _refuse_repeated(df, order)
-    foreign = df.filter(_foreign())
-    by_source = _few_copies(foreign, order)
+    rows = df if part is None else part
+    foreign = rows.filter(_foreign())
+    by_source = part is None and _few_copies(foreign, order)
     codes = sorted({c for own in sets.values() for c in own})
     place = {c: i for i, c in enumerate(codes)}
     firsts = []
@@ -122,7 +128,12 @@ def remove_duplicates_in_sets(
         F.struct(F.lit(name).alias("name"), F.when(first(own) == first([c for c in own if c != "en"]), first(own)).alias("key"))
         for name, own in sets.items()
     ]
-    by_pair = df.groupBy(_pair()).agg(*firsts)
+    paired = df.withColumn("_pair", _pair())
+    if part is not None:
+        pairs = foreign.select(_pair()).distinct()
+        few = foreign.count() <= BROADCAST_PAIRS
+        paired = paired.join(F.broadcast(pairs) if few else pairs, "_pair", "left_semi")
+    by_pair = paired.groupBy("_pair").agg(*firsts)
     kept = by_pair.withColumn("_kept", F.filter(F.array(*entries), lambda e: e["key"].isNotNull()))
     keys = F.array_distinct(F.transform("_kept", lambda e: e["key"]))
     each = kept.withColumn(order, F.explode(keys))
@@ -131,5 +142,5 @@ def remove_duplicates_in_sets(
     source = [F.coalesce(*sources).alias("index")] if by_source and sources else []
     kept = each.select(order, names.alias("lang_sets"), *source)
     english = F.array(*[F.lit(name) for name, own in sets.items() if "en" in own]).cast("array<string>")
-    whole = df.filter(~_foreign()).withColumn("lang_sets", english).filter(F.size("lang_sets") > 0)
+    whole = rows.filter(~_foreign()).withColumn("lang_sets", english).filter(F.size("lang_sets") > 0)
     return whole.unionByName(_found(foreign, kept, order, bool(source)))

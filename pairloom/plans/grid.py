@@ -36,15 +36,16 @@ def _members(names: list[str], split: Column | str) -> Column:
 
 
 def _train(dataset: str, pairs: DataFrame, sets: dict[str, list[str]], downsample: bool) -> DataFrame:
+    if dataset == "mrpc" and downsample:
+        # English rows all stay, and are the same in every set: one sample of them serves all sets, and is drawn
+        # before the duplicates are removed, so that the rows which the sample leaves out are not moved or stored.
+        sample = write_table(downsample_with_siblings(pairs), "grid-sample")
+        return split_in_sets(write_table(remove_duplicates_in_sets(pairs, sets, part=sample), "grid-clean"))
     clean = remove_duplicates_in_sets(pairs, sets)
     if dataset != "mrpc":
         train = lambda name: F.struct(name.alias("lang_set"), F.lit("train").alias("split"))
         return clean.withColumn("members", F.transform("lang_sets", train))
-    clean = write_table(clean, "grid-clean")
-    if downsample:
-        # English rows are the same in every set, so one sample of them serves all sets.
-        clean = write_table(downsample_with_siblings(clean), "grid-sample")
-    return split_in_sets(clean)
+    return split_in_sets(write_table(clean, "grid-clean"))
 
 
 def prepare_grid(

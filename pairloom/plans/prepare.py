@@ -123,7 +123,7 @@ def _augmented_train(pairs: DataFrame, langs: list[str]) -> DataFrame:
 def _mrpc_baseline(spark, sources, langs, downsample) -> DataFrame:
     pairs = mrpc_file(spark, sources["train"])
     if downsample:
-        pairs = balanced_sample(write_table(pairs, "mrpc"))
+        pairs = balanced_sample(pairs if isinstance(sources["train"], DataFrame) else write_table(pairs, "mrpc"))
     return _stack(
         train=split_two(write_table(pairs, "mrpc-train")), test=mrpc_file(spark, sources["test"])
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pairloom.operators.dedup import remove_duplicates, remove_duplicates_in_sets
 from pairloom.operators.grid import language_sets
 from pairloom.operators.normalize import filter_languages
-from pairloom.operators.sampling import split_in_sets, split_two
+from pairloom.operators.sampling import downsample_with_siblings, split_in_sets, split_two
 from pairloom.plans.grid import experiment_grid, of_split, prepare_grid
 from pairloom.operators.augment import augment_by_column
 from pairloom.plans.prepare import augment_numbered, prepare, renumber_augmented
@@ -139,3 +139,36 @@ def test_a_table_is_not_stored_again(spark, augmented, monkeypatch):
     monkeypatch.setattr("pairloom.plans.grid.write_table", lambda df, name: stored.append(name) or write_table(df, name))
     prepare_grid(spark, "tpc", sources(augmented, "tpc"), SETS)
     assert "grid-augmented" not in stored
+
+
+@pytest.mark.parametrize("pairs", [0, 10**6])
+def test_duplicates_of_a_part(augmented, monkeypatch, pairs):
+    """A part's rows stay in the sets in which they stay in the whole table."""
+    monkeypatch.setattr("pairloom.operators.dedup.BROADCAST_PAIRS", pairs)
+    sets = {name: language_sets()[name] for name in SETS}
+    whole = {r.IDS: sorted(r.lang_sets) for r in remove_duplicates_in_sets(augmented, sets).collect()}
+    for part in ("index % 3 = 1", "lang = 'es'", "lang = 'en'", "IDS < 0"):
+        chosen = write_table(augmented.filter(part), "part")
+        found = remove_duplicates_in_sets(augmented, sets, part=chosen).collect()
+        own = set(ids(chosen))
+        assert {r.IDS: sorted(r.lang_sets) for r in found} == {k: v for k, v in whole.items() if k in own}
+
+
+def test_a_sampled_grid_stores_the_sample_alone(spark, monkeypatch):
+    """The sample is drawn before duplicates are removed; members are those of the old order."""
+    rng = random.Random(8)
+    rows = [
+        (i * 5 + k, f"s{rng.randint(0, 90)}", rng.choice(["a", "b", None]), i % 2, lang, i)
+        for i in range(600)
+        for k, lang in enumerate(["en", "es", "ko", None, "yo"])
+    ]
+    df = write_table(spark.createDataFrame(rows, "IDS bigint, sentence string, paraphrase string, quality int, lang string, index bigint"), "many")
+    sets = {name: language_sets()[name] for name in SETS}
+    want = split_in_sets(write_table(downsample_with_siblings(write_table(remove_duplicates_in_sets(df, sets), "clean")), "sample"))
+    stored = {}
+    monkeypatch.setattr("pairloom.plans.grid.write_table", lambda t, name: stored.setdefault(name, write_table(t, name)))
+    table = prepare_grid(spark, "mrpc", sources(df, "mrpc"), SETS, downsample=True)
+    for split in ("train", "dev"):
+        own = of_split(table, split).filter("lang_set <> 'baseline'").select("IDS", "lang_set")
+        assert sorted(map(tuple, own.collect())) == sorted(map(tuple, of_split(want, split).select("IDS", "lang_set").collect()))
+    assert stored["grid-sample"].count() <= 100 * 5 and stored["grid-clean"].count() <= 100 * 5
