@@ -54,8 +54,8 @@ def quoted_records(spark: SparkSession, path: str, sep: str, header: bool = Fals
 
     A record is the text of one row without its line end; line ends inside quotes become
     single line feeds. Blank lines between records are left out. With ``header`` the first record of every
-    file is not counted; these records are the second table (else empty). A task sorts the
-    lines of one file block; a record of several lines is put together in one task.
+    file is not counted; these records are the second table (else empty), for which only
+    their own lines are moved. A task sorts the lines of one file block; a record of several lines is put together in one task.
     """
     scan = spark.read.option("lineSep", "\n").text(path)
     start = F.col("_metadata.file_block_start")
@@ -82,13 +82,20 @@ def quoted_records(spark: SparkSession, path: str, sep: str, header: bool = Fals
     stored = stored.join(write_table(ends, "line-ends"), "_path").withColumn("_blank", F.col("_blank") & (F.col("_crlf") | ~F.col("_cr")))
     inside = Window.partitionBy("_path", "_start").orderBy("_at")
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
-    lines = stored.withColumn("_swaps", F.coalesce(F.sum("_swap").over(earlier), F.lit(0)))
-    lines = lines.withColumn("_last", F.last(_fixed(), ignorenulls=True).over(earlier))
+
+    def with_states(lines: DataFrame) -> DataFrame:
+        lines = lines.withColumn("_swaps", F.coalesce(F.sum("_swap").over(earlier), F.lit(0)))
+        return lines.withColumn("_last", F.last(_fixed(), ignorenulls=True).over(earlier))
 
     states = {f"_s{i}": _after(F.lit(bool(i)), F.col("_last"), F.col("_swaps")) for i in (0, 1)}
-    begin = lambda i: F.count(F.when(~F.col(f"_s{i}") & ~F.col("_blank"), 1)).alias(f"_n{i}")
-    summed = lines.withColumns(states).groupBy("_path", "_start").agg(
-        F.max_by(_fixed(), F.when(F.col("_fixed").isNotNull(), F.col("_at"))).alias("_end"), F.sum("_swap").alias("_all"), begin(0), begin(1)
+    begun = lambda i: F.when(~F.col(f"_s{i}") & ~F.col("_blank"), 1)
+    so_far = {f"_c{i}": F.count(begun(i)).over(inside.rowsBetween(Window.unboundedPreceding, 0)) for i in (0, 1)}
+    begin = lambda i: F.count(begun(i)).alias(f"_n{i}")
+    second = lambda i: F.min(F.when(F.col(f"_c{i}") == 2, F.col("_at"))).alias(f"_stop{i}")
+    summed = with_states(stored).withColumns(states).withColumns(so_far).groupBy("_path", "_start").agg(
+        F.max_by(_fixed(), F.when(F.col("_fixed").isNotNull(), F.col("_at"))).alias("_end"),
+        F.sum("_swap").alias("_all"),
+        *[count(i) for count in (begin, second) for i in (0, 1)],
     )
     # The same for blocks: one row for each input split.
     summed = write_table(summed, "block-states")
@@ -109,27 +116,36 @@ def quoted_records(spark: SparkSession, path: str, sep: str, header: bool = Fals
     numbered = numbered.withColumns({"_of_file": F.min("_first").over(file_), "_in_file": F.sum("_n").over(file_)})
     files = Window.orderBy("_path")
     headers = F.dense_rank().over(files) if header else F.lit(0)
-    numbered = write_table(
-        numbered.filter(F.col("_in_file") > 0).select("_path", "_start", "_open", "_first", "_of_file", headers.alias("_headers")),
+    stop = F.when(F.col("_open"), F.col("_stop1")).otherwise(F.col("_stop0")).alias("_stop")
+    blocks = write_table(
+        numbered.filter(F.col("_in_file") > 0).select("_path", "_start", "_open", "_first", "_of_file", headers.alias("_headers"), stop),
         "block-starts",
     )
-    # Beyond Spark's broadcast threshold the blocks are joined by a shuffle.
-    text = F.when(F.col("_crlf"), F.regexp_replace("value", "\r$", "")).otherwise(F.col("value"))
-    placed = lines.join(numbered, ["_path", "_start"]).withColumn("value", text)
-    placed = placed.withColumn("_inside", _after(F.col("_open"), F.col("_last"), F.col("_swaps")))
-    placed = placed.filter(F.col("_inside") | ~F.col("_blank"))
-    started = F.sum(F.when(F.col("_inside"), 0).otherwise(1)).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    placed = placed.withColumn("_record", F.col("_first") + started - 1)
-    closed = ~F.when(F.col("_fixed").isNotNull(), F.col("_fixed")).otherwise(F.col("_inside") != (F.col("_swap") == 1))
-    one = ~F.col("_inside") & closed
-    names = ["_record", "_of_file", "_headers"]
-    several = (
-        placed.filter(~one)
-        .groupBy(*names)
-        .agg(F.sort_array(F.collect_list(F.struct("_at", "value"))).alias("_lines"))
-        .select(*names, F.array_join(F.transform("_lines", lambda x: x["value"]), "\n").alias("record"))
-    )
-    records = placed.filter(one).select(*names, F.col("value").alias("record")).unionByName(several)
+    numbered = blocks.drop("_stop")
+
+    def records_of(lines: DataFrame) -> DataFrame:
+        # Beyond Spark's broadcast threshold the blocks are joined by a shuffle.
+        text = F.when(F.col("_crlf"), F.regexp_replace("value", "\r$", "")).otherwise(F.col("value"))
+        placed = with_states(lines).join(numbered, ["_path", "_start"]).withColumn("value", text)
+        placed = placed.withColumn("_inside", _after(F.col("_open"), F.col("_last"), F.col("_swaps")))
+        placed = placed.filter(F.col("_inside") | ~F.col("_blank"))
+        started = F.sum(F.when(F.col("_inside"), 0).otherwise(1)).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+        placed = placed.withColumn("_record", F.col("_first") + started - 1)
+        closed = ~F.when(F.col("_fixed").isNotNull(), F.col("_fixed")).otherwise(F.col("_inside") != (F.col("_swap") == 1))
+        one = ~F.col("_inside") & closed
+        names = ["_record", "_of_file", "_headers"]
+        several = (
+            placed.filter(~one)
+            .groupBy(*names)
+            .agg(F.sort_array(F.collect_list(F.struct("_at", "value"))).alias("_lines"))
+            .select(*names, F.array_join(F.transform("_lines", lambda x: x["value"]), "\n").alias("record"))
+        )
+        return placed.filter(one).select(*names, F.col("value").alias("record")).unionByName(several)
+
     first = F.col("_record") == F.col("_of_file") if header else F.lit(False)
-    rows = records.filter(~first).select((F.col("_record") - F.col("_headers")).cast("bigint").alias("IDS"), "record")
-    return rows, records.filter(first).select("record")
+    rows = records_of(stored).filter(~first).select((F.col("_record") - F.col("_headers")).cast("bigint").alias("IDS"), "record")
+    # In a block a file's first record ends before the second one that begins there.
+    own = blocks.filter(F.col("_first") <= F.col("_of_file") + 1).select("_path", "_start", "_stop")
+    before_second = F.col("_stop").isNull() | (F.col("_at") < F.col("_stop"))
+    heads = records_of(stored.join(own, ["_path", "_start"]).filter(before_second).drop("_stop"))
+    return rows, heads.filter(first).select("record")

@@ -109,3 +109,19 @@ def test_csv_with_headers(spark, tmp_path, small_splits):
     (tmp_path / "d.csv").write_text("Unnamed: 0,paraphrase,sentence,quality,lang,index\n1,a,b,1,en,0\n")
     with pytest.raises(ValueError, match="headers"):
         readers.read_csv_pairs(spark, str(tmp_path), multi_line="records")
+
+
+def test_headers_alone_are_moved(spark, tmp_path, small_splits):
+    """Headers of no, one and many blocks, blank lines before them, and files without other records."""
+    long = '"' + "x\n" * 400 + '",b'
+    files = {"a": "a,b\n" + "1,2\n" * 500, "b": long + "\n" + "1,2\n" * 500, "c": "\n" * 700 + "a,b\n3,4", "d": long, "e": "", "f": "a,b\n" + '"' + "y\n" * 900 + '",z'}
+    for name, text in files.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    rows, heads = quoted_records(spark, str(tmp_path), ",", header=True)
+    long = '"' + "x\n" * 400 + '",b'
+    assert sorted(r.record for r in heads.collect()) == sorted(["a,b", "a,b", "a,b", long, long])
+    assert rows.count() == 500 + 500 + 1 + 1
+    assert sorted(r.IDS for r in rows.collect()) == list(range(1002))
+    plan = heads._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    moved = [i for i, line in enumerate(plan) if "_stop" in line and "isnull" in line and "value" not in line]
+    assert moved and min(i for i, line in enumerate(plan) if "Window" in line) < max(moved)  # below the windows
