@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.components import components
-from pairloom.llm.text import SPACED, batch_of, list_of, mix, pieces, shingles_of, with_columns, words_of
+from pairloom.llm.text import SPACED, batch_of, list_of, mix, pieces, release_memory, shingles_of, with_columns, words_of
 from pairloom.operators.skew import salted_join
 from pairloom.shared import fresh_path, scratch, write_table
 
@@ -41,7 +41,8 @@ CENTERS = 32 << 20  # bytes of the first sets of large components, which are bro
 SMALL = 1_000_000  # shingles of small components that one task takes together
 NEAR_ROWS = 2000  # pairs whose bitmaps are compared at once
 COLUMNS, POSTINGS = 4096, 64  # shingles multiplied together; pairs up to which a shingle's are listed
-FLUSH = 2_000_000  # signatures that leave a task together
+FLUSH = 500_000  # signatures that leave a task together; a worker takes some 100 bytes for each
+SIGNED_BYTES = 1 << 20  # of text that is signed at once: signatures take many times the text
 BROADCAST_ROWS = 2_000_000  # of ids (16 bytes each) that may be broadcast
 
 
@@ -183,16 +184,20 @@ def _packed(batches, parts, n_slices: int) -> Iterator[pa.RecordBatch]:
                 "signatures": pa.array([short[bounds[ends[s]] : bounds[ends[s + 1]]].tobytes() for s in some], pa.binary()),
             }
         )
-        held.clear()
 
     for batch in batches:
         for part in parts(batch):
             if len(part[0]):
                 held.append(part)
+            del part
             if sum(len(h[0]) for h in held) >= FLUSH:
                 yield from leave()
+                held.clear()
+                release_memory()
     if held:
         yield from leave()
+        held.clear()
+        release_memory()
 
 
 _PACKED = "slice int, ids binary, counts binary, signatures binary"
@@ -458,7 +463,7 @@ class SimilarSets:
 
             def parts(batch):
                 nonlocal signed
-                for piece in pieces(batch, "text"):
+                for piece in pieces(batch, "text", SIGNED_BYTES):
                     found, first = shingle_sets(piece.column("text"), words)
                     ids, at = np.unique(set_ids(found, first).view(np.uint64), return_index=True)
                     new = at[~np.isin(ids, signed)]
