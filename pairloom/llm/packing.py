@@ -392,7 +392,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
                 )
                 sequences += int(sequence[-1]) + 1
                 del ids, terms, doc, run_, flat
-                release_memory()
+        release_memory()
 
     own = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     return _by_content(own).mapInArrow(run, schema)
