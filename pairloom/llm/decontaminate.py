@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from pairloom.llm.text import ALPHANUMERIC, list_of, with_columns, word_hashes, word_places, text_bytes, words_of
 from pairloom.shared import write_table
 
-SHARD_BYTES = 6 << 20  # of text; a longer text is a shard of its own
+SHARD_BYTES = 6 << 20  # of text, where items are many; a longer text is a shard of its own
+LEAST_SHARD = 1 << 20  # all items are searched in each shard, which a shard of this size outweighs where they are few
 TEST_BYTES = 32 << 20  # of item text sent to the workers at once
 WINDOW = 10
 
@@ -291,20 +292,21 @@ def find_leaks(
             }
 
         kept = None if i or keep is None else list(dict.fromkeys([*keep, doc_text][: None if n_blocks > 1 else len(keep)]))
-        out = _pass(out, doc_text, make, kept, before)
+        limit = min(SHARD_BYTES, max(LEAST_SHARD, 8 * len(block.hashes)))
+        out = _pass(out, doc_text, make, kept, before, limit)
     return out if keep is None else out.select(*(f"`{c}`" for c in keep if c.lower() not in names), *names)
 
 
-def _pass(df, text, make, keep, before):
+def _pass(df, text, make, keep, before, limit):
     if not before:
-        return with_columns(df, text, _RESULT, make, keep, limit=SHARD_BYTES)
+        return with_columns(df, text, _RESULT, make, keep, limit=limit)
     hidden = {c: f"_before_{c}" for c in before}
     renamed = df.withColumnsRenamed(hidden)
 
     def with_names(piece: pa.RecordBatch) -> dict:
         return make(piece.rename_columns([c.removeprefix("_before_") for c in piece.schema.names]))
 
-    return with_columns(renamed, text, _RESULT, with_names, keep, limit=SHARD_BYTES).drop(*hidden.values())
+    return with_columns(renamed, text, _RESULT, with_names, keep, limit=limit).drop(*hidden.values())
 
 
 def remove_leaks(docs: DataFrame, tests: DataFrame, doc_text: str = "text", **options) -> DataFrame:

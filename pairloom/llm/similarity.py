@@ -234,7 +234,10 @@ def _groups(group: pa.Table) -> pa.Table:
     take[start] = False
     first = np.repeat(rows[start, 1], size)[take] if len(rows) else np.zeros(0, np.uint64)
     columns = {"gid": np.repeat(gid, size)[take], "a": first, "b": rows[take, 1] if len(rows) else first}
-    return pa.table({c: pa.array(x.astype(np.uint64).view(np.int64)) for c, x in columns.items()})
+    made = pa.table({c: pa.array(x.astype(np.uint64).view(np.int64)) for c, x in columns.items()})
+    del ids, counts, short, key, rows, start, size, gid, one, once, take, first, columns
+    release_memory()
+    return made
 
 
 def _near_forest(num: int, den: int):
@@ -251,6 +254,7 @@ def _near_forest(num: int, den: int):
             yield from compared(table.slice(0, cut))
         if held is not None:
             yield from compared(held)
+        release_memory()
 
     def compared(table: pa.Table) -> Iterator[pa.RecordBatch]:
         if table.num_rows < 2:
@@ -415,6 +419,8 @@ def _exact(num: int, den: int):
                 n_links, root = np.concatenate([linked.sum(1), linked.sum(0)]), ids[np.concatenate(_hanging(linked))]
             out.append((ids, root, n_links))
         ids, root, n_links = (np.concatenate(c) for c in zip(*out, strict=True))
+        del out, a, b, linked
+        release_memory()
         return pa.table({"set_id": ids, "root": root, "n_links": n_links.astype(np.int64)})
 
     return run
@@ -522,6 +528,7 @@ class SimilarSets:
                     own = Bitmaps(part.column("bits_a").to_pylist() + part.column("bits_b").to_pylist())
                     differ = own.differing(np.arange(len(m)), len(m) + np.arange(len(m)))
                     yield part.select(["a", "b"]).filter(pa.array(differ <= (m + n) * (den - num) // (den + num)))
+            release_memory()
 
         side = lambda x: self.bits.select(F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bitmap").alias(f"bits_{x}"))
         return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(near, "a bigint, b bigint")
