@@ -12,6 +12,7 @@ do not fill a window, and are cut into sequences whose lengths are powers of two
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import os
 from collections.abc import Iterator
@@ -27,8 +28,8 @@ from pairloom.llm.text import (
     SPACED,
     batch_of,
     byte_class,
+    filled,
     mix,
-    pieces,
     release_memory,
     text_bytes,
     with_columns,
@@ -42,6 +43,7 @@ WINDOW = 2048
 END = 1  # the id after each document
 SHARD_BYTES = 6 << 20  # of text that shares an index; a longer text is a shard of its own
 K1, B = 1.2, 0.75
+SHRUNK = 0.75  # share of an index's documents left unused below which the used ones leave it
 BEST = 32  # neighbours that are sorted first; all of them where these do not fill a window
 KNOWN_CHUNKS = 3_000_000  # remembered by a worker
 _SPACE = byte_class(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
@@ -103,7 +105,7 @@ class Encoder:
         self.ids = np.zeros(0, dtype=np.uint32)
 
     def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        """Encode new chunks, a hundred in one call, with a sign or special token between them."""
+        """Encode new chunks, sorted by hash, a hundred in one call, with a sign or special token between them."""
         sign, between = (self.mark, _MARK) if self.sign is None else (self.sign, f" {_SIGN} ")
         own = lambda t: "<|" in t or self.sign is not None and _SIGN in t
         plain = ["" if own(t) else t for t in texts]
@@ -129,10 +131,9 @@ class Encoder:
         first = len(self.at) - 1
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(counts)])
         self.ids = np.concatenate([self.ids, ids])
-        known = np.concatenate([self.known, hashes])
-        where = np.concatenate([self.where, first + np.arange(len(hashes))])
-        order = stable_order(known)
-        self.known, self.where = known[order], where[order]
+        place = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, place, hashes)
+        self.where = np.insert(self.where, place, first + np.arange(len(hashes)))
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Chunk numbers of hashes; -1 for unknown ones."""
@@ -158,16 +159,19 @@ class Encoder:
         new = np.ones(len(order), dtype=bool)
         new[1:] = sorted_[1:] != sorted_[:-1]
         distinct, one = sorted_[new], order[new]
-        back = np.empty(len(order), dtype=np.int64)
-        back[order] = np.cumsum(new) - 1
+        back = np.empty(len(order), dtype=np.int32)
+        back[order] = np.cumsum(new, dtype=np.int32) - 1
+        del sorted_, new
         chunk = self.find(distinct)
         missing = np.flatnonzero(chunk < 0)
         if len(missing):
             raw = data.tobytes()
             self.learn(distinct[missing], [raw[begins[i] : ends[i]].decode("utf-8", "replace") for i in one[missing]])
+            del raw
             chunk = self.find(distinct)
         n = len(at) - 1
-        text = np.repeat(np.arange(n), np.diff(np.searchsorted(begins, at)))
+        text = np.repeat(np.arange(n, dtype=np.int32), np.diff(np.searchsorted(begins, at)))
+        del begins, ends, distinct, one
         size = (self.at[chunk + 1] - self.at[chunk])[back]
         counts = np.bincount(text, weights=size, minlength=n).astype(np.int64) + 1
         first = np.concatenate([[0], np.cumsum(counts)])
@@ -175,7 +179,10 @@ class Encoder:
         inside = np.ones(first[-1], dtype=bool)
         inside[first[1:] - 1] = False
         shift = self.at[chunk][back] - np.cumsum(size) + size  # from a chunk's place among all ids to its known ids
-        ids[inside] = self.ids[np.repeat(shift, size) + np.arange(int(size.sum()))]
+        place = np.repeat(shift, size)
+        del shift, size, back
+        place += np.arange(len(place))
+        ids[inside] = self.ids[place]
         return ids, first, hashes, text
 
     def _encode_whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -195,7 +202,11 @@ def stable_order(hashes: np.ndarray) -> np.ndarray:
     """
     low = np.uint64(max(1, len(hashes)).bit_length())
     below = (np.uint64(1) << low) - np.uint64(1)
-    order = (np.sort(hashes & ~below | np.arange(len(hashes), dtype=np.uint64)) & below).astype(np.int64)
+    order = hashes & ~below
+    order |= np.arange(len(hashes), dtype=np.uint64)
+    order.sort()
+    order &= below
+    order = order.view(np.int64)
     found = hashes[order]
     return order if (found[1:] >= found[:-1]).all() else np.argsort(hashes, kind="stable")
 
@@ -231,6 +242,7 @@ class Bm25:
         start = np.flatnonzero(new)
         count = np.diff(np.append(start, len(terms)))
         terms, self.doc = terms[start], doc[start]
+        del order, new, start
         self.first = np.flatnonzero(np.append(True, terms[1:] != terms[:-1])) if len(terms) else np.zeros(0, np.int64)
         self.first = np.append(self.first, len(terms))
         held = np.diff(self.first)
@@ -239,14 +251,24 @@ class Bm25:
         norm = K1 * (1 - B + B * length / max(1.0, length.mean()))
         weight = np.repeat(idf, held) * count * (K1 + 1) / (count + norm[self.doc])
         self.weight = weight.astype(np.float32)
+        del doc, terms, count, weight
         # the terms of each document that others have too, for it as a query
-        number = np.repeat(np.arange(len(held)), held)
-        some = np.flatnonzero(held[number] > 1)
-        by = some[np.argsort(self.doc[some], kind="stable")]
-        self.query = number[by]
-        self.query_at = np.searchsorted(self.doc[by], np.arange(n_docs + 1))
+        shared = np.flatnonzero(held > 1)
+        some = np.repeat(held > 1, held)
+        number, doc = np.repeat(shared.astype(np.int32), held[shared]), self.doc[some]
+        del some
+        self.query = number[np.argsort(doc, kind="stable")]
+        self.query_at = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n_docs))])
         self.n_docs = n_docs
 
+    def only(self, docs: np.ndarray) -> Bm25:
+        """The index without the entries of other documents, which stay queries; weights are those of the whole shard."""
+        some = docs[self.doc]
+        out = copy.copy(self)
+        out.doc, out.weight = self.doc[some], self.weight[some]
+        out.first = np.concatenate([[0], np.cumsum(some)])[self.first]
+        return out
+
     def neighbours(self, seed: int, unused: np.ndarray, most: int | None = None) -> np.ndarray:
         """Unused documents with a term of the seed's, the best first, ties by place; the best ``most`` and those as good."""
         terms = self.query[self.query_at[seed] : self.query_at[seed + 1]]
@@ -293,6 +315,7 @@ def fill_order(index: Bm25, counts: np.ndarray, window: int) -> np.ndarray:
     unused = np.ones(n, dtype=bool)
     out = np.empty(n, dtype=np.int64)
     placed = at = next_ = 0
+    left = n  # documents that the index still holds
 
     def put(docs: np.ndarray) -> None:
         nonlocal placed, at
@@ -304,6 +327,8 @@ def fill_order(index: Bm25, counts: np.ndarray, window: int) -> np.ndarray:
         while not unused[next_]:
             next_ += 1
         room = -at % window
+        if n - placed < SHRUNK * left:
+            index, left = index.only(unused), n - placed
         # The document whose rest has begun this window is its seed; an empty window has none.
         near = index.neighbours(out[placed - 1], unused, BEST) if room else np.zeros(0, np.int64)
         if len(near) >= BEST and counts[near].sum() < room:
@@ -369,29 +394,29 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
             cache[name] = Encoder(sent.value)
         encoder = cache[name]
         sequences = TaskContext.get().partitionId() << 36
-        for batch in batches:
-            for piece in pieces(batch, "text", SHARD_BYTES):
-                ids, first, terms, doc = encoder.encode(piece.column("text"))
-                counts = np.diff(first)
-                order = fill_order(Bm25(terms, doc, len(counts), encoder.order), counts, window)
-                row, start, length, sequence, offset = pack_shard(counts, order, window)
-                begin = first[row] + start
-                run_ = np.repeat(begin - np.cumsum(length) + length, length) + np.arange(length.sum())
-                flat = ids[run_].astype("<u4")
-                at = np.concatenate([[0], np.cumsum(length)]).astype(np.int32) * np.int32(4)
-                yield batch_of(
-                    {
-                        key: piece.column("key").take(pa.array(row)),
-                        "start": start,
-                        "length": length,
-                        "doc_tokens": counts[row],
-                        "sequence_id": sequences + sequence,
-                        "offset": offset,
-                        "ids": pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(at), pa.py_buffer(flat)]),
-                    }
-                )
-                sequences += int(sequence[-1]) + 1
-                del ids, terms, doc, run_, flat
+        for piece in filled(batches, "text", SHARD_BYTES):
+            ids, first, terms, doc = encoder.encode(piece.column("text"))
+            counts = np.diff(first)
+            order = fill_order(Bm25(terms, doc, len(counts), encoder.order), counts, window)
+            row, start, length, sequence, offset = pack_shard(counts, order, window)
+            begin = first[row] + start
+            run_ = np.repeat(begin - np.cumsum(length) + length, length) + np.arange(length.sum())
+            flat = ids[run_].astype("<u4")
+            at = np.concatenate([[0], np.cumsum(length)]).astype(np.int32) * np.int32(4)
+            yield batch_of(
+                {
+                    key: piece.column("key").take(pa.array(row)),
+                    "start": start,
+                    "length": length,
+                    "doc_tokens": counts[row],
+                    "sequence_id": sequences + sequence,
+                    "offset": offset,
+                    "ids": pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(at), pa.py_buffer(flat)]),
+                }
+            )
+            sequences += int(sequence[-1]) + 1
+            del piece, ids, terms, doc, begin, run_, flat
+            encoder.order = None
         release_memory()
 
     own = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
