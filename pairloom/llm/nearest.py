@@ -19,10 +19,14 @@ from pyspark.sql import functions as F
 from pairloom.llm.text import batch_of, mix
 from pairloom.shared import write_table
 
-SHARD_ROWS = 8192  # vectors of a shard, about
+SHARD_ROWS = 8192  # vectors of a shard, about, as long as there are fewer than SHARDS of them
+SHARDS = 16  # beyond, shards grow with the table
+MAX_SHARD_ROWS = 32768  # up to this size
 LINKS = 16  # of a vector in upper layers; twice as many in the lowest
 THINNING = 16  # a layer has this fraction of the one below
 BEAM = 200  # candidates kept while the lowest layer is searched
+VISITS = 16  # candidates whose links are looked at in one step
+WALK = 64  # queries that walk a graph together
 QUERY_BLOCK = 2048  # queries that meet a shard together
 
 
@@ -85,7 +89,7 @@ def _linked(x: np.ndarray, room: int) -> np.ndarray:
         order = np.lexsort([best, -score], axis=1)
         best, score = np.take_along_axis(best, order, 1), np.take_along_axis(score, order, 1)
         chosen = np.zeros(best.shape, dtype=bool)
-        between = np.einsum("bid,bjd->bij", y[best], y[best])  # nearness of candidates
+        between = y[best] @ y[best].transpose(0, 2, 1)  # nearness of candidates
         for j in range(wanted):
             covered = (chosen[:, :j] & (between[:, j, :j] > score[:, j, None])).any(1)
             chosen[:, j] = ~covered & (chosen.sum(1) < own)
@@ -116,41 +120,56 @@ def _linked(x: np.ndarray, room: int) -> np.ndarray:
 def search(units: np.ndarray, layers: list, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """The ``beam`` nodes found for each unit query, nearest first, and their cosines.
 
-    All queries walk together: in every step each query that still has an unvisited
-    candidate in its beam visits the nearest one's links.
+    ``WALK`` queries walk together: in every step each query that still has unvisited
+    candidates in its beam visits the links of the ``VISITS`` nearest of them. Only nodes that a
+    query has not met before are compared with it.
     """
     x, q = units.astype(np.float32), queries.astype(np.float32)
+    parts = [_walk(x, layers, q[lo : lo + WALK], beam) for lo in range(0, max(1, len(q)), WALK)]
+    return np.concatenate([found for found, _ in parts]), np.concatenate([score for _, score in parts])
+
+
+def _walk(x: np.ndarray, layers: list, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     n_queries = len(q)
     entry = np.zeros(n_queries, dtype=np.int64)
     for depth, (nodes, links) in enumerate(layers):
         own = x[nodes]
-        last = depth == len(layers) - 1
-        width = min(len(nodes), beam if last else 1)
+        width = min(len(nodes), beam if depth == len(layers) - 1 else 1)
+        visits, room = min(VISITS, width), links.shape[1]
         at = np.searchsorted(nodes, entry) if depth else np.zeros(n_queries, dtype=np.int64)
         found = np.full((n_queries, width), -1, dtype=np.int64)
         score = np.full((n_queries, width), -np.inf, dtype=np.float32)
         open_ = np.zeros((n_queries, width), dtype=bool)
         found[:, 0], score[:, 0], open_[:, 0] = at, (own[at] * q).sum(1), True
-        seen = np.zeros((n_queries, len(nodes)), dtype=bool)
-        seen[np.arange(n_queries), at] = True
+        met = np.zeros(n_queries * len(nodes), dtype=np.int32)  # 0: not met, else a number of the step it was met in
+        met[np.arange(n_queries) * len(nodes) + at] = 1
         active = np.arange(n_queries)
         while len(active):
-            best = np.argmax(np.where(open_[active], score[active], -np.inf), axis=1)
-            node = found[active, best]
-            open_[active, best] = False
-            next_ = links[node].astype(np.int64)
-            row = np.repeat(active, next_.shape[1]).reshape(next_.shape)
-            fresh = (next_ >= 0) & ~seen[row, np.maximum(next_, 0)]
-            seen[row[fresh], next_[fresh]] = True
-            near = np.where(fresh, np.einsum("bjd,bd->bj", own[np.maximum(next_, 0)], q[active]), -np.inf)
+            left = np.where(open_[active], score[active], -np.inf)
+            best = np.argpartition(-left, visits - 1, axis=1)[:, :visits]
+            row, col = np.nonzero(np.isfinite(np.take_along_axis(left, best, 1)))
+            open_[active[:, None], best] = False
+            node = links[found[active[row], best[row, col]]].astype(np.int64).ravel()
+            row, place = np.repeat(row, room), (col[:, None] * room + np.arange(room)).ravel()
+            key = active[row] * len(nodes) + node
+            fresh = np.flatnonzero((node >= 0) & (met[np.where(node >= 0, key, 0)] == 0))
+            number = np.arange(1, len(fresh) + 1, dtype=np.int32)
+            met[key[fresh]] = number
+            fresh = fresh[met[key[fresh]] == number]  # a node linked to several visited ones counts once
+            row, place, node = row[fresh], place[fresh], node[fresh]
+            near = np.full((len(active), visits * room), -np.inf, dtype=np.float32)
+            near[row, place] = np.einsum("bd,bd->b", own[node], q[active[row]])
+            ids = np.full(near.shape, -1, dtype=np.int64)
+            ids[row, place] = node
             merged = np.concatenate([score[active], near], 1)
-            ids = np.concatenate([found[active], next_], 1)
-            opens = np.concatenate([open_[active], fresh], 1)
-            order = np.argsort(-merged, axis=1, kind="stable")[:, :width]
+            order = np.argpartition(-merged, width - 1, axis=1)[:, :width]
             score[active] = np.take_along_axis(merged, order, 1)
-            found[active] = np.take_along_axis(ids, order, 1)
-            open_[active] = np.take_along_axis(opens, order, 1) & np.isfinite(score[active])
+            found[active] = np.take_along_axis(np.concatenate([found[active], ids], 1), order, 1)
+            opens = np.concatenate([open_[active], np.isfinite(near)], 1)
+            open_[active] = np.take_along_axis(opens, order, 1)
             active = active[open_[active].any(1)]
+        order = np.lexsort([found, -score], axis=1)
+        found, score = np.take_along_axis(found, order, 1), np.take_along_axis(score, order, 1)
         found = np.where(np.isfinite(score), nodes[np.maximum(found, 0)], -1)
         entry = found[:, 0]
     return found, score
@@ -194,14 +213,16 @@ def _graph(group: pa.Table) -> pa.Table:
 class Index:
     """Stored graphs of all usable vectors: one row for each shard."""
 
-    def __init__(self, vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", copies: int = 6, shard_rows: int = SHARD_ROWS):
+    def __init__(self, vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", copies: int = 6, shard_rows: int | None = None):
         """Index the rows of ``vectors``.
 
         Equal vectors are indexed once, with their ``copies`` smallest keys: more can
         never be among the ``copies - 1`` nearest of a query, because ties go to the
         smaller key. They are chosen before the shuffle and again after it, so a vector that
         a third of all rows share moves ``copies`` rows for each task. Vectors of
-        different lengths are apart: a query meets only those of its own length.
+        different lengths are apart: a query meets only those of its own length. A shard has about
+        ``shard_rows`` vectors, else a ``SHARDS``-th of all between ``SHARD_ROWS`` and ``MAX_SHARD_ROWS``: a
+        search takes little longer in a larger shard, and every query meets every shard.
         """
         self.copies = copies
         rows = vectors.filter(usable(vector) & F.col(f"`{key}`").isNotNull()).select(
@@ -215,8 +236,10 @@ class Index:
             whole.select(F.col("copies")[0].alias("vec"), F.size("vector").alias("dim"), "vector", "copies"), "distinct-vectors"
         )
         count = self.distinct.count()
-        self.n_shards = max(1, -(-count // shard_rows))
+        rows_each = shard_rows or min(MAX_SHARD_ROWS, max(SHARD_ROWS, count // SHARDS))
+        self.n_shards = max(1, -(-count // rows_each))
         dealt = self.distinct.withColumn("shard", F.pmod(F.xxhash64("vec"), F.lit(self.n_shards)).cast("int"))
+        dealt = dealt.repartition(self.n_shards, "dim", "shard")  # a shard takes long for its size, so few share a task
         self.shards = write_table(
             dealt.groupBy("dim", "shard").applyInArrow(_graph, _INDEX) if count else vectors.sparkSession.createDataFrame([], _INDEX),
             "graphs",

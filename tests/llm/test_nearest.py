@@ -103,3 +103,34 @@ def test_more_neighbours_than_kept_copies(spark):
         Index(df).nearest(df, 6)
     got = collected(Index(df, copies=11).nearest(df.filter("vec_id = 3"), 10))
     assert got == {3: [(i, 1.0) for i in range(11) if i != 3]}
+
+
+def test_shards_grow_with_the_table(spark, monkeypatch):
+    """A larger table has larger shards, up to a bound, so that a query does not meet a shard more for every so many rows."""
+    for name, n in (("SHARD_ROWS", 64), ("SHARDS", 4), ("MAX_SHARD_ROWS", 256)):
+        monkeypatch.setattr(f"pairloom.llm.nearest.{name}", n)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(1200)]
+    shards = []
+    for n in (100, 256, 800, 1200):
+        df = spark.createDataFrame(rows[:n], "vec_id bigint, embedding array<double>")
+        index = Index(df)
+        shards.append(index.n_shards)
+    assert shards == [2, 4, 4, 5]
+    queries = [r for r in rows if r[0] % 40 == 0]
+    got = collected(index.nearest(spark.createDataFrame(queries, df.schema), 5))
+    assert recall(got, brute(rows, queries, 5)) >= 0.97
+
+
+@pytest.mark.parametrize("visits", [1, 16])
+def test_candidates_visited_together(monkeypatch, visits):
+    """A walk that visits many candidates in a step finds what one that visits them singly finds, or more."""
+    monkeypatch.setattr("pairloom.llm.nearest.VISITS", visits)
+    rng = np.random.default_rng(2)
+    x = unit(rng.normal(size=(2000, 16)))
+    layers = build(x, np.minimum(rng.geometric(1 - 1 / 16, 2000) - 1, 4))
+    q = unit(rng.normal(size=(150, 16)))
+    found, score = search(x, layers, q, 64)
+    assert all(len(set(f)) == 64 for f in found) and np.allclose(score, np.take_along_axis(q @ x.T, found, 1), atol=1e-5)
+    true = np.argsort(-(q @ x.T), axis=1)[:, :5]
+    assert np.mean([len(set(t) & set(f[:5])) / 5 for t, f in zip(true, found)]) > 0.97
