@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairloom.operators.keys import text_key
 from pairloom.schemas import require_columns
+from pairloom.shared import write_table
 
 
 COPIES = 64  # rows of one source that move together
 BROADCAST_PAIRS = 500_000  # 16-byte keys: 8 MB
+FEW_ROWS = 100_000  # foreign rows that are joined as they are
+CHUNK = 15  # bits of a key within its bitmap, as bitmap_construct_agg has them: 32,768 keys in 4 KB
+MAX_BITMAPS = 16_384  # 64 MB
 
 
 def _pair() -> Column:
@@ -36,14 +41,47 @@ def _few_copies(df: DataFrame, order: str) -> bool:
     return most is not None and most <= COPIES and not lost
 
 
-def _found(foreign: DataFrame, kept: DataFrame, order: str, by_source: bool) -> DataFrame:
+def _way(foreign: DataFrame, order: str) -> str:
+    """How the foreign rows that stay are found: by ``bitmaps`` of their keys, by ``source`` or by ``key``."""
+    n, low, high = foreign.agg(F.count(F.lit(1)), F.min(order), F.max(order)).first()
+    if n <= FEW_ROWS:
+        return "key"
+    if isinstance(foreign.schema[order].dataType, T.IntegralType) and (high >> CHUNK) - (low >> CHUNK) < MAX_BITMAPS:
+        return "bitmaps"
+    return "source" if _few_copies(foreign, order) else "key"
+
+
+def _by_bitmaps(foreign: DataFrame, kept: DataFrame, order: str) -> DataFrame | None:
+    """``_found`` by a broadcast of bitmaps of the kept keys, so that no text moves; None where they are too many.
+
+    A bitmap holds the keys of one run of 32,768 with the same other columns of ``kept``.
+    """
+    more = [c for c in kept.columns if c != order]
+    key = F.col(order).cast("bigint")
+    chunk = F.shiftright(key, CHUNK).alias("_chunk")
+    bits = kept.select(chunk, *more, key.bitwiseAND((1 << CHUNK) - 1).alias("_bit")).repartition("_chunk")
+    bits = write_table(bits.groupBy("_chunk", *more).agg(F.bitmap_construct_agg("_bit").alias("_bits")), "kept-keys")
+    if bits.count() > MAX_BITMAPS:
+        return None
+    place = key.bitwiseAND((1 << CHUNK) - 1)
+    byte = F.substring("_bits", F.shiftright(place, 3).cast("int") + 1, F.lit(1))
+    held = F.getbit(F.conv(F.hex(byte), 16, 10).cast("bigint"), place.bitwiseAND(7).cast("int")) == 1
+    own = foreign.withColumn("_chunk", chunk).join(F.broadcast(bits), "_chunk").filter(held)
+    return own.select(*foreign.columns, *more)
+
+
+def _found(foreign: DataFrame, kept: DataFrame, order: str, way: str) -> DataFrame:
     """The foreign rows whose key is in ``kept``, with the other columns of ``kept``.
 
-    With ``by_source`` the rows of one source move together: they differ little, so
+    By ``source`` the rows of one source move together: they differ little, so
     that they are compressed to a fraction, and the kept keys of a source, ``COPIES`` at most,
     are looked up in one list. The wide side is not sorted.
     """
-    if not by_source:
+    if way == "bitmaps":
+        marked = _by_bitmaps(foreign, kept, order)
+        if marked is not None:
+            return marked
+    if way != "source":
         return foreign.join(kept, order)
     more = [c for c in kept.columns if c not in (order, "index")]
     lists = kept.groupBy("index").agg(F.collect_list(F.struct(order, *more)).alias("_kept"))
@@ -62,7 +100,8 @@ def remove_duplicates(
     rows all stay. A foreign row stays exactly when it is the first of its pair.
     One hash aggregate by the pair's 16-byte key, with map-side combine, finds the first key of
     each pair and the first foreign one; where they are equal, that foreign row is
-    kept by a join on the key, or on ``index`` where a source has few copies. English rows
+    kept: by a broadcast of bitmaps where keys are dense whole numbers (``row_index``), else by a join on the key, or on
+    ``index`` where a source has few copies. English rows
     enter the aggregate alone, and no text does. A pair that fills a third of
     the table shrinks to one row per map task.
 
@@ -80,12 +119,13 @@ def remove_duplicates(
     first = F.min(order).alias("_first")
     foreign = df.filter(_foreign())
     if by is None:
-        by_source = _few_copies(foreign, order)
+        way = _way(foreign, order)
+        by_source = way == "source"
         own = F.when(_foreign(), F.col(order))
         source = [F.min_by("index", own).alias("index")] if by_source else []
         firsts = pairs.agg(first, F.min(own).alias("_foreign"), *source).filter(F.col("_first") == F.col("_foreign"))
         kept = firsts.select(F.col("_first").alias(order), *(["index"] if by_source else []))
-        return df.filter(~_foreign()).unionByName(_found(foreign, kept, order, by_source).select(df.columns))
+        return df.filter(~_foreign()).unionByName(_found(foreign, kept, order, way).select(df.columns))
     later = foreign.select(order, by).join(pairs.agg(first.alias(order)), order, "left_anti")
     return df.join(later.select(by).distinct(), by, "left_anti")
 
@@ -110,7 +150,8 @@ def remove_duplicates_in_sets(
         _refuse_repeated(df, order)
     rows = df if part is None else part
     foreign = rows.filter(_foreign())
-    by_source = part is None and _few_copies(foreign, order)
+    way = _way(foreign, order) if part is None else "key"
+    by_source = way == "source"
     codes = sorted({c for own in sets.values() for c in own})
     place = {c: i for i, c in enumerate(codes)}
     firsts = []
@@ -143,4 +184,4 @@ def remove_duplicates_in_sets(
     kept = each.select(order, names.alias("lang_sets"), *source)
     english = F.array(*[F.lit(name) for name, own in sets.items() if "en" in own]).cast("array<string>")
     whole = rows.filter(~_foreign()).withColumn("lang_sets", english).filter(F.size("lang_sets") > 0)
-    return whole.unionByName(_found(foreign, kept, order, bool(source)))
+    return whole.unionByName(_found(foreign, kept, order, "key" if by_source and not source else way))

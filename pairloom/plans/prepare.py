@@ -25,7 +25,7 @@ from pairloom.operators.sampling import (
     split_three,
     split_two,
 )
-from pairloom.shared import write_table
+from pairloom.shared import CODEC, fresh_path, release_shuffles, scratch, write_table
 from pairloom.sources.readers import read_csv_pairs, read_tsv_pairs, read_tsv_quoted
 from pairloom.sources.writers import write_splits
 
@@ -196,14 +196,24 @@ def renumber_augmented(augmented: DataFrame, langs: list[str]) -> DataFrame:
 
     The rows are stored as they come, and their keys alone are sorted. The numbers come back to
     the rows by runs of 64 stored rows, in which a source and its copies stay together, so
-    that they are compressed to a fraction where they move and are stored.
+    that they are compressed to a fraction where they move and are stored. What it stores on the way is deleted.
     """
+    spark, path = augmented.sparkSession, fresh_path(augmented.sparkSession, "augmented")
+    with scratch(spark):
+        numbered = _renumbered(augmented, langs)
+        numbered.write.option("compression", CODEC).parquet(path)
+    release_shuffles(spark)
+    return spark.read.schema(numbered.schema).parquet(path)
+
+
+def _renumbered(augmented: DataFrame, langs: list[str]) -> DataFrame:
     place = F.array_position(F.array(*[F.lit(c) for c in ["en", *langs]]), F.col("lang"))
     stored = write_table(augmented.withColumn("_at", F.monotonically_increasing_id()), "augmented-rows")
+    release_shuffles(augmented.sparkSession)
     keys = stored.select(place.alias("_place"), F.col("IDS").alias("_old"), "_at")
     numbers = row_index(keys, "_place", "_old", name="IDS").select("IDS", "_at")
     run = F.shiftright("_at", 6).alias("_run")
     lists = numbers.groupBy(run).agg(F.collect_list(F.struct("_at", "IDS")).alias("_numbers"))
     rows = stored.drop("IDS").withColumn("_run", run).join(lists.hint("shuffle_hash"), "_run")
     own = F.get(F.filter("_numbers", lambda e: e["_at"] == F.col("_at")), F.lit(0))["IDS"].alias("IDS")
-    return write_table(rows.select(own, *[c for c in augmented.columns if c != "IDS"]), "augmented")
+    return rows.select(own, *[c for c in augmented.columns if c != "IDS"])

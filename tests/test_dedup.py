@@ -77,3 +77,20 @@ def test_sources_with_few_and_many_copies(spark):
         assert run(spark, rows) == brute(rows)
         rows = [(*r[:4], None if r[0] == 7 else r[4]) for r in rows]
         assert run(spark, rows) == brute(rows)
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_dense_keys_are_found_by_bitmaps(spark, monkeypatch, most):
+    """Kept rows are found by a broadcast of their keys, so that no row moves; with too many bitmaps by a join."""
+    monkeypatch.setattr("pairloom.operators.dedup.FEW_ROWS", 0)
+    monkeypatch.setattr("pairloom.operators.dedup.MAX_BITMAPS", most)
+    rng = random.Random(4)
+    keys = rng.sample(range(-70_000, 70_000), 600) + [-32_769, -32_768, -1, 32_767, 32_768, 2**31]
+    rows = [(k, rng.choice(["a", "b", "c", None]), f"p{rng.randint(0, 40)}", rng.choice(["en", "es", "ko", None]), i) for i, k in enumerate(dict.fromkeys(keys))]
+    assert run(spark, rows) == brute(rows)
+    df = spark.createDataFrame(rows, SCHEMA)
+    plan = remove_duplicates(df)._jdf.queryExecution().executedPlan().toString()
+    assert ("kept-keys" in plan and "Exchange hashpartitioning" not in plan) == bool(most)
+    marked = remove_duplicates_in_sets(df, {"es": ["en", "es"], "all": ["en", "es", "ko"]}).collect()
+    for name, codes in (("es", ("en", "es")), ("all", ("en", "es", "ko"))):
+        assert sorted(r.IDS for r in marked if name in r.lang_sets) == brute([r for r in rows if r[3] in codes])
