@@ -18,7 +18,7 @@ from pairloom.operators.metrics import (
     with_metrics,
 )
 from pairloom.plans.prepare import Source, prepare
-from pairloom.shared import fresh_path, write_table
+from pairloom.shared import fresh_path, release_shuffles, scratch, write_table
 from pairloom.sources.writers import append_records
 
 Corpus = Callable[[list[str] | None], DataFrame]
@@ -91,27 +91,32 @@ def experiment(
     its stored splits: for each set the pairs are numbered, filtered by language, freed
     from duplicates, sampled and split before anything is fitted (``prepared``).
     ``models`` maps a name to ``fit(train) -> predict``, where ``predict(test)`` adds
-    ``pred``. All runs meet in one aggregate, whose few rows are stored, so that no
-    model runs again for the leaderboard.
+    ``pred``. The runs of a corpus meet in one aggregate, whose few rows are stored, so that no
+    model runs again for the leaderboard, and what was written to fresh paths (``shared.fresh_path``) for the
+    corpus and its models is deleted before the next one is made.
     """
     sets = {"baseline": None, **{name: language_sets()[name] for name in lang_sets}}
-    runs = None
+    spark, path, of_runs = SparkSession.active(), fresh_path(SparkSession.active(), "runs"), None
     for dataset, corpus in corpora.items():
         for name, codes in sets.items():
-            stored = corpus(codes)
-            train, test = (stored.filter(F.col("split") == s) for s in ("train", "test"))
-            for model, fit in models.items():
-                predicted = fit(train)(test).select(
-                    F.lit(dataset).alias("dataset"),
-                    F.lit(model).alias("model"),
-                    F.lit(name).alias("langs"),
-                    "quality",
-                    "pred",
-                )
-                runs = predicted if runs is None else runs.unionByName(predicted)
-    results = write_table(
-        evaluate_runs(runs, "dataset", "model", "langs", gold="quality"), "results"
-    )
+            with scratch(spark):
+                stored = corpus(codes)
+                train, test = (stored.filter(F.col("split") == s) for s in ("train", "test"))
+                runs = None
+                for model, fit in models.items():
+                    predicted = fit(train)(test).select(
+                        F.lit(dataset).alias("dataset"),
+                        F.lit(model).alias("model"),
+                        F.lit(name).alias("langs"),
+                        "quality",
+                        "pred",
+                    )
+                    runs = predicted if runs is None else runs.unionByName(predicted)
+                found = evaluate_runs(runs, "dataset", "model", "langs", gold="quality")
+                found.coalesce(1).write.mode("append").parquet(path)
+                of_runs = found.schema
+            release_shuffles(spark)
+    results = write_table(spark.read.schema(of_runs).parquet(path).coalesce(1), "results")
     if records_path:
         append_records(result_records(results), records_path)
     return results, leaderboard(results)

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
+from pairloom.shared import run_dir
 from pairloom.constants import METRICS
 from pairloom.operators import normalize, scoring
 from pairloom.plans.experiment import evaluate, experiment, prepared
@@ -124,3 +127,22 @@ def test_normalisers_accept_a_stream(spark, tmp_path):
     query.awaitTermination(120)
     found = spark.read.parquet(str(tmp_path / "out"))
     assert found.count() == 60 and found.filter("quality = 1").count() == 30
+
+
+def test_an_experiment_deletes_its_corpora(spark):
+    """A corpus is scored when it is made, and deleted before the next one is."""
+    def left():
+        return {d for d, _, _ in os.walk(run_dir(spark)) if os.path.basename(d).startswith("quora-")}
+
+    train = pairs(spark, 100).withColumns({"lang": F.lit("en"), "index": F.col("IDS")})
+    raw = pairs(spark, 100).withColumnsRenamed({"IDS": "id", "sentence": "question1", "paraphrase": "question2", "quality": "is_duplicate"})
+    make, before, seen = prepared(spark, "quora", {"all": raw, "augmented": train, "dev": pairs(spark, 20), "test": pairs(spark, 40)}), left(), []
+
+    def corpus(langs):
+        seen.append(len(left() - before))
+        return make(langs)
+
+    rule = lambda train: lambda test: test.withColumn("pred", F.col("quality"))
+    results, _ = experiment({"quora": corpus}, {"albert": rule}, ["es", "ko"])
+    assert seen == [0, 0, 0] and left() == before
+    assert results.count() == 3 and {r.accuracy for r in results.collect()} == {1.0}
