@@ -172,3 +172,15 @@ def test_a_sampled_grid_stores_the_sample_alone(spark, monkeypatch):
         own = of_split(table, split).filter("lang_set <> 'baseline'").select("IDS", "lang_set")
         assert sorted(map(tuple, own.collect())) == sorted(map(tuple, of_split(want, split).select("IDS", "lang_set").collect()))
     assert stored["grid-sample"].count() <= 100 * 5 and stored["grid-clean"].count() <= 100 * 5
+
+
+def test_datasets_share_training_rows(spark, augmented, monkeypatch):
+    """One augmented corpus is freed from duplicates once for all datasets, and is not read for test rows."""
+    stored = []
+    monkeypatch.setattr("pairloom.plans.grid.write_table", lambda df, name: stored.append(name) or write_table(df, name))
+    made = {}
+    tables = [prepare_grid(spark, dataset, sources(augmented, dataset), SETS, made=made) for dataset in ("tpc", "quora")]
+    assert stored == ["grid-clean"]
+    for table in tables:
+        plans = [of_split(table, s)._jdf.queryExecution().executedPlan().toString() for s in ("train", "test")]
+        assert "lang_sets" in plans[0] and "lang_sets" not in plans[1]
